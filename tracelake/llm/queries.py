@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import annforest, langid, linededup, mixing, pieces, quality, simhash, substring
+from tracelake.llm import annforest, chatrepair, langid, licenses, linededup, mixing, pieces, quality, simhash, substring
 from tracelake.llm.common import table
 
 
@@ -42,9 +42,17 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op9_substring)}
+def op10_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatrepair.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair)}
