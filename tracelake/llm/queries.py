@@ -56,3 +56,4 @@ def op10_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair)}
+ORACLE_SQL: dict[str, str] = {}
