@@ -1,0 +1,11 @@
+"""Telemetry analytics and corpus operators on Spark DataFrames.
+
+Functions that run inside Spark tasks are pickled by value, so executors need
+no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,0 +1,575 @@
+"""The registered queries, each beside the SQL that checks it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import canonical, redaction, scalars
+from tracelake.operators import agents, cost, filters, metrics, ordering, retrieval, rollup, tree
+from tracelake.plans.fields import SPANS
+from tracelake.sources import adapters, otlp
+from tracelake.streaming import pipeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+DAY = metrics.INTERVALS["1d"]
+#: Days 10 to 20 of the events.
+T0, T1 = 1_704_844_800 * 10**9, 1_705_708_800 * 10**9
+
+# The adapters of tracelake.sources, in SQL.
+E = """e as (select 'org-' || (user_id % 3) organization_id, user_id || '-' || strftime(ts, '%Y-%m-%d') trace_id,
+ cast(event_id as varchar) span_id, event_type as name, event_type category,
+ case when event_type = 'error' then 'error' else 'ok' end status, epoch_us(ts) * 1000 start_ns,
+ cast(round(value * 1e6) as bigint) duration_ns, case when user_id % 5 = 0 then '' else 'model-' || (user_id % 5) end model,
+ event_id % 1000 input_tokens, case when event_id % 4 <> 0 then event_id % 300 end output_tokens,
+ case when event_id % 6 <> 0 then cast(value as decimal(18,2)) end cost_total,
+ 'session-' || (user_id % 20) session_id, json_extract_string(props, '$.k') k, user_id from events)"""
+L = """raw as (select l_orderkey trace_id, cast(l_linenumber as varchar) span_id, case when l_linenumber // 2 > 0 then cast(l_linenumber // 2 as varchar) else '' end parent,
+ 'op-' || (l_linenumber % 3) as name, case l_linenumber % 3 when 0 then 'retrieval' when 1 then 'chat_completion' else 'tool_call' end category,
+ case when l_returnflag = 'R' then 'error' else 'ok' end status, epoch_us(o_orderdate) * 1000 + l_linenumber * 1000000 start_ns,
+ case when l_linestatus = 'O' or l_quantity > 5 then cast(l_quantity as bigint) * 1000000 end duration_ns,
+ coalesce(p_brand, '') model, cast(l_quantity as bigint) input_tokens, cast(l_extendedprice as decimal(18,2)) cost_total,
+ 'session-' || (o_custkey % 100) session_id,
+ row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) rn
+ from lineitem join orders on l_orderkey = o_orderkey left join part on l_partkey = p_partkey),
+ l as (select *, start_ns + duration_ns end_ns from raw where rn = 1)"""
+D = """d as (select source || '-' || (doc_id // 100) step_id, cast(doc_id as varchar) document_id, doc_id % 100 as rank, 1.0::double / (doc_id % 100 + 1) score,
+ case when doc_id % 3 <> 0 then doc_id % 7 end rerank_rank, doc_id % 100 < 30 selected, n_chars // 4 token_count, n_chars > 2048 truncated,
+ case when doc_id % 11 = 0 then '' else source end source, substr(text, 1, 2048) content_preview from documents),
+ g as (select source || '-' || (doc_id // 100) step_id, cast(doc_id as varchar) document_id, cast(quality as double) gain from labels join documents using (doc_id))"""
+A = """a as (select conv_id // 10 run_id, lpad(cast(conv_id as varchar), 8, '0') agent_id, turn step_number, min(role) role, min(length(text)) n, conv_id, turn from conversations group by conv_id, turn),
+ s as (select run_id, agent_id, step_number, role, agent_id || '#' || step_number node, n * 1000 duration_ns, case when turn % 4 = 3 then turn - 2 end parent_step,
+ case when turn % 5 = 4 then turn - 1 end retry_of, case when conv_id % 2 = 0 then 'b' else '' end branch_id,
+ case when turn = 1 then lpad(cast(conv_id + 1 as varchar), 8, '0') else '' end handoff_target from a)"""
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _filter(name: str, condition: tuple, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filters.where(adapters.event_spans(spark, sf_dir), SPANS, [condition]).select("span_id", "name", "duration_ns")
+
+    QUERIES[name] = run
+    ORACLE[name] = f"with {E} select span_id, name, duration_ns from e where {sql}"
+
+
+for _name, _condition, _sql in (
+    ("flt_eq", ("status", "eq", "error"), "status = 'error'"),
+    ("flt_ne", ("status", "ne", "error"), "status <> 'error'"),
+    ("flt_gt", ("duration_ms", "gt", 250.5), "duration_ns > 250500000"),
+    ("flt_gte", ("input_tokens", "gte", 500), "input_tokens >= 500"),
+    ("flt_lt", ("duration_ms", "lt", 100), "duration_ns < 100000000"),
+    ("flt_lte", ("output_tokens", "lte", 20), "output_tokens <= 20"),
+    ("flt_in", ("name", "in", ["click", "view"]), "name in ('click', 'view')"),
+    ("flt_not_in", ("name", "not_in", ["click", "view"]), "name not in ('click', 'view')"),
+    ("flt_contains", ("name", "contains", "urch"), "contains(name, 'urch')"),
+    ("flt_contains_literal", ("name", "contains", "%"), "contains(name, '%')"),
+    ("flt_starts_with", ("name", "starts_with", "pu"), "starts_with(name, 'pu')"),
+    ("flt_ends_with", ("name", "ends_with", "ck"), "ends_with(name, 'ck')"),
+    ("flt_has", ("tags", "has", "u1"), "user_id % 4 = 1"),
+    ("flt_has_any", ("tags", "has_any", ["u1", "view"]), "user_id % 4 = 1 or name = 'view'"),
+    ("flt_has_all", ("tags", "has_all", ["u1", "view"]), "user_id % 4 = 1 and name = 'view'"),
+    ("flt_between", ("input_tokens", "between", [100, 200]), "input_tokens >= 100 and input_tokens < 200"),
+    ("flt_is_null", ("model", "is_null", None), "model is null or model = ''"),
+    ("flt_is_not_null", ("output_tokens", "is_not_null", None), "output_tokens is not null"),
+    ("flt_map_subpath", ("attributes.k", "eq", "5"), "k = '5'"),
+):
+    _filter(_name, _condition, _sql)
+
+
+@query(f"with {E} select span_id, trace_id from e where start_ns >= {T0} and start_ns < {T1} and organization_id = 'org-1'")
+def flt_time_range_scope(spark, sf_dir):
+    return filters.where(adapters.event_spans(spark, sf_dir), SPANS, (), filters.scope("org-1"), filters.time_range(SPANS, T0, T1)).select("span_id", "trace_id")
+
+
+@query(f"with {E} select span_id, name from e where contains(name, 'view') or trace_id = 'session-3' or session_id = 'session-3'")
+def flt_text_query(spark, sf_dir):
+    """The name contains the text or an identifier equals it; run for two texts."""
+    spans = adapters.event_spans(spark, sf_dir)
+    return filters.where(spans, SPANS, (), filters.text_query(SPANS, "view") | filters.text_query(SPANS, "session-3")).select("span_id", "name")
+
+
+@query(f"with {E} select span_id, duration_ns, status from e order by status, duration_ns desc, span_id desc limit 51")
+def ord_sort_tiebreak(spark, sf_dir):
+    return ordering.page(adapters.event_spans(spark, sf_dir), SPANS, ["status", "-duration_ms"]).select("span_id", "duration_ns", "status")
+
+
+@query(f"with {E} select span_id, output_tokens from e where output_tokens < 250 or output_tokens is null or (output_tokens = 250 and span_id < '500') order by output_tokens desc nulls last, span_id desc limit 101")
+def ord_keyset_page(spark, sf_dir):
+    return ordering.page(adapters.event_spans(spark, sf_dir), SPANS, ["-output_tokens"], {"output_tokens": 250, "span_id": "500"}, 100).select("span_id", "output_tokens")
+
+
+@query(f"with {E} select span_id, duration_ns from e order by duration_ns desc, span_id limit 20")
+def ord_topk(spark, sf_dir):
+    return ordering.top_k(adapters.event_spans(spark, sf_dir), 20, F.desc("duration_ns"), F.col("span_id")).select("span_id", "duration_ns")
+
+
+_SOLO = [round(((i * 37) % 64 - 31.5) / 64, 6) for i in range(64)]
+
+
+@query(f"select vec_id, round(list_dot_product(embedding::double[], {_SOLO}::double[]), 6) score from embeddings order by list_dot_product(embedding::double[], {_SOLO}::double[]) desc, vec_id limit 20")
+def vector_topk(spark, sf_dir):
+    return ordering.vector_top_k(adapters.table(spark, sf_dir, "embeddings"), _SOLO, 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {L} select trace_id, span_id, model, cast(cost_total as double) as cost_total, duration_ns from l")
+def dedup_latest(spark, sf_dir):
+    return _latest(spark, sf_dir).select("trace_id", "span_id", "model", F.col("cost_total").cast("double").alias("cost_total"), "duration_ns")
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.latest(adapters.line_spans(spark, sf_dir), ["trace_id", "span_id"], adapters.VERSION)
+
+
+@query("""with t as (select event_id, user_id, value, 1 v from events where event_id % 2 = 0), n as (select event_id, user_id, value + 1 as value, case when event_id % 3 = 0 then 0 else 2 end v from events where event_id % 4 = 0),
+ u as (select *, 0 n from t union all select *, 1 n from n), r as (select *, row_number() over (partition by event_id order by v desc, n desc) rn from u) select event_id, user_id, round(value, 4) as value, v from r where rn = 1""")
+def sink_upsert(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    old = e.filter("event_id % 2 = 0").withColumn("v", F.lit(1))
+    new = e.filter("event_id % 4 = 0").withColumn("value", F.col("value") + 1).withColumn("v", F.when(F.col("event_id") % 3 == 0, 0).otherwise(2))
+    return rollup.upsert(old, new, ["event_id"], ["v"]).withColumn("value", F.round("value", 4))
+
+
+@query(f"with {E} select name, count(*) \"value\", count(*) n from e group by name")
+def agg_count(spark, sf_dir):
+    return metrics.aggregate(adapters.event_spans(spark, sf_dir), ["name"], metrics.measure("count"))
+
+
+@query(f"with {E} select model, cast(sum(coalesce(output_tokens, 0)) as bigint) \"value\", count(*) n from e group by model")
+def agg_sum(spark, sf_dir):
+    return metrics.aggregate(adapters.event_spans(spark, sf_dir), ["model"], metrics.measure("sum", "output_tokens"))
+
+
+@query(f"with {E} select model, cast(sum(cost_total) as double) total, count(*) n from e group by model")
+def agg_sum_decimal(spark, sf_dir):
+    out = metrics.aggregate(adapters.event_spans(spark, sf_dir), ["model"], metrics.measure("sum_known", "cost_total"))
+    return out.select("model", F.col("value").cast("double").alias("total"), "n")
+
+
+@query(f"with {E} select name, round(avg(output_tokens), 6) mean, min(output_tokens) least, max(output_tokens) most from e group by name")
+def agg_avg_min_max(spark, sf_dir):
+    return adapters.event_spans(spark, sf_dir).groupBy("name").agg(F.round(metrics.measure("avg", "output_tokens"), 6).alias("mean"), metrics.measure("min", "output_tokens").alias("least"), metrics.measure("max", "output_tokens").alias("most"))
+
+
+@query(f"with {E} select name, count(distinct trace_id) traces from e group by name")
+def agg_unique(spark, sf_dir):
+    return adapters.event_spans(spark, sf_dir).groupBy("name").agg(metrics.measure("unique", "trace_id").alias("traces"))
+
+
+def _p(level: float, column: str = "duration_ns") -> str:
+    return f"list_extract(list_sort(list({column})), 1 + cast(floor({level}::double * (count({column}) - 1)) as bigint))"
+
+
+_PS = ", ".join(f"{_p(x)} p{round(x * 100)}" for x in metrics.LEVELS)
+
+
+@query(f"with {E} select {_PS}, count(duration_ns) n, round(avg(duration_ns), 3) mean, max(duration_ns) most from e")
+def agg_percentiles(spark, sf_dir):
+    return _named(metrics.percentiles(adapters.event_spans(spark, sf_dir), [], "duration_ns"))
+
+
+@query(f"with {E} select name, model, {_PS}, count(duration_ns) n, round(avg(duration_ns), 3) mean, max(duration_ns) most from e group by name, model")
+def agg_percentiles_grouped(spark, sf_dir):
+    return _named(metrics.percentiles(adapters.event_spans(spark, sf_dir), ["name", "model"], "duration_ns"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("mean", F.round("avg", 3)).withColumnRenamed("max", "most").drop("avg")
+
+
+@query(f"with {E} select start_ns // {DAY} * {DAY} bucket, status, count(*) \"value\", count(*) n from e group by 1, 2")
+def agg_timeseries(spark, sf_dir):
+    return metrics.timeseries(adapters.event_spans(spark, sf_dir), "start_ns", DAY, metrics.measure("count"), ["status"])
+
+
+@query(f"with {E}, t as (select session_id from e group by session_id order by sum(input_tokens) desc, session_id limit 5) select start_ns // {DAY} * {DAY} bucket, session_id, cast(sum(input_tokens) as bigint) \"value\", count(*) n from e where session_id in (select session_id from t) group by 1, 2")
+def agg_timeseries_topn(spark, sf_dir):
+    return metrics.timeseries(adapters.event_spans(spark, sf_dir), "start_ns", DAY, metrics.measure("sum", "input_tokens"), ["session_id"], top=5)
+
+
+@query(f"with {E}, t as (select session_id from e group by session_id order by count(*) desc, session_id limit 5), o as (select start_ns, case when session_id in (select session_id from t) then session_id else '__other__' end session_id from e) select start_ns // {DAY} * {DAY} bucket, session_id, count(*) \"value\", count(*) n from o group by 1, 2")
+def agg_timeseries_other(spark, sf_dir):
+    return metrics.timeseries(adapters.event_spans(spark, sf_dir), "start_ns", DAY, metrics.measure("count"), ["session_id"], top=5, other=True)
+
+
+@query(f"with {E} select start_ns // {DAY} * {DAY} bucket, name, {_p(0.95)} p95, count(*) n, count(*) filter (where status = 'error') errors from e group by 1, 2")
+def agg_timeseries_p95(spark, sf_dir):
+    return flagship(adapters.event_spans(spark, sf_dir))
+
+
+def flagship(spans: DataFrame) -> DataFrame:
+    """The dashboard's daily view: spans, errors and exact p95 by name."""
+    days = spans.withColumn("bucket", metrics.bucket(F.col("start_ns"), DAY))
+    counts = days.groupBy("bucket", "name").agg(F.count("*").alias("n"), F.sum((F.col("status") == "error").cast("long")).alias("errors"))
+    p95 = metrics.percentiles(days, ["bucket", "name"], "duration_ns", [0.95]).select("bucket", "name", "p95")
+    return counts.join(p95, ["bucket", "name"], "left")
+
+
+@query(f"with {E} select count(distinct trace_id) request_count, count(*) filter (where status = 'error') error_count, cast(sum(input_tokens) as bigint) input_tokens, cast(sum(output_tokens) as bigint) output_tokens, cast(sum(cost_total) as double) cost_total, bool_or(cost_total is null) cost_is_partial from e where start_ns >= {T0} and start_ns < {T1}")
+def agg_overview(spark, sf_dir):
+    spans = filters.where(adapters.event_spans(spark, sf_dir), SPANS, (), filters.time_range(SPANS, T0, T1))
+    return metrics.overview(spans).withColumn("cost_total", F.col("cost_total").cast("double"))
+
+
+@query(f"with {E} select case when start_ns >= {T0} then 'current' else 'previous' end as \"window\", count(distinct trace_id) request_count, count(*) filter (where status = 'error') error_count, cast(sum(input_tokens) as bigint) input_tokens from e where start_ns >= {2 * T0 - T1} and start_ns < {T1} group by 1")
+def agg_overview_previous(spark, sf_dir):
+    return metrics.overview_compared(adapters.event_spans(spark, sf_dir), "start_ns", T0, T1)
+
+
+@query(f"with {E} select model as \"value\", count(*) n from e where model <> '' and starts_with(model, 'model') group by model")
+def agg_distinct_values(spark, sf_dir):
+    return metrics.distinct_values(adapters.event_spans(spark, sf_dir), "model", "model")
+
+
+@query(f"with {E} select model, name, cast(sum(cost_total) as double) total from e group by model, name")
+def agg_cost_breakdown(spark, sf_dir):
+    return adapters.event_spans(spark, sf_dir).groupBy("model", "name").agg(F.sum("cost_total").cast("double").alias("total"))
+
+
+@query(f"with {E}, t as (select model, sum(cost_total) total from e group by model) select model, cast(total as double) total, round(cast(total as double) / cast((select sum(total) from t) as double), 9) \"share\" from t")
+def agg_cost_share(spark, sf_dir):
+    out = metrics.shares(adapters.event_spans(spark, sf_dir), ["model"], "cost_total")
+    return out.select("model", F.col("total").cast("double").alias("total"), F.round("share", 9).alias("share"))
+
+
+@query(f"with {E}, c as (select case when cast(span_id as bigint) % 3 = 0 then 'EUR' when cast(span_id as bigint) % 3 = 1 then 'USD' else 'JPY' end currency, cost_total from e), r(currency, rate) as (values ('USD', 1.0::double), ('EUR', 1.1::double)) select c.currency, cast(sum(cost_total) as double) total, round(cast(sum(cost_total) as double) * max(rate), 4) converted, max(rate) is null missing_rate from c left join r using (currency) group by c.currency")
+def agg_currency_convert(spark, sf_dir):
+    n = F.col("span_id").cast("long") % 3
+    spans = adapters.event_spans(spark, sf_dir).withColumn("currency", F.when(n == 0, "EUR").when(n == 1, "USD").otherwise("JPY"))
+    rates = spark.createDataFrame([("USD", 1.0), ("EUR", 1.1)], "currency string, rate double")
+    out = metrics.converted_totals(spans.withColumn("total", F.col("cost_total")), rates)
+    return out.select("currency", F.col("total").cast("double").alias("total"), F.round(F.col("total").cast("double") * (F.col("converted") / F.col("total").cast("double")), 4).alias("converted"), "missing_rate")
+
+
+@query(f"with {E}, b as (select start_ns // 300000000000 * 300000000000 bucket, name, duration_ns - duration_ns % cast(pow(2, greatest(length(bin(duration_ns)) - 6, 0)) as bigint) bin, duration_ns from e) select bucket, name, bin, count(*) n, cast(sum(duration_ns) as bigint) \"sum\" from b group by 1, 2, 3")
+def preagg_5m(spark, sf_dir):
+    return metrics.preaggregate(adapters.event_spans(spark, sf_dir), "start_ns", ["name"], "duration_ns")
+
+
+@query(f"with {E}, b as (select name, duration_ns - duration_ns % cast(pow(2, greatest(length(bin(duration_ns)) - 6, 0)) as bigint) bin, duration_ns from e) select name, count(*) n, cast(sum(duration_ns) as bigint) \"sum\", {_p(0.95, 'bin')} percentile from b group by name")
+def preagg_read(spark, sf_dir):
+    table = metrics.preaggregate(adapters.event_spans(spark, sf_dir), "start_ns", ["name"], "duration_ns")
+    return metrics.from_preaggregate(table, ["name"], 0.95)
+
+
+@query(f"""with {L}, u as (select trace_id, model, min(start_ns) s, min_by(span_id, (start_ns, span_id)) i from l where model <> '' group by trace_id, model), m as (select trace_id, string_agg(model, '|' order by s, i) models from u group by trace_id)
+ select l.trace_id, coalesce(min_by(name, (start_ns, span_id)) filter (where parent = ''), min_by(name, (start_ns, span_id))) as name, min(start_ns) start_ns, max(end_ns) end_ns, max(end_ns) - min(start_ns) duration_ns,
+ case when bool_or(status = 'error') then 'error' when bool_or(parent = '') and bool_and(end_ns is not null) then 'ok' else 'incomplete' end status,
+ coalesce(min_by(span_id, (start_ns, span_id)) filter (where parent = ''), '') root_span_id, count(*) span_count, count(*) filter (where status = 'error') error_count,
+ cast(sum(input_tokens) as bigint) total_input_tokens, cast(sum(cost_total) as double) total_cost, count(*) filter (where category = 'chat_completion') llm_call_count, count(*) filter (where category = 'retrieval') retrieval_count,
+ max(m.models) models from l left join m on l.trace_id = m.trace_id group by l.trace_id""")
+def trace_rollup(spark, sf_dir):
+    t = rollup.trace_rollup(_latest(spark, sf_dir))
+    return t.select("trace_id", "name", "start_ns", "end_ns", "duration_ns", "status", "root_span_id", "span_count", "error_count", "total_input_tokens", F.col("total_cost").cast("double").alias("total_cost"), "llm_call_count", "retrieval_count", F.array_join("models", "|").alias("models"))
+
+
+@query(f"with {L}, t as (select trace_id, case when bool_or(status = 'error') then 'error' when bool_or(parent = '') and bool_and(end_ns is not null) then 'ok' else 'incomplete' end status from l group by trace_id) select status, count(*) n from t group by status")
+def trace_status(spark, sf_dir):
+    return _latest(spark, sf_dir).groupBy("trace_id").agg(rollup.status_of().alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"with {E}, s as (select organization_id, trace_id, max(start_ns) newest from e group by 1, 2), t as (select organization_id, trace_id, max(start_ns) rolled from e where cast(span_id as bigint) % 5 <> 0 group by 1, 2) select s.organization_id, s.trace_id from s left join t using (organization_id, trace_id) where rolled is null or rolled < newest")
+def stale_rollups(spark, sf_dir):
+    spans = adapters.event_spans(spark, sf_dir).withColumn("ingested_ns", F.col("start_ns"))
+    traces = spans.filter(F.col("span_id").cast("long") % 5 != 0).groupBy("organization_id", "trace_id").agg(F.max("ingested_ns").alias("ingested_ns"))
+    return rollup.stale_rollups(spans, traces).select("organization_id", "trace_id")
+
+
+_TREE = f"""recursive {L}, k as (select trace_id, span_id, case when exists (select 1 from l p where p.trace_id = l.trace_id and p.span_id = l.parent) then parent end up from l),
+ c as (select trace_id, span_id, up anc, 1 dist from k where up is not null union all select c.trace_id, c.span_id, k.up, dist + 1 from c join k on k.trace_id = c.trace_id and k.span_id = c.anc where k.up is not null)"""
+
+
+@query(f"with {_TREE} select k.trace_id, k.span_id, coalesce(max(dist), 0) depth from k left join c using (trace_id, span_id) group by 1, 2")
+def tree_depth(spark, sf_dir):
+    return tree.depths(_latest(spark, sf_dir))
+
+
+@query(f"with {L} select trace_id, span_id, parent from l where parent <> '' and not exists (select 1 from l p where p.trace_id = l.trace_id and p.span_id = l.parent)")
+def tree_orphans(spark, sf_dir):
+    return tree.orphans(_latest(spark, sf_dir)).select("trace_id", "span_id", F.col("parent_span_id").alias("parent"))
+
+
+@query(f"with {_TREE}, n as (select trace_id, anc, count(*) n from c group by 1, 2) select k.trace_id, k.span_id, coalesce(n.n, 0) descendants from k left join n on n.trace_id = k.trace_id and n.anc = k.span_id")
+def tree_descendants(spark, sf_dir):
+    return tree.descendants(_latest(spark, sf_dir))
+
+
+@query(f"""with recursive {L}, b as (select trace_id, parent, first(span_id order by end_ns desc, start_ns, span_id) nxt from l where parent <> '' and end_ns is not null group by 1, 2),
+ p as (select trace_id, 0 as "position", min_by(span_id, (start_ns, span_id)) span_id from l where parent = '' group by trace_id union all select p.trace_id, p."position" + 1, b.nxt from p join b on b.trace_id = p.trace_id and b.parent = p.span_id)
+ select trace_id, "position", span_id from p""")
+def critical_path(spark, sf_dir):
+    return tree.critical_path(_latest(spark, sf_dir))
+
+
+@query(f"""with {L}, k as (select trace_id, parent, start_ns s, end_ns e, max(end_ns) over (partition by trace_id, parent order by start_ns, end_ns rows between unbounded preceding and 1 preceding) m from l where end_ns is not null and parent <> ''),
+ c as (select trace_id, parent, sum(greatest(0, e - greatest(s, coalesce(m, s)))) covered from k group by 1, 2)
+ select l.trace_id, l.span_id, cast(greatest(duration_ns - coalesce(covered, 0), 0) as bigint) self_ns from l left join c on c.trace_id = l.trace_id and c.parent = l.span_id where duration_ns is not null""")
+def self_time(spark, sf_dir):
+    return tree.self_time(_latest(spark, sf_dir))
+
+
+@query(f"with {L} select trace_id, min_by(span_id, (start_ns, span_id)) original, count(*) - 1 retries from l group by trace_id, parent, name having count(*) > 1")
+def retry_groups(spark, sf_dir):
+    return tree.retry_groups(_latest(spark, sf_dir))
+
+
+@query(f"""with {_TREE}, dp as (select k.trace_id, k.span_id, coalesce(max(dist), 0) depth from k left join c using (trace_id, span_id) group by 1, 2),
+ q as (select l.trace_id, l.span_id, depth, name, duration_ns, row_number() over (partition by l.trace_id, depth, name order by start_ns, l.span_id) - 1 ordinal from l join dp using (trace_id, span_id)),
+ pr as (select o_orderkey lt, o_orderkey + 1 rt from orders where o_orderkey % 2 = 0), a as (select pr.*, q.* from pr join q on q.trace_id = lt), z as (select pr.*, q.* from pr join q on q.trace_id = rt)
+ select coalesce(a.lt, z.lt) left_trace, coalesce(a.depth, z.depth) depth, coalesce(a.name, z.name) as name, coalesce(a.ordinal, z.ordinal) ordinal, a.span_id left_span, z.span_id right_span, z.duration_ns - a.duration_ns delta_ns,
+ case when a.span_id is null then 'right' when z.span_id is null then 'left' else 'both' end side from a full join z on a.lt = z.lt and a.depth = z.depth and a.name = z.name and a.ordinal = z.ordinal""")
+def trace_compare(spark, sf_dir):
+    pairs = adapters.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("left_trace"), (F.col("o_orderkey") + 1).alias("right_trace"))
+    return tree.compare(pairs, _latest(spark, sf_dir)).select("left_trace", "depth", "name", "ordinal", "left_span", "right_span", "delta_ns", "side")
+
+
+@query(f"""with {D}, r as (select step_id, score, row_number() over (partition by step_id order by score desc) n from d)
+ select step_id, count(*) document_count, count(*) filter (where selected) selected_count, round(1 - count(*) filter (where selected) / count(*)::double, 9) unused_ratio, round(min(score), 9) score_min, round(max(score), 9) score_max, round(avg(score), 9) score_mean, round(stddev_samp(score), 9) score_stddev,
+ cast(coalesce(sum(token_count) filter (where selected), 0) as bigint) context_tokens, count(*) filter (where truncated) truncated_count, count(*) filter (where source = '') missing_source_count, round(avg(abs(rank - rerank_rank)), 9) mean_rank_movement, count(*) filter (where rerank_rank < rank) rerank_promotions, count(*) filter (where rerank_rank > rank) rerank_demotions,
+ (select round(max(score) filter (where n = 1) - max(score) filter (where n = 2), 9) from r where r.step_id = d.step_id) score_margin from d group by step_id""")
+def retrieval_diagnostics(spark, sf_dir):
+    out = retrieval.diagnostics(adapters.retrieval_documents(spark, sf_dir)).drop("unused_count", "duplicate_ids")
+    for c in ("unused_ratio", "score_min", "score_max", "score_mean", "score_stddev", "mean_rank_movement", "score_margin"):
+        out = out.withColumn(c, F.round(c, 9))
+    return out
+
+
+@query(f"""with {D}, f as (select *, row_number() over (partition by step_id order by rank, document_id) r from d where content_preview <> ''), w as (select step_id, document_id, r, list_filter(regexp_split_to_array(lower(content_preview), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') w from f where r <= 64),
+ s as (select step_id, document_id, r, list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) g from w where len(w) > 0),
+ x as (select step_id, document_id, r, len(g) n, unnest(g) g from s),
+ p as (select a.step_id, a.document_id left_id, b.document_id right_id, a.n, b.n m, count(*) k from x a join x b on a.step_id = b.step_id and a.g = b.g and a.r < b.r group by all) select step_id, left_id, right_id from p where k >= 0.9 * (n + m - k)""")
+def near_duplicates(spark, sf_dir):
+    return retrieval.near_duplicates(adapters.retrieval_documents(spark, sf_dir))
+
+
+_RANK = f"""{D}, r as (select step_id, document_id, row_number() over (partition by step_id order by rank, document_id) pos from d), j as (select r.*, gain from r left join g using (step_id, document_id)),
+ got as (select step_id, count(*) filter (where pos <= 5 and gain > 0) hits, count(*) filter (where pos <= 5) top, min(pos) filter (where gain > 0) f, coalesce(sum(gain / log2(pos + 1)) filter (where pos <= 5), 0) dcg from j group by step_id),
+ i as (select step_id, gain, row_number() over (partition by step_id order by gain desc) pos from g), ideal as (select step_id, count(*) filter (where gain > 0) rel, sum(gain / log2(pos + 1)) filter (where pos <= 5) idcg from i group by step_id)"""
+
+
+@query(f"with {_RANK} select step_id, round(case when rel > 0 then hits / top::double end, 9) \"precision\", round(case when rel > 0 then hits / rel::double end, 9) recall from got left join ideal using (step_id)")
+def precision_recall_k(spark, sf_dir):
+    return _ranking(spark, sf_dir).select("step_id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"with {_RANK} select round(avg(case when rel > 0 then coalesce(1.0::double / f, 0) end), 9) mrr from got left join ideal using (step_id)")
+def mrr(spark, sf_dir):
+    return _ranking(spark, sf_dir).agg(F.round(F.avg("rr"), 9).alias("mrr"))
+
+
+@query(f"with {_RANK} select step_id, round(case when idcg = 0 then 0 else dcg / idcg end, 9) ndcg from got left join ideal using (step_id)")
+def ndcg(spark, sf_dir):
+    return _ranking(spark, sf_dir).select("step_id", F.round("ndcg", 9).alias("ndcg"))
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.ranking_metrics(adapters.retrieval_documents(spark, sf_dir), adapters.relevance(spark, sf_dir), 5)
+
+
+_EDGES = f"""{A}, x as (select s.*, r.node rn, p.node pn, lag(s.node) over (partition by s.run_id, s.agent_id order by s.step_number) prev from s left join s r on r.agent_id = s.agent_id and r.step_number = s.retry_of left join s p on p.agent_id = s.agent_id and p.step_number = s.parent_step),
+ ed as (select run_id, coalesce(rn, pn, prev) source, node target, case when rn is not null then 'retry' when pn is not null and branch_id <> '' then 'branch' else 'sequence' end kind from x where coalesce(rn, pn, prev) is not null
+ union select h.run_id, h.node, h.handoff_target || '#' || min(t.step_number), 'handoff' from s h join s t on t.run_id = h.run_id and t.agent_id = h.handoff_target where h.handoff_target <> '' group by h.run_id, h.node, h.handoff_target)"""
+
+
+@query(f"with {_EDGES} select run_id, source, target, kind from ed")
+def agent_edges(spark, sf_dir):
+    return agents.edges(adapters.agent_steps(spark, sf_dir))
+
+
+@query(f"with {A}, n as (select run_id, agent_id, role, count(*) n from s group by all) select run_id, max(n) >= 3 loop_detected from n group by run_id")
+def agent_loop(spark, sf_dir):
+    return agents.loops(adapters.agent_steps(spark, sf_dir))
+
+
+@query(f"""with recursive {_EDGES}, fe as (select ed.run_id, source, target from ed join s a on a.node = ed.source join s b on b.node = ed.target where (a.step_number, a.agent_id) < (b.step_number, b.agent_id)),
+ w as (select run_id, node, duration_ns total from s union select w.run_id, fe.target, w.total + b.duration_ns from w join fe on fe.run_id = w.run_id and fe.source = w.node join s b on b.node = fe.target)
+ select run_id, node, max(total) best_ns from w group by 1, 2""")
+def agent_critical_path(spark, sf_dir):
+    return agents.longest_paths(adapters.agent_steps(spark, sf_dir)).select("run_id", "node", "best_ns")
+
+
+_BOOK = [
+    ("acme", "model-1", "input", 0, T0, 0, None, 1_000_000, "1.00", None),
+    ("acme", "model-1", "input", T0, None, 0, None, 1_000_000, "1.50", None),
+    ("acme", "model-1", "output", 0, None, 0, None, 1_000_000, "2.00", "0.25"),
+    ("acme", "model-2", "input", 0, None, 0, 400, 1_000_000, "4.00", None),
+    ("acme", "model-2", "input", 0, None, 400, 800, 1_000_000, "2.00", None),
+    ("acme", "model-2", "output", 0, None, 0, None, 1_000_000, "3.00", None),
+    ("acme", "*", "input", 0, None, 0, None, 1_000_000, "0.50", None),
+]
+
+
+def _book(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(*r[:8], r[8], r[9], "USD", None) for r in _BOOK], "provider string, model string, category string, from_ns long, to_ns long, tier_min long, tier_max long, unit_quantity long, unit_price string, discount string, currency string, organization_id string")
+    return rows.withColumn("unit_price", F.col("unit_price").cast("decimal(18,9)")).withColumn("discount", F.col("discount").cast("decimal(9,6)"))
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = adapters.event_spans(spark, sf_dir).filter("model <> ''")
+    dated = F.when(F.col("span_id").cast("long") % 2 == 0, F.concat("model", F.lit("-2024-01-15"))).otherwise(F.col("model"))
+    return s.select(F.col("span_id").alias("id"), "provider", dated.alias("model"), F.col("start_ns").alias("at_ns"), F.explode(F.create_map(F.lit("input"), "input_tokens", F.lit("output"), "output_tokens")).alias("category", "quantity"))
+
+
+def _cost_sql(graduated: bool) -> str:
+    rules = ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if i in (1, 2) else str(v) for i, v in enumerate(r)) + ")" for r in ((None, *x[1:]) for x in _BOOK))
+    part = "case when tiers = 1 then q else least(q, coalesce(tier_max, q)) - tier_min end" if graduated else "q"
+    keep = "where part > 0" if graduated else "where (q >= tier_min and q < coalesce(tier_max, 1e18)) or (held = 0 and tier_min = last)"
+    return f"""with {E}, b(p, m, c, f, t, tier_min, tier_max, u, price, disc) as (values {rules}), us as (select span_id id, model, start_ns, 'input' c, input_tokens q from e where model <> '' union all select span_id, model, start_ns, 'output', output_tokens from e where model <> ''),
+ h as (select us.*, b.* exclude (c), case b.m when '*' then 1 else 0 end rk from us join b on us.c = b.c and us.start_ns >= f and (t is null or us.start_ns < t) and b.m in (us.model, '*') where q > 0),
+ h2 as (select *, min(rk) over (partition by id, c) best from h), h3 as (select *, count(*) over (partition by id, c) tiers, max(tier_min) over (partition by id, c) last, max(case when q >= tier_min and q < coalesce(tier_max, 1e18) then 1 else 0 end) over (partition by id, c) held from h2 where rk = best), h4 as (select *, {part} part from h3)
+ , comp as (select id, c, sum(part * price * (1 - coalesce(disc, 0)) / u) amount from h4 {keep} group by id, c), every as (select id, c from us where q > 0)
+ select every.id, round(cast(sum(amount) as double), 9) total, case when sum(amount) is null then 'unpriced' when count(*) > count(amount) then 'estimated' else 'final' end status from every left join comp using (id, c) group by every.id"""
+
+
+def _costs(spark: SparkSession, sf_dir: str, graduated: bool) -> DataFrame:
+    return cost.costs(_usage(spark, sf_dir), _book(spark), graduated).select("id", F.round(F.col("total").cast("double"), 9).alias("total"), "status")
+
+
+@query(_cost_sql(False))
+def cost_volume(spark, sf_dir):
+    return _costs(spark, sf_dir, False)
+
+
+@query(_cost_sql(True))
+def cost_graduated(spark, sf_dir):
+    return _costs(spark, sf_dir, True)
+
+
+@query(f"with {E} select case when start_ns < {T0} then 1.0 else 1.5 end::double price, count(*) n, cast(sum(input_tokens) as bigint) tokens from e where model = 'model-1' and input_tokens > 0 group by 1")
+def cost_effective_dated(spark, sf_dir):
+    parts = cost.components(_usage(spark, sf_dir).filter("category = 'input' and model like 'model-1%'"), _book(spark))
+    price = F.round(F.col("amount").cast("double") * 1e6 / F.col("quantity"), 6)
+    return parts.groupBy(price.alias("price")).agg(F.count("*").alias("n"), F.sum("quantity").alias("tokens"))
+
+
+@query("with p as (select p_partkey, p_brand, p_size, cast(p_size as bigint) f, cast(p_size as bigint) + p_partkey % 3 t from part), w as (select *, lag(t) over (partition by p_brand order by f, t, p_partkey) pt from p) select p_brand model, count(*) n from w where f < pt group by 1")
+def price_overlaps(spark, sf_dir):
+    p = adapters.table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("long")
+    rules = p.select(F.lit("org").alias("organization_id"), F.lit("acme").alias("provider"), F.col("p_brand").alias("model"), F.lit("input").alias("category"), F.lit(0).alias("tier_min"), size.alias("from_ns"), (size + F.col("p_partkey") % 3).alias("to_ns"))
+    return cost.overlaps(rules).groupBy("model").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, case when length(text) > 0 then greatest(1, cast(floor(length(text) / 3.8::double) as bigint)) end tokens from documents")
+def usage_estimate(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", scalars.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""with m as (select event_id, case event_id % 5 when 0 then 'us.model-a-2024-05-01' when 1 then 'model-b@20240501' when 2 then 'eu.model-c-v12' when 3 then 'model-d-latest' else 'model-e-mini' end model from events)
+ select event_id, regexp_replace(model, '[-@](?:\\d{4}-\\d{2}-\\d{2}|\\d{6,8}|v\\d+|latest)$', '') normalised, regexp_replace(model, '^(?:us-gov|us|eu|apac)\\.', '') canonical from m""")
+def model_normalise(spark, sf_dir):
+    k = F.col("event_id") % 5
+    model = F.when(k == 0, "us.model-a-2024-05-01").when(k == 1, "model-b@20240501").when(k == 2, "eu.model-c-v12").when(k == 3, "model-d-latest").otherwise("model-e-mini")
+    return adapters.table(spark, sf_dir, "events").select("event_id", cost.normalise_model(model).alias("normalised"), scalars.canonical_model(model).alias("canonical"))
+
+
+def _redact_sql(column: str) -> str:
+    for name in ("private_key", "aws_access_key", "bearer_token", "jwt", "email"):
+        column = f"regexp_replace({column}, '{redaction.PATTERNS[name]}', '{redaction.MARK}', 'g')"
+    return column
+
+
+@query(f"select doc_id, md5({_redact_sql('text')}) redacted from documents")
+def redact_values(spark, sf_dir):
+    detectors = ("private_key", "aws_access_key", "bearer_token", "jwt", "email")
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.value(F.col("text"), detectors)).alias("redacted"))
+
+
+@query(f"""with r as (select doc_id, unnest(regexp_extract_all(text, '{redaction.CARD}')) run from documents), d as (select doc_id, regexp_replace(run, '\\D', '', 'g') s from r),
+ v as (select doc_id, s, list_sum(list_transform(range(1, length(s) + 1), lambda i: case when (length(s) - i) % 2 = 0 then cast(s[i] as int) else cast(s[i] as int) * 2 - case when cast(s[i] as int) > 4 then 9 else 0 end end)) % 10 c from d)
+ select doc_id, count(*) cards from v where c = 0 group by doc_id""")
+def redact_luhn(spark, sf_dir):
+    docs = adapters.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(redaction.cards(F.col("text"))).cast("long").alias("cards")).filter("cards > 0")
+
+
+@query("select event_id, 'sha256:' || sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') digest from events")
+def content_hash(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "events").select("event_id", scalars.content_hash(canonical.canonical_json("props")).alias("digest"))
+
+
+@query(f"with {E} select span_id, 'sha256:' || sha256('{{\"end\":' || (start_ns + duration_ns) || ',\"name\":\"' || name || '\",\"organization_id\":\"' || organization_id || '\",\"project_id\":\"p\",\"span_id\":\"' || span_id || '\",\"start\":' || start_ns || ',\"status\":\"' || status || '\",\"trace_id\":\"' || trace_id || '\"}}') digest from e")
+def span_hash(spark, sf_dir):
+    s = adapters.event_spans(spark, sf_dir)
+    return s.select("span_id", scalars.content_hash(scalars.span_identity(F.col("organization_id"), F.lit("p"), F.col("trace_id"), F.col("span_id"), F.col("start_ns"), F.col("end_ns"), F.col("name"), F.col("status"))).alias("digest"))
+
+
+@query("""with l as (select conv_id // 2 as pair, turn, role, text from conversations where conv_id % 2 = 0), r as (select conv_id // 2 as pair, turn, role, text from conversations where conv_id % 2 = 1),
+ x as (select coalesce(l.pair, r.pair) as pair, coalesce(l.turn, r.turn) turn, l.pair is null as ln, r.pair is null as rn, l.role is distinct from r.role or l.text is distinct from r.text as df from l full join r on l.pair = r.pair and l.turn = r.turn)
+ select pair, turn, case when ln then 'added' when rn then 'removed' when df then 'modified' else 'same' end change from x""")
+def prompt_diff(spark, sf_dir):
+    c = adapters.table(spark, sf_dir, "conversations").withColumn("pair", F.call_function("div", F.col("conv_id"), F.lit(2)))
+    from tracelake.operators.registry import message_diff
+
+    return message_diff(c.filter("conv_id % 2 = 0"), c.filter("conv_id % 2 = 1"), ["pair", "turn"], ["role", "text"])
+
+
+@query("with n as (select conv_id, turn, md5(text) h, role from conversations), v as (select role, h, min(conv_id * 100 + turn) born from n group by role, h) select role, h content_hash, row_number() over (partition by role order by born) version_number from v")
+def version_numbers(spark, sf_dir):
+    from tracelake.operators.registry import assign_versions
+
+    c = adapters.table(spark, sf_dir, "conversations").select("role", F.md5("text").alias("content_hash"), (F.col("conv_id") * 100 + F.col("turn")).alias("born"))
+    return assign_versions(c, ["role"], "content_hash", "born")
+
+
+@query(f"with {E} select span_id, start_ns < {T1} - 604800000000000 late_arrival, case when start_ns > {T1} + 300000000000 then 'clock_skew' end reject from e")
+def late_flag(spark, sf_dir):
+    return pipeline.checked(adapters.event_spans(spark, sf_dir), T1).select("span_id", "late_arrival", "reject")
+
+
+@query("select 'org-' || (user_id % 3) organization_id, strftime(ts, '%Y-%m-%d') \"day\", count(*) spans from events group by 1, 2")
+def quota_daily(spark, sf_dir):
+    return pipeline.quota(adapters.event_spans(spark, sf_dir))
+
+
+@query("with h as (select event_type topic, user_id % 8 as \"partition\", max(event_id) as \"offset\" from events group by 1, 2), c as (select event_type topic, user_id % 8 as \"partition\", max(event_id) done from events where event_id % 7 <> 0 and user_id % 8 <> 3 group by 1, 2) select topic, cast(sum(greatest(\"offset\" - coalesce(done, 0), 0)) as bigint) lag from h left join c using (topic, \"partition\") group by topic")
+def consumer_lag(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events").withColumn("partition", F.col("user_id") % 8).withColumn("topic", F.col("event_type"))
+    offsets = lambda df: df.groupBy("topic", "partition").agg(F.max("event_id").alias("offset"))
+    return pipeline.consumer_lag(offsets(e), offsets(e.filter("event_id % 7 <> 0 and partition <> 3")))
+
+
+@query("""select cast(event_id as varchar) request_id, md5(cast(user_id as varchar)) trace_id, substr(md5(cast(event_id as varchar)), 1, 16) span_id, event_type as name, epoch_us(ts) * 1000 start_ns,
+ case when event_type = 'error' then 'error' else 'unset' end status, cast(event_id as varchar) seq, event_type kind_attr, case when event_id % 10 = 0 then 'end_before_start' end reject from events""")
+def src_otlp_json(spark, sf_dir):
+    """Events written as OTLP requests, ids in hex or base64, and decoded."""
+    e = adapters.table(spark, sf_dir, "events")
+    start = scalars.timestamp_to_ns(F.col("ts"))
+    trace, span = F.md5(F.col("user_id").cast("string")), F.substring(F.md5(F.col("event_id").cast("string")), 1, 16)
+    id_ = lambda x: F.when(F.col("event_id") % 2 == 0, x).otherwise(F.base64(F.unhex(x)))
+    value = lambda text, whole: F.struct(text.alias("stringValue"), whole.alias("intValue"))
+    none = F.lit(None).cast("string")
+    attrs = F.array(F.struct(F.lit("kind").alias("key"), value(F.col("event_type"), none).alias("value")), F.struct(F.lit("seq").alias("key"), value(none, F.col("event_id").cast("string")).alias("value")))
+    status = F.struct(F.when(F.col("event_type") == "error", "2").alias("code"))
+    end = F.when(F.col("event_id") % 10 == 0, start - 1).otherwise(start + 1)
+    s = F.struct(id_(trace).alias("traceId"), id_(span).alias("spanId"), F.col("event_type").alias("name"), start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano"), status.alias("status"), attrs.alias("attributes"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(s).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans")))
+    out = otlp.decode(e.select(F.col("event_id").cast("string").alias("request_id"), body.alias("body")))
+    get = lambda k: F.try_element_at("attributes", F.lit(k))
+    return out.select("request_id", "trace_id", "span_id", "name", "start_ns", "status", get("seq").alias("seq"), get("kind").alias("kind_attr"), "reject")
+
+
+@query("select page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/?@]*@', '\\1[redacted]@'), '(?i)([?&][^=&]*(?:" + "|".join(p.replace("-", "\\-") for p in redaction.KEY_PARTS) + ")[^=&]*)=[^&]*', '\\1=%5Bredacted%5D', 'g') url from pages")
+def redact_url(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "pages").select("page_id", redaction.url(F.col("url")).alias("url"))
+
+
+@query(f"with {E} select span_id, 'custom' as category, case when model <> '' then 'mock' end provider from e")
+def infer_category(spark, sf_dir):
+    s = adapters.event_spans(spark, sf_dir)
+    return s.select("span_id", scalars.infer_category(F.col("attributes")).alias("category"), scalars.provider_of(F.when(F.col("model") != "", F.concat(F.lit("mock-"), "model"))).alias("provider"))
+
+
