@@ -4,8 +4,8 @@ Targets: every source gets its weight's share of all words; a source whose
 share exceeds ``epochs`` times its size is clamped there and the excess goes
 to the others by weight, until none is above.  Sampling: all documents are
 taken as many whole times as the target allows; the fractional repetition
-takes documents in a seeded order until the rest is reached.  The order is
-split in 4096 buckets whose sums are added up first, so no source's rows ever
+takes documents in a seeded order while they fit in the rest, and the one whose
+size is nearest to what is then missing.  The order is split in 4096 buckets whose sums are added up first, so no source's rows ever
 meet in one task.
 """
 
@@ -77,6 +77,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = W.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("size").over(inside)
     # the one bucket of each source where the rest ends
-    edge = rows.filter("extra is null").withColumn("extra", F.when(2 * upto - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
-    out = rows.filter("extra is not null").unionByName(edge)
+    edge = rows.filter("extra is null").withColumn("extra", F.when(upto <= F.col("rest"), 1).otherwise(0))
+    out = cut(rows.filter("extra is not null").unionByName(edge).select("doc_id", "source", "size", "rank", "source_size", "target", "whole", "rest", "extra"))
+    # one more document for each source: the one whose size is nearest to what is missing
+    missing = out.groupBy("source").agg((F.max("rest") - F.sum(F.col("extra") * F.col("size"))).alias("_left")).withColumnRenamed("source", "_s")
+    spare = out.filter("extra = 0 and size > 0").join(missing, F.col("source").eqNullSafe(F.col("_s"))).filter(F.col("size") < 2 * F.col("_left"))
+    best = spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_left")).alias("off"), "rank", "doc_id", "size")).alias("b"))
+    best = cut(best.select(F.col("source").alias("_s"), F.col("b.rank").alias("_r"), F.col("b.doc_id").alias("_d"), F.col("b.size").alias("_z")))
+    picked = F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z")) & (F.col("extra") == 0)
+    one = F.row_number().over(W.partitionBy("source", "rank", "doc_id", "size").orderBy("extra"))
+    more = out.join(best, picked).drop("_s", "_r", "_d", "_z").withColumn("extra", F.when(one == 1, 1).otherwise(0))
+    out = out.join(best, picked, "left_anti").unionByName(more)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("repeats"), ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))

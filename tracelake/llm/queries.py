@@ -56,4 +56,60 @@ def op10_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair)}
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_MIX = rf"""with d as (select row_number() over () i, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) size, md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as rank from documents),
+ t as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) n from d group by source),
+ w as (select *, [5, 2, 1][(n - 1) % 3 + 1] weight, 3 * source_size cap from t),
+ p as (select *, coalesce(sum(cap) over (order by cap / weight, n rows between unbounded preceding and 1 preceding), 0) used, sum(weight) over (order by cap / weight, n rows between current row and unbounded following) free, cap / weight ratio, n from w),
+ l as (select ((select sum(source_size) from w) - used)::double / free::double lv from p where ((select sum(source_size) from w) - used)::double / free::double * weight <= cap order by ratio, n limit 1),
+ s as (select source, source_size, least(weight * coalesce((select lv from l), 1e300), cap::double) target from w),
+ h as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end whole from s),
+ r as (select d.*, source_size, target, whole, target - whole * source_size rest, sum(size) over (partition by d.source order by rank, doc_id, size, i rows unbounded preceding) upto from d join h on d.source is not distinct from h.source),
+ x as (select *, case when upto <= rest then 1 else 0 end extra from r),
+ m as (select source, max(rest) - sum(extra * size) miss from x group by source),
+ b as (select x.i, row_number() over (partition by x.source order by abs(size - miss), rank, doc_id, size, x.i) k from x join m on x.source is not distinct from m.source where extra = 0 and size > 0 and size < 2 * miss)
+ select x.doc_id, size, source_size, target, cast((whole + extra + case when b.i is not null then 1 else 0 end) * size as bigint) taken from x left join b on b.i = x.i and b.k = 1"""
+
+_LINES = rf"""with d as (select row_number() over () i, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents), x as (select i, unnest(ls) line, unnest(range(1, len(ls) + 1)) p from d),
+ k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') key from x),
+ hot as (select key from k where key <> '' group by key having count(distinct i) >= {linededup.MIN_DOCS}),
+ g as (select k.i, count(*) n_lines, count(hot.key) n_dropped, coalesce(string_agg(line, chr(10) order by p) filter (where hot.key is null), '') kept from k left join hot using (key) group by k.i)
+ select doc_id, n_lines, n_dropped, sha256(kept) kept_sha256 from g join d using (i)"""
+
+
+def _quality_sql() -> str:
+    measures = [f"select i, '{m}' measure, case when {d} > 0 then {n} * {s} // {d} else 0 end v from st where not base_failed" for m, (n, d, s, _, _) in quality.MEASURES.items()]
+    spread = "case measure " + " ".join(f"when '{m}' then {v[3]}" for m, v in quality.MEASURES.items()) + " end"
+    lower = "measure in (" + ", ".join(f"'{m}'" for m, v in quality.MEASURES.items() if v[4]) + ")"
+
+    def level(name: str, keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        return f"""{name}_c as (select {by}, value, cast(sum(n) as bigint) n from sk group by {by}, value), {name}_r as (select *, sum(n) over (partition by {by} order by value) upto, sum(n) over (partition by {by}) total from {name}_c),
+ {name}_q as (select {by}, min(value) filter (where upto * 4 >= total) q1, min(value) filter (where upto * 4 >= total * 3) q3, max(total) n from {name}_r group by {by}), {name} as (select {by}, n, case when {lower} then q1 - {quality.REACH} * greatest(q3 - q1, {spread}) end lo, q3 + {quality.REACH} * greatest(q3 - q1, {spread}) hi from {name}_q)"""
+
+    pick = lambda c: f"case when a.n >= {quality.MIN_GROUP} then a.{c} when b.n >= {quality.MIN_GROUP} then b.{c} else o.{c} end {c}"
+    return rf"""with d as (select row_number() over () i, doc_id, coalesce(text, '') text, lang, source from documents), w as (select *, regexp_extract_all(text, '{_WORD}') w from d),
+ win as (select i, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k:k+7], ' '))) g, unnest(range(1, len(w) - 6)) k from w where len(w) >= 8),
+ rep as (select i, k from (select i, k, count(*) over (partition by i, g) c from win) where c > 1), cov as (select i, count(distinct k + j) n from rep, (select unnest(range(0, 8)) j) group by i),
+ li as (select i, line, p from (select i, unnest(string_split(text, chr(10))) line, unnest(range(1, len(string_split(text, chr(10))) + 1)) p from d) where regexp_matches(line, '{_WORD}')),
+ ld as (select i, count(*) n_lines, count(*) - count(distinct line) n_dup from li group by i),
+ st0 as (select w.i, doc_id, lang, source, len(w) n_words, length(text) - length(regexp_replace(text, '{_WORD}', '', 'g')) word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols, coalesce(n_dup, 0) n_dup_lines, coalesce(cov.n, 0) n_repeat_words, coalesce(n_lines, 0) n_lines from w left join cov on cov.i = w.i left join ld on ld.i = w.i),
+ st as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from st0),
+ ms as ({" union all ".join(measures)}), sk as (select lang, source, measure, v - v % cast(pow(2, greatest(length(bin(v)) - 6, 0)) as bigint) as value, count(*) n from ms join st using (i) group by all),
+ {level("fa", "lang, source")}, {level("fb", "lang")}, {level("fo", "")},
+ f as (select a.lang, a.source, a.measure, {pick("lo")}, {pick("hi")} from fa a join fb b on a.lang is not distinct from b.lang and a.measure = b.measure join fo o on a.measure = o.measure),
+ bad as (select distinct ms.i from ms join st using (i) join f on f.lang is not distinct from st.lang and f.source is not distinct from st.source and f.measure = ms.measure where v > hi or v < lo)
+ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.i is null kept from st left join bad on bad.i = st.i"""
+
+
+_SUBSTRINGS = rf"""with w as (select row_number() over () i, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') w from documents),
+ win as (select i, unnest(list_transform(range(1, len(w) - {substring.WINDOW - 2}), lambda k: md5(array_to_string(w[k:k+{substring.WINDOW - 1}], ' ')))) g, unnest(range(1, len(w) - {substring.WINDOW - 2})) k from w where len(w) >= {substring.WINDOW}),
+ rep as (select i, k from (select i, k, count(*) over (partition by g) c from win) where c > 1), pos as (select i, unnest(w) word, unnest(range(1, len(w) + 1)) p from w),
+ edge as (select i, p, sum(d) d from (select i, k p, 1 d from rep union all select i, k + {substring.WINDOW}, -1 from rep) group by i, p),
+ run as (select pos.i, pos.p, word, sum(coalesce(d, 0)) over (partition by pos.i order by pos.p) open from pos left join edge on edge.i = pos.i and edge.p = pos.p),
+ kept as (select i, string_agg(word, ' ' order by p) filter (where open = 0) kept, count(*) filter (where open > 0) n_removed from run group by i)
+ select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join kept using (i)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIX, "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
