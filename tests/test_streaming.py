@@ -1,0 +1,65 @@
+import json
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tracelake.sources import sinks
+from tracelake.streaming import pipeline
+
+NOW = 1_704_067_200 * 10**9
+
+
+def request(trace, *spans):
+    return json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": trace * 16, "spanId": s * 8, "parentSpanId": p * 8, "name": n, "startTimeUnixNano": str(NOW + a), "endTimeUnixNano": str(NOW + b)} for s, p, n, a, b in spans]}]}]})
+
+
+def test_micro_batches_to_rollups(spark, tmp_path):
+    """A child before its parent, a late earlier span, a repeat and a bad
+    request: the roll-up converges and the neighbours of poison stay."""
+    inbox, ckpt = tmp_path / "in", tmp_path / "ckpt"
+    inbox.mkdir()
+    write = pipeline.ingest_batch(f"{tmp_path}/spans", f"{tmp_path}/dead", f"{tmp_path}/traces", "org", lambda: NOW)
+    batches = [
+        [("r1", request("aa", ("02", "01", "child", 5, 9)))],
+        [("r2", request("aa", ("01", "", "root", 2, 20), ("02", "01", "child", 5, 9))), ("r3", "not json"), ("r4", request("bb", ("01", "", "ok", 0, 3), ("02", "", "inverted", 9, 1)))],
+        [("r5", request("aa", ("03", "01", "early", 1, 4)))],
+    ]
+    for i, rows in enumerate(batches):
+        (inbox / f"{i}.json").write_text("\n".join(json.dumps({"request_id": a, "body": b}) for a, b in rows))
+        stream = spark.readStream.schema("request_id string, body string").json(str(inbox))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(ckpt)).trigger(availableNow=True).start().awaitTermination(120)
+    traces = {r.trace_id: r for r in pipeline.current_traces(spark, f"{tmp_path}/traces").collect()}
+    a = traces["aa" * 16]
+    assert (a.name, a.span_count, a.start_ns, a.end_ns, a.status) == ("root", 3, NOW + 1, NOW + 20, "ok") and traces["bb" * 16].span_count == 1
+    dead = {(r.request_id, r["index"]): r.reject for r in pipeline.replay(spark, f"{tmp_path}/dead").collect()}
+    assert dead == {("r3", 0): "undecodable", ("r4", 1): "end_before_start"}
+    done = spark.createDataFrame([("r3", 0)], "request_id string, index int")
+    assert pipeline.replay(spark, f"{tmp_path}/dead", done).count() == 1
+    # a replayed micro-batch changes nothing
+    write(spark.createDataFrame(batches[2], "request_id string, body string"), 2)
+    assert pipeline.current_traces(spark, f"{tmp_path}/traces").filter(F.col("trace_id") == "aa" * 16).first().span_count == 3
+
+
+def test_dedup_and_live_tail(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [("o", "h1", "t1"), ("o", "h1", "t1"), ("o", "h2", "t1"), ("p", "h1", "t9")]
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"organization_id": o, "content_hash": h, "trace_id": t, "arrived_at": "2024-01-01T00:00:00Z"}) for o, h, t in rows))
+    for name, f, n in (("dedup", pipeline.deduplicated, 3), ("tail", pipeline.live_tail, 2)):
+        stream = spark.readStream.schema("organization_id string, content_hash string, trace_id string, arrived_at timestamp").json(str(tmp_path / "in"))
+        q = f(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert spark.table(name).count() == n
+
+
+def test_times_and_retention(spark, tmp_path):
+    day = 86_400 * 10**9
+    df = spark.createDataFrame([("a", NOW - 8 * day, NOW), ("b", NOW, NOW + 1), ("c", NOW + 400 * 10**9, None), ("d", NOW, NOW - 1), ("e", 5, 6)], "span_id string, start_ns long, end_ns long")
+    got = {r.span_id: (r.late_arrival, r.reject) for r in pipeline.checked(df, NOW).collect()}
+    assert got == {"a": (True, None), "b": (False, None), "c": (False, "clock_skew"), "d": (False, "end_before_start"), "e": (True, "implausible_time")}
+    rows = spark.createDataFrame([("p", NOW - 60 * day), ("q", NOW - 60 * day), ("p", NOW)], "project_id string, start_ns long")
+    horizons = spark.createDataFrame([("q", 90)], "project_id string, days int")
+    assert [r.project_id for r in pipeline.expired(rows, horizons, NOW).collect()] == ["p"]
+    spans = spark.createDataFrame([("o", "t", NOW - k * day) for k in (0, 60)], "organization_id string, trace_id string, start_ns long")
+    sinks.write_spans(spans, f"{tmp_path}/s")
+    assert len(pipeline.drop_partitions(spark, f"{tmp_path}/s", datetime(2023, 12, 1))) == 1
+    assert spark.read.parquet(f"{tmp_path}/s").count() == 1

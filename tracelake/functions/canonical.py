@@ -9,6 +9,7 @@ from decimal import Decimal
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 64
@@ -28,7 +29,7 @@ def number(x: float | int) -> str:
     if not e:
         return mantissa
     power = int(exponent)
-    if -7 <= power < 0:
+    if -6 <= power < 0:
         return format(Decimal(repr(x)), "f")
     return f"{mantissa.removesuffix('.0')}e{power:+d}"
 
@@ -61,10 +62,13 @@ def _text(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def canonical_json(text: pd.Series) -> pd.Series:
+def canonical_json(text: Column | str) -> Column:
     """The canonical form of JSON texts; null for what isn't JSON."""
-    return text.map(_text, na_action="ignore")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(_text, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def version_id(prefix: str, digest: str) -> str:
@@ -76,9 +80,8 @@ def version_id(prefix: str, digest: str) -> str:
     return f"{prefix}_{''.join(reversed(out))}"
 
 
-def version_ids(prefix: str):
-    @F.pandas_udf("string")
+def version_ids(prefix: str, digest: Column | str) -> Column:
     def run(digests: pd.Series) -> pd.Series:
         return digests.map(lambda d: version_id(prefix, d), na_action="ignore")
 
-    return run
+    return F.pandas_udf(run, "string")(digest)

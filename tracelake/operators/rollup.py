@@ -109,7 +109,8 @@ def weakest_source(column: str = "usage_source") -> Column:
 def worst_cost_status(column: str = "cost_estimation_status") -> Column:
     order = ("unpriced", "estimated", "final")
     at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, order)), F.min(F.when(at > 0, at)).cast("int")), F.lit("unpriced"))
+    worst = F.min(F.when(at > 0, at)).cast("int")
+    return F.when(worst.isNull(), "unpriced").otherwise(F.element_at(F.array(*map(F.lit, order)), worst))
 
 
 def stale_rollups(spans: DataFrame, traces: DataFrame, since_ns: int | None = None) -> DataFrame:
