@@ -152,3 +152,35 @@ def span_identity(org: Column, project: Column, trace: Column, span: Column, sta
     number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     parts = [("end", number(end)), ("name", quoted(name)), ("organization_id", quoted(org)), ("project_id", quoted(project)), ("span_id", quoted(span)), ("start", number(start)), ("status", quoted(status)), ("trace_id", quoted(trace))]
     return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in parts)), F.lit("}"))
+
+
+#: Usage sources from weakest to strongest.
+SOURCES = ("missing", "estimated", "client", "provider")
+
+
+def merged_usage(a: Column, b: Column, a_source: Column, b_source: Column) -> Column:
+    """Of two reports the one of better provenance; of equal ones the first,
+    its gaps filled from the second."""
+    rank = lambda s: F.array_position(F.array(*map(F.lit, SOURCES)), s)
+    return F.when(rank(a_source) > rank(b_source), a).when(rank(a_source) < rank(b_source), b).otherwise(F.coalesce(a, b))
+
+
+def provider_usage(provider: Column, raw: Column) -> Column:
+    """A provider's raw usage JSON as a struct of canonical token counts."""
+    get = lambda *paths: F.coalesce(*(F.get_json_object(raw, f"$.{p}").try_cast("long") for p in paths))
+    inclusive = provider == "openai"
+    return F.struct(
+        F.when(inclusive, get("prompt_tokens")).when(provider == "bedrock", get("inputTokens")).otherwise(get("input_tokens")).alias("input_tokens"),
+        F.when(inclusive, get("completion_tokens")).when(provider == "bedrock", get("outputTokens")).otherwise(get("output_tokens")).alias("output_tokens"),
+        F.when(inclusive, get("prompt_tokens_details.cached_tokens")).otherwise(get("cache_read_input_tokens", "cacheReadInputTokens")).alias("cached_input_tokens"),
+        F.when(inclusive, "inclusive").otherwise("exclusive").alias("cache_convention"),
+    )
+
+
+def format_cost(amount: Column, currency: Column) -> Column:
+    """Six places, half to even."""
+    return F.concat(F.bround(amount.cast("decimal(26,12)"), 6).cast("decimal(26,6)").cast("string"), F.lit(" "), currency)
+
+
+def format_duration(ms: Column) -> Column:
+    return F.when(ms < 1000, F.concat(F.round(ms).cast("long"), F.lit("ms"))).when(ms < 60_000, F.format_string("%.2fs", ms / 1000)).otherwise(F.concat(F.floor(ms / 60_000), F.lit("m "), F.floor(ms % 60_000 / 1000), F.lit("s")))

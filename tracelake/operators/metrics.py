@@ -172,3 +172,12 @@ def from_preaggregate(table: DataFrame, by: Sequence[str], level: float) -> Data
     w = W.partitionBy(*by)
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
     return ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min(F.when(F.col("upto") > F.floor(F.lit(float(level)) * (F.col("total") - 1)), F.col("bin"))).alias("percentile"))
+
+
+def segments(series: DataFrame, by: Sequence[str], width_ns: int) -> DataFrame:
+    """Contiguous runs of buckets with a value: gaps and islands."""
+    w = W.partitionBy(*by).orderBy("bucket")
+    known = series.filter(F.col("value").isNotNull())
+    fresh = F.coalesce((F.col("bucket") - F.lag("bucket").over(w) != width_ns).cast("long"), F.lit(1))
+    runs = known.withColumn("_new", fresh).withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "segment").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.count("*").alias("points"))

@@ -83,3 +83,9 @@ def spans_with_documents(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Retrieval and rerank spans with their documents' count, zero included."""
     counts = docs.groupBy("trace_id", "span_id").agg(F.count("*").alias("documents"))
     return spans.filter(F.col("category").isin("retrieval", "rerank")).join(counts, ["trace_id", "span_id"], "left").fillna(0, ["documents"])
+
+
+def rerank_positions(docs: DataFrame, reranked: DataFrame) -> DataFrame:
+    """Documents with their place in a step's reranked list of ids."""
+    places = reranked.select(STEP, F.posexplode("ids").alias("new_rank", "document_id"))
+    return docs.join(places.dropDuplicates([STEP, "document_id"]), [STEP, "document_id"], "left").withColumn("rank_delta", F.col("rank") - F.col("new_rank"))

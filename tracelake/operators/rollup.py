@@ -119,3 +119,8 @@ def stale_rollups(spans: DataFrame, traces: DataFrame, since_ns: int | None = No
     newest = (spans if since_ns is None else spans.filter(F.col("ingested_ns") >= since_ns)).groupBy(*key).agg(F.max("ingested_ns").alias("newest_ns"))
     had = traces.select(*key, F.col("ingested_ns").alias("rolled_ns"))
     return newest.join(had, key, "left").filter(F.col("rolled_ns").isNull() | (F.col("rolled_ns") < F.col("newest_ns")))
+
+
+def without_children(table: DataFrame, traces: DataFrame) -> DataFrame:
+    """Derived rows less those of traces that are about to be derived again."""
+    return table.join(traces.select("organization_id", "trace_id").distinct(), ["organization_id", "trace_id"], "left_anti")

@@ -114,3 +114,22 @@ def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") * 1000).alias("start_ns"),
         (F.col("n") * 1000).cast("long").alias("duration_ns"),
     )
+
+
+def generated_spans(spark: SparkSession, traces: int, spans_each: int = 8, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """Synthetic spans by hashes of (seed, number): the same on every run and
+    any cluster.  3 % fail; tokens and kinds vary as an application's would."""
+    n = spark.range(0, traces * spans_each, numPartitions=partitions)
+    trace, at = F.call_function("div", F.col("id"), F.lit(spans_each)), F.col("id") % spans_each
+    draw = lambda tag, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "id"), F.lit(m))
+    start = F.lit(1_704_067_200 * 10**9) + trace * 10**9 + at * 1_000_000
+    length = (draw("d", 400) + 10) * 1_000_000
+    kinds = F.array(*map(F.lit, ("chat_completion", "retrieval", "tool_call", "embedding")))
+    return n.select(
+        F.lit("org").alias("organization_id"), F.md5(F.concat(F.lit(f"{seed}:"), trace)).alias("trace_id"), at.cast("string").alias("span_id"),
+        F.when(at > 0, F.call_function("div", at - 1, F.lit(2)).cast("string")).otherwise("").alias("parent_span_id"),
+        F.element_at(kinds, (draw("k", 4) + 1).cast("int")).alias("name"), F.element_at(kinds, (draw("k", 4) + 1).cast("int")).alias("category"),
+        F.when(draw("e", 100) < 3, "error").otherwise("ok").alias("status"), start.alias("start_ns"), (start + length).alias("end_ns"), length.alias("duration_ns"),
+        F.concat(F.lit("model-"), draw("m", 3)).alias("model"), F.concat(F.lit("session-"), trace % 50).alias("session_id"),
+        (draw("i", 3800) + 200).alias("input_tokens"), (draw("o", 780) + 20).alias("output_tokens"), F.lit(None).cast("decimal(26,12)").alias("cost_total"),
+    )

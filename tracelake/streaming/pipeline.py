@@ -110,3 +110,15 @@ def drop_partitions(spark: SparkSession, path: str, before: datetime) -> list[st
     for name in gone:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
     return gone
+
+
+def kafka_requests(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """Raw requests from Kafka, keyed by trace (needs the Kafka package on the
+    cluster); offsets live in the query's checkpoint."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return raw.select(F.concat_ws(":", "topic", "partition", "offset").alias("request_id"), F.col("value").cast("string").alias("body"), F.col("timestamp").alias("arrived_at"))
+
+
+def file_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Raw requests from JSON-lines files as they land."""
+    return spark.readStream.schema("request_id string, body string, arrived_at timestamp").json(path)
