@@ -27,10 +27,11 @@ def test_each_stage_by_hand(spark, tmp_path):
     assert {r.doc_id for r in seen[1].collect()} == kept and 300 not in kept and 301 not in kept and len(kept) > 100
     assert seen[2].filter("text like '%Subscribe%'").count() == 0 and seen[2].count() == len(kept)
     texts = {r.doc_id: r.text for r in seen[2].collect()}
-    fps = {i: simhash.document_fingerprint(t, 3) for i, t in texts.items()}
+    bits = 32 * simhash.SEGMENTS
+    fps = {i: int.from_bytes(simhash.long_fingerprint(t, simhash.SEGMENTS, 5), "little") for i, t in texts.items()}
     group = {}
     for i in sorted(fps):
-        near = {group[j] for j in group if (fps[i] ^ fps[j]).bit_count() <= 3}
+        near = {group[j] for j in group if (fps[i] ^ fps[j]).bit_count() <= simhash.differing_share(0.8) * bits}
         for j in group:
             if group[j] in near:
                 group[j] = min(near)

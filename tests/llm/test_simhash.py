@@ -100,3 +100,29 @@ def test_odd_rows(odd, make):
     assert {r.component_id for i in (5, 6, 8) for r in by[i]} == {5} and len(by[5]) == 2
     assert sorted(r.component_id for r in by[None]) == [1, 5]
     assert simhash.near_duplicates(make([])).count() == 0
+
+
+def test_similar_documents(spark, make):
+    """Near copies are found over a large group and small ones, chains
+    included; texts of another content stay alone."""
+    rng = random.Random(8)
+    texts = [prose(rng, 150, 5000) for _ in range(60)]
+    base = len(texts)
+    origin = list(range(base))
+    for k in range(120):
+        i = 0 if k < 60 else rng.randrange(base)
+        words = texts[i].split()
+        words[rng.randrange(len(words))] = f"z{k}"
+        texts.append(" ".join(words))
+        origin.append(i)
+    out = {r.doc_id: r.component_id for r in simhash.similar_documents(make(list(enumerate(texts)))).collect()}
+    assert [out[i] for i in range(len(texts))] == origin
+
+
+def test_similar_odd_rows(odd, make):
+    out = {}
+    for r in simhash.similar_documents(odd).collect():
+        out.setdefault(r.doc_id, []).append(r.component_id)
+    assert sum(map(len, out.values())) == odd.count()
+    assert {out[i][0] for i in (1, 2, 3)} == {1} and out[5] == [5, 5] and out[6] == [5] and out[8] == [5] and sorted(out[None]) == [1, 5]
+    assert simhash.similar_documents(make([])).count() == 0
