@@ -1,43 +1,19 @@
-"""What the operators share: cutting lineage, sizing, and reading tables."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the white space that separates words, as a character class.
-SPACE = r"[\x20\x09-\x0D]"
+from tracelake.plans.lineage import cut
+
+__all__ = ["cut", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a temporary folder
-    is set once for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelake.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("tracelake.checkpoint.dir", named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the
-    lineage: a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of a text column: one scan, one number."""
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
