@@ -5,17 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OWN = "tracelake.checkpoint.dir"
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes to the folder of ``spark.checkpoint.dir`` (a temporary one only
-    where the session names none, as in tests) and reads the table back."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelake.checkpoint.dir", None)
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where everything runs in one process, as in tests, a temporary folder
+    stands in for one that is not set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("tracelake.checkpoint.dir", named)
-    path = f"{named}/tracelake-{uuid.uuid4().hex}"
+        spark.conf.set(_OWN, named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: what follows
+    depends on that table alone, and a lost executor costs no earlier stage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
