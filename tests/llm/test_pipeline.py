@@ -37,7 +37,8 @@ def test_each_stage_by_hand(spark, tmp_path):
                 group[j] = min(near)
         group[i] = min(near, default=i)
     assert {r.doc_id for r in seen[3].collect()} == set(group.values()) and 302 not in group.values()
-    taken = {r.doc_id: r.repeats for r in mixing.mix(seen[3]).collect() if r.repeats}
+    keyed = seen[3].select(pipeline._key().alias("key"), "text", "source")
+    taken = {r.doc_id.doc_id: r.repeats for r in mixing.mix(keyed, id_col="key").collect() if r.repeats}
     got = {}
     for r in seen[4].collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
@@ -48,6 +49,17 @@ def test_each_stage_by_hand(spark, tmp_path):
     assert sorted((r.doc_id, r.ids) for r in pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.ids) for r in seen[5].collect())
 
 
+def test_null_and_repeated_ids(spark, make):
+    """No text of its own is lost for its id, and equal rows are one."""
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 80, 5000) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, c), (5, d), (6, d)]
+    out = pipeline.near_dedup(spark, make(rows), "")
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, a), (0, b), (5, c), (5, d)])
+    mixed = pipeline.source_mixing(spark, make(rows), "").collect()
+    assert sum(len(r.text.split()) for r in mixed) == 80 * 7 and {r.text for r in mixed} <= {a, b, c, d}
+
+
 def test_odd_tables(spark, odd):
     docs = odd
     for _, stage in pipeline.STAGES:
