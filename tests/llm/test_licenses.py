@@ -51,3 +51,22 @@ def test_odd_rows(odd, make):
     assert len(out) == odd.count() and all(r.licenses == [] and r.sentences == [] for r in out)
     assert licenses.scan(make([])).count() == 0
     assert [r.licenses for r in licenses.scan(make([(1, MIT), (1, MIT)])).collect()] == [["MIT"], ["MIT"]]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def test_wrapped_and_commented():
+    import textwrap
+
+    for text, want, kinds in ((MIT, ["MIT"], 4), (APACHE, ["Apache-2.0"], 5)):
+        for width in (40, 72, 200):
+            for mark in ("", "// ", " * ", "# "):
+                lines = [mark + x for p in text.split("\n") for x in textwrap.wrap(p, width) or [""]]
+                got, left = licenses.match(licenses.identifiers("int main;\n" + "\n".join(lines) + "\nmore words"))
+                assert [n for n, _ in got] == want and left == [], (width, mark, got, left)
+                assert len(licenses.identifiers("\n".join(lines))) == kinds

@@ -1,7 +1,7 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences at line ends and sentence marks.  A sentence is
-normalised (lower case, marks and repeated spaces out, numbers of copyright
+A text is cut into sentences at line ends and sentence marks, and pieces of a
+wrapped one are joined again.  A sentence is normalised (lower case, marks and repeated spaces out, numbers of copyright
 years out) and looked up among known licence sentences, which gives its
 identifier.  The identifiers of a text, in order, form a sequence; ordered
 rules are matched against it from left to right, longest rule first, each rule
@@ -13,6 +13,7 @@ evidence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 #: for a version number.
 SENTENCES = {
     "apache-licensed-under": "licensed under the apache license version {v}",
+    "apache-licensed-header": "licensed under the apache license version {v} the license",
     "apache-may-not-use": "you may not use this file except in compliance with the license",
     "apache-obtain-copy": "you may obtain a copy of the license at",
     "apache-unless-required": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -65,6 +67,9 @@ RULES = [
     ("BSD-3-Clause", "permissive", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement")),
     ("BSD-2-Clause", "permissive", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("Apache-{v}", "permissive", ("apache-licensed-under", "apache-may-not-use", "apache-obtain-copy", "apache-unless-required", "apache-see-license")),
+    ("Apache-{v}", "permissive", ("apache-licensed-header", "apache-may-not-use", "apache-obtain-copy", "apache-unless-required", "apache-see-license")),
+    ("Apache-{v}", "permissive", ("apache-licensed-header", "apache-may-not-use")),
+    ("Apache-{v}", "permissive", ("apache-licensed-header",)),
     ("Apache-{v}", "permissive", ("apache-licensed-under",)),
     ("GPL-{v}-or-later", "copyleft", ("gpl-free-software", "gpl-hope", "gpl-details")),
     ("GPL-{v}-or-later", "copyleft", ("gpl-free-software",)),
@@ -105,22 +110,38 @@ def normalise(sentence: str) -> tuple[str, str]:
 
 
 _KNOWN = {text: name for name, text in SENTENCES.items()}
-_LENGTHS = range(min(map(len, _KNOWN)), 2 * max(map(len, _KNOWN)))
-#: Each known sentence has one of these; a sentence without is not looked up.
+_SORTED = sorted(_KNOWN)
+#: Every known sentence has one of these; a text without is not cut up.
 _HINT = re.compile("licen|permi|copyright|warrant|liable|redistribut|endorse|rights reserved|public domain|free software|general public", re.I).search
 
 
+def _begins(words: str) -> bool:
+    """Whether a known sentence begins with these words and goes on."""
+    at = bisect_left(_SORTED, words + " ")
+    return at < len(_SORTED) and _SORTED[at].startswith(words + " ")
+
+
 def identifiers(text: str | None) -> list[tuple[int, str, str]]:
-    """``(sentence number, identifier, version)`` for the known sentences."""
+    """``(sentence number, identifier, version)`` for the known sentences.  A
+    sentence may be wrapped: pieces are joined as long as a known one begins
+    so, and then count as one."""
     out = []
     if not text or not _HINT(text):
         return out
-    for i, s in enumerate(_CUT(text)):
-        if len(s) in _LENGTHS and _HINT(s):
-            words, version = normalise(s)
-            name = _KNOWN.get(words)
-            if name:
-                out.append((i, name, version))
+    pieces = [p for p in map(normalise, _CUT(text)) if p[0]]
+    at = number = 0
+    while at < len(pieces):
+        words, version = pieces[at]
+        end = at + 1
+        while words not in _KNOWN and end < len(pieces) and _begins(words):
+            words, version = f"{words} {pieces[end][0]}".strip(), version or pieces[end][1]
+            end += 1
+        if words in _KNOWN:
+            out.append((number, _KNOWN[words], version))
+            at = end
+        else:
+            at += 1
+        number += 1
     return out
 
 
