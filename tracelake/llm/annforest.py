@@ -99,9 +99,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     left out; of rows that repeat an id one answers.  Copies of a vector answer by smallest id.  An
     empty table gives no rows; other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"  # half the bytes to move, and as exact
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(F.col("id").isNotNull() & valid(F.col("vector"))).withColumn("dim", F.size("vector"))
-    shape = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))).alias("top")).orderBy(F.desc("n"), "dim").first()
+    shape = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))).alias("top")).orderBy(F.desc("n"), "dim").first()
     spark = vectors.sparkSession
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -145,8 +146,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         h = left.column("hash").to_numpy().astype(np.uint64)
         order = np.argsort(h, kind="stable")
         h = h[order]
-        x = left.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
-        q = right.column("q").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        x = left.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)[order]
+        q = right.column("q").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
         qh = right.column("hash").to_numpy().astype(np.uint64)
         step = np.uint64(1) << (np.uint64(bits) - right.column("depth").to_numpy().astype(np.uint64))
         low = qh & ~(step - np.uint64(1))
