@@ -126,3 +126,41 @@ def test_similar_odd_rows(odd, make):
     assert sum(map(len, out.values())) == odd.count()
     assert {out[i][0] for i in (1, 2, 3)} == {1} and out[5] == [5, 5] and out[6] == [5] and out[8] == [5] and sorted(out[None]) == [1, 5]
     assert simhash.similar_documents(make([])).count() == 0
+
+
+def jaccard_components(texts, least=0.8, n=5):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((label[i], label[j]))
+                label = [x if v == y else v for v in label]
+    return label
+
+
+@pytest.mark.parametrize("rows", [1024, 3])
+def test_similar_documents_recall(spark, make, rows):
+    """Lone pairs of similarity 0.7 to 0.9 and a family of copies, against
+    brute force; shingles of many documents whole and in parts."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        words = prose(rng, 200, 10**6).split()
+        texts.append(" ".join(words))
+        for _ in range(2 + k % 6):
+            words[rng.randrange(len(words))] = f"z{rng.random()}"
+        texts.append(" ".join(words[k % 9 :]))
+    base = prose(rng, 200, 10**6).split()
+    for _ in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(len(words))] = f"z{rng.random()}"
+        texts.append(" ".join(words))
+    want = jaccard_components(texts)
+    assert 60 < sum(want[i + 1] == want[i] for i in range(0, 300, 2)) < 150
+    out = {r.doc_id: r.component_id for r in simhash.similar_documents(make(list(enumerate(texts))), bucket_rows=rows).collect()}
+    assert [out[i] for i in range(len(texts))] == want

@@ -254,11 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-# Lower similarities: longer fingerprints of independent 32-bit segments.  At
-# a Jaccard similarity of 0.8 some 15 % of the bits differ, so no cut into few
-# segments can promise one with at most one differing bit; with SEGMENTS of
-# them, a pair of similarity 0.95 still has one with probability 0.99, of 0.9
-# with 0.9, of 0.8 with 0.5; larger groups have more pairs to be linked by.
+# Lower similarities.  At a Jaccard similarity of 0.8 some 15 % of the bits of a
+# SimHash differ, so no signature over few segments can promise to find a pair.
+# Signatures of a pass before only join what is nearly equal; the rest is found
+# by the shingles themselves, completely (see similar_documents).
 
 SEGMENTS = 16
 
@@ -289,119 +288,170 @@ def long_fingerprint(text: str | None, segments: int, shingle: int) -> bytes:
     return bytes(4 * segments)
 
 
-def _matrix(column: pa.Array, segments: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, segments)
+#: Rows of one side that meet in one group of the join on shingles.
+BUCKET_ROWS = 1024
+#: Documents sampled, and shingles listed, to put common shingles last.  They
+#: set an order only; what is found does not depend on them.
+SAMPLE_DOCS, COMMON = 20_000, 100_000
+#: Nodes whose texts are fetched by a broadcast of their names.
+BROADCAST_NODES = 500_000
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one text."""
+    import xxhash
 
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64).view(np.int64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64).view(np.int64))
 
-def _segment_index(nodes: DataFrame, segments: int) -> DataFrame:
-    """``key, node``: each segment whole and with each bit wild."""
-    wild = np.concatenate((~(np.uint32(1) << np.arange(32, dtype=np.uint32)), [np.uint32(0xFFFFFFFF)])).astype(np.int64)
-    head = ((np.arange(segments)[:, None] << 6 | np.arange(33)[None, :]) << 32).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                x = _matrix(part.column(1), segments).astype(np.int64)
-                key = (x[:, :, None] & wild[None, None, :]) | head[None]
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), segments * 33))], ["key", "node"])
-
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long")
-
-
-def _met(index: DataFrame) -> DataFrame:
-    """``kind, a, b``: pairs of nodes that share a small bucket (kind 0), and
-    members b of a large bucket, named a by its members (kind 1)."""
-
-    def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
-    def whole(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        sizes = np.diff(edge)
-        keep = np.repeat((sizes > 1) & (sizes <= _PAIRWISE), sizes)
-        k, v = key[keep], node[keep]
-        pairs = [np.empty((0, 2), np.int64)]
-        for d in range(1, _PAIRWISE):
-            i = np.flatnonzero(k[d:] == k[:-d])
-            if not len(i):
-                break
-            pairs.append(np.sort(np.column_stack((v[i], v[i + d])), axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        if len(found):
-            yield rows(0, found[:, 0], found[:, 1])
-        seen: set[int] = set()
-        for g in np.flatnonzero(sizes > _PAIRWISE):
-            members = np.unique(node[edge[g] : edge[g + 1]])
-            name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
-            if name not in seen and len(members) > 1:
-                seen.add(name)
-                yield rows(1, np.full(len(members), name), members)
+def _set_fingerprint(values: np.ndarray) -> int:
+    """The 64-bit SimHash (signed) of a set of shingle hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(values), 65536):
+        counts += np.unpackbits(values[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(values), bitorder="little").view("<i8")[0])
+
+
+def prefix_length(n: int | np.ndarray, share: float) -> int | np.ndarray:
+    """Shingles of n, first in the common order, of which one at least is in
+    every set that holds ``share`` of them."""
+    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
+
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that repeat in a sample of the documents, least common first."""
+    n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            key, node = (np.concatenate(x) for x in zip(*held))
-            start = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if start:
-                yield from whole(key[:start], node[:start])
-            held = [(key[start:], node[start:])]
-        if held and len(held[0][0]):
-            yield from whole(*held[0])
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle))], ["h"])
 
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kind int, a long, b long")
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
+    rows = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.array([r[0] for r in reversed(rows)], np.int64)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = SEGMENTS) -> DataFrame:
-    """``doc_id, component_id`` for each row: documents linked where their
-    SimHashes over word shingles differ in no more bits than sets of this
-    Jaccard similarity are expected to.
+def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``doc_id, text, node, fp, n, prefix``: node names the shingle set, fp is
+    its SimHash, n its size; prefix has its first shingles, common ones last."""
+    common = _common(docs, shingle)
+    order = np.argsort(common, kind="stable")
+    listed = common[order]
 
-    The same signatures on longer fingerprints: pairs meet where a 32-bit
-    segment differs by at most one bit and are verified on all bits; a bucket
-    of many is searched breadth first.  Null, wordless, repeated and null-id
-    rows and empty tables are as in near_duplicates.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    most = round(differing_share(similarity) * 32 * segments) + 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            first = []
+            for v in sets:
+                rank = np.zeros(len(v), np.int64)
+                if len(listed) and len(v):
+                    at = np.minimum(np.searchsorted(listed, v), len(listed) - 1)
+                    rank = np.where(listed[at] == v, order[at] + 1, 0)
+                first.append(v[np.argsort(rank, kind="stable")][: int(prefix_length(len(v), similarity)) if len(v) else 0])
+            node = [int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in sets]
+            columns = [pa.array(node, pa.int64()), pa.array([_set_fingerprint(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text", "node", "fp", "n", "prefix"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {id_type}, text string, node long, fp long, n int, prefix array<bigint>")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached."""
+    pairs = cut(pairs)
+    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    small = asked.count() <= BROADCAST_NODES
+    texts = rows.select("node", "text").join(F.broadcast(asked) if small else asked, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t, segments, shingle) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t, shingle) for t in part.column(1).to_pylist()])], ["node", "set"])
 
-    fps = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp binary"))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")).withColumn("node", F.monotonically_increasing_id()))
-    met = cut(_met(_segment_index(nodes, segments)).distinct())
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("fp").alias(f"fp_{n}"))
+    sets = cut(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set array<bigint>"))
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = both * (1 + similarity) >= similarity * (F.size("set_a") + F.size("set_b")) - 1e-9
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = _distance(_matrix(batch.column(2), segments), _matrix(batch.column(3), segments)) <= most
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(near)) for i in (0, 1)], ["a", "b"])
-
-    def spread(table: pa.Table) -> pa.Table:
-        node, fp = table.column("b").to_numpy(), _matrix(table.column("fp_b"), segments)
-        a, b, left = [], [], np.arange(len(node))
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                x = queue.pop()
-                near = _distance(fp[left], fp[x][None, :]) <= most
-                found, left = left[near], left[~near]
-                a += [node[x]] * len(found)
-                b += node[found].tolist()
-                queue.extend(found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = met.filter("kind = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "fp_a", "fp_b").mapInArrow(verify, "a long, b long")
-    groups = met.filter("kind = 1").join(side("b"), "b").select("a", "b", "fp_b").groupBy("a").applyInArrow(spread, "a long, b long")
-    labels = connected(pairs.unionByName(groups))
-    labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("fp", "least_id", F.coalesce("label", "node").alias("label"))
+def _candidates(rows: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """``a, b``: every pair of nodes of different labels that can reach the
+    similarity: they share a shingle of their prefixes, in sizes and places
+    that leave room for enough others.
+
+    A shingle of many nodes is dealt in parts of ``bucket_rows`` for either
+    side; only nodes outside its largest label meet all of the others.
+    """
+    index = cut(rows.select("node", "n", F.posexplode("prefix").alias("at", "key")))
+    shared = index.groupBy("key").count().filter("count > 1").select("key")
+    # the copies of a document are one node
+    index = index.join(shared, "key", "left_semi").groupBy("key", "node").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    index = cut(index.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")))
+    by_label = index.groupBy("key", "label").agg(F.count("*").alias("m"))
+    keys = by_label.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    parts = lambda m: F.ceil(m / F.lit(bucket_rows)).cast("int")
+    keys = keys.select("key", F.col("most.label").alias("_most"), parts(F.col("m")).alias("_all"), parts(F.col("m") - F.col("most.m")).alias("_few"))
+    index = cut(index.join(keys, "key"))
+    deal = lambda c: F.pmod(F.xxhash64("node", "key"), F.col(c).cast("long")).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = index.filter(F.col("label") != F.col("_most")).withColumn("i", deal("_few")).withColumn("j", spread("_all"))
+    every = index.withColumn("j", deal("_all")).withColumn("i", spread("_few"))
+    left = few.select("key", "i", "j", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label")))
+    # those of the largest label come from one side only
+    right = every.select("key", "i", "j", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label")), (F.col("label") == F.col("_most")).alias("main"))
+    s = similarity
+    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    once = (F.col("label_a") != F.col("label_b")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
+    met = left.join(right, ["key", "i", "j"]).filter(once & (low >= s * high - 1e-9))
+    smaller_at = F.when(F.struct("n_a", "node_a") < F.struct("n_b", "node_b"), F.col("at_a")).otherwise(F.col("at_b"))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    least = s / (1 + s) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    can = (smaller_at <= low - F.ceil(2 * s / (1 + s) * low - 1e-9)) & (room >= least)
+    # of the set whose prefix ends first, all that is shared in it is counted;
+    # at most the rest of it (high's is the larger rest) is shared besides
+    most = F.count("*") + F.max(F.ceil(s * high - 1e-9) - 1)
+    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return pairs.agg(F.max(can).alias("can"), most.alias("most"), F.max(least).alias("least")).filter("can and most >= least").select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``doc_id, component_id`` for each row: documents linked where the sets
+    of their word shingles have at least this Jaccard similarity.
+
+    All such documents are linked.  SimHash signatures join what is nearly
+    equal first.  Then documents of different groups meet in an equality join
+    on the shingles that come first in an order common to all: of two sets this
+    similar, one of those is in both (a prefix filter).  Every pair of either
+    pass is verified on its sets.  Null, wordless, repeated and null-id rows
+    and empty tables are as in near_duplicates.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = cut(_prefixes(docs, similarity, shingle))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    head = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}"))
+    near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    first = _verified(same.unionByName(near), rows, similarity, shingle)
+    rest = _verified(_candidates(rows, connected(first), similarity, bucket_rows), rows, similarity, shingle)
+    labels = connected(first.unionByName(rest))
+    labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return fps.join(labelled.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return rows.select("doc_id", "node").join(labelled.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
