@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Three machines are compiled from a model: the normaliser (white space to
-U+2581, a dummy prefix), the piece transducer (a letter tree whose arcs end in
-piece ids, with byte arcs for characters that no piece spells) and, for BPE
-models, an acceptor of legal piece pairs.  An input is composed with them and
-the shortest path in the tropical semiring (costs add along a path, the least
-path wins) gives the ids.
+Two machines are compiled from a model: the piece transducer (a letter tree
+whose arcs end in piece ids, with byte arcs for characters that no piece
+spells) and, for BPE models, an acceptor of legal piece pairs.  Texts are
+normalised before by string operations (white space to U+2581, a dummy
+prefix).  An input is composed with the machines and the shortest path in the
+tropical semiring (costs add along a path, the least path wins) gives the ids.
 
 For a unigram model a piece's cost is its negated score.  A BPE model's scores
 only order its merges; there a sequence of pieces is the encoding exactly if
 every adjacent pair of pieces is left as it is by the merges, so the acceptor
-gives illegal pairs infinite cost, and one path of finite cost is left.
+gives illegal pairs infinite cost, and one path of finite cost is left.  A
+depth-first search finds it; the recursion over costs is left for words with a
+character that no piece spells.
 
 No piece has white space after another character, so the composed machine has
 a single state between two words: the best path of a text is the best paths of
