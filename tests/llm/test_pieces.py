@@ -63,6 +63,60 @@ def test_same_ids_as_the_library():
         assert t.encode(text).tolist() == sp.encode(text), text
 
 
+@pytest.fixture(scope="module")
+def folding(tmp_path_factory):
+    """A small unigram model that folds compatibility characters and drops
+    repeated spaces, in the library's own format."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    del proto.pieces[:]
+    for text, score, kind in TOY.pieces:
+        proto.pieces.add(piece=text, score=score, type=kind)
+    for text in ("A", "é", "1", "▁1", "株", "abab"):
+        proto.pieces.add(piece=text, score=-2.0 - len(text), type=NORMAL)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback, proto.trainer_spec.unk_id = UNIGRAM, True, 0
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = True
+    path = tmp_path_factory.mktemp("model") / "folding.model"
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_compiled_rules_as_the_library(folding):
+    """The character map's rules, spaces and least paths, against the library."""
+    import sentencepiece
+
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=folding), Transducer(pieces.read_model(folding))
+    assert len(t.model.rules) > 1000 and dict(t.model.rules)["①"] == "1"
+    rng = random.Random(3)
+    texts = ["", " ", "  a  b  ", "①ａｂ㈱", "e\u0301 é", "\u3000a\u00a0b\t", "ﾊﾟ ｶﾞ", "a\u200bb", "½ab", "a\nb"]
+    texts += ["".join(rng.choice("ab  Aａ①éｅ\u0301é株㈱½\u3000\t1") for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        assert t.normalise(text).replace("▁", " ") == sp.normalize(text).replace("▁", " "), text
+        assert t.encode(text).tolist() == sp.encode(text), text
+
+
+@have_model
+def test_paths_cost_nothing_or_are_cut_off():
+    """On the BPE path too the costs are relaxed: of all ways to cut a word
+    into pieces one is accepted, and it is what the merges leave."""
+    t = test_round_trip.machine = getattr(test_round_trip, "machine", None) or Transducer(pieces.read_model())
+    for word in ("▁the", "▁unhappy", "▁aaaa", "▁naïve"):
+        ids = t.shortest_path(word)
+        assert [t.text[i] for i in ids] == t.merged(word)
+        assert t.accepts(pieces.FRONT, ids[0]) and all(t.accepts(a, b) for a, b in zip(ids, ids[1:]))
+        ways = 0
+        for cuts in itertools.product((0, 1), repeat=len(word) - 1):
+            parts = "".join(c + "|" * k for c, k in zip(word, (*cuts, 0))).split("|")
+            way = [t.pieces.longest(x, 0) for x in parts]
+            if all(end == len(x) for (end, _), x in zip(way, parts)):
+                way = [i for _, i in way]
+                ways += t.accepts(pieces.FRONT, way[0]) and all(t.accepts(a, b) for a, b in zip(way, way[1:]))
+        assert ways == 1
+
+
 @have_model
 def test_odd_rows(odd, make):
     rows = pieces.encode(odd).collect()

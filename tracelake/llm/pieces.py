@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Two machines are compiled from a model: the piece transducer (a letter tree
-whose arcs end in piece ids, with byte arcs for characters that no piece
-spells) and, for BPE models, an acceptor of legal piece pairs.  Texts are
-normalised before by string operations (white space to U+2581, a dummy
-prefix).  An input is composed with the machines and the shortest path in the
-tropical semiring (costs add along a path, the least path wins) gives the ids.
+Three machines are compiled from a model into state tables.  The normaliser
+rewrites the longest rule that matches (the model's own rules, read from its
+character map), else copies a character, turns spaces to U+2581 and, where the
+model says so, drops repeated ones; it puts a U+2581 in front.  The piece
+transducer is a letter tree whose arcs end in piece ids, with byte arcs for
+characters that no piece spells.  For BPE models an acceptor of pairs follows.
+An input is composed with them, one state for each place in the normalised
+text, and the shortest path in the tropical semiring (costs add along a path,
+the least path wins) gives the ids: costs are relaxed in topological order.
 
 For a unigram model a piece's cost is its negated score.  A BPE model's scores
 only order its merges; there a sequence of pieces is the encoding exactly if
-every adjacent pair of pieces is left as it is by the merges, so the acceptor
-gives illegal pairs infinite cost, and one path of finite cost is left.  A
-depth-first search finds it; the recursion over costs is left for words with a
-character that no piece spells.
+every adjacent pair is left as it is by the merges, so the acceptor gives
+legal pairs cost 0 and illegal ones infinite cost.  A prefix has one encoding,
+so a place is reached at finite cost by one arc only, and needs one state.
 
 No piece has white space after another character, so the composed machine has
 a single state between two words: the best path of a text is the best paths of
@@ -22,10 +24,10 @@ its words in turn, and paths of frequent words are kept in a bounded table.
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: the pairs of pieces that it keeps.
 KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 48, 500_000
 INFINITE = float("inf")
+#: What stands for a piece at the front, and for a character without one.
+FRONT, UNSPELT = -1, -2
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class Model:
 
     pieces: tuple[tuple[str, float, int], ...]
     kind: int = UNIGRAM
-    rule: str = "identity"
+    rules: tuple[tuple[str, str], ...] = ()
     dummy_prefix: bool = True
     squeeze: bool = False
     byte_fallback: bool = True
@@ -65,12 +69,96 @@ def read_model(path: str = MODEL) -> Model:
     norm, train = proto.normalizer_spec, proto.trainer_spec
     if train.model_type not in (UNIGRAM, BPE) or train.treat_whitespace_as_suffix or not norm.escape_whitespaces:
         raise ValueError("only unigram and BPE models with white space as prefix")
-    if norm.precompiled_charsmap and norm.name not in ("nfkc", "nfkc_cf"):
-        raise ValueError(f"normalisation {norm.name!r} is not supported")
     if any(p.type == USER for p in proto.pieces):
         raise ValueError("user-defined pieces are not supported")
-    rule = norm.name if norm.precompiled_charsmap else "identity"
-    return Model(tuple((p.piece, p.score, p.type) for p in proto.pieces), train.model_type, rule, norm.add_dummy_prefix, norm.remove_extra_whitespaces, train.byte_fallback)
+    return Model(tuple((p.piece, p.score, p.type) for p in proto.pieces), train.model_type, character_map(norm.precompiled_charsmap), norm.add_dummy_prefix, norm.remove_extra_whitespaces, train.byte_fallback)
+
+
+def character_map(blob: bytes) -> tuple[tuple[str, str], ...]:
+    """The rules ``(text, replacement)`` of a precompiled character map: a
+    double-array tree over bytes, whose leaves point into a pool of strings."""
+    if not blob:
+        return ()
+    size = int.from_bytes(blob[:4], "little")
+    units, pool = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    below = lambda at: at ^ ((units[at] >> 10) << ((units[at] & 512) >> 6))
+    nodes, texts, out = below(np.zeros(1, np.int64)), [b""], []
+    letters = np.arange(1, 256)
+    while len(nodes):
+        child = nodes[:, None] ^ letters
+        inside = child < len(units)
+        label = units[np.where(inside, child, 0)] & 0x800000FF
+        row, col = np.nonzero(inside & (label == letters))
+        found = child[row, col]
+        texts = [texts[r] + bytes([letters[c]]) for r, c in zip(row, col)]
+        nodes = below(found)
+        for leaf in np.flatnonzero(units[found] >> 8 & 1):
+            at = int(units[nodes[leaf]] & 0x7FFFFFFF)
+            out.append((texts[leaf].decode(), pool[at : pool.index(b"\0", at)].decode()))
+    return tuple(sorted(out))
+
+
+class Table:
+    """A letter tree as a state table: ``step[state]`` maps a character to the
+    next state, ``out[state]`` is what a text that ends there stands for."""
+
+    def __init__(self, entries: Iterable[tuple[str, Any]]) -> None:
+        self.step: list[dict[str, int]] = [{}]
+        self.out: list[Any] = [None]
+        for text, value in entries:
+            state = 0
+            for c in text:
+                following = self.step[state].get(c)
+                if following is None:
+                    following = self.step[state][c] = len(self.step)
+                    self.step.append({})
+                    self.out.append(None)
+                state = following
+            self.out[state] = value
+
+    def longest(self, text: str, at: int) -> tuple[int, Any]:
+        """Where the longest match from ``at`` ends, and its output."""
+        state, found = 0, (at, None)
+        for end in range(at, len(text)):
+            state = self.step[state].get(text[end], -1)
+            if state < 0:
+                break
+            if self.out[state] is not None:
+                found = (end + 1, self.out[state])
+        return found
+
+
+class Normaliser:
+    """The compiled rules; without any, a machine of one state."""
+
+    COPY = {ord(" "): SPACE}
+    #: By state (0: no word yet, 1: in a word, 2: spaces after one) and whether
+    #: a space is read: the next state and what is written before a character.
+    SQUEEZE = (((1, ""), (0, "")), ((1, ""), (2, "")), ((1, SPACE), (2, "")))
+
+    def __init__(self, model: Model) -> None:
+        self.table = Table(model.rules) if model.rules else None
+        self.squeeze, self.front = model.squeeze, SPACE if model.dummy_prefix else ""
+
+    def rewritten(self, text: str) -> str:
+        if self.table is None:
+            return text
+        at, out = 0, []
+        while at < len(text):
+            end, new = self.table.longest(text, at)
+            out.append(text[at] if new is None else new)
+            at = at + 1 if new is None else end
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.squeeze:
+            state, out = 0, []
+            for c in text:
+                state, before = self.SQUEEZE[state][c == " "]
+                out.append(before if c == " " else before + c)
+            text = "".join(out)
+        return self.front + text.translate(self.COPY) if text else ""
 
 
 class Paths(dict):
@@ -96,22 +184,15 @@ class Paths(dict):
 class Transducer:
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.tree: dict = {}
-        self.score: dict[str, float] = {}
+        self.score = {text: score for text, score, kind in model.pieces if kind == NORMAL and text}
         self.text = [t for t, _, _ in model.pieces]
         self.bytes = {int(t[3:5], 16): i for i, (t, _, k) in enumerate(model.pieces) if k == BYTE}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), 0)
-        least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0)
-        self.unknown_cost = 10.0 - least
-        for i, (text, score, kind) in enumerate(model.pieces):
-            if kind == NORMAL and text:
-                node = self.tree
-                for c in text:
-                    node = node.setdefault(c, {})
-                node[""] = i
-                self.score[text] = score
-        self.simple = model.rule == "identity" and model.dummy_prefix and not model.squeeze
-        self.longest = max(map(len, self.score), default=0)
+        self.unknown_cost = 10.0 - min(self.score.values(), default=0.0)
+        self.pieces = Table((text, i) for i, (text, _, kind) in enumerate(model.pieces) if kind == NORMAL and text)
+        self.cost = [-score if model.kind == UNIGRAM else 0.0 for _, score, _ in model.pieces]
+        self.normalise = Normaliser(model)
+        self.simple = not model.rules and model.dummy_prefix and not model.squeeze
         joined = set("".join(t for t in self.score if len(t) > 1))
         if any(SPACE in t.lstrip(SPACE) for t in self.score):
             raise ValueError("pieces with inner white space are not supported")
@@ -119,21 +200,10 @@ class Transducer:
         alone = "".join(c for c in map(chr, range(32)) if c not in joined)
         one = f"[{re.escape(alone)}]|" if alone else ""
         self.split = re.compile(f"{one}{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+").findall
-        self.legal_pairs: dict[tuple[str, str], bool] = {}
-        self.legal_ids: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.spine_of: dict[int, tuple[list, list, bool]] = {}
         self.paths = Paths(lambda word: self.path(SPACE + word))
 
-    def normalise(self, text: str) -> str:
-        if self.model.rule != "identity":
-            text = unicodedata.normalize("NFKC", text)
-            text = text.casefold() if self.model.rule.endswith("_cf") else text
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-
     def merged(self, text: str) -> list[str]:
         """What the merges leave of a short text: best score first, then left."""
         parts, score = list(text), self.score
@@ -148,51 +218,56 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def legal(self, a: str, b: str) -> bool:
-        """The acceptor: whether the merges leave this pair as it is."""
-        found = self.legal_pairs.get((a, b))
+    def accepts(self, last: int, piece: int) -> bool:
+        """The acceptor's arc from one piece to the next, made when first
+        needed: whether the merges leave the pair as it is."""
+        if last < 0:  # at the front, or after a character that no merge joins
+            return self.spines(piece)[2]
+        found = self.pairs.get(last << 24 | piece)
         if found is None:
-            if len(self.legal_pairs) >= KEPT_PAIRS:
-                self.legal_pairs.clear()
-            found = self.legal_pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            found = self.pairs[last << 24 | piece] = self.pair_stays(last, piece)
         return found
 
-    def arcs(self, word: str, at: int) -> Iterator[tuple[int, float, str, tuple[int, ...]]]:
-        """Composition at one state: ``(next state, cost, piece, ids)``."""
-        node, spelt = self.tree, False
-        for end in range(at, len(word)):
-            node = node.get(word[end])
-            if node is None:
-                break
-            i = node.get("")
-            if i is not None:
-                spelt = spelt or end == at
-                yield end + 1, -self.model.pieces[i][1] if self.model.kind == UNIGRAM else 0.0, self.text[i], (i,)
-        if not spelt:
-            c = word[at]
-            ids = tuple(self.bytes[b] for b in c.encode("utf-8", "replace")) if self.model.byte_fallback else (self.unknown,)
-            yield at + 1, self.unknown_cost, c, ids
-
     def shortest_path(self, word: str) -> list[int]:
-        """Ids along the least path through one word; ties: the path whose
-        last piece is longest."""
-        bpe = self.model.kind == BPE
-        cost = [0.0] + [INFINITE] * len(word)
-        back: list[tuple[int, str, tuple[int, ...]]] = [(0, "", ())] * (len(word) + 1)
-        for at in range(len(word)):
-            if cost[at] == INFINITE:
+        """Ids along the least path through one normalised word; ties: the
+        path whose last piece is longest."""
+        step, out, weight = self.pieces.step, self.pieces.out, self.cost
+        bpe, n = self.model.kind == BPE, len(word)
+        cost = [0.0] + [INFINITE] * n
+        last, back = [FRONT] * (n + 1), [0] * (n + 1)  # the piece that reaches a state, and from where
+        for at in range(n):
+            base = cost[at]
+            if base == INFINITE:
                 continue
-            last = back[at][1]
-            for end, w, piece, ids in self.arcs(word, at):
-                if cost[at] + w < cost[end] and (not bpe or self.legal(last, piece)):
-                    cost[end] = cost[at] + w
-                    back[end] = (at, piece, ids)
-        out: list[tuple[int, ...]] = []
-        at = len(word)
+            state, before, spelt = 0, last[at], False
+            for end in range(at, n):
+                state = step[state].get(word[end], -1)
+                if state < 0:
+                    break
+                piece = out[state]
+                if piece is None:
+                    continue
+                spelt = spelt or end == at
+                to = end + 1
+                if base + weight[piece] < cost[to] and (not bpe or self.accepts(before, piece)):
+                    cost[to], last[to], back[to] = base + weight[piece], piece, at
+            if not spelt and base + self.unknown_cost < cost[at + 1]:
+                cost[at + 1], last[at + 1], back[at + 1] = base + self.unknown_cost, UNSPELT, at
+        if cost[n] == INFINITE:  # merges of equal score: no pair of pieces tells which comes first
+            return [i for t in self.merged(word) for i in self._ids(t)]
+        found, at = [], n
         while at:
-            at, _, ids = back[at]
-            out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+            found.append((last[at],) if last[at] >= 0 else self._ids(word[back[at]]))
+            at = back[at]
+        return [i for ids in reversed(found) for i in ids]
+
+    def _ids(self, text: str) -> tuple[int, ...]:
+        piece = self.pieces.longest(text, 0)
+        if piece[0] == len(text):
+            return (piece[1],)
+        return tuple(self.bytes[b] for b in text.encode("utf-8", "replace")) if self.model.byte_fallback else (self.unknown,)
 
     def spines(self, i: int) -> tuple[list, list, bool]:
         """How the merges build a piece: its last symbols in turn, each with
@@ -218,7 +293,7 @@ class Transducer:
         return found
 
     def pair_stays(self, i: int, j: int) -> bool:
-        """The acceptor by spines: a merge across the pair happens if it comes
+        """By spines: a merge across the pair happens if it comes
         before the merges that end the two symbols it joins (of equal ones the
         left comes first).  Where scores tie (runs of white space), by merging."""
         if self.text[i][-1] == SPACE:
@@ -234,59 +309,9 @@ class Transducer:
                     return False
         return a_whole and b_whole
 
-    def bpe_path(self, word: str) -> list[int] | None:
-        """The same for a BPE model whose pieces spell every character: a
-        depth-first search, longest arc first.  The legal path to a state is
-        unique, so a state that led nowhere is never entered again."""
-        legal, last, at, n = self.legal_ids, 0, 0, len(word)
-        path: list[int] = []
-        dead: set[int] = set()
-        todo = [self._ids_at(word, 0)]
-        while at < n:
-            choices = todo[-1]
-            while choices:
-                i = choices.pop()
-                end = at + len(self.text[i])
-                if end in dead:
-                    continue
-                ok = legal.get(last << 24 | i)
-                if ok is None:
-                    if len(legal) >= KEPT_PAIRS:
-                        legal.clear()
-                    ok = legal[last << 24 | i] = self.pair_stays(last, i) if path else bool(self.spines(i)[2])
-                if ok:
-                    path.append(i)
-                    last, at = i, end
-                    if at < n:
-                        todo.append(self._ids_at(word, at))
-                    break
-            else:
-                dead.add(at)
-                todo.pop()
-                if not path:
-                    return None
-                at -= len(self.text[path.pop()])
-                last = path[-1] if path else 0
-        return path
-
-    def _ids_at(self, word: str, at: int) -> list[int]:
-        node, out = self.tree, []
-        for c in word[at : at + self.longest]:
-            node = node.get(c)
-            if node is None:
-                break
-            i = node.get("")
-            if i is not None:
-                out.append(i)
-        return out
-
     def path(self, text: str) -> bytes:
         """The path through one word or, where a character stands alone, some."""
-        out: list[int] = []
-        for word in self.split(text):
-            found = self.bpe_path(word) if self.model.kind == BPE else None
-            out += self.shortest_path(word) if found is None else found
-        return array("i", out).tobytes()
+        return array("i", [i for word in self.split(text) for i in self.shortest_path(word)]).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
