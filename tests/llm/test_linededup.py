@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import linededup as ld
@@ -22,23 +24,34 @@ def corpus(n=60):
     return ["\n".join(rng.choice(common) if rng.random() < 0.5 else f"line {rng.randrange(16)}" for _ in range(rng.randrange(1, 9))) for _ in range(n)]
 
 
-def test_both_paths_against_brute_force(spark, make):
+def test_both_paths_against_brute_force(spark, make, monkeypatch):
+    """Filters at the reading tasks, or dealt by one shard or many, in parts."""
     texts = [*corpus(), None, ""]
     want = slow(texts)
-    for limit in (ld.BROADCAST_BYTES, 0):
-        out = {r.doc_id: r for r in ld.dedup_lines(make(list(enumerate(texts))), broadcast_bytes=limit).select("doc_id", "lines.*").collect()}
+    monkeypatch.setattr(ld, "PART_KEYS", 50)
+    for limit, keys in ((ld.BROADCAST_BYTES, 3), (0, ld.KEYS_PER_SHARD), (0, 4)):
+        out = {r.doc_id: r for r in ld.dedup_lines(make(list(enumerate(texts))), broadcast_bytes=limit, keys_per_shard=keys).select("doc_id", "lines.*").collect()}
         assert [(out[i].n_lines, out[i].n_dropped, out[i].kept) for i in range(len(texts))] == want
     assert sum(d for _, d, _ in want) > 50
 
 
+@pytest.mark.parametrize("limit", [ld.BROADCAST_BYTES, 0])
+def test_every_text_passes_the_filters(spark, make, monkeypatch, limit):
+    """On either path a key that no filter has is never dropped."""
+    monkeypatch.setattr(ld.CuckooFilter, "contains", lambda self, keys: np.zeros(len(keys), bool))
+    out = ld.dedup_lines(make(list(enumerate(corpus()))), broadcast_bytes=limit)
+    assert out.agg(F.sum("lines.n_dropped")).first()[0] == 0
+
+
 def test_reversible(spark, make):
     """Deleting what was inserted restores counts and filters' answers."""
     first, more = [(i, t) for i, t in enumerate(corpus())], [(100 + i, t) for i, t in enumerate(corpus(40))]
-    refs = ld.reference_counts(make(first)).cache()
+    none, no_filters = ld.empty_state(spark)
+    refs = ld.insert(none, make(first)).cache()
     grown = ld.insert(refs, make(more)).cache()
     assert {tuple(r) for r in ld.delete(grown, make(more)).collect()} == {tuple(r) for r in refs.collect()}
     shards = 3
-    base = ld.build_filters(refs, shards)
+    base = ld.update_filters(no_filters, none, refs, shards)
     up = ld.update_filters(base, refs, grown, shards)
     down = ld.update_filters(up, grown, refs, shards)
 
@@ -49,6 +62,10 @@ def test_reversible(spark, make):
 
     assert all(answers(base, refs)) and all(answers(up, grown)) and all(answers(down, refs))
     assert len(answers(up, grown)) > len(answers(base, refs))
+    # a text is judged as it was before the insertion
+    docs = make(first)
+    before, after = (ld.lookup(docs, r, f, shards).select("doc_id", "lines.*").collect() for r, f in ((refs, base), (ld.delete(grown, make(more)), down)))
+    assert sorted(map(tuple, before)) == sorted(map(tuple, after))
 
 
 def test_cuckoo_filter():

@@ -6,6 +6,12 @@ above the threshold.  Inserting documents adds to the counts, deleting them
 subtracts; keys that cross the threshold are inserted into or deleted from
 their shard's filter.  Looking up a text asks the filters first and the exact
 table about their hits, so a filter's false positives drop nothing.
+
+A corpus is an insertion into an empty state.  While filters and hot keys are
+small they go to the tasks that read the texts; beyond, the texts' keys are
+dealt by shard, and in parts of a shard, to where its filter and its hot keys
+are.  A shard holds some KEYS_PER_SHARD hot keys, so their number grows with
+the state.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +35,8 @@ _WS = b" \t\n\v\f\r"
 #: What may be sent to every task: filters and hot keys, in bytes.
 BROADCAST_BYTES = 8 << 20
 KEYS_PER_SHARD = 50_000
+#: Keys of texts that meet one shard's filter in one task.
+PART_KEYS = 1 << 20
 
 
 def line_key(line: bytes) -> bytes:
@@ -124,7 +132,8 @@ def shard_of(key: bytes, shards: int) -> int:
 
 
 def _key_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``key, refs``: documents that hold each line key, added up by batch."""
+    """``key, refs``: documents that hold each line key, added up by batch;
+    a key may come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,16 +143,19 @@ def _key_counts(docs: DataFrame, text_col: str) -> DataFrame:
             counts.pop(b"", None)
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["key", "refs"])
 
-    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key binary, refs long").groupBy("key").agg(F.sum("refs").alias("refs"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "key binary, refs long")
 
 
-def reference_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The exact table ``key, refs``; each row of ``docs`` is a document."""
-    return _key_counts(docs, text_col)
+def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The exact table ``key, refs`` and the filters ``shard, filter`` of no
+    documents."""
+    none = spark.range(1).filter(F.lit(False))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return none.select(null("binary", "key"), null("long", "refs")), none.select(null("int", "shard"), null("binary", "filter"))
 
 
 def insert(refs: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The table with more documents."""
+    """The exact table with more documents; each row of ``docs`` is one."""
     return refs.select("key", "refs").unionByName(_key_counts(docs, text_col)).groupBy("key").agg(F.sum("refs").alias("refs"))
 
 
@@ -158,21 +170,11 @@ def _sharded(refs: DataFrame, shards: int) -> DataFrame:
     return refs.withColumn("shard", (low % shards).cast("int"))
 
 
-def build_filters(refs: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``shard, filter``: a cuckoo filter over each shard's keys in at least
-    ``min_docs`` documents."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [CuckooFilter.of(map(bytes, pdf["key"])).to_bytes()]})
-
-    hot = _sharded(refs.filter(F.col("refs") >= min_docs).select("key"), shards)
-    return hot.groupBy("shard").applyInPandas(build, "shard int, filter binary")
-
-
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
     """The filters after the counts went from ``before`` to ``after``: only
     keys that crossed the threshold are inserted or deleted; a filter without
-    room is built again from its shard's keys of the exact table."""
+    room is built again from its shard's keys of the exact table.  Another
+    number of shards begins with no filters and nothing before."""
     was = before.select("key", F.col("refs").alias("was"))
     joined = after.join(was, "key", "full").select("key", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("refs", F.lit(0)).alias("refs"))
     near = _sharded(joined.filter((F.col("refs") >= min_docs) | (F.col("was") >= min_docs)), shards)
@@ -215,8 +217,10 @@ def _rows(batch: pa.RecordBatch, found: list[tuple[int, int, str]], cols: list[s
     return pa.RecordBatch.from_arrays([*batch.columns[1 : 1 + len(cols)], line], [*cols, "lines"])
 
 
-def _by_shuffle(docs: DataFrame, text_col: str, hot: DataFrame, cols: list[str], schema) -> DataFrame:
-    """Any number of hot keys: each distinct text's keys meet the exact table."""
+def _by_shuffle(docs: DataFrame, text_col: str, filters: DataFrame, hot: DataFrame, shards: int, parts: int, cols: list[str], schema: T.StructType) -> DataFrame:
+    """Any number of hot keys: each distinct text's keys meet their shard's
+    filter, and its hits the shard's hot keys.  Copies of a text are one before
+    they are dealt; adaptive execution splits the join that follows."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,9 +229,21 @@ def _by_shuffle(docs: DataFrame, text_col: str, hot: DataFrame, cols: list[str],
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     tid = F.concat(F.md5(text), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
-    listed = docs.select(F.col(f"`{text_col}`").alias("t"), tid.alias("tid")).mapInArrow(keys, "tid string, keys array<binary>")
-    listed = listed.groupBy("tid").agg(F.first("keys").alias("keys"))
-    hits = listed.select("tid", F.explode("keys").alias("key")).join(hot, "key").groupBy("tid").agg(F.collect_list("key").alias("_keys")).withColumnRenamed("tid", "_tid")
+    asked = docs.select(F.col(f"`{text_col}`").alias("t"), tid.alias("tid")).mapInArrow(keys, "tid string, keys array<binary>")
+    asked = _sharded(asked.select("tid", F.explode("keys").alias("key")).distinct(), shards).withColumn("part", F.pmod(F.xxhash64("tid"), F.lit(parts)))
+    held = filters.join(_sharded(hot, shards).groupBy("shard").agg(F.collect_list("key").alias("keys")), "shard")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return left.select(["tid", "key"]).slice(0, 0)
+        table = CuckooFilter.from_bytes(right.column("filter")[0].as_py())
+        left = left.select(["tid", "key"]).filter(pa.array(table.contains(left.column("key").to_pylist())))
+        exact = set(right.column("keys")[0].as_py())
+        return left.filter(pa.array([k in exact for k in left.column("key").to_pylist()], pa.bool_()))
+
+    hits = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(probe, "tid string, key binary")
+    hits = hits.groupBy(F.col("tid").alias("_tid")).agg(F.collect_list("key").alias("_keys"))
     joined = docs.join(hits, tid == F.col("_tid"), "left").drop("_tid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,7 @@ def _by_shuffle(docs: DataFrame, text_col: str, hot: DataFrame, cols: list[str],
     return joined.mapInArrow(run, schema)
 
 
-def lookup(docs: DataFrame, refs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(docs: DataFrame, refs: DataFrame, filters: DataFrame, shards: int, text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` with the struct ``lines``: n_lines before dropping,
     n_dropped, and kept, the text without lines whose key is in at least
     ``min_docs`` documents of ``refs``."""
@@ -250,20 +266,24 @@ def lookup(docs: DataFrame, refs: DataFrame, text_col: str = "text", min_docs: i
         text += "_"
     rows = docs.select(F.col(f"`{text_col}`").alias(text), *(F.col(f"`{c}`") for c in cols))
     hot = refs.filter(F.col("refs") >= min_docs).select("key")
-    n = hot.count()
+    n, total = refs.agg(F.count_if(F.col("refs") >= min_docs), F.sum("refs")).first()
     if n * 40 <= broadcast_bytes:  # 16 bytes a key, some 10 in a filter
-        shards = max(1, n // KEYS_PER_SHARD + 1)
-        filters = {r["shard"]: bytes(r["filter"]) for r in build_filters(refs, shards, min_docs).collect()}
-        return _by_broadcast(rows, filters, frozenset(bytes(r["key"]) for r in hot.collect()), shards, cols, schema)
-    return _by_shuffle(rows, text, hot, cols, schema)
+        tables = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
+        return _by_broadcast(rows, tables, frozenset(bytes(r["key"]) for r in hot.collect()), shards, cols, schema)
+    return _by_shuffle(rows, text, filters, hot, shards, (total or 0) // (shards * PART_KEYS) + 1, cols, schema)
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Each row of ``docs`` with the struct ``lines`` (see lookup).
+def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, broadcast_bytes: int = BROADCAST_BYTES, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
+    """Each row of ``docs`` with the struct ``lines`` (see lookup), after they
+    were inserted into an empty state.
 
     Every row counts as a document.  A null or empty text is one empty line;
     lines of white space only have no key and always stay.  A document whose
     lines all go keeps its row with an empty text.  An empty table stays
     empty; a column named ``lines`` is replaced, others pass unchanged.
     """
-    return lookup(docs, cut(reference_counts(docs, text_col)), text_col, min_docs, keep_text, broadcast_bytes)
+    no_refs, no_filters = empty_state(docs.sparkSession)
+    refs = cut(insert(no_refs, docs, text_col))
+    shards = refs.filter(F.col("refs") >= min_docs).count() // keys_per_shard + 1
+    filters = cut(update_filters(no_filters, no_refs, refs, shards, min_docs))
+    return lookup(docs, refs, filters, shards, text_col, min_docs, keep_text, broadcast_bytes)
