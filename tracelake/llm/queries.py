@@ -59,18 +59,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORD = r"[^\x20\x09-\x0D]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_MIX = rf"""with d as (select row_number() over () i, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) size, md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as rank from documents),
+
+
+def _mix_sql() -> str:
+    passes = "".join(
+        rf"""
+ c{k} as (select i, source, size, missing, sum(size) over (partition by source order by rank, doc_id, size, i rows unbounded preceding) upto from p{k - 1} where extra = 0 and size > 0 and size <= missing),
+ t{k} as (select i, source, size from c{k} where upto <= missing), m{k} as (select source, sum(size) took from t{k} group by source),
+ p{k} as (select p.* replace (case when t.i is not null then 1 else extra end as extra, missing - coalesce(took, 0) as missing) from p{k - 1} p left join t{k} t using (i) left join m{k} m on m.source is not distinct from p.source),"""
+        for k in range(1, mixing.PASSES + 1)
+    )
+    return rf"""with d as (select row_number() over () i, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) size from documents),
  t as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) n from d group by source),
- w as (select *, [5, 2, 1][(n - 1) % 3 + 1] weight, 3 * source_size cap from t),
+ w as (select *, {list(mixing.WEIGHTS)}[(n - 1) % {len(mixing.WEIGHTS)} + 1] weight, {mixing.EPOCHS} * source_size cap from t),
  p as (select *, coalesce(sum(cap) over (order by cap / weight, n rows between unbounded preceding and 1 preceding), 0) used, sum(weight) over (order by cap / weight, n rows between current row and unbounded following) free, cap / weight ratio, n from w),
  l as (select ((select sum(source_size) from w) - used)::double / free::double lv from p where ((select sum(source_size) from w) - used)::double / free::double * weight <= cap order by ratio, n limit 1),
  s as (select source, source_size, least(weight * coalesce((select lv from l), 1e300), cap::double) target from w),
- h as (select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end whole from s),
- r as (select d.*, source_size, target, whole, target - whole * source_size rest, sum(size) over (partition by d.source order by rank, doc_id, size, i rows unbounded preceding) upto from d join h on d.source is not distinct from h.source),
- x as (select *, case when upto <= rest then 1 else 0 end extra from r),
- m as (select source, max(rest) - sum(extra * size) miss from x group by source),
- b as (select x.i, row_number() over (partition by x.source order by abs(size - miss), rank, doc_id, size, x.i) k from x join m on x.source is not distinct from m.source where extra = 0 and size > 0 and size < 2 * miss)
- select x.doc_id, size, source_size, target, cast((whole + extra + case when b.i is not null then 1 else 0 end) * size as bigint) taken from x left join b on b.i = x.i and b.k = 1"""
+ h as (select *, case when source_size > 0 then least(floor(target / source_size), {mixing.EPOCHS}) else 0 end whole from s),
+ p0 as (select d.*, md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), 'null') || ':' || size) as rank, source_size, target, whole, target - whole * source_size missing, 0 extra from d join h on d.source is not distinct from h.source),{passes}
+ b as (select i, row_number() over (partition by source order by abs(size - missing), rank, doc_id, size, i) k from p{mixing.PASSES} where extra = 0 and size > 0 and size < 2 * missing)
+ select x.doc_id, size, source_size, target, cast((whole + extra + case when b.i is not null then 1 else 0 end) * size as bigint) taken from p{mixing.PASSES} x left join b on b.i = x.i and b.k = 1"""
+
 
 _LINES = rf"""with d as (select row_number() over () i, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents), x as (select i, unnest(ls) line, unnest(range(1, len(ls) + 1)) p from d),
  k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UP}', '{_LOW}') key from x),
@@ -112,4 +121,4 @@ _SUBSTRINGS = rf"""with w as (select row_number() over () i, doc_id, regexp_extr
  kept as (select i, string_agg(word, ' ' order by p) filter (where open = 0) kept, count(*) filter (where open > 0) n_removed from run group by i)
  select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join kept using (i)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _MIX, "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _mix_sql(), "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
