@@ -1,15 +1,29 @@
+import hashlib
 import random
 
+import duckdb
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from tests.llm.conftest import prose  # noqa: E402
-from tracelake.llm import linededup, mixing, pieces, quality, simhash  # noqa: E402
+from tests.llm.test_linededup import slow as slow_lines  # noqa: E402
+from tests.llm.test_mixing import slow_mix  # noqa: E402
+from tests.llm.test_simhash import jaccard_components  # noqa: E402
+from tracelake.llm import linededup, pieces  # noqa: E402
+from tracelake.llm.queries import ORACLE_SQL  # noqa: E402
+
+
+def row_key(r):
+    """The name that the stages give a row, as text."""
+    md5 = lambda v: hashlib.md5(str(v).encode()).hexdigest() if v is not None else "-"
+    digest = md5("".join(md5(r[c]) for c in pipeline.COLUMNS[1:]))
+    no_id = str(r.doc_id is None).lower()
+    return f"{{{no_id}, {'null' if r.doc_id is None else r.doc_id}, {digest}}}"
 
 
 def test_each_stage_by_hand(spark, tmp_path):
-    """The pipeline against its stages done one by one in plain Python."""
+    """Each stage against SQL or plain Python on its own input."""
     rng = random.Random(9)
     rows = []
     for i in range(120):
@@ -23,30 +37,46 @@ def test_each_stage_by_hand(spark, tmp_path):
         out = stage(spark, seen[-1], str(tmp_path))
         out.write.parquet(f"{tmp_path}/{name}")
         seen.append(spark.read.parquet(f"{tmp_path}/{name}"))
-    kept = {r.doc_id for r in quality.judge(docs).filter("quality.kept").collect()}
-    assert {r.doc_id for r in seen[1].collect()} == kept and 300 not in kept and 301 not in kept and len(kept) > 100
-    assert seen[2].filter("text like '%Subscribe%'").count() == 0 and seen[2].count() == len(kept)
-    texts = {r.doc_id: r.text for r in seen[2].collect()}
-    bits = 32 * simhash.SEGMENTS
-    fps = {i: int.from_bytes(simhash.long_fingerprint(t, simhash.SEGMENTS, 5), "little") for i, t in texts.items()}
-    group = {}
-    for i in sorted(fps):
-        near = {group[j] for j in group if (fps[i] ^ fps[j]).bit_count() <= simhash.differing_share(0.8) * bits}
-        for j in group:
-            if group[j] in near:
-                group[j] = min(near)
-        group[i] = min(near, default=i)
-    assert {r.doc_id for r in seen[3].collect()} == set(group.values()) and 302 not in group.values()
-    keyed = seen[3].select(pipeline._key().alias("key"), "text", "source")
-    taken = {r.doc_id.doc_id: r.repeats for r in mixing.mix(keyed, id_col="key").collect() if r.repeats}
+    assert all(s.columns == pipeline.COLUMNS for s in seen[1:5])
+    given = [{r.doc_id: r for r in s.collect()} for s in seen[:4]]
+
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    kept = {r[0] for r in duck.execute(f"select doc_id from ({ORACLE_SQL['op7_quality']}) where kept").fetchall()}
+    assert set(given[1]) == kept and 300 not in kept and 301 not in kept and len(kept) > 100
+
+    ids = sorted(given[1])
+    lines = dict(zip(ids, slow_lines([given[1][i].text for i in ids])))
+    assert {i: r.text for i, r in given[2].items()} == {i: t for i, (_, _, t) in lines.items() if t.split()}
+    assert any(d for _, d, _ in lines.values()) and all(r.n_chars == len(r.text) for r in given[2].values())
+
+    ids = sorted(given[2])
+    assert set(given[3]) == {ids[k] for k in set(jaccard_components([given[2][i].text for i in ids]))} and 302 not in given[3]
+
+    want = slow_mix([(row_key(r), r.source, len(r.text.split())) for r in given[3].values()])
     got = {}
     for r in seen[4].collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert got == taken
-    assert all(s.columns == pipeline.COLUMNS for s in seen[1:5])
-    machine = pieces.Transducer(pieces.read_model())
-    assert all(r.ids == machine.encode(texts[r.doc_id]).tolist() for r in seen[5].collect()) and seen[5].count() == sum(taken.values())
-    assert sorted((r.doc_id, r.ids) for r in pipeline.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.ids) for r in seen[5].collect())
+    assert got == {i: want[row_key(r)] for i, r in given[3].items() if want[row_key(r)]}
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    encoded = [(r.doc_id, r.ids) for r in seen[5].collect()]
+    assert all(x == sp.encode(given[3][i].text) for i, x in encoded) and len(encoded) == sum(got.values())
+    assert sorted((r.doc_id, r.ids) for r in pipeline.run(spark, str(tmp_path)).collect()) == sorted(encoded)
+
+
+def test_rows_that_differ_beside_their_text(spark, make):
+    """Equal ids and texts of another language or source: one stays, whichever
+    order they come in; the mix takes each by itself."""
+    rng = random.Random(6)
+    a, b = prose(rng, 80, 5000), prose(rng, 80, 5000)
+    rows = [(1, a, "en", "s"), (1, a, "de", "s"), (1, a, "de", "t"), (2, b, "en", "t"), (2, b, "en", "t")]
+    outs = [pipeline.near_dedup(spark, make(some), "").collect() for some in (rows, rows[::-1])]
+    assert sorted(outs[0]) == sorted(outs[1]) and [r.doc_id for r in sorted(outs[0])] == [1, 2]
+    mixed = pipeline.source_mixing(spark, make(rows), "").collect()
+    assert sum(len(r.text.split()) for r in mixed) == 80 * 5 and {tuple(r)[:4] for r in mixed} <= set(rows)
 
 
 def test_null_and_repeated_ids(spark, make):
@@ -61,10 +91,15 @@ def test_null_and_repeated_ids(spark, make):
 
 
 def test_odd_tables(spark, odd):
-    docs = odd
-    for _, stage in pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    assert docs.count() >= 0
+    """Nulls, empty, blank and very long texts, equal rows: what each stage
+    keeps of them by itself."""
+    alone = {name: stage(spark, odd, "") for name, stage in pipeline.STAGES}
+    left = {name: sorted((r.doc_id or 0) for r in out.collect()) for name, out in alone.items()}
+    assert left["line_dedup"] == [0, 4, 5, 5, 6, 7, 8, 9]
+    assert left["near_dedup"] == [1, 4, 5, 7, 9]
+    assert set(left["source_mixing"]) <= {0, 4, 5, 6, 7, 8, 9} and 4 in left["source_mixing"]
+    assert left["encoding"] == sorted((r.doc_id or 0) for r in odd.collect())
+    assert not set(left["quality_rules"]) & {1, 2, 3, 7}
     empty = odd.filter("doc_id = -1")
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, "")

@@ -79,14 +79,16 @@ def test_links_connect_all_within_three_bits(spark, hot):
                 assert group[a] is group[b]
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("local", [1 << 20, 100, 0])
+def test_connected(spark, local):
+    """By stars to the end, or by one task from some point on."""
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(120)]
     label = {x: x for e in edges for x in e}
     for _ in range(len(label)):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.label for r in simhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in simhash.connected(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     assert all(got.get(x, x) == least for x, least in label.items())
 
 

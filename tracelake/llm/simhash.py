@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut
 
 HOT_BUCKET = 2048
+#: Edges of a graph that one task may hold: 16 MB.
+LOCAL_EDGES = 1 << 20
 _PAIRWISE = 12
 
 
@@ -207,9 +209,28 @@ def links(fps: DataFrame, max_distance: int = 3, hot_bucket: int = HOT_BUCKET) -
     return out.distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node reachable, by alternating large and
-    small stars over minima; nothing is gathered per node or on the driver."""
+def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the smallest of its component, and that one."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        last = label.copy()
+        np.minimum.at(label, last[a], low)
+        np.minimum.at(label, last[b], low)
+        label = label[label]
+        if (label == last).all():
+            rest = label != np.arange(len(nodes))
+            return nodes[rest], nodes[label[rest]]
+
+
+def connected(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``node, label``: the smallest node reachable, for all other nodes.
+
+    Alternating large and small stars over minima contract the graph; nothing
+    is gathered per node or on the driver.  Once no more than ``local_edges``
+    (16 bytes each) are left, which is checked, one task does the rest."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -224,16 +245,23 @@ def connected(edges: DataFrame) -> DataFrame:
             out = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.filter("a <> b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+    def measured(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        written = cut(e.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s")))
+        return written, (seen.get.get("n") or 0, seen.get.get("x"), seen.get.get("s"))
 
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = state(now)
-    while True:
-        now = cut(star(star(now, True), False))
-        last, seen = seen, state(now)
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        node, label = _smallest(*(rows.column(c).to_numpy() for c in ("a", "b")))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(label, pa.int64())], ["node", "label"])
+
+    now, seen = measured(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while seen[0] > local_edges:
+        last = seen
+        now, seen = measured(star(star(now, True), False))
         if last == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return now.coalesce(1).mapInArrow(finish, "node long, label long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -259,35 +287,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Signatures of a pass before only join what is nearly equal; the rest is found
 # by the shingles themselves, completely (see similar_documents).
 
-SEGMENTS = 16
-
-
-def differing_share(jaccard: float) -> float:
-    """Bits expected to differ between the SimHashes of two sets."""
-    return float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi)
-
-
-def long_fingerprint(text: str | None, segments: int, shingle: int) -> bytes:
-    """``32 * segments`` bits; zero for a text without words."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    counts = np.zeros(32 * segments, np.int64)
-    if words:
-        n = max(1, len(words) - shingle + 1)
-        values = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], np.uint64)
-        salts = (np.arange(1, (segments + 1) // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-        for at in range(0, n, 16384):
-            with np.errstate(over="ignore"):
-                x = (values[at : at + 16384, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(32)
-            bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1, bitorder="little")[:, : 32 * segments]
-            counts += bits.sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * counts > n, bitorder="little").tobytes()
-    return bytes(4 * segments)
-
-
 #: Rows of one side that meet in one group of the join on shingles.
 BUCKET_ROWS = 1024
 #: Documents sampled, and shingles listed, to put common shingles last.  They
