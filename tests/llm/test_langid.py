@@ -1,7 +1,9 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tracelake.llm import langid
 
@@ -16,20 +18,22 @@ def docs(make, n=300):
 def test_gradients_match_differences():
     net = langid.Network(["x", "y"], hidden=3)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
-    x, mask = langid._padded([b"abc", b"de"])
-    y = np.array([0, 1])
-    _, grads = net.step(x, mask, y)
-    rng = np.random.default_rng(0)
-    for k, g in grads.items():
-        for _ in range(6):
-            at = tuple(rng.integers(s) for s in g.shape) if k[0] != "e" else (rng.choice(x.ravel()), rng.integers(g.shape[1]))
-            old = net.w[k][at]
-            net.w[k][at] = old + 1e-3
-            up = net.step(x, mask, y)[0]
-            net.w[k][at] = old - 1e-3
-            down = net.step(x, mask, y)[0]
-            net.w[k][at] = old
-            assert abs((up - down) / 2e-3 - g[at]) < 2e-3
+    for texts in ([b"abc", b"de"], [b"ab c", b"de f"]):
+        x, mask = langid._abreast(texts)
+        assert (mask is None) == (len(texts[0]) == len(texts[1]))
+        y = np.array([0, 1])
+        _, grads = net.step(x, mask, y)
+        rng = np.random.default_rng(0)
+        for k, g in grads.items():
+            for _ in range(6):
+                at = tuple(rng.integers(s) for s in g.shape) if k[0] != "e" else (rng.integers(g.shape[0]), rng.choice(x.ravel()))
+                old = net.w[k][at]
+                net.w[k][at] = old + 1e-3
+                up = net.step(x, mask, y)[0]
+                net.w[k][at] = old - 1e-3
+                down = net.step(x, mask, y)[0]
+                net.w[k][at] = old
+                assert abs((up - down) / 2e-3 - g[at]) < 2e-3
 
 
 def test_held_out_accuracy_and_folds(spark, make):
@@ -41,19 +45,66 @@ def test_held_out_accuracy_and_folds(spark, make):
     assert sum(r.lang_pred == list(VOC)[r.doc_id % 3] for r in held) >= 0.95 * len(held) > 40
 
 
-def test_every_byte_counts(spark):
-    """Pooled by word or over a whole text alike, long words in parts."""
+def slow_states(net, text, d):
+    """One recurrence, byte by byte, as in the textbook."""
+    h, w, logistic = net.hidden, net.w, lambda v: 1 / (1 + np.exp(-v))
+    state, out = np.zeros(h), [None] * len(text)
+    for t in range(len(text)) if d == "f" else range(len(text) - 1, -1, -1):
+        fed = w["e" + d][:, text[t]]
+        gates = logistic(fed[: 2 * h] + w["u" + d] @ state)
+        new = np.tanh(fed[2 * h :] + w["c" + d] @ (gates[h:] * state))
+        state = state + gates[:h] * (new - state)
+        out[t] = state
+    return np.array(out)
+
+
+def test_pooled_over_every_letter():
+    """Against one run over each whole text: states go on across words, every
+    byte of a letter is labelled, and windows change next to nothing."""
+    net = langid.Network(["x", "y", "z"])
+    rng = random.Random(5)
+    texts = ["ab cd, 12 é!", "a", "x" * 700, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(400))]
+    got = net.documents([t.encode() for t in texts])
+    for text, p in zip(texts, got):
+        read = text.encode()
+        both = np.concatenate([slow_states(net, read, d) for d in "fb"], axis=1)
+        z = both @ net.w["o"].T + net.w["p"].T
+        q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        letters = [langid._LETTER[b] for b in read]
+        assert np.allclose(p, q[letters].mean(axis=0), atol=1e-5 if len(read) < langid.CORE else 2e-3)
+    for n in (0, 1, 511, 512, 513, 5000):
+        text = bytes(i % 251 for i in range(n))
+        assert b"".join(w[a:b] for w, a, b in langid.windows(text)) == text
+
+
+def test_context_goes_past_the_word():
+    """The label of a byte depends on the word before."""
     net = langid.Network(["x", "y"])
-    table = langid.Labeller(net)
-    words = [b"ab", b"x" * 100, b"ab", "é".encode()]
-    p = table.documents([b" ".join(words)])[0]
-    sums = np.zeros(3)
-    for c in [c for w in words for c in langid.chunks(w)]:
-        x, mask = langid._padded([c])
-        q = net.probabilities(x, mask)[1:, 0]
-        sums += [*q.sum(axis=0), len(q)]
-    assert np.allclose(p, sums[:2] / sums[2], atol=1e-5)
-    assert sum(map(len, langid.chunks(b"x" * 100))) == 100
+    x, _ = langid._abreast([b"qq abc", b"zz abc"])
+    last = net._run(x, None, "f", False)[0][-1]
+    assert np.abs(last[:, 0] - last[:, 1]).max() > 1e-4
+
+
+def test_letters():
+    assert [langid.has_letter(t) for t in ("½ ½ ②", "Ⅷ ²", "12 _ !", "½a", "é", "中", "")] == [False, False, False, True, True, True, False]
+
+
+def test_real_documents(spark):
+    """Held-out accuracy on the test tables' documents."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = out.count(), out.filter("lang = lang_pred").count()
+    assert n > 150 and right >= 0.98 * n
+
+
+def test_many_labels_are_bounded(spark, make):
+    """Of a dirty column only the most frequent languages are learned."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(VOC[k], k=20)), k) for i in range(60) for k in [list(VOC)[i % 3]]] + [(100 + i, "word", f"typo-{i}") for i in range(40)]
+    assert langid.train(make(rows), languages=3).langs == ["aa", "bb", "cc"]
 
 
 def test_odd_rows(odd, make):
@@ -64,5 +115,6 @@ def test_odd_rows(odd, make):
     assert len(rows) == odd.count()
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1, 2, 3))
     assert out[4].lang_pred in ("aa", "bb") and out[9].lang_pred in ("aa", "bb")
+    assert [r.lang_pred for r in langid.predict(make([(1, "½ ½ ②")]), langid.Network(["aa", "bb"])).collect()] == ["und"]
     assert langid.identify(make([])).count() == 0
     assert [r.lang_pred for r in langid.identify(make([(1, "abc", None)])).collect()] == ["und"]

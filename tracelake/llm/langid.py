@@ -1,16 +1,17 @@
 """Language identification with a bidirectional gated recurrent network.
 
-The network reads bytes.  A text is cut at white space; over each word (with a
-boundary byte at either end, long ones in pieces of 32 bytes) one recurrence
-runs forward and one backward, and every position gets a probability for each
-language.  A document's probabilities are the means over all positions of its
-words that have letters.
+The network reads the bytes of a text in order: one recurrence runs forward
+and one backward, over words and all that stands between them, and every
+position gets a probability for each language.  A document's probabilities are
+the means over the positions of its letters.  Texts are read in windows of
+CORE bytes, with CONTEXT more on either side that only bring the states up, so
+a long text is many short sequences side by side.
 
 The network is trained here, in numpy, by backpropagation through time, on a
-bounded sample: SAMPLE_DOCS documents for each language, SAMPLE_WORDS words of
-each, picked by hashes over the whole text.  All labelled documents are
-candidates alike.  Prediction reads every byte of every text; words that a
-worker has labelled before are looked up.
+bounded sample: SAMPLE_DOCS documents for each of the LANGUAGES most frequent
+languages, SAMPLE_WINDOWS windows of each, picked by hashes over the whole
+text.  All labelled documents of those are candidates alike.  Prediction reads
+every byte of every text.
 """
 
 from __future__ import annotations
@@ -23,182 +24,194 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: documents for each language, words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 60
-HIDDEN, STEPS, BATCH, RATE = 12, 700, 256, 0.01
-LONGEST = 32
-KEPT_WORDS = 400_000
-EDGE = 32
+#: Bounds of the training sample: languages, documents of each, windows of a
+#: document, and bytes of a window.
+LANGUAGES, SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_BYTES = 100, 400, 8, 64
+HIDDEN, STEPS, BATCH, RATE = 8, 300, 128, 0.02
+#: Bytes of a window that are labelled, bytes read before and after them, and
+#: windows that run side by side.
+CORE, CONTEXT, ABREAST = 512, 32, 1024
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORDLIKE = re.compile(r"[^\W\d_]").finditer
 
-_LETTERS = re.compile(rb"[A-Za-z\x80-\xff]").search
+#: Bytes that letters are made of.
+_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 
 
-def chunks(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def has_letter(text: str) -> bool:
+    """Letters proper: a fraction or a circled digit is none."""
+    return any(m[0].isalpha() for m in _WORDLIKE(text))
 
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with a boundary at either end, time first, and the mask."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    width = int(size.max())
-    x = np.frombuffer(b"".join((b" " + w + b" ").ljust(width) for w in words), np.uint8).reshape(len(words), width).T
-    return x, np.arange(width)[:, None] < size[None, :]
+def windows(text: bytes, core: int = CORE, context: int = CONTEXT) -> Iterator[tuple[bytes, int, int]]:
+    """``(bytes, first, last)``: every byte of the text is in one window from
+    ``first`` to ``last``."""
+    for at in range(0, len(text), core):
+        first = max(0, at - context)
+        yield text[first : at + core + context], at - first, min(at + core, len(text)) - first
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _abreast(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+    """Bytes, time first, and 1 where a text goes on (None if all are as long)."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    width = int(size.max())
+    x = np.frombuffer(b"".join(t.ljust(width) for t in texts), np.uint8).reshape(len(texts), width).T
+    return x.astype(np.intp), None if size.min() == width else (np.arange(width)[:, None] < size).astype(np.float32)
 
 
 class Network:
-    """Weights: for each direction the byte table (256, 3H) that feeds the
-    update gate, the reset gate and the candidate, the recurrent matrices and
-    biases; one softmax layer over both directions' states."""
+    """Weights: for each direction the byte table (3H, 256) that feeds the
+    update gate, the reset gate and the candidate, and the recurrent matrices;
+    one softmax layer over both directions' states.  States stand in columns."""
 
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 1, weights: dict | None = None) -> None:
         self.langs, self.hidden = langs, hidden
         if weights is None:
             rng = np.random.default_rng(seed)
             draw = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-            weights = {f"{n}{d}": v for d in "fb" for n, v in (("e", draw(256, 3 * hidden)), ("u", draw(hidden, 2 * hidden)), ("c", draw(hidden, hidden)))}
-            weights |= {"o": draw(2 * hidden, len(langs)), "p": np.zeros(len(langs), np.float32)}
+            weights = {f"{n}{d}": v for d in "fb" for n, v in (("e", draw(3 * hidden, 256)), ("u", draw(2 * hidden, hidden)), ("c", draw(hidden, hidden)))}
+            weights |= {"o": draw(len(langs), 2 * hidden), "p": np.zeros((len(langs), 1), np.float32)}
         self.w = weights
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States for each step; where the mask is off a state stays."""
-        h, n, w = self.hidden, x.shape[1], self.w
-        state, out, tape = np.zeros((n, h), np.float32), np.empty((len(x), n, h), np.float32), []
+    def _run(self, x: np.ndarray, mask: np.ndarray | None, d: str, keep: bool, read: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """(time, H, text): the state after each byte, or what ``read`` makes
+        of it; where the mask is 0 a state stays."""
+        h, w = self.hidden, self.w
+        u, c = w["u" + d] * 0.5, w["c" + d]
+        table = np.concatenate((w["e" + d][: 2 * h] * 0.5, w["e" + d][2 * h :]))
+        state, tape = np.zeros((h, x.shape[1]), c.dtype), []
+        fed = np.empty((3 * h, x.shape[1]), table.dtype)
+        out = np.empty((len(x), h if read is None else len(read), x.shape[1]), c.dtype)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            fed = w["e" + d][x[t]]
-            gates = _sigmoid(fed[:, : 2 * h] + state @ w["u" + d])
-            z, r = gates[:, :h], gates[:, h:]
-            held = r * state
-            new = np.tanh(fed[:, 2 * h :] + held @ w["c" + d])
-            m = mask[t][:, None]
+            np.take(table, x[t], axis=1, out=fed, mode="clip")
+            gates = u @ state
+            gates += fed[: 2 * h]
+            np.tanh(gates, out=gates)  # the logistic function by halves
+            gates += 1
+            gates *= 0.5
+            held = gates[h:] * state
+            new = c @ held
+            new += fed[2 * h :]
+            np.tanh(new, out=new)
+            step = new - state
+            step *= gates[:h]
+            if mask is not None:
+                step *= mask[t]
             if keep:
-                tape.append((t, state, z, r, held, new, m))
-            state = np.where(m, state + z * (new - state), state)
-            out[t] = state
+                tape.append((t, state, gates, held, new))
+            state = state + step
+            if read is None:
+                out[t] = state
+            else:
+                np.matmul(read, state, out=out[t])
         return out, tape
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(time, word, language)."""
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
-        return _softmax(both @ self.w["o"] + self.w["p"])
-
-    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    def pooled(self, x: np.ndarray, mask: np.ndarray | None, weight: np.ndarray) -> np.ndarray:
+        """(language, text): the positions' probabilities, weighted and summed."""
+        h, o = self.hidden, self.w["o"]
+        p = self._run(x, mask, "f", False, np.ascontiguousarray(o[:, :h]))[0]
+        p += self._run(x, mask, "b", False, np.ascontiguousarray(o[:, h:]))[0]
+        p += self.w["p"]
+        if np.abs(o).sum(axis=1).max() + np.abs(self.w["p"]).max() > 60:  # states are within 1, so most networks need no shift
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (weight / p.sum(axis=1))[:, None, :]
+        return p.sum(axis=0)
+
+    def step(self, x: np.ndarray, mask: np.ndarray | None, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients, backpropagated through time."""
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
-        both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
-        p = _softmax(both @ self.w["o"] + self.w["p"])
-        n, h = mask.sum(), self.hidden
-        at = p[:, np.arange(len(y)), y]
-        loss = -float((np.log(at + 1e-9) * mask).sum() / n)
+        both = np.concatenate([runs[d][0] for d in "fb"], axis=1)
+        p = _softmax(np.matmul(self.w["o"], both) + self.w["p"])
+        weight = (np.ones(x.shape, p.dtype) if mask is None else mask) * _LETTER[x]
+        weight = weight / max(weight.sum(), 1)
+        at = np.arange(len(y))
+        loss = -float((np.log(p[:, y, at] + 1e-9) * weight).sum())
         g = p.copy()
-        g[:, np.arange(len(y)), y] -= 1
-        g *= (mask / n)[:, :, None].astype(np.float32)
-        grads = {"o": np.einsum("tnh,tnk->hk", both, g, optimize=True), "p": g.sum(axis=(0, 1))}
-        back = g @ self.w["o"].T
+        g[:, y, at] -= 1
+        g *= weight[:, None, :]
+        h = self.hidden
+        grads = {"o": np.einsum("tln,thn->lh", g, both, optimize=True), "p": g.sum(axis=(0, 2))[:, None]}
         for k, d in enumerate("fb"):
-            grads |= self._back(x, runs[d][1], back[:, :, k * h : (k + 1) * h], d)
+            grads |= self._back(x, mask, runs[d][1], np.matmul(self.w["o"][:, k * h : (k + 1) * h].T, g), d)
         return loss, grads
 
-    def _back(self, x: np.ndarray, tape: list, outer: np.ndarray, d: str) -> dict:
+    def _back(self, x: np.ndarray, mask: np.ndarray | None, tape: list, outer: np.ndarray, d: str) -> dict:
         h, w = self.hidden, self.w
-        ge, gu, gc = np.zeros_like(w["e" + d]), np.zeros_like(w["u" + d]), np.zeros_like(w["c" + d])
-        carry = np.zeros(outer.shape[1:], np.float32)
-        for t, state, z, r, held, new, m in reversed(tape):
+        gu, gc = np.zeros_like(w["u" + d]), np.zeros_like(w["c" + d])
+        fed = np.empty((len(x), 3 * h, x.shape[1]), outer.dtype)
+        carry = np.zeros(outer.shape[1:], outer.dtype)
+        for t, state, gates, held, new in reversed(tape):
+            z, r = gates[:h], gates[h:]
             g = carry + outer[t]
-            live = np.where(m, g, 0)
+            live = g if mask is None else g * mask[t]
             gnew = live * z * (1 - new * new)
-            gz = live * (new - state) * z * (1 - z)
-            gheld = gnew @ w["c" + d].T
-            gr = gheld * state * r * (1 - r)
-            ggates = np.concatenate((gz, gr), axis=1)
-            gc += held.T @ gnew
-            gu += state.T @ ggates
-            np.add.at(ge, x[t], np.concatenate((ggates, gnew), axis=1))
-            carry = np.where(m, live * (1 - z), g) + gheld * r + ggates @ w["u" + d].T
+            gheld = w["c" + d].T @ gnew
+            ggates = np.concatenate((live * (new - state) * z * (1 - z), gheld * state * r * (1 - r)))
+            gc += gnew @ held.T
+            gu += ggates @ state.T
+            fed[t, : 2 * h], fed[t, 2 * h :] = ggates, gnew
+            carry = g - live * z + gheld * r + w["u" + d].T @ ggates
+        flat, rows = x.ravel(), fed.transpose(1, 0, 2).reshape(3 * h, -1)
+        ge = np.stack([np.bincount(flat, row, 256) for row in rows]).astype(w["e" + d].dtype)
         return {"e" + d: ge, "u" + d: gu, "c" + d: gc}
 
-    def train(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 2) -> float:
-        """Adam over seeded batches of words of like length; the last loss."""
+    def train(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 2) -> float:
+        """Adam over seeded batches of texts of like length; the last loss."""
         rng = np.random.default_rng(seed)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         loss = 0.0
         for i in range(1, steps + 1):
-            pick = rng.permutation(len(words))[: 4 * BATCH]
+            pick = rng.permutation(len(texts))[: 4 * BATCH]
             pick = pick[np.argsort(size[pick], kind="stable")]
             at = rng.integers(max(1, len(pick) - BATCH + 1))
             pick = pick[at : at + BATCH]
-            x, mask = _padded([words[j] for j in pick])
+            x, mask = _abreast([texts[j] for j in pick])
             loss, grads = self.step(x, mask, labels[pick])
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             rate = RATE * min(1.0, 2 * (1 - i / (steps + 1)))
             for k, g in grads.items():
+                g = g * min(1.0, 1 / (norm + 1e-9))
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 self.w[k] -= rate * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-7)
         return loss
 
+    def documents(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities for each text over the bytes of its letters;
+        zeros for a text without one."""
+        sums, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+
+        def flush(some: list[tuple[int, bytes, int, int]]) -> None:
+            some.sort(key=lambda s: len(s[1]))
+            for a in range(0, len(some), ABREAST):
+                doc, read, first, last = zip(*some[a : a + ABREAST])
+                x, mask = _abreast(list(read))
+                at = np.arange(len(x))[:, None]
+                counts = (_LETTER[x] & (at >= np.array(first)) & (at < np.array(last))).astype(np.float32)
+                np.add.at(sums, list(doc), self.pooled(x, mask, counts).T)
+                np.add.at(n, list(doc), counts.sum(axis=0))
+
+        held: list[tuple[int, bytes, int, int]] = []
+        for i, text in enumerate(texts):
+            for window in windows(text):
+                held.append((i, *window))
+                if len(held) == 4 * ABREAST:
+                    flush(held)
+                    held = []
+        if held:
+            flush(held)
+        return sums / np.maximum(n, 1)[:, None]
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
-
-
-class Labeller:
-    """Sums of the positions' probabilities by word, and positions."""
-
-    def __init__(self, network: Network) -> None:
-        self.network, self.ids = network, {}
-        self.rows = np.empty((1024, len(network.langs) + 1), np.float32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids.clear()
-        need = len(self.ids) + len(words)
-        if need > len(self.rows):
-            grown = np.empty((2 * need, self.rows.shape[1]), np.float32)
-            grown[: len(self.ids)] = self.rows[: len(self.ids)]
-            self.rows = grown
-        parts = sorted((len(c), c, i) for i, w in enumerate(words) for c in chunks(w))
-        sums = np.zeros((len(words), self.rows.shape[1]), np.float32)
-        for a in range(0, len(parts), 2048):
-            some = parts[a : a + 2048]
-            x, mask = _padded([c for _, c, _ in some])
-            p = self.network.probabilities(x, mask)
-            p = np.where(mask[:, :, None], p, 0)[1:].sum(axis=0)  # the first boundary is the last one of the word before
-            np.add.at(sums, [i for _, _, i in some], np.concatenate((p, mask[1:].sum(axis=0)[:, None]), axis=1))
-        sums[[i for i, w in enumerate(words) if not _LETTERS(w)]] = 0  # numbers and signs count for no language
-        self.rows[len(self.ids) : need] = sums
-        for w in words:
-            self.ids[w] = len(self.ids)
-
-    def documents(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities for each text; zeros for one without a word."""
-        split = [t.split() for t in texts]
-        out = np.zeros((len(texts), len(self.network.langs)))
-        at = 0
-        while at < len(texts):
-            new: set[bytes] = set()
-            end = at
-            while end < len(texts) and len(new) < 50_000:
-                new.update(w for w in split[end] if w not in self.ids)
-                end += 1
-            if new:
-                self._learn(sorted(new))
-                if any(w not in self.ids for t in split[at:end] for w in t):  # the table was begun anew
-                    self._learn(sorted({w for t in split[at:end] for w in t if w not in self.ids}))
-            for i in range(at, end):
-                if split[i]:
-                    rows = self.rows[np.fromiter(map(self.ids.__getitem__, split[i]), np.int64, len(split[i]))]
-                    total = rows.sum(axis=0, dtype=np.float64)
-                    out[i] = total[:-1] / max(total[-1], 1)
-            at = end
-        return out
+    """Over the second axis."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def held_out(id_col: Column) -> Column:
@@ -206,17 +219,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Network:
-    """A network for the languages of ``labelled``.  The sample is bounded by
-    ``docs`` documents of a language (more or less, by hash) and ``words``
-    words of each."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, each: int = SAMPLE_WINDOWS, languages: int = LANGUAGES) -> Network:
+    """A network for the most frequent ``languages`` of ``labelled``.  The
+    sample is bounded by ``docs`` documents of a language (more or less, by
+    hash) and ``each`` windows of a document."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     langs = sorted(counts)
     if len(langs) < 2:
         return Network(langs)
     limit = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1 << 30, int(docs / counts[k] * (1 << 30)) + 1)))), F.col("lang"))
-    # 2 * docs at most, so that a hash that piles up stays bounded
     picked = rows.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < limit)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +236,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
         for batch in batches:
             for i, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                some = text.encode("utf-8", "surrogatepass").split()
+                read = text.encode("utf-8", "surrogatepass")
                 rng = np.random.default_rng(xxhash.xxh32_intdigest(f"{i}"))
-                some = [c for j in sorted(rng.permutation(len(some))[:words]) for c in chunks(some[j])][:words]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([i], pa.string()), pa.array([some], pa.list_(pa.binary()))], ["lang", "id", "words"])
+                starts = rng.integers(0, max(1, len(read) - SAMPLE_BYTES + 1), each)
+                some = sorted({read[a : a + SAMPLE_BYTES] for a in starts.tolist()}) if has_letter(text) else []
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([i], pa.string()), pa.array([some], pa.list_(pa.binary()))], ["lang", "id", "windows"])
 
-    sample = picked.mapInArrow(draw, "lang string, id string, words array<binary>").orderBy(F.xxhash64("id"), "id").limit(2 * docs * len(langs)).collect()
-    sample.sort(key=lambda r: (r["lang"], r["id"] or "", r["words"]))
-    flat = [(bytes(w), langs.index(r["lang"])) for r in sample for w in r["words"] or [] if _LETTER(bytes(w).decode("utf-8", "replace"))]
+    # 2 * docs at most, so that a hash that piles up stays bounded
+    sample = picked.mapInArrow(draw, "lang string, id string, windows array<binary>").orderBy(F.xxhash64("id"), "id", "windows").limit(2 * docs * len(langs)).collect()
+    sample.sort(key=lambda r: (r["lang"], r["id"] or "", r["windows"]))
+    flat = [(bytes(w), langs.index(r["lang"])) for r in sample for w in r["windows"] or []]
     net = Network(langs)
     if flat:
         net.train([w for w, _ in flat], np.array([y for _, y in flat]))
@@ -249,16 +263,14 @@ def predict(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value  # a worker's tasks share it, and the words met
-        if "labeller" not in held:
-            held["labeller"] = Labeller(Network(held["langs"], held["hidden"], weights=held["weights"]))
-        labeller, langs = held["labeller"], np.array([*held["langs"], UNDETERMINED], object)
+        held = shared.value
+        network, langs = Network(held["langs"], held["hidden"], weights=held["weights"]), np.array([*held["langs"], UNDETERMINED], object)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = [t if t and _LETTER(t) else "" for t in part.column(1).to_pylist()]
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                texts = [t if t and has_letter(t) else "" for t in part.column(1).to_pylist()]
                 if len(langs) > 1:
-                    p = labeller.documents([t.encode("utf-8", "surrogatepass") for t in texts])
+                    p = network.documents([t.encode("utf-8", "surrogatepass") for t in texts])
                     found = np.array([bool(t) for t in texts])
                     best = np.where(found, p.argmax(axis=1), len(langs) - 1)
                     score = np.where(found, np.clip(p.max(axis=1), 0, 1), 0.0)
