@@ -1,3 +1,6 @@
+import random
+import re
+
 from tracelake.llm import licenses
 
 MIT = """Copyright (c) 2020 X
@@ -12,7 +15,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 def slow_match(found):
     """Try every rule at every place, longest first."""
     got, i = [], 0
-    rules = sorted(licenses.RULES, key=lambda r: -len(r[2]))
+    rules = sorted(licenses._RULES, key=lambda r: -len(r[2]))
     while i < len(found):
         hit = next((r for r in rules if tuple(x[1] for x in found[i : i + len(r[2])]) == r[2] and all(found[j + 1][0] - found[j][0] <= licenses.GAP + 1 for j in range(i, i + len(r[2]) - 1))), None)
         if hit:
@@ -70,3 +73,53 @@ def test_wrapped_and_commented():
                 got, left = licenses.match(licenses.identifiers("int main;\n" + "\n".join(lines) + "\nmore words"))
                 assert [n for n, _ in got] == want and left == [], (width, mark, got, left)
                 assert len(licenses.identifiers("\n".join(lines))) == kinds
+
+
+def slow_scan(text):
+    """Every run of pieces against every known sentence, the longest first."""
+    known = {licenses.normalise(f"SPDX-License-Identifier: {n}")[0] for names in licenses.SPDX.values() for n in names} | set(licenses.SENTENCES.values())
+    pieces = [p for p in map(licenses.normalise, re.split(r"\n+|(?<=[.!?;:])[ \t]+", text or "")) if p[0]]
+    out, at, number = [], 0, 0
+    while at < len(pieces):
+        ends = [e for e in range(len(pieces), at, -1) if " ".join(w for w, _ in pieces[at:e]) in known]
+        if ends:
+            words = " ".join(w for w, _ in pieces[at : ends[0]])
+            out.append((number, words, next((v for _, v in pieces[at : ends[0]] if v), "")))
+        at, number = ends[0] if ends else at + 1, number + 1
+    return out
+
+
+def test_scan_against_brute_force(spark, make):
+    """Sentences of all families, spaced, wrapped and mixed with others."""
+    rng = random.Random(3)
+    sentences = list(licenses.SENTENCES.values()) + [f"SPDX-License-Identifier: {n}" for names in licenses.SPDX.values() for n in names]
+    texts = ["All  rights  reserved.", "All rights\nreserved.", "released.\nThis is free and unencumbered software released into the public\ndomain.", "ALL\tRIGHTS RESERVED", MIT, APACHE]
+    for k in range(300):
+        parts = []
+        start = rng.randrange(len(sentences))
+        for x in rng.choice((sentences[start : start + 4], rng.sample(sentences, 3))):
+            x = x.replace("{v}", rng.choice(("2.0", "3", "v4.0")))
+            parts.append("".join(c if c != " " else rng.choice((" ", " ", " ", "  ", "\n", ", ")) for c in x))
+            parts += ["some other words"] * rng.randrange(4)
+        texts.append(rng.choice(("\n", ". ", ".\n")).join(parts))
+    out = {r.doc_id: r for r in licenses.scan(make(list(enumerate(texts)))).collect()}
+    names = licenses._KNOWN
+    for i, text in enumerate(texts):
+        want = [(n, names[w], v) for n, w, v in slow_scan(text)]
+        assert out[i].sentences == [n for _, n, _ in want], text
+        assert out[i].licenses == list(dict.fromkeys(n for n, _ in slow_match(want))), text
+    assert sum(len(r.sentences) for r in out.values()) > 700 and all(out[i].sentences for i in range(6))
+
+
+def test_full_texts():
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies."""
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    for text, want in ((bsd, "BSD-2-Clause"), (isc, "ISC"), (gpl, "GPL-3-or-later"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1-or-later"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0")):
+        assert [n for n, _ in licenses.match(licenses.identifiers(text))[0]] == [want], text

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,6 +60,44 @@ SENTENCES = {
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "unlicense": "this is free and unencumbered software released into the public domain",
     "all-rights": "all rights reserved",
+    "agpl-free-software": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "agpl-licensed": "licensed under the gnu affero general public license version {v}",
+    "apache-title": "apache license version {v}",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-liability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-licensed": "licensed under the bsd license",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-header": "distributed under the boost software license version {v}",
+    "boost-title": "boost software license version {v}",
+    "cc-by-nc-nd": "licensed under cc by nc nd {v}",
+    "cc-by-nc-sa-work": "this work is licensed under a creative commons attribution noncommercial sharealike {v} international license",
+    "cc-by-nc-nd-work": "this work is licensed under a creative commons attribution noncommercial noderivatives {v} international license",
+    "cc-by-nd-work": "this work is licensed under a creative commons attribution noderivatives {v} international license",
+    "epl-title": "eclipse public license v {v}",
+    "epl-licensed": "licensed under the eclipse public license version {v}",
+    "gfdl-grant": "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version {v} or any later version published by the free software foundation",
+    "gpl-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version {v} as published by the free software foundation",
+    "gpl-received": "you should have received a copy of the gnu general public license along with this program",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "lgpl-free-software": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {v} of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "lgpl-licensed": "licensed under the gnu lesser general public license version {v}",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl {v}",
+    "mpl-copy-https": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl {v}",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "wtfpl": "do what the fuck you want to public license",
+    "zero-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "zlib-notice": "this notice may not be removed or altered from any source distribution",
 }
 #: Rules in order of preference; the licence, its class, and the
 #: identifiers in sequence; {v} is the version its sentences name.
@@ -93,7 +132,54 @@ RULES = [
     ("CC0-1.0", "public-domain", ("cc0",)),
     ("Unlicense", "public-domain", ("unlicense",)),
     ("Proprietary", "proprietary", ("all-rights",)),
+    ("MIT", "permissive", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("MIT", "permissive", ("mit-title-short", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("BSD-4-Clause", "permissive", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-no-endorsement", "bsd-as-is", "bsd-liability")),
+    ("BSD-3-Clause", "permissive", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement", "bsd-as-is", "bsd-liability")),
+    ("BSD-2-Clause", "permissive", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability")),
+    ("BSD", "permissive", ("bsd-licensed",)),
+    ("Apache-{v}", "permissive", ("apache-title",)),
+    ("ISC", "permissive", ("isc-grant", "isc-warranty", "isc-liability")),
+    ("ISC", "permissive", ("isc-grant",)),
+    ("0BSD", "permissive", ("zero-grant", "isc-warranty", "isc-liability")),
+    ("0BSD", "permissive", ("zero-grant",)),
+    ("Zlib", "permissive", ("zlib-as-is", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice")),
+    ("Zlib", "permissive", ("zlib-grant",)),
+    ("BSL-{v}", "permissive", ("boost-title", "boost-grant")),
+    ("BSL-{v}", "permissive", ("boost-header",)),
+    ("BSL-{v}", "permissive", ("boost-title",)),
+    ("BSL-1.0", "permissive", ("boost-grant",)),
+    ("GPL-{v}-or-later", "copyleft", ("gpl-free-software", "gpl-hope", "gpl-details", "gpl-received")),
+    ("GPL-{v}", "copyleft", ("gpl-only", "gpl-hope", "gpl-details", "gpl-received")),
+    ("GPL-{v}", "copyleft", ("gpl-only",)),
+    ("AGPL-{v}-or-later", "copyleft", ("agpl-free-software", "gpl-hope", "agpl-details")),
+    ("AGPL-{v}-or-later", "copyleft", ("agpl-free-software",)),
+    ("AGPL-{v}", "copyleft", ("agpl-licensed",)),
+    ("LGPL-{v}-or-later", "copyleft", ("lgpl-free-software", "lgpl-hope", "lgpl-details")),
+    ("LGPL-{v}-or-later", "copyleft", ("lgpl-free-software",)),
+    ("LGPL-{v}", "copyleft", ("lgpl-licensed",)),
+    ("MPL-{v}", "copyleft", ("mpl-source", "mpl-copy")),
+    ("MPL-{v}", "copyleft", ("mpl-source", "mpl-copy-https")),
+    ("EPL-{v}", "copyleft", ("epl-title",)),
+    ("EPL-{v}", "copyleft", ("epl-licensed",)),
+    ("GFDL-{v}-or-later", "copyleft", ("gfdl-grant",)),
+    ("CC-BY-NC-SA-{v}", "non-commercial", ("cc-by-nc-sa-work",)),
+    ("CC-BY-NC-ND-{v}", "non-commercial", ("cc-by-nc-nd",)),
+    ("CC-BY-NC-ND-{v}", "non-commercial", ("cc-by-nc-nd-work",)),
+    ("CC-BY-ND-{v}", "no-derivatives", ("cc-by-nd-work",)),
+    ("Unlicense", "public-domain", ("unlicense", "unlicense-free")),
+    ("WTFPL", "permissive", ("wtfpl",)),
 ]
+#: Names that a line ``SPDX-License-Identifier:`` may have, by class.
+SPDX = {
+    "permissive": ("MIT", "MIT-0", "X11", "Apache-2.0", "BSD-2-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "WTFPL", "PostgreSQL", "NCSA", "Python-2.0", "Artistic-2.0"),
+    "copyleft": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "EUPL-1.2", "CDDL-1.0", "OSL-3.0"),
+    "public-domain": ("CC0-1.0", "Unlicense"),
+    "attribution": ("CC-BY-4.0", "OFL-1.1"),
+    "share-alike": ("CC-BY-SA-4.0",),
+    "non-commercial": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"),
+    "no-derivatives": ("CC-BY-ND-4.0",),
+}
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
 
@@ -110,9 +196,28 @@ def normalise(sentence: str) -> tuple[str, str]:
 
 
 _KNOWN = {text: name for name, text in SENTENCES.items()}
+_RULES = list(RULES)
+for _kind, _names in SPDX.items():
+    for _name in _names:
+        _text, _number = normalise(f"SPDX-License-Identifier: {_name}")
+        _id = f"spdx-{_text.removeprefix('spdx license identifier ')}"
+        _KNOWN[_text] = _id
+        _RULES.append((_name.replace(_number, "{v}", 1) if _number else _name, _kind, (_id,)))
 _SORTED = sorted(_KNOWN)
-#: Every known sentence has one of these; a text without is not cut up.
-_HINT = re.compile("licen|permi|copyright|warrant|liable|redistribut|endorse|rights reserved|public domain|free software|general public", re.I).search
+
+
+def _telling(sentences: list[str]) -> tuple[str, ...]:
+    """Words of which every sentence has one.  A text in whose lower case none
+    of them stands has no known sentence, however it is spaced or wrapped."""
+    left, out = [{w for w in x.split() if len(w) > 5} or set(x.split()) for x in sentences], []
+    while left:
+        counts = Counter(w for x in left for w in x)
+        out.append(min(counts, key=lambda w: (-counts[w], w)))
+        left = [x for x in left if out[-1] not in x]
+    return tuple(out)
+
+
+_TELLING = _telling(_SORTED)
 
 
 def _begins(words: str) -> bool:
@@ -124,21 +229,28 @@ def _begins(words: str) -> bool:
 def identifiers(text: str | None) -> list[tuple[int, str, str]]:
     """``(sentence number, identifier, version)`` for the known sentences.  A
     sentence may be wrapped: pieces are joined as long as a known one begins
-    so, and then count as one."""
+    so, and the longest one found counts as one."""
     out = []
-    if not text or not _HINT(text):
+    if not text:
+        return out
+    lower = text.lower()
+    if not any(w in lower for w in _TELLING):
         return out
     pieces = [p for p in map(normalise, _CUT(text)) if p[0]]
     at = number = 0
     while at < len(pieces):
         words, version = pieces[at]
-        end = at + 1
-        while words not in _KNOWN and end < len(pieces) and _begins(words):
-            words, version = f"{words} {pieces[end][0]}".strip(), version or pieces[end][1]
+        end, known = at + 1, None
+        while True:
+            if words in _KNOWN:
+                known = (end, _KNOWN[words], version)
+            if end == len(pieces) or not _begins(words):
+                break
+            words, version = f"{words} {pieces[end][0]}", version or pieces[end][1]
             end += 1
-        if words in _KNOWN:
-            out.append((number, _KNOWN[words], version))
-            at = end
+        if known:
+            at = known[0]
+            out.append((number, *known[1:]))
         else:
             at += 1
         number += 1
@@ -146,7 +258,7 @@ def identifiers(text: str | None) -> list[tuple[int, str, str]]:
 
 
 _BY_FIRST: dict[str, list[int]] = {}
-for _i, (_, _, _seq) in sorted(enumerate(RULES), key=lambda x: (-len(x[1][2]), x[0])):
+for _i, (_, _, _seq) in sorted(enumerate(_RULES), key=lambda x: (-len(x[1][2]), x[0])):
     _BY_FIRST.setdefault(_seq[0], []).append(_i)
 
 
@@ -156,7 +268,7 @@ def match(found: list[tuple[int, str, str]]) -> tuple[list[tuple[str, str]], lis
     got, left, at = [], [], 0
     while at < len(found):
         for r in _BY_FIRST.get(found[at][1], ()):
-            name, kind, seq = RULES[r]
+            name, kind, seq = _RULES[r]
             part = found[at : at + len(seq)]
             if tuple(x[1] for x in part) == seq and all(b[0] - a[0] <= GAP + 1 for a, b in zip(part, part[1:])):
                 version = next((x[2] for x in part if x[2]), "")
