@@ -15,6 +15,7 @@ has to fit in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ ALIASES = {"human": "user", "prompter": "user", "question": "user", "bot": "assi
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 2, 1, 1, 3
 START, SYSTEM, USER, ASSISTANT = range(4)
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
+_BAR, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _FAR = 10**9
 #: Messages that may follow each state, as states.
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -135,6 +137,17 @@ def borders(parts: list[np.ndarray]) -> list[tuple[int, int | None]]:
     return [(states[k], states[k + 1]) for k in range(len(parts))]
 
 
+def escaped(text: str) -> str:
+    """A text that holds no mark of the format, so that it can open or close no
+    message: ``<|`` is written ``<\\|``, and what already looks so with one
+    backslash more, which ``plain`` takes back."""
+    return _BAR.sub(r"<\1\\|", text)
+
+
+def plain(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def _message(role: int, text: str) -> str:
     return OPEN.format(ROLES[role - 1]) + text + CLOSE
 
@@ -144,8 +157,9 @@ def _render(path: list[tuple[int, str, tuple[int, ...]]], texts: list[str | None
     are the whole.  A message closes where the next one opens or at the end."""
     out = []
     for i, ((role, action, added), text) in enumerate(zip(path, texts)):
+        text = escaped(text or "")
         piece = "\n" if action == _MERGED else ("" if first and i == 0 else CLOSE) + "".join(_message(a, "") for a in added) + OPEN.format(ROLES[role - 1])
-        piece += text or ""
+        piece += text
         if i == len(path) - 1 and not goes_on:
             piece += CLOSE + "".join(_message(a, "") for a in _END[leave])
         out.append(piece)
