@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.plans.lineage import cut
+
 STEP = "step_id"
-SHINGLE, NEAR, MAX_DOCS = 5, 0.9, 64
+SHINGLE, NEAR = 5, 0.9
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
@@ -36,19 +38,35 @@ def diagnostics(docs: DataFrame) -> DataFrame:
     return base.join(top, STEP, "left").join(twice, STEP, "left").fillna(0, ["duplicate_ids"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """``step_id, left_id, right_id``: pairs among a step's first 64 documents
-    with content whose five-word shingles have a Jaccard similarity of at
-    least ``threshold``.  Pairs come from a join on shared shingles."""
-    first = docs.filter("content_preview <> ''").withColumn("_r", F.row_number().over(W.partitionBy(STEP).orderBy("rank", "document_id"))).filter(F.col("_r") <= MAX_DOCS)
-    words = F.split(F.trim(F.regexp_replace(F.lower("content_preview"), r"\s+", " ")), " ")
+def near_duplicates(docs: DataFrame, threshold: float = NEAR, first: int | None = None) -> DataFrame:
+    """``step_id, left_id, right_id``: pairs among a step's documents whose
+    five-word shingles have a Jaccard similarity of at least ``threshold``;
+    with ``first``, among its first so many, which is what a view shows.
+
+    Of two such sets, both ordered by hash, the first few (a share of
+    1 - threshold and one more) have a member in common, so candidates come
+    from an equality join on those, and whole sets meet for candidates only.
+    """
+    docs = docs.filter("content_preview <> ''")
+    rank = F.row_number().over(W.partitionBy(STEP).orderBy("rank", "document_id"))
+    docs = docs.withColumn("_r", rank)
+    if first is not None:
+        docs = docs.filter(F.col("_r") <= first)
+    words = F.filter(F.split(F.lower("content_preview"), r"\s+"), lambda w: w != "")
     n = F.size("words")
     grams = F.when(n < SHINGLE, F.array(F.array_join("words", " "))).otherwise(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " ")))
-    sets = first.withColumn("words", words).filter(F.col("words")[0] != "").select(STEP, "document_id", "_r", F.array_distinct(grams).alias("grams"))
-    flat = sets.select(STEP, "document_id", "_r", F.size("grams").alias("n"), F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("g"))
-    right = flat.select(F.col(STEP).alias("_s"), F.col("document_id").alias("right_id"), F.col("_r").alias("_r2"), F.col("n").alias("n2"), F.col("g").alias("_g"))
-    shared = flat.join(right, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")) & (F.col("_r") < F.col("_r2"))).groupBy(STEP, F.col("document_id").alias("left_id"), "right_id", "n", "n2").agg(F.count("*").alias("both"))
-    return shared.filter(F.col("both") >= threshold * (F.col("n") + F.col("n2") - F.col("both"))).select(STEP, "left_id", "right_id")
+    sets = docs.withColumn("words", words).filter(F.size("words") > 0).select(STEP, "document_id", "_r", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("grams"))
+    sets = cut(sets)
+    size = F.size("grams")
+    some = sets.select(STEP, "_r", size.alias("n"), F.explode(F.slice("grams", 1, (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int"))).alias("g"))
+    other = some.select(F.col(STEP).alias("_s"), F.col("_r").alias("_r2"), F.col("n").alias("n2"), F.col("g").alias("_g"))
+    alike = (F.col("n") >= F.lit(threshold) * F.col("n2") - 1e-9) & (F.col("n2") >= F.lit(threshold) * F.col("n") - 1e-9)
+    pairs = some.join(other, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")) & (F.col("_r") < F.col("_r2")) & alike).select(STEP, "_r", "_r2").distinct()
+    left = sets.select(STEP, "_r", F.col("document_id").alias("left_id"), F.col("grams").alias("a"))
+    right = sets.select(STEP, F.col("_r").alias("_r2"), F.col("document_id").alias("right_id"), F.col("grams").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    met = pairs.join(left, [STEP, "_r"]).join(right, [STEP, "_r2"])
+    return met.filter(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both) - 1e-9).select(STEP, "left_id", "right_id")
 
 
 def ranking_metrics(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -85,6 +103,42 @@ def spans_with_documents(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return spans.filter(F.col("category").isin("retrieval", "rerank")).join(counts, ["trace_id", "span_id"], "left").fillna(0, ["documents"])
 
 
+def view(spans: DataFrame, docs: DataFrame, prefix: str = "platform.") -> DataFrame:
+    """One row for each retrieval or rerank span: header, documents by rank,
+    diagnostics (``document_count`` 0 without documents) and the six stages
+    (query, rewrite, embedding, retrieval, rerank, selection) in order, each
+    with whether it took place.  ``docs`` has trace_id, span_id and what a
+    document says of its step."""
+    text = lambda name: F.coalesce(F.try_element_at("attributes", F.lit(f"{prefix}{name}")), F.lit(""))
+    key = ["trace_id", "span_id"]
+    header = spans.filter(F.col("category").isin("retrieval", "rerank")).select(
+        *key, "name", "start_ns", (F.col("duration_ns") / 1e6).alias("latency_ms"), text("retrieval.query").alias("_query"), text("retrieval.reranker.model").alias("reranker_model"),
+        text("retrieval.embedding.latency_ms").try_cast("double").alias("embedding_latency_ms"), text("retrieval.reranker.latency_ms").try_cast("double").alias("reranker_latency_ms"),
+    )
+    said = [c for c in ("query", "rewritten_query", "embedding_model", "search_type") if c in docs.columns]
+    listed = docs.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "document_id", "score", "selected"))).alias("documents"),
+        *(F.min_by(c, "rank").alias(f"_first_{c}") for c in said),
+    )
+    stats = diagnostics(docs.withColumn(STEP, F.struct(*key))).withColumnRenamed(STEP, "_step")
+    out = header.join(listed, key, "left").join(stats, F.struct(*key) == F.col("_step"), "left").drop("_step")
+    got = lambda c: F.coalesce(F.col(f"_first_{c}"), F.lit("")) if c in said else F.lit("")
+    out = out.withColumn("query", F.when(got("query") != "", got("query")).otherwise(F.col("_query"))).withColumn("rewritten_query", got("rewritten_query"))
+    out = out.withColumn("document_count", F.coalesce("document_count", F.lit(0))).withColumn("selected_count", F.coalesce("selected_count", F.lit(0)))
+    reranked = F.col("mean_rank_movement").isNotNull()
+    stage = lambda name, detail, ms, there: F.struct(F.lit(name).alias("stage"), detail.alias("detail"), ms.cast("double").alias("latency_ms"), there.alias("present"))
+    none = F.lit(None)
+    stages = F.array(
+        stage("query", F.substring("query", 1, 200), none, F.col("query") != ""),
+        stage("rewrite", F.substring("rewritten_query", 1, 200), none, (F.col("rewritten_query") != "") & (F.col("rewritten_query") != F.col("query"))),
+        stage("embedding", got("embedding_model"), F.col("embedding_latency_ms"), got("embedding_model") != ""),
+        stage("retrieval", F.concat("document_count", F.lit(" documents")), F.col("latency_ms"), F.lit(True)),
+        stage("rerank", F.when(reranked, F.format_string("mean movement %.1f", "mean_rank_movement")).otherwise(""), F.col("reranker_latency_ms"), reranked),
+        stage("selection", F.concat("selected_count", F.lit(" of "), "document_count", F.lit(" selected, "), F.coalesce("context_tokens", F.lit(0)), F.lit(" tokens")), none, F.lit(True)),
+    )
+    return out.withColumn("stages", stages).drop("_query", *(f"_first_{c}" for c in said))
+
+
 def rerank_positions(docs: DataFrame, reranked: DataFrame) -> DataFrame:
     """Documents with their place in a step's reranked list of ids."""
     places = reranked.select(STEP, F.posexplode("ids").alias("new_rank", "document_id"))

@@ -5,21 +5,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.plans.lineage import cut
+
 #: Categories that count as model calls, and usage sources from
 #: weakest to strongest.
 MODEL_CALLS = ("llm_generation", "chat_completion", "rerank")
 SOURCES = ("missing", "estimated", "client", "provider")
 MAX_VALUES = 32
+#: Columns that a roll-up reads.
+ROLLED = ("organization_id", "trace_id", "span_id", "parent_span_id", "name", "category", "status", "start_ns", "end_ns", "session_id", "input_tokens", "output_tokens", "cost_total")
 
 
 def latest(df: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """One row for each key, the one of the greatest version.  A partial
-    aggregate, so rows that are replaced mostly never travel."""
-    rest = [c for c in df.columns if c not in key]
-    best = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("_row"))
-    return best.select(*key, *(F.col("_row")[c].alias(c) for c in rest)).select(*df.columns)
+    """One row for each key, the one of the greatest version (nulls least).
+
+    A row number with a limit of one: replaced rows are dropped within their
+    partition before the shuffle, which carries each row as it is."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(*(F.desc_nulls_last(v) for v in version)))
+    return df.withColumn("_rank", rank).filter("_rank = 1").select(*df.columns)
 
 
 def upsert(table: DataFrame, new: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -64,14 +70,19 @@ def status_of() -> Column:
 
 
 def trace_rollup(spans: DataFrame, unique: Sequence[str] = ("model",)) -> DataFrame:
-    """One row for each trace, from all its spans (de-duplicated before)."""
+    """One row for each trace, from all its spans (de-duplicated before).
+    Their columns in use are written once, as each ordered list of ``unique``
+    values takes a pass of its own."""
     key = ["organization_id", "trace_id"]
+    if unique:
+        spans = cut(spans.select(*{*ROLLED, *unique}))
     at = F.struct("start_ns", "span_id")
     root = F.when(is_root(), at)
     category = lambda *names: F.sum(F.col("category").isin(*names).cast("long"))
     base = spans.groupBy(*key).agg(
         F.coalesce(F.min_by("name", root), F.min_by("name", at)).alias("name"),
         F.min("start_ns").alias("start_ns"),
+        F.max("start_ns").alias("last_start_ns"),
         F.max("end_ns").alias("end_ns"),
         (F.max("end_ns") - F.min("start_ns")).alias("duration_ns"),
         status_of().alias("status"),
@@ -92,8 +103,6 @@ def trace_rollup(spans: DataFrame, unique: Sequence[str] = ("model",)) -> DataFr
 
 def errors_summary(spans: DataFrame) -> DataFrame:
     """The first three error messages of each trace, joined."""
-    from pyspark.sql import Window as W
-
     failed = spans.filter((F.col("status") == "error") & (F.coalesce(F.col("error_message"), F.lit("")) != ""))
     first = failed.withColumn("_r", F.row_number().over(W.partitionBy("organization_id", "trace_id").orderBy("start_ns", "span_id"))).filter("_r <= 3")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("_r", F.substring(F.concat_ws(": ", "name", "error_message"), 1, 512).alias("m")))), lambda r: r["m"])

@@ -6,7 +6,7 @@ trace may have any number of spans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,20 +45,26 @@ def depths(spans: DataFrame) -> DataFrame:
 
 
 def ancestors(spans: DataFrame) -> DataFrame:
-    """``trace_id, span_id, ancestor, distance`` for all pairs, level by level."""
-    links = cut(_links(spans).filter("up is not null"))
+    """``trace_id, span_id, ancestor, distance`` for all pairs, level by level;
+    on a cycle each pair once, and no span is its own ancestor.  Beyond 64
+    levels, where only cycles or very deep traces are left, pairs seen before
+    end their line."""
+    links = cut(_links(spans).filter("up is not null and up <> span_id"))
     now = links.select(KEY, "span_id", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
-    out = [now]
     step = links.select(F.col(KEY).alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"))
-    for d in range(2, MAX_DEPTH + 1):
-        now = cut(now.join(step, (F.col(KEY) == F.col("_t")) & (F.col("ancestor") == F.col("_s"))).select(KEY, "span_id", F.col("_up").alias("ancestor"), F.lit(d).alias("distance")))
+    total, d = now, 1
+    while True:
+        d += 1
+        far = now.join(step, (F.col(KEY) == F.col("_t")) & (F.col("ancestor") == F.col("_s"))).select(KEY, "span_id", F.col("_up").alias("ancestor"), F.lit(d).alias("distance")).filter("ancestor <> span_id")
+        if d > MAX_DEPTH:
+            far = far.join(total, [KEY, "span_id", "ancestor"], "left_anti").select(KEY, "span_id", "ancestor", "distance")
+        now = cut(far)
         if now.isEmpty():
             break
-        out.append(now)
-    total = out[0]
-    for x in out[1:]:
-        total = total.unionByName(x)
-    return total
+        total = total.unionByName(now)
+        if d >= MAX_DEPTH and d % 8 == 0:
+            total = cut(total)
+    return total.groupBy(KEY, "span_id", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def descendants(spans: DataFrame) -> DataFrame:
@@ -69,23 +75,30 @@ def descendants(spans: DataFrame) -> DataFrame:
 
 def critical_path(spans: DataFrame) -> DataFrame:
     """``trace_id, position, span_id``: from the first root on, the child that
-    ends last (ties: the first by start and id); open children are passed
-    over; a cycle ends the path."""
+    ends last (ties: the first by start and id); open children are passed over.
+
+    Pointers run from each chosen child to its parent and double their reach
+    in every round, so a path of n spans takes log n rounds; a span is on the
+    path if they lead to the root.  Spans on a cycle lead nowhere."""
     at = F.struct("start_ns", "span_id")
     first = spans.filter(F.coalesce(F.col("parent_span_id"), F.lit("")) == "").groupBy(KEY).agg(F.min(at).alias("a")).select(KEY, F.col("a.span_id").alias("span_id"))
-    closed = spans.filter(F.col("end_ns").isNotNull() & (F.coalesce(F.col("parent_span_id"), F.lit("")) != ""))
-    best = cut(closed.groupBy(F.col(KEY).alias("_t"), F.col("parent_span_id").alias("_p")).agg(F.min(F.struct((-F.col("end_ns")).alias("e"), "start_ns", "span_id")).alias("b")).select("_t", "_p", F.col("b.span_id").alias("next")))
-    now = cut(first.withColumn("position", F.lit(0)))
-    path = now
-    for i in range(1, 10_000):
-        step = now.join(best, (F.col(KEY) == F.col("_t")) & (F.col("span_id") == F.col("_p"))).select(KEY, F.col("next").alias("span_id"), F.lit(i).alias("position"))
-        now = cut(step.join(path.select(KEY, "span_id"), [KEY, "span_id"], "left_anti").select(KEY, "span_id", "position"))
-        if now.isEmpty():
+    closed = spans.filter(F.col("end_ns").isNotNull() & (F.coalesce(F.col("parent_span_id"), F.lit("")) != "") & (F.col("parent_span_id") != F.col("span_id")))
+    best = closed.groupBy(KEY, F.col("parent_span_id").alias("up")).agg(F.min(F.struct((-F.col("end_ns")).alias("e"), "start_ns", "span_id")).alias("b"))
+    now = cut(best.select(KEY, F.col("b.span_id").alias("span_id"), "up", F.lit(1).cast("long").alias("distance")))
+    reach = 1
+    longest = spans.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while reach < longest:
+        far = now.select(F.col(KEY).alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col("distance").alias("_d"))
+        now = now.join(far, (F.col(KEY) == F.col("_t")) & (F.col("up") == F.col("_s")), "left")
+        seen = Observation()
+        now = now.observe(seen, F.count("_up").alias("moved")).select(KEY, "span_id", F.coalesce("_up", "up").alias("up"), (F.col("distance") + F.coalesce("_d", F.lit(0))).alias("distance"))
+        now = cut(now)
+        reach *= 2
+        if not seen.get.get("moved"):
             break
-        path = path.unionByName(now)
-        if i % 8 == 0:
-            path = cut(path)
-    return path.select(KEY, "position", "span_id")
+    root = first.select(F.col(KEY).alias("_t"), F.col("span_id").alias("_r"))
+    path = now.join(root, (F.col(KEY) == F.col("_t")) & (F.col("up") == F.col("_r")))
+    return first.select(KEY, F.lit(0).cast("long").alias("position"), "span_id").unionByName(path.select(KEY, F.col("distance").alias("position"), "span_id"))
 
 
 def self_time(spans: DataFrame) -> DataFrame:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalars import ns_to_timestamp, plausible_ns
+from tracelake.functions import redaction
+from tracelake.functions.scalars import content_hash, infer_category, ns_to_timestamp, plausible_ns, provider_of, span_identity, usage
+from tracelake.operators import cost
 from tracelake.operators.rollup import latest, trace_rollup
 from tracelake.sources.otlp import decode
 
+#: Token counts of a span that are stored and priced.
+USED = ("input_tokens", "output_tokens", "cached_input_tokens")
 LATE_NS, SKEW_NS = 7 * 86_400 * 10**9, 300 * 10**9
 
 
@@ -55,21 +59,82 @@ def split_poison(raw: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame]:
     return spans.filter("reject is null").drop("reject"), spans.filter("reject is not null").select("request_id", "index", "reject")
 
 
-def ingest_batch(spans_path: str, dead_path: str, traces_path: str, organization: str, clock: Callable[[], int]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: writes a micro-batch's spans and dead letters
-    under the batch's own partition, overwritten if the batch is replayed, and
-    recomputes the roll-ups of the traces it touched from all their spans."""
+def described(spans: DataFrame, organization: str, policy: redaction.Policy = redaction.Policy()) -> DataFrame:
+    """Decoded spans with what their attributes say (category, provider, model,
+    session, usage and where it comes from), the identity of a delivery, and
+    the attributes redacted last; keys that were are listed among them."""
+    attributes, own = F.col("attributes"), policy.prefix
+    text = lambda *keys: F.coalesce(*(F.nullif(F.try_element_at(attributes, F.lit(k)), F.lit("")) for k in keys), F.lit(""))
+    model = text("gen_ai.request.model", "gen_ai.response.model")
+    out = spans.select(
+        "*", F.lit(organization).alias("organization_id"), infer_category(attributes, own).alias("category"), model.alias("model"),
+        F.coalesce(F.nullif(text("gen_ai.provider.name", "gen_ai.system"), F.lit("")), provider_of(model), F.lit("")).alias("provider"),
+        text(f"{own}session.id", "session.id").alias("session_id"), *(usage(attributes, n, own).alias(n) for n in USED),
+    )
+    known = F.coalesce(*USED).isNotNull()
+    source = text(f"{own}usage.source")
+    out = out.withColumn("usage_source", F.when(~known, "missing").when(source != "", source).otherwise("provider"))
+    identity = span_identity(*(F.col(c) if c != "project_id" else text(f"{own}project.id") for c in ("organization_id", "project_id", "trace_id", "span_id", "start_ns", "end_ns", "name", "status")))
+    out = out.withColumn("content_hash", content_hash(identity)).withColumn("_clean", redaction.attributes(attributes, policy))
+    gone = redaction.redacted_keys(attributes, F.col("_clean"))
+    listed = F.when(F.size(gone) > 0, F.map_concat("_clean", F.create_map(F.lit(f"{own}redacted.keys"), F.to_json(gone)))).otherwise(F.col("_clean"))
+    return out.withColumn("attributes", listed).drop("_clean")
+
+
+def priced(spans: DataFrame, book: DataFrame | None) -> DataFrame:
+    """Adds ``cost_total`` and ``cost_status``: every span that names a
+    provider and a model and reports usage is a billable call, whatever its
+    category; the others have no cost.  Cached input is charged apart."""
+    if book is None:
+        return spans.withColumn("cost_total", F.lit(None).cast(cost.MONEY)).withColumn("cost_status", F.lit(None).cast("string"))
+    id_ = F.concat_ws("/", "trace_id", "span_id", "content_hash")
+    calls = spans.filter("provider <> '' and model <> ''").select(id_.alias("id"), "provider", "model", F.col("start_ns").alias("at_ns"), "usage_source", F.explode(F.create_map(*(x for n in USED for x in (F.lit(n.removesuffix("_tokens")), F.col(n))))).alias("category", "quantity"))
+    got = cost.costs(calls.filter("quantity > 0"), book).select(F.col("id").alias("_id"), F.col("total").alias("cost_total"), F.col("status").alias("cost_status"))
+    return spans.join(got, id_ == F.col("_id"), "left").drop("_id")
+
+
+def history(spark: SparkSession, path: str, days: list[date], traces: DataFrame) -> DataFrame:
+    """The stored spans of some traces: only the folders of these days are
+    read, and Bloom filters on trace ids skip row groups."""
+    return spark.read.parquet(path).filter(F.col("event_date").isin(days)).join(traces.select("trace_id").distinct(), "trace_id", "left_semi")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def ingest_batch(spans_path: str, dead_path: str, traces_path: str, organization: str, clock: Callable[[], int], book: DataFrame | None = None, policy: redaction.Policy = redaction.Policy()) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: writes a micro-batch's spans, redacted and
+    priced, under their event days, and its dead letters, each in the batch's
+    own partition, overwritten if the batch is replayed; then recomputes the
+    roll-ups of the traces it touched from their spans of the days that these
+    traces have any on.  A delivery that repeats within the batch counts once;
+    one that comes in a later batch replaces the first in the roll-up."""
+
+    def put(df: DataFrame, path: str, *by: str) -> None:
+        out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#trace_id", "true")
+        out.partitionBy(*by, "batch_id").parquet(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        good, dead = split_poison(batch.select("request_id", "body"), clock())
-        good = good.withColumn("organization_id", F.lit(organization)).withColumn("ingested_ns", F.lit(clock())).withColumn("batch_id", F.lit(batch_id))
-        put = lambda df, path: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-        put(good, spans_path)
+        now = clock()
+        good, dead = split_poison(batch.select("request_id", "body"), now)
+        good = latest(described(good, organization, policy), ["trace_id", "span_id", "content_hash"], ["request_id", "index"])
+        good = priced(good, book).withColumn("ingested_ns", F.lit(now)).withColumn("batch_id", F.lit(batch_id)).withColumn("event_date", F.to_date(ns_to_timestamp(F.col("start_ns"))))
+        # a day's rows in several files, so that a busy day is no single task
+        put(good.repartition("event_date", F.pmod(F.xxhash64("trace_id"), F.lit(16))), spans_path, "event_date")
         put(dead.withColumn("batch_id", F.lit(batch_id)), dead_path)
-        every = spark.read.parquet(spans_path)
-        touched = every.filter(F.col("batch_id") == batch_id).select("trace_id").distinct()
-        rolled = rollup_of(every.join(touched, "trace_id", "left_semi"))
+        if not _there(spark, spans_path):
+            return
+        own = spark.read.parquet(spans_path).filter(F.col("batch_id") == batch_id).select("trace_id", "event_date")
+        days = own.select("event_date")
+        if _there(spark, traces_path):
+            before = spark.read.parquet(traces_path).select("trace_id", "start_ns", "last_start_ns").join(own.select("trace_id").distinct(), "trace_id", "left_semi")
+            at = lambda c: F.to_date(ns_to_timestamp(F.col(c)))
+            days = days.union(before.select(F.explode(F.sequence(at("start_ns"), at("last_start_ns")))))
+        read = [r[0] for r in days.distinct().collect()]  # days, not rows
+        rolled = rollup_of(history(spark, spans_path, read, own))
         put(rolled.withColumn("batch_id", F.lit(batch_id)), traces_path)
 
     return write
@@ -77,11 +142,7 @@ def ingest_batch(spans_path: str, dead_path: str, traces_path: str, organization
 
 def rollup_of(spans: DataFrame) -> DataFrame:
     """Roll-ups of stored spans: the latest version of each, summed up."""
-    rows = latest(spans, ["organization_id", "trace_id", "span_id"], ["ingested_ns", "batch_id", "index"])
-    text = lambda k: F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit(""))
-    rows = rows.withColumn("model", text("gen_ai.request.model")).withColumn("session_id", text("session.id")).withColumn("category", F.lit("custom"))
-    rows = rows.withColumn("input_tokens", text("gen_ai.usage.input_tokens").try_cast("long")).withColumn("output_tokens", text("gen_ai.usage.output_tokens").try_cast("long")).withColumn("cost_total", F.lit(None).cast("decimal(26,12)"))
-    return trace_rollup(rows)
+    return trace_rollup(latest(spans, ["organization_id", "trace_id", "span_id"], ["ingested_ns", "batch_id", "index"]))
 
 
 def current_traces(spark: SparkSession, traces_path: str) -> DataFrame:
