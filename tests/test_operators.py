@@ -226,3 +226,64 @@ def test_versions_and_aliases(spark):
     left = spark.createDataFrame([("m", {"a": "1", "b": "2"})], "k string, fields map<string,string>")
     right = spark.createDataFrame([("m", {"a": "1", "b": "3", "c": "4"})], "k string, fields map<string,string>")
     assert {(r.field, r.change) for r in registry.field_diff(left, right, ["k"]).collect()} == {("b", "modified"), ("c", "added")}
+
+
+def chain(n, trace="t"):
+    """A trace of n spans, each below the one before."""
+    return [(trace, f"{i:04d}", f"{i - 1:04d}" if i else "", i, 1000 - i, "n") for i in range(n)]
+
+
+TREE = "trace_id string, span_id string, parent_span_id string, start_ns long, end_ns long, name string"
+
+
+def test_deep_traces_and_cycles(spark):
+    """No cap on ancestors or paths; cycles end, and lead nowhere."""
+    cycle = [("c", "a", "b", 0, 9, "n"), ("c", "b", "a", 1, 9, "n"), ("c", "x", "a", 2, 9, "n"), ("c", "r", "", 3, 9, "n"), ("c", "k", "r", 4, 8, "n")]
+    spans = spark.createDataFrame(chain(150) + cycle, TREE)
+    got = {(r.trace_id, r.span_id): r.descendants for r in tree.descendants(spans).collect()}
+    assert all(got["t", f"{i:04d}"] == 149 - i for i in range(150))
+    assert {k[1]: v for k, v in got.items() if k[0] == "c"} == {"a": 2, "b": 2, "x": 0, "r": 1, "k": 0}
+    path = sorted((r.trace_id, r.position, r.span_id) for r in tree.critical_path(spans).collect())
+    assert path == [("c", 0, "r"), ("c", 1, "k")] + [("t", i, f"{i:04d}") for i in range(150)]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Whole texts and all documents of a step, whatever they begin with."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    opening = " ".join(word() for _ in range(600))
+    texts = {}
+    for i in range(90):
+        words = [word() for _ in range(rng.randrange(3, 400))]
+        texts[f"{i:03d}"] = " ".join(words)
+        for _ in range(1 + i % 7):
+            words[rng.randrange(len(words))] = word()
+        texts[f"{i:03d}c"] = " ".join(words)
+    texts |= {"900": opening + " " + " ".join(word() for _ in range(900)), "901": opening + " " + " ".join(word() for _ in range(900)), "902": "", "903": "  "}
+    rows = [(s, i, k, t) for s in ("s", "r") for k, (i, t) in enumerate(sorted(texts.items()))]
+
+    def grams(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t in texts.items()}
+    ids = sorted(i for i in sets if sets[i])
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b]) - 1e-9}
+    docs = spark.createDataFrame(rows, "step_id string, document_id string, rank int, content_preview string")
+    got = retrieval.near_duplicates(docs).collect()
+    assert len(want) > 5 and {(r.left_id, r.right_id) for r in got if r.step_id == "s"} == want and len(got) == 2 * len(want)
+    some = {(r.left_id, r.right_id) for r in retrieval.near_duplicates(docs, first=20).collect()}
+    assert some == {p for p in want if max(sorted(texts).index(x) for x in p) < 20}
+
+
+def test_filter_texts_as_values():
+    assert filters.coerce(SPANS, "input_tokens", "12") == 12 and filters.coerce(SPANS, "duration_ms", "1.5") == 1.5
+    assert filters.coerce(SPANS, "status", "error") == "error"
+    for name, token in (("input_tokens", "1.5"), ("duration_ms", "x"), ("status", "errr")):
+        with pytest.raises(ValueError, match=name):
+            filters.coerce(SPANS, name, token)
+
+
+def test_latest_takes_nulls_as_least(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, 4), (None, 4, 1), (None, 5, 2)], "k string, x int, v int")
+    assert sorted((r.k or "", r.x) for r in rollup.latest(df, ["k"], ["v"]).collect()) == [("", 5), ("a", 2)]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: (2000 to 2100, Unix nanoseconds).
 CATEGORIES = ("llm_generation", "chat_completion", "embedding", "retrieval", "rerank", "prompt_render", "guardrail", "tool_call", "agent_decision", "agent_handoff", "workflow_step", "db_query", "http_request", "queue_operation", "custom")
 PLAUSIBLE = (946_684_800 * 10**9, 4_102_444_800 * 10**9)
+#: Fixed value: Crockford's base-32 alphabet.
+BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 #: Fragments that tell a model's provider, in order.
 PROVIDER_HINTS = {
     "openai": ("gpt", "o1", "o3", "o4", "text-embedding", "davinci", "babbage"),
@@ -114,6 +116,35 @@ def provider_of(model: Column) -> Column:
     return out
 
 
+def model_family(model: Column) -> Column:
+    """The first hint of the model's provider that its name holds."""
+    name = F.lower(model)
+    out = F.lit(None).cast("string")
+    for hints in reversed(PROVIDER_HINTS.values()):
+        family = F.lit(None).cast("string")
+        for h in reversed(hints):
+            family = F.when(name.contains(h), h).otherwise(family)
+        out = F.when(reduce(lambda a, b: a | b, (name.contains(h) for h in hints)), family).otherwise(out)
+    return out
+
+
+def partition_of(key: Column, partitions: int = 8) -> Column:
+    """Where a key goes on the bus: its bytes in base 131, modulo 2^32."""
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.hex(F.substring(F.encode(key, "UTF-8"), i, 1)), 16, 10).cast("long"))
+    bytes_ = F.when(F.octet_length(key) > 0, codes).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.aggregate(bytes_, F.lit(0).cast("long"), lambda h, b: (h * 131 + b) % (1 << 32)) % partitions
+
+
+def ulid(prefix: str, ms: Column, seed: Column) -> Column:
+    """A prefixed id that sorts by time: 48 bits of milliseconds and 80 of a
+    hash of ``seed``, in base 32 (ten digits and sixteen)."""
+    digit = lambda n: F.substring(F.lit(BASE32), n.cast("int") + 1, 1)
+    time = [digit(F.shiftrightunsigned(ms, 5 * k).bitwiseAND(F.lit(31))) for k in range(9, -1, -1)]
+    halves = [F.conv(F.substring(F.sha2(seed, 256), at, 10), 16, 10).cast("long") for at in (1, 11)]
+    rest = [digit(F.shiftrightunsigned(h, 5 * k).bitwiseAND(F.lit(31))) for h in halves for k in range(7, -1, -1)]
+    return F.concat(F.lit(f"{prefix}_"), *time, *rest)
+
+
 def canonical_model(model: Column) -> Column:
     """Without a region prefix."""
     return F.regexp_replace(model, r"^(?:us-gov|us|eu|apac)\.", "")

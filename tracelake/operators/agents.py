@@ -54,6 +54,21 @@ def loops(steps: DataFrame) -> DataFrame:
     return deep.join(repeated, "run_id", "left").select("run_id", ((F.col("deepest") > 2) | (F.coalesce("most", F.lit(0)) >= 3)).alias("loop_detected"))
 
 
+def limits(steps: DataFrame) -> DataFrame:
+    """``run_id, termination_reason, max_steps, total_steps, retry_count,
+    truncated``: the last reason and budget that a trajectory's steps name, in
+    the order of a graph, and whether that graph leaves steps out."""
+    at = F.struct("agent_id", "step_number", "start_ns")
+    said = F.coalesce(F.col("termination_reason"), F.lit("")) != ""
+    return steps.groupBy("run_id").agg(
+        F.coalesce(F.max_by("termination_reason", F.when(said, at)), F.lit("")).alias("termination_reason"),
+        F.max_by("max_steps", F.when(F.col("max_steps").isNotNull(), at)).alias("max_steps"),
+        F.count("*").alias("total_steps"),
+        F.count("retry_of").alias("retry_count"),
+        (F.count("*") > MAX_NODES).alias("truncated"),
+    )
+
+
 def longest_paths(steps: DataFrame, limit: int | None = MAX_NODES) -> DataFrame:
     """``run_id, node, best_ns, on_path``: the path of greatest total duration
     over forward edges in order of (step, agent).  Relaxation by rounds: each

@@ -4,13 +4,14 @@ pushes it to the scan."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.plans.fields import ARRAY, ENUM, OPERATORS, STRING, Table
+from tracelake.plans.fields import ARRAY, ENUM, INTEGER, NUMBER, OPERATORS, STRING, TIMESTAMP, Table
 
 MAX_FILTERS, MAX_VALUES = 25, 200
 MAX_RANGE_NS = 400 * 86_400 * 10**9
@@ -90,6 +91,46 @@ def text_query(table: Table, text: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(i) == text for i in ids), F.col(name).contains(text))
 
 
+def coerce(table: Table, name: str, token: str) -> Any:
+    """A filter's text as a value of the field's type; raises ValueError with
+    what the field would take."""
+    kind = table.field(name).kind
+    try:
+        if kind == INTEGER:
+            return int(token)
+        if kind == NUMBER:
+            return float(token)
+        if kind == TIMESTAMP:
+            at = datetime.fromisoformat(token)
+            return at if at.tzinfo else at.replace(tzinfo=UTC)
+    except ValueError:
+        raise ValueError(f"{token!r} is no {kind} value for {name!r}") from None
+    allowed = table.field(name).values
+    if allowed and token not in allowed:
+        raise ValueError(f"{name!r} has no value {token!r}; known: {', '.join(allowed)}")
+    return token
+
+
+AUDITED = ("action", "actor_id", "resource_type", "resource_id", "project_id", "outcome")
+
+
+def audit(events: DataFrame, organization: str, conditions: Sequence[Condition] = (), start: Any = None, end: Any = None, after: tuple[Any, Any] | None = None, limit: int = 50) -> DataFrame:
+    """A page of an organization's audit events, newest first, one row more
+    than the page to tell whether another follows.  Conditions on other fields,
+    or with other operators, are passed over; starts_with and contains take
+    ``%`` and ``_`` as wildcards."""
+    out = events.filter(F.col("organization_id") == organization)
+    out = out if start is None else out.filter(F.col("occurred_at") >= start)
+    out = out if end is None else out.filter(F.col("occurred_at") < end)
+    for name, op, value in conditions:
+        c = F.col(name) if name in AUDITED else None
+        tests = {"eq": lambda: c == value, "ne": lambda: c != value, "in": lambda: c.isin(list(value)), "starts_with": lambda: c.like(f"{value}%"), "contains": lambda: c.like(f"%{value}%")}
+        out = out.filter(tests[op]()) if c is not None and op in tests else out
+    if after is not None:
+        out = out.filter((F.col("occurred_at") < after[0]) | ((F.col("occurred_at") == after[0]) & (F.col("id") < after[1])))
+    return out.orderBy(F.desc("occurred_at"), F.desc("id")).limit(limit + 1)
+
+
 def where(df: DataFrame, table: Table, conditions: Sequence[Condition] = (), *more: Column) -> DataFrame:
     if len(conditions) > MAX_FILTERS:
         raise ValueError(f"at most {MAX_FILTERS} filters")

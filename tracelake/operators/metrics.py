@@ -149,7 +149,8 @@ def distinct_values(df: DataFrame, column: str, prefix: str | None = None, limit
 def shares(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Each group's part of the total."""
     sums = df.groupBy(*by).agg(F.sum(column).alias("total"))
-    return sums.withColumn("share", F.col("total").cast("double") / F.sum(F.col("total").cast("double")).over(W.partitionBy()))
+    whole = sums.agg(F.sum(F.col("total").cast("double")).alias("_whole"))  # one row
+    return sums.crossJoin(F.broadcast(whole)).withColumn("share", F.col("total").cast("double") / F.col("_whole")).drop("_whole")
 
 
 def converted_totals(df: DataFrame, rates: DataFrame, amount: str = "total", currency: str = "currency") -> DataFrame:

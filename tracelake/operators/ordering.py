@@ -71,3 +71,22 @@ def vector_top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     q = F.array(*(F.lit(float(x)) for x in query))
     score = F.aggregate(F.zip_with(F.transform(vector_col, lambda x: x.cast("double")), q, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+#: Rows that a view of one trace shows: its spans, and each kind of child.
+SPANS_SHOWN, CHILDREN_SHOWN = 10_000, 20_000
+#: The order of each kind of child.
+CHILD_ORDER = {"events": ("time_ns", "sequence"), "documents": ("span_id", "rank"), "steps": ("step_number", "start_ns"), "costs": ("time_ns",)}
+
+
+def trace_spans(spans: DataFrame, trace_id: Any, limit: int = SPANS_SHOWN) -> DataFrame:
+    """A trace's spans by start, then id."""
+    return spans.filter(F.col("trace_id") == trace_id).orderBy("start_ns", "span_id").limit(limit)
+
+
+def children(rows: DataFrame, kind: str, trace_id: Any, span_id: str | None = None, limit: int = CHILDREN_SHOWN) -> DataFrame:
+    """A trace's, or a span's, events, documents, steps or costs in order."""
+    rows = rows.filter(F.col("trace_id") == trace_id)
+    if span_id:
+        rows = rows.filter(F.col("span_id") == span_id)
+    return rows.orderBy(*CHILD_ORDER[kind]).limit(limit)

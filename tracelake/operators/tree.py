@@ -45,26 +45,25 @@ def depths(spans: DataFrame) -> DataFrame:
 
 
 def ancestors(spans: DataFrame) -> DataFrame:
-    """``trace_id, span_id, ancestor, distance`` for all pairs, level by level;
-    on a cycle each pair once, and no span is its own ancestor.  Beyond 64
-    levels, where only cycles or very deep traces are left, pairs seen before
-    end their line."""
-    links = cut(_links(spans).filter("up is not null and up <> span_id"))
-    now = links.select(KEY, "span_id", F.col("up").alias("ancestor"), F.lit(1).alias("distance"))
-    step = links.select(F.col(KEY).alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"))
-    total, d = now, 1
+    """``trace_id, span_id, ancestor, distance`` for all pairs; on a cycle each
+    pair once, and no span is its own ancestor.
+
+    A round doubles the reach: what is within a span's reach, and what is
+    within that of the span at its end.  Where pointers still lead on beyond
+    64 levels, the largest trace bounds the reach, as only a cycle exceeds it."""
+    links = cut(_links(spans).filter("up is not null"))
+    pairs = links.select(KEY, "span_id", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
+    jump, reach, longest = links, 1, None
     while True:
-        d += 1
-        far = now.join(step, (F.col(KEY) == F.col("_t")) & (F.col("ancestor") == F.col("_s"))).select(KEY, "span_id", F.col("_up").alias("ancestor"), F.lit(d).alias("distance")).filter("ancestor <> span_id")
-        if d > MAX_DEPTH:
-            far = far.join(total, [KEY, "span_id", "ancestor"], "left_anti").select(KEY, "span_id", "ancestor", "distance")
-        now = cut(far)
-        if now.isEmpty():
-            break
-        total = total.unionByName(now)
-        if d >= MAX_DEPTH and d % 8 == 0:
-            total = cut(total)
-    return total.groupBy(KEY, "span_id", "ancestor").agg(F.min("distance").alias("distance"))
+        ends = jump.select(F.col(KEY).alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"))
+        far = ends.join(pairs, (F.col(KEY) == F.col("_t")) & (F.col("span_id") == F.col("_up"))).select(KEY, F.col("_s").alias("span_id"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        on = jump.join(ends, (F.col(KEY) == F.col("_t")) & (F.col("up") == F.col("_s"))).select(KEY, "span_id", F.col("_up").alias("up"))
+        pairs, jump = cut(pairs.unionByName(far)), cut(on)
+        reach *= 2
+        if longest is None and reach >= MAX_DEPTH:
+            longest = spans.groupBy(KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if jump.isEmpty() or (longest is not None and reach >= longest):
+            return pairs.filter("ancestor <> span_id").groupBy(KEY, "span_id", "ancestor").agg(F.min("distance").alias("distance"))
 
 
 def descendants(spans: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import redaction, scalars
 from tracelake.operators import cost, metrics, registry, retrieval, rollup, tree
-from tracelake.queries import A, D, DAY, E, L, _book, _latest, query
+from tracelake.queries import A, D, E, L, _latest, query
 from tracelake.sources import adapters, sinks
 
+HOUR = metrics.INTERVALS["1h"]
+
 
 @query("select event_id, epoch_us(ts) // 1000000 * 1000 seconds_ms, epoch_us(ts) * 1000 between 946684800000000000 and 4102444800000000000 plausible, value * 1e6 / 1e6 ms from events")
 def fn_time(spark, sf_dir):
@@ -63,14 +65,29 @@ def fn_provider_usage(spark, sf_dir):
     return e.select("event_id", name.alias("provider"), scalars.provider_usage(name, raw).alias("u")).select("event_id", "provider", "u.*")
 
 
-@query("select event_id, case when event_id % 2 = 0 then event_type || '-x' else event_type end as name, props from events where event_id % 2 < 2")
+@query("""select event_id, substr(event_type, 1, 4) as name, '{"k":"' || json_extract_string(props, '$.k') || '"}' props from events""")
 def fn_truncate_project(spark, sf_dir):
     """Text cut to a column's limit, and a map less promoted keys as JSON."""
     e = adapters.table(spark, sf_dir, "events")
-    long = F.when(F.col("event_id") % 2 == 0, F.concat("event_type", F.lit("-x" + "y" * 9))).otherwise(F.col("event_type"))
     m = F.map_concat(scalars.json_map(F.col("props")), F.create_map(F.lit("promoted"), F.lit("1")))
-    plain = F.concat(F.lit('{"k": '), F.try_element_at(scalars.without_keys(m, ["promoted"]), F.lit("k")), F.lit("}"))
-    return e.select("event_id", F.substring(long, 1, F.length("event_type") + 2).alias("name"), plain.alias("props"))
+    return e.select("event_id", F.substring("event_type", 1, 4).alias("name"), F.to_json(scalars.without_keys(m, ["promoted"])).alias("props"))
+
+
+@query("""with recursive b as (select event_id, event_type || '-é' k from events), x as (select event_id, k, 0 i, cast(0 as bigint) h from b union all select event_id, k, i + 1, (h * 131 + cast('0x' || substr(hex(encode(k)), 2 * i + 1, 2) as bigint)) % 4294967296 from x where i < octet_length(encode(k))) select event_id, h % 8 as "partition" from x where i = octet_length(encode(k))""")
+def fn_partition(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "events").select("event_id", scalars.partition_of(F.concat("event_type", F.lit("-é"))).alias("partition"))
+
+
+@query(f"with {E}, x as (select span_id, case when cast(span_id as bigint) % 2 = 0 then input_tokens else 7 end i, case when cast(span_id as bigint) % 3 = 0 then null else output_tokens end o from e) select span_id, i input_tokens, o output_tokens from x")
+def fn_usage_extract(spark, sf_dir):
+    """The platform's key wins by presence, with a value or without."""
+    s = adapters.event_spans(spark, sf_dir)
+    n = F.col("span_id").cast("long")
+    pairs = F.create_map(F.lit("gen_ai.usage.input_tokens"), F.col("input_tokens").cast("string"), F.lit("gen_ai.usage.output_tokens"), F.col("output_tokens").cast("string"))
+    own = F.when(n % 2 == 1, F.create_map(F.lit("platform.usage.input_tokens"), F.lit("7"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    none = F.when(n % 3 == 0, F.create_map(F.lit("platform.usage.output_tokens"), F.lit("?"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    m = F.map_concat(pairs, own, none)
+    return s.select("span_id", scalars.usage(m, "input_tokens").alias("input_tokens"), scalars.usage(m, "output_tokens").alias("output_tokens"))
 
 
 @query(f"with {E} select span_id, coalesce(cast(cast(cost_total as decimal(26,6)) as varchar), '-') cost, case when duration_ns / 1e6 < 1000 then cast(round(duration_ns / 1e6) as bigint) || 'ms' else '-' end took from e")
@@ -114,16 +131,17 @@ def agg_usage_acc(spark, sf_dir):
     return adapters.event_spans(spark, sf_dir).withColumn("usage_source", source).groupBy("trace_id").agg(rollup.weakest_source().alias("usage_source"))
 
 
-@query("select count(*) as \"rows\" from events")
+@query("select count(*) as \"rows\", cast(sum(strlen(cast(to_json(struct_pack(a := event_id, b := event_type, c := props)) as varchar))) as bigint) bytes from events")
 def agg_manifest(spark, sf_dir):
-    return sinks.manifest(adapters.table(spark, sf_dir, "events")).select("rows")
+    """Rows, and bytes as JSON lines."""
+    return sinks.manifest(adapters.table(spark, sf_dir, "events").select(F.col("event_id").alias("a"), F.col("event_type").alias("b"), F.col("props").alias("c")))
 
 
-@query(f"with {E}, b as (select start_ns // {DAY} * {DAY} bucket, name, count(*) n from e where user_id % 30 = 3 group by 1, 2), g as (select *, bucket - row_number() over (partition by name order by bucket) * {DAY} k from b) select name, min(bucket) \"first\", max(bucket) \"last\", count(*) points from g group by name, k")
+@query(f"with {E}, b as (select start_ns // {HOUR} * {HOUR} bucket, session_id, name, count(*) n from e group by 1, 2, 3), g as (select *, bucket - row_number() over (partition by session_id, name order by bucket) * {HOUR} k from b) select session_id, name, min(bucket) \"first\", max(bucket) \"last\", count(*) points from g group by session_id, name, k")
 def chart_segments(spark, sf_dir):
-    rare = adapters.event_spans(spark, sf_dir).filter(F.split("trace_id", "-")[0].cast("long") % 30 == 3)
-    series = metrics.timeseries(rare, "start_ns", DAY, metrics.measure("count"), ["name"])
-    return metrics.segments(series, ["name"], DAY).drop("segment")
+    by = ["session_id", "name"]
+    series = metrics.timeseries(adapters.event_spans(spark, sf_dir), "start_ns", HOUR, metrics.measure("count"), by)
+    return metrics.segments(series, by, HOUR).drop("segment")
 
 
 @query(f"with {L}, u as (select trace_id, name, min((start_ns, span_id)) born from l group by 1, 2) select trace_id, string_agg(name, '|' order by born) services from u group by trace_id")
@@ -163,18 +181,26 @@ def alias_resolve(spark, sf_dir):
     return got.join(after.select("name", "previous_version_id"), "name").select("name", "version_id", "previous_version_id", "n_name")
 
 
-@query("with p as (select p_brand model, p_size, p_partkey from part), own as (select distinct model, p_size from p where p_partkey % 3 = 0), pub as (select distinct model, p_size from p where p_partkey % 3 = 1) select model, p_size tier_min, 'tenant' origin from own union all select model, p_size, 'public' from pub where (model, p_size) not in (select model, p_size from own)")
+@query("with p as (select p_brand model, p_size, p_partkey from part), own as (select distinct model, p_size from p where p_partkey % 3 <> 1), pub as (select distinct model, p_size from p where p_partkey % 3 <> 0) select model, p_size tier_min, 'tenant' origin from own union all select model, p_size, 'public' from pub where (model, p_size) not in (select model, p_size from own)")
 def tenant_precedence(spark, sf_dir):
+    """Every part is a tenant's rule, a public one or both."""
     p = adapters.table(spark, sf_dir, "part")
     third = F.col("p_partkey") % 3
-    book = p.filter(third < 2).select(F.lit("acme").alias("provider"), F.col("p_brand").alias("model"), F.lit("input").alias("category"), F.lit(0).alias("from_ns"), F.col("p_size").alias("tier_min"), F.when(third == 0, "t").alias("organization_id")).distinct()
+    owner = F.explode(F.when(third == 0, F.array(F.lit("t"))).when(third == 1, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit("t"), F.lit(None).cast("string"))))
+    book = p.select(F.lit("acme").alias("provider"), F.col("p_brand").alias("model"), F.lit("input").alias("category"), F.lit(0).alias("from_ns"), F.col("p_size").alias("tier_min"), owner.alias("organization_id")).distinct()
     return cost.tenant_rules(book, "t").select("model", "tier_min", F.when(F.col("organization_id").isNull(), "public").otherwise("tenant").alias("origin"))
 
 
-@query("select count(*) n from (values (1)) where 1 = 0 having true")
+@query("select p_partkey from part where p_partkey % 7 = 0 or p_partkey % 11 = 0 or p_size % 5 = 0 or p_size % 6 = 1 or p_partkey % 13 = 0")
 def price_invalid(spark, sf_dir):
-    """The price book of the cost queries has no invalid rule."""
-    return cost.invalid(_book(spark)).agg(F.count("*").alias("n"))
+    """Parts as price rules, some of them wrong in each of the five ways."""
+    p, k, size = adapters.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("long")
+    rules = p.select(
+        "p_partkey", F.when(k % 7 == 0, -1).otherwise(F.col("p_retailprice")).alias("unit_price"), F.when(k % 11 == 0, 0).otherwise(1000).alias("unit_quantity"),
+        F.when(k % 13 == 0, F.lit(1.0)).alias("discount"), size.alias("from_ns"), F.when(F.col("p_size") % 5 == 0, size).when(F.col("p_size") % 2 == 0, size + 1).alias("to_ns"),
+        F.lit(3).alias("tier_min"), F.when(F.col("p_size") % 6 == 1, 3).otherwise(9).alias("tier_max"),
+    )
+    return cost.invalid(rules).select("p_partkey")
 
 
 @query(f"with {E} select organization_id, trace_id, span_id from e where trace_id not in (select trace_id from e where name = 'signup')")
@@ -199,9 +225,12 @@ def sink_offload(spark, sf_dir):
     return rows.filter("payload_ref is not null").select(F.col("l_orderkey").alias("trace_id"), F.regexp_replace("payload_ref", "^sha256:", "").alias("ref"))
 
 
-@query("select count(*) spans, count(*) // 8 traces from range(8000)")
+@query("""with n as (select range id from range(8000)) select cast(id % 8 as varchar) span_id, case when id % 8 > 0 then cast((id % 8 - 1) // 2 as varchar) else '' end parent, count(*) spans, cast(sum(id // 8 * 1000000000 + id % 8 * 1000000) as bigint) starts, 50 sessions, true plausible from n group by 1, 2, id % 8""")
 def src_demo_gen(spark, sf_dir):
-    return adapters.generated_spans(spark, 1000).agg(F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"))
+    """The shape of the generated traces; draws stay within their bounds."""
+    s = adapters.generated_spans(spark, 1000)
+    fine = F.col("input_tokens").between(200, 3999) & F.col("output_tokens").between(20, 799) & F.col("duration_ns").between(10_000_000, 409_000_000) & F.col("status").isin("ok", "error")
+    return s.groupBy("span_id", F.col("parent_span_id").alias("parent")).agg(F.count("*").alias("spans"), F.sum(F.col("start_ns") - 1_704_067_200 * 10**9).alias("starts"), F.count_distinct("session_id").alias("sessions"), F.bool_and(fine).alias("plausible"))
 
 
 @query(f"with {L} select trace_id, min(start_ns) start_ns, max(end_ns) end_ns, count(*) n from l where category in ('retrieval', 'rerank') or category = 'chat_completion' group by trace_id")

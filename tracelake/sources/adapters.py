@@ -90,6 +90,11 @@ def retrieval_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retrieval step for each source, its documents whole."""
+    return table(spark, sf_dir, "documents").select("source", F.col("source").alias("step_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").alias("rank"), F.col("text").alias("content_preview"))
+
+
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``step_id, document_id, gain`` from the quality labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -111,6 +116,8 @@ def agent_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 2 == 0, "b").otherwise("").alias("branch_id"),
         F.when(F.col("turn") == 1, F.lpad((F.col("conv_id") + 1).cast("string"), 8, "0")).otherwise("").alias("handoff_target"),
         F.lit(None).cast("int").alias("loop_iteration"),
+        F.when(F.col("turn") % 3 == 2, F.concat("role", F.lit("-done"))).otherwise("").alias("termination_reason"),
+        F.when(F.col("turn") % 2 == 1, F.col("turn") + 5).alias("max_steps"),
         (F.col("turn") * 1000).alias("start_ns"),
         (F.col("n") * 1000).cast("long").alias("duration_ns"),
     )
