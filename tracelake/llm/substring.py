@@ -7,6 +7,10 @@ where hashes that come from two blocks are found.  Those go back to the blocks
 that have them; there, windows that repeat, within a block or across, merge
 into maximal intervals, whose words go.
 
+Texts too short for a window are in no block.  Of rows that repeat over
+COPIES times two stand in the blocks for all, so that neither nulls nor copies
+of one row fill a block.
+
 A hash is 64 bits, and equal hashes meet in a bucket that another hash of the
 window picks, so by chance two different windows agree once in 2^(64 + log2
 buckets) pairs; the number of buckets grows with the corpus.  A bucket gets at
@@ -22,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import text_bytes
+from tracelake.llm.common import cut, text_bytes
 
 WINDOW = 35
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 6 << 20
+#: Copies of one row (id and text) that may stand in a block, and copies that
+#: a task unfolds at a time.
+COPIES, UNFOLDED = 1000, 1 << 16
 _BASE = 0x9E3779B97F4A7C55
 _BASE2 = 0xC2B2AE3D27D4EB4F
 
@@ -101,7 +108,7 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, copies: int = COPIES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for each row of ``docs``.
 
     kept has the words outside all repeated windows, joined by one space.  A
@@ -113,7 +120,30 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = text_bytes(docs, text_col)
     blocks, buckets = total // block_bytes + 1, total // bucket_bytes + 1
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(blocks)).alias("block"))
+    schema = f"doc_id {id_type}, n_words long, n_removed long, kept string"
+    every = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * window - 1  # words and what parts them
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that need no block: all of their words go, or none."""
+        for batch in batches:
+            words, gone = [_words(t) for t in batch.column(1).to_pylist()], batch.column(3).to_pylist()
+            removed = [len(w) if g and len(w) >= window else 0 for w, g in zip(words, gone)]
+            kept = [b"" if r else b" ".join(w) for w, r in zip(words, removed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), batch.column(2)], ["doc_id", "n_words", "n_removed", "kept", "n"])
+
+    apart = every.filter(short).select("doc_id", "text", F.lit(1).cast("long").alias("n"), F.lit(False).alias("gone"))
+    rows = every.filter(~short).withColumn("shown", F.lit(True))
+    often = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > copies).select("h"))
+    if not often.isEmpty():
+        counted = cut(rows.join(often, "h", "left_semi").groupBy("doc_id", "text", "h").agg(F.count("*").alias("n")))
+        apart = apart.unionByName(counted.filter("n > 1").select("doc_id", "text", "n", F.lit(True).alias("gone")))
+        twice = counted.select("doc_id", "text", "h", (F.col("n") == 1).alias("shown"), F.explode(F.sequence(F.lit(1), F.least("n", F.lit(2)).cast("int")))).drop("col")
+        rows = rows.join(often, "h", "left_anti").unionByName(twice)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(UNFOLDED).cast("long"))))
+    copy = F.explode(F.sequence(F.col("_part") * UNFOLDED + 1, F.least("n", (F.col("_part") + 1) * UNFOLDED)))
+    apart = apart.mapInArrow(whole, f"{schema}, n long").withColumn("_part", part).withColumn("_copy", copy).select("doc_id", "n_words", "n_removed", "kept")
+    rows = rows.select("doc_id", "text", F.pmod("h", F.lit(blocks)).alias("block"), "shown")
 
     def share(table: pa.Table) -> pa.Table:
         hasher, found = WindowHasher(window), []
@@ -153,14 +183,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             flags[order[start : start + len(x)]] = hit[inverse]
             start += len(x)
         n_words, n_removed, kept, start = [], [], [], 0
-        for words, (hs, _) in zip(texts, hashed):
+        shown = left.column("shown").to_pylist()
+        for words, (hs, _), show in zip(texts, hashed, shown):
+            if not show:
+                start += len(hs)
+                continue
             gone = covered(np.flatnonzero(flags[start : start + len(hs)]), len(words), window)
             start += len(hs)
             n_words.append(len(words))
             n_removed.append(int(gone.sum()))
             kept.append(b" ".join(words if not n_removed[-1] else [w for w, g in zip(words, gone.tolist()) if not g]))
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": left.column("doc_id").filter(left.column("shown")), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     shares = rows.groupBy("block").applyInArrow(share, "bucket long, block long, hashes binary")
     back = shares.groupBy("bucket").applyInArrow(repeated, "block long, bucket long, at binary")
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(remove, f"doc_id {id_type}, n_words long, n_removed long, kept string")
+    return apart.unionByName(rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(remove, schema))
