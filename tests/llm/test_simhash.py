@@ -144,10 +144,21 @@ def jaccard_components(texts, least=0.8, n=5):
     return label
 
 
-@pytest.mark.parametrize("rows", [1024, 3])
-def test_similar_documents_recall(spark, make, rows):
+def test_signatures_bound_the_difference():
+    """No pair of sets differs in fewer shingles than their signatures in bits."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        both, a, b = (rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 300)) for _ in range(3))
+        x, y = np.unique(np.concatenate((both, a))), np.unique(np.concatenate((both, b)))
+        differ = int(np.bitwise_count((simhash.parities(x) ^ simhash.parities(y)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize(("rows", "many"), [(1024, 16), (3, 2)])
+def test_similar_documents_recall(spark, make, monkeypatch, rows, many):
     """Lone pairs of similarity 0.7 to 0.9 and a family of copies, against
     brute force; shingles of many documents whole and in parts."""
+    monkeypatch.setattr(simhash, "MANY", many)
     rng = random.Random(12)
     texts = []
     for k in range(150):

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import cut
@@ -289,11 +290,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Rows of one side that meet in one group of the join on shingles.
 BUCKET_ROWS = 1024
+#: Nodes on a shingle from which on their signatures are compared as well, and
+#: the longs of a signature.
+MANY, SIGNATURE = 16, 8
 #: Documents sampled, and shingles listed, to put common shingles last.  They
 #: set an order only; what is found does not depend on them.
 SAMPLE_DOCS, COMMON = 20_000, 100_000
 #: Nodes whose texts are fetched by a broadcast of their names.
-BROADCAST_NODES = 500_000
+BROADCAST_NODES = 100_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -345,16 +349,31 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r[0] for r in reversed(rows)], np.int64)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """For each of 64 * SIGNATURE classes of shingles whether a set has an odd
+    number of them, as longs.  Two sets' signatures differ in no more bits than
+    the sets differ in shingles."""
+    odd = np.bincount((values.view(np.uint64) >> np.uint64(17)) % np.uint64(64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _node(values: np.ndarray) -> int:
+    """The name of a set."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``doc_id, text, node, fp, n, prefix``: node names the shingle set, fp is
-    its SimHash, n its size; prefix has its first shingles, common ones last."""
+    """``doc_id, th, node, fp, n, prefix, s0...``: th is a hash of the text;
+    node names the shingle set, fp is its SimHash, n its size; prefix has its
+    first shingles, common ones last; the rest is its signature."""
     common = _common(docs, shingle)
     order = np.argsort(common, kind="stable")
     listed = common[order]
+    signature = [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             first = []
             for v in sets:
                 rank = np.zeros(len(v), np.int64)
@@ -362,26 +381,32 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(listed, v), len(listed) - 1)
                     rank = np.where(listed[at] == v, order[at] + 1, 0)
                 first.append(v[np.argsort(rank, kind="stable")][: int(prefix_length(len(v), similarity)) if len(v) else 0])
-            node = [int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in sets]
-            columns = [pa.array(node, pa.int64()), pa.array([_set_fingerprint(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text", "node", "fp", "n", "prefix"])
+            bits = np.array([parities(v) for v in sets], np.int64).reshape(-1, SIGNATURE)
+            columns = [pa.array([_node(v) for v in sets], pa.int64()), pa.array([_set_fingerprint(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *map(pa.array, bits.T)], ["doc_id", "th", "node", "fp", "n", "prefix", *signature])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {id_type}, text string, node long, fp long, n int, prefix array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in signature))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached;
+    ``nodes`` has the hash of a text of each, by which it is found again."""
     pairs = cut(pairs)
-    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    small = asked.count() <= BROADCAST_NODES
-    texts = rows.select("node", "text").join(F.broadcast(asked) if small else asked, "node", "left_semi")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    seen = Observation()
+    asked = cut(named.join(nodes.select("node", "th"), "node").observe(seen, F.count("*").alias("n")))
+    small = (seen.get.get("n") or 0) <= BROADCAST_NODES
+    texts = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(asked) if small else asked, "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_set(t, shingle) for t in part.column(1).to_pylist()])], ["node", "set"])
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                good = [(n, v) for n, v in zip(part.column(0).to_pylist(), sets) if _node(v) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in good], pa.int64()), _lists([v for _, v in good])], ["node", "set"])
 
     sets = cut(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set array<bigint>"))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
@@ -390,44 +415,66 @@ def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
 
 
-def _candidates(rows: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, prefix, s0...``: one row for each node.  Only copies are
+    brought together, each partition's first."""
+    wanted = ["node", "n", "prefix", *(f"s{i}" for i in range(SIGNATURE))]
+    seen = Observation()
+    copied = cut(nodes.filter("copies > 1").select("node").observe(seen, F.count("*").alias("n")))
+    copied = F.broadcast(copied) if (seen.get.get("n") or 0) <= 10 * BROADCAST_NODES else copied
+    rest = rows.select(*wanted).join(copied, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in wanted[1:]))
+    return rows.select(*wanted).join(copied, "node", "left_anti").unionByName(rest)
+
+
+def _candidates(singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
     """``a, b``: every pair of nodes of different labels that can reach the
     similarity: they share a shingle of their prefixes, in sizes and places
     that leave room for enough others.
 
     A shingle of many nodes is dealt in parts of ``bucket_rows`` for either
-    side; only nodes outside its largest label meet all of the others.
+    side; only nodes outside its largest label meet all of the others, and only
+    those are paired whose signatures differ in no more bits than the sets may
+    differ in shingles.
     """
-    index = cut(rows.select("node", "n", F.posexplode("prefix").alias("at", "key")))
-    shared = index.groupBy("key").count().filter("count > 1").select("key")
-    # the copies of a document are one node
-    index = index.join(shared, "key", "left_semi").groupBy("key", "node").agg(F.min("n").alias("n"), F.min("at").alias("at"))
+    s = similarity
+    w = W.partitionBy("key")
+    index = singles.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    index = index.withColumn("_m", F.count("*").over(w)).filter("_m > 1").drop("_m")
     index = cut(index.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")))
     by_label = index.groupBy("key", "label").agg(F.count("*").alias("m"))
     keys = by_label.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
     parts = lambda m: F.ceil(m / F.lit(bucket_rows)).cast("int")
-    keys = keys.select("key", F.col("most.label").alias("_most"), parts(F.col("m")).alias("_all"), parts(F.col("m") - F.col("most.m")).alias("_few"))
+    keys = keys.select("key", (F.col("m") > MANY).alias("many"), F.col("most.label").alias("_most"), parts(F.col("m")).alias("_all"), parts(F.col("m") - F.col("most.m")).alias("_few"))
     index = cut(index.join(keys, "key"))
+    signature = [f"s{i}" for i in range(SIGNATURE)]
     deal = lambda c: F.pmod(F.xxhash64("node", "key"), F.col(c).cast("long")).cast("int")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    few = index.filter(F.col("label") != F.col("_most")).withColumn("i", deal("_few")).withColumn("j", spread("_all"))
-    every = index.withColumn("j", deal("_all")).withColumn("i", spread("_few"))
-    left = few.select("key", "i", "j", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "label")))
-    # those of the largest label come from one side only
-    right = every.select("key", "i", "j", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "label")), (F.col("label") == F.col("_most")).alias("main"))
-    s = similarity
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    once = (F.col("label_a") != F.col("label_b")) & (F.col("main") | (F.col("node_a") < F.col("node_b")))
-    met = left.join(right, ["key", "i", "j"]).filter(once & (low >= s * high - 1e-9))
+    least = s / (1 + s) * (F.col("n_a") + F.col("n_b")) - 1e-9
     smaller_at = F.when(F.struct("n_a", "node_a") < F.struct("n_b", "node_b"), F.col("at_a")).otherwise(F.col("at_b"))
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    least = s / (1 + s) * (F.col("n_a") + F.col("n_b")) - 1e-9
     can = (smaller_at <= low - F.ceil(2 * s / (1 + s) * low - 1e-9)) & (room >= least)
+
+    def met(index: DataFrame, more: list[str]) -> DataFrame:
+        few = index.filter(F.col("label") != F.col("_most")).withColumn("i", deal("_few")).withColumn("j", spread("_all"))
+        every = index.withColumn("j", deal("_all")).withColumn("i", spread("_few"))
+        kept = ["node", "n", "at", "label", *more]
+        left = few.select("key", "i", "j", *(F.col(c).alias(f"{c}_a") for c in kept))
+        # those of the largest label come from one side only
+        right = every.select("key", "i", "j", *(F.col(c).alias(f"{c}_b") for c in kept), (F.col("label") == F.col("_most")).alias("main"))
+        on = (F.col("label_a") != F.col("label_b")) & (F.col("main") | (F.col("node_a") < F.col("node_b"))) & (low >= s * high - 1e-9)
+        if more:
+            differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in more), F.lit(0))
+            on = on & (differ <= F.col("n_a") + F.col("n_b") - 2 * least)
+        return left.join(right, ["key", "i", "j"]).filter(on).select("node_a", "node_b", can.alias("can"), least.alias("least"), F.ceil(s * high - 1e-9).alias("rest"))
+
+    many = index.filter("many").join(singles.select(F.col("node").alias("_n"), *signature), F.col("node") == F.col("_n")).drop("_n")
+    pairs = met(index.filter("not many"), []).unionByName(met(many, signature))
     # of the set whose prefix ends first, all that is shared in it is counted;
-    # at most the rest of it (high's is the larger rest) is shared besides
-    most = F.count("*") + F.max(F.ceil(s * high - 1e-9) - 1)
-    pairs = met.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return pairs.agg(F.max(can).alias("can"), most.alias("most"), F.max(least).alias("least")).filter("can and most >= least").select("a", "b")
+    # at most the rest of it (the larger's is the larger rest) is shared besides
+    pairs = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    most = F.count("*") + F.max("rest") - 1
+    return pairs.agg(F.max("can").alias("can"), most.alias("most"), F.max("least").alias("least")).filter("can and most >= least").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -443,13 +490,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_prefixes(docs, similarity, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
     heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     head = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}"))
     near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
-    first = _verified(same.unionByName(near), rows, similarity, shingle)
-    rest = _verified(_candidates(rows, connected(first), similarity, bucket_rows), rows, similarity, shingle)
+    first = _verified(same.unionByName(near), docs, nodes, similarity, shingle)
+    rest = _verified(_candidates(_single(rows, nodes), connected(first), similarity, bucket_rows), docs, nodes, similarity, shingle)
     labels = connected(first.unionByName(rest))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
