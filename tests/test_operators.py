@@ -170,6 +170,8 @@ def test_agent_graph(spark):
     assert agents.loops(df).first().loop_detected is True
     assert {r.node for r in agents.longest_paths(df).filter("on_path").collect()} == {"a#1", "a#2", "a#3", "a#4"}
     assert agents.nodes(df, 2).count() == 2
+    both = [sorted(map(tuple, agents.longest_paths(df, limit).collect())) for limit in (agents.MAX_NODES, None)]
+    assert both[0] == both[1]
 
 
 def rules(spark, rows):

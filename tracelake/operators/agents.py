@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,11 +70,37 @@ def limits(steps: DataFrame) -> DataFrame:
     )
 
 
+def _path_of(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The longest path of one trajectory, node by node in their order."""
+    own = own.sort_values(["step_number", "agent_id"], na_position="first")
+    at = {n: k for k, n in enumerate(own["node"])}
+    place, before = list(zip(own["step_number"], own["agent_id"])), [[] for _ in at]
+    for a, b in zip(links["source"], links["target"]):
+        if a in at and b in at and place[at[a]] < place[at[b]]:
+            before[at[b]].append((place[at[a]], a))
+    best, pred = [int(x) for x in own["own_ns"]], [None] * len(at)
+    for k in range(len(at)):
+        offers = [(-best[at[a]], p, a) for p, a in before[k]]
+        if offers and min(offers)[0] < 0:
+            best[k], pred[k] = best[k] - min(offers)[0], min(offers)[2]
+    on, k = [False] * len(at), min(range(len(at)), default=None, key=lambda i: (-best[i], place[i], own["node"].iloc[i]))
+    while k is not None:
+        on[k] = True
+        k = None if pred[k] is None else at[pred[k]]
+    return pd.DataFrame({"run_id": own["run_id"], "node": own["node"], "best_ns": best, "on_path": on})
+
+
 def longest_paths(steps: DataFrame, limit: int | None = MAX_NODES) -> DataFrame:
     """``run_id, node, best_ns, on_path``: the path of greatest total duration
-    over forward edges in order of (step, agent).  Relaxation by rounds: each
-    takes the best predecessor of every node, until nothing changes."""
+    over forward edges in order of (step, agent).  A graph of at most ``limit``
+    nodes a trajectory is solved trajectory by trajectory; without a limit, by
+    rounds: each takes the best predecessor of every node, until nothing
+    changes."""
     own = nodes(steps, limit).groupBy("run_id", "node").agg(F.max(F.coalesce("duration_ns", F.lit(0))).alias("own_ns"), F.min("step_number").alias("step_number"), F.min("agent_id").alias("agent_id"))
+    if limit is not None:
+        kind = steps.schema["run_id"].dataType.simpleString()
+        links = edges(steps, limit).select(F.col("run_id").alias("_run"), "source", "target")
+        return own.groupBy("run_id").cogroup(links.groupBy("_run")).applyInPandas(_path_of, f"run_id {kind}, node string, best_ns long, on_path boolean")
     place = F.struct("step_number", "agent_id")
     own = cut(own.withColumn("place", place))
     a = own.select(F.col("run_id").alias("_r"), F.col("node").alias("_n"), F.col("place").alias("_pa"))
