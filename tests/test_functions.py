@@ -136,3 +136,12 @@ def test_version_ids_and_ulids(spark):
     assert canonical.version_id("pv", "sha256:" + "f" * 64) == "pv_7" + "Z" * 25
     early, late = (one(spark, scalars.ulid("sp", F.lit(t).cast("long"), F.lit("s")), t=1) for t in (1_700_000_000_000, 1_700_000_000_001))
     assert early < late and len(early) == 29 and early[:3] == "sp_" and set(early[3:]) <= set(canonical.BASE32) and early[13:] == late[13:]
+
+
+def test_requests_with_underscores(spark):
+    """The same spans from names with underscores; texts stay as they are."""
+    value = {"string_value": '{"span_id": "not a name"}'}
+    snake = {"resource_spans": [{"resource": {"attributes": []}, "scope_spans": [{"spans": [{"trace_id": "ab" * 16, "span_id": "cd" * 8, "parent_span_id": "", "name": "n", "start_time_unix_nano": "5", "end_time_unix_nano": "9", "attributes": [{"key": "span_id", "value": value}, {"key": "i", "value": {"int_value": "7"}}]}]}]}]}
+    got = otlp.decode(spark.createDataFrame([("r", json.dumps(snake))], "request_id string, body string")).first()
+    assert (got.trace_id, got.span_id, got.start_ns, got.end_ns, got.reject) == ("ab" * 16, "cd" * 8, 5, 9, None)
+    assert got.attributes == {"span_id": '{"span_id": "not a name"}', "i": "7"}

@@ -1,6 +1,7 @@
 """Known values for the telemetry operators."""
 
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -289,3 +290,13 @@ def test_filter_texts_as_values():
 def test_latest_takes_nulls_as_least(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, 4), (None, 4, 1), (None, 5, 2)], "k string, x int, v int")
     assert sorted((r.k or "", r.x) for r in rollup.latest(df, ["k"], ["v"]).collect()) == [("", 5), ("a", 2)]
+
+
+def test_old_tables_are_swept(spark):
+    from tracelake.plans import lineage
+
+    table = lineage.cut(spark.range(5))
+    assert lineage.sweep(spark, 3600) == 0 and table.count() == 5
+    time.sleep(1.1)
+    kept = lineage.cut(spark.range(3))
+    assert lineage.sweep(spark, 1) >= 1 and kept.count() == 3

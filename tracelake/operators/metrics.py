@@ -91,6 +91,18 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, levels: Sequence[
     return out.join(keyed, on).drop(*(f"_k{i}" for i in range(len(by))))
 
 
+def aggregate_percentile(df: DataFrame, by: Sequence[str], column: str, level: float, limit: int = 20) -> DataFrame:
+    """As ``aggregate``, by an exact percentile."""
+    out = percentiles(df, by, column, [level]).withColumnRenamed(f"p{round(level * 100)}", "value")
+    return out.select(*by, "value", "n").orderBy(F.desc("value"), *by).limit(limit)
+
+
+def timeseries_percentile(df: DataFrame, time: str, width_ns: int, column: str, level: float, by: Sequence[str] = ()) -> DataFrame:
+    """``bucket, by..., value, n`` of an exact percentile."""
+    out = percentiles(df.withColumn("bucket", bucket(F.col(time), width_ns)), ["bucket", *by], column, [level])
+    return out.select("bucket", *by, F.col(f"p{round(level * 100)}").alias("value"), "n")
+
+
 def top_groups(df: DataFrame, by: Sequence[str], value: Column, n: int) -> DataFrame:
     return aggregate(df, by, value, n).select(*by)
 

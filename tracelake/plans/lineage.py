@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, seconds: float) -> int:
+    """Deletes this library's tables in the shared folder that are older; none
+    that a result still reads may be.  Returns how many went."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("tracelake-") and f.getModificationTime() < (time.time() - seconds) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import redaction, scalars
 from tracelake.operators import cost, metrics, registry, retrieval, rollup, tree
-from tracelake.queries import A, D, E, L, _latest, query
+from tracelake.queries import A, D, E, L, _latest, _p, query
 from tracelake.sources import adapters, sinks
 
 HOUR = metrics.INTERVALS["1h"]
@@ -115,6 +115,16 @@ def redact_truncate(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", redaction.truncated(F.col("text"), 500).alias("text"))
 
 
+@query(f"with {E} select session_id, {_p(0.9)} \"value\", count(duration_ns) n from e group by session_id order by 2 desc, 1 limit 8")
+def agg_percentile_groups(spark, sf_dir):
+    return metrics.aggregate_percentile(adapters.event_spans(spark, sf_dir), ["session_id"], "duration_ns", 0.9, 8)
+
+
+@query(f"with {E} select start_ns // {HOUR} * {HOUR} bucket, {_p(0.5)} \"value\", count(duration_ns) n from e group by 1")
+def agg_timeseries_percentile(spark, sf_dir):
+    return metrics.timeseries_percentile(adapters.event_spans(spark, sf_dir), "start_ns", HOUR, "duration_ns", 0.5)
+
+
 @query(f"with {E} select model, count(*) n, cast(sum(input_tokens) as bigint) tokens from e where model <> '' group by model")
 def agg_count_spans(spark, sf_dir):
     return adapters.event_spans(spark, sf_dir).filter("model <> ''").groupBy("model").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("tokens"))

@@ -6,6 +6,8 @@ is a span or a reject.  Nothing is decoded row by row in Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ ANY = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:d
 _ATTRS = f"array<struct<key:string,value:{ANY}>>"
 _SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,status:struct<code:string,message:string>,attributes:{_ATTRS},links:array<struct<traceId:string,spanId:string,attributes:{_ATTRS}>>>"
 SCHEMA = f"struct<resourceSpans:array<struct<resource:struct<attributes:{_ATTRS}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{_SPAN}>>>,instrumentationLibrarySpans:array<struct<spans:array<{_SPAN}>>>>>>"
+#: Names that a request may also write with underscores.
+NAMES = ("resourceSpans", "scopeSpans", "instrumentationLibrarySpans", "traceId", "spanId", "parentSpanId", "startTimeUnixNano", "endTimeUnixNano", "stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue")
 #: The names of span kinds by number.
 KINDS = ("unspecified", "internal", "server", "client", "producer", "consumer")
 
@@ -39,12 +43,21 @@ def attribute_map(attributes: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def camel_case(body: Column) -> Column:
+    """A request with the names that this decoder knows.  Only names of JSON
+    members are replaced: within a text their quotes are escaped."""
+    out = body
+    for name in NAMES:
+        out = F.regexp_replace(out, '(?<!\\\\)"' + re.sub("([A-Z])", lambda m: "_" + m[1].lower(), name) + r'"\s*:', f'"{name}":')
+    return F.when(body.rlike(r'(?<!\\)"resource_spans"\s*:'), out).otherwise(body)
+
+
 def decode(requests: DataFrame, body: str = "body") -> DataFrame:
     """``request_id, index, trace_id, span_id, parent_span_id, name, kind,
     start_ns, end_ns, status, status_message, attributes, resource, reject``:
     reject names what is wrong with a span (or with a whole request), and the
     other spans of its request stay."""
-    parsed = requests.withColumn("_d", F.from_json(body, SCHEMA, {"mode": "PERMISSIVE"}))
+    parsed = requests.withColumn("_d", F.from_json(camel_case(F.col(body)), SCHEMA, {"mode": "PERMISSIVE"}))
     bad = parsed.filter(F.col("_d.resourceSpans").isNull()).select("request_id", F.lit(0).alias("index"), F.lit("undecodable").alias("reject"))
     scopes = parsed.filter(F.col("_d.resourceSpans").isNotNull()).select("request_id", F.explode("_d.resourceSpans").alias("r"))
     groups = F.concat(F.coalesce(F.transform("r.scopeSpans", lambda s: s["spans"]), F.expr(f"cast(array() as array<array<{_SPAN}>>)")), F.coalesce(F.transform("r.instrumentationLibrarySpans", lambda s: s["spans"]), F.expr(f"cast(array() as array<array<{_SPAN}>>)")))
