@@ -183,8 +183,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     counted), rendered the turn's share of the formatted conversation: shares
     joined in the order of position make it whole.  Turns are in order of
     turn, role and text, nulls first; repeated rows are turns of their own.  A
-    null or unknown role may take any at a low cost; a null text is empty; a
-    null conv_id is a conversation.  An empty table gives no rows; other
+    null or unknown role may take any at a low cost; a null text is empty;
+    marks of the format within a text are escaped (see plain); a null conv_id is a conversation.  An empty table gives no rows; other
     columns are ignored.
     """
     spark = turns.sparkSession
