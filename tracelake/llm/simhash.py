@@ -293,6 +293,8 @@ BUCKET_ROWS = 1024
 #: Nodes on a shingle from which on their signatures are compared as well, and
 #: the longs of a signature.
 MANY, SIGNATURE = 16, 8
+#: Partners of a node that are looked at before all pairs are.
+CLOSEST = 4
 #: Documents sampled, and shingles listed, to put common shingles last.  They
 #: set an order only; what is found does not depend on them.
 SAMPLE_DOCS, COMMON = 20_000, 100_000
@@ -426,7 +428,40 @@ def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(*wanted).join(copied, "node", "left_anti").unionByName(rest)
 
 
-def _candidates(singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+def _index(singles: DataFrame) -> DataFrame:
+    """``key, node, n, at``: shingles of prefixes that more than one node has."""
+    index = singles.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    return index.withColumn("_m", F.count("*").over(W.partitionBy("key"))).filter("_m > 1").drop("_m")
+
+
+def _closest(index: DataFrame, singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """``a, b``: for each node on a shingle of many, the CLOSEST nodes of other
+    labels by signature, as far as it allows the similarity.  At most so many
+    pairs for a row: they tie most of a family together, so that few of its
+    pairs are left to be made."""
+    signature = [f"s{i}" for i in range(SIGNATURE)]
+    many = index.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > MANY)
+    rows = index.join(many, "key").join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
+    rows = rows.select("key", "node", "n", F.coalesce("label", "node").alias("label"), F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("m") / bucket_rows)).alias("part"))
+    rows = rows.join(singles.select(F.col("node").alias("_n"), *signature), F.col("node") == F.col("_n")).drop("_n")
+
+    def search(table: pa.Table) -> pa.Table:
+        node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
+        bits = np.stack([table.column(c).to_numpy() for c in signature], axis=1).view(np.uint64)
+        a, b = [], []
+        for i in range(len(node)):
+            differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
+            both = n.astype(np.int64) + int(n[i])
+            other = np.flatnonzero((differ <= both * (1 - similarity) / (1 + similarity) + 1e-6) & (label != label[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9))
+            for k in other[np.argsort(differ[other] / both[other], kind="stable")][:CLOSEST]:
+                a.append(min(node[i], node[k]))
+                b.append(max(node[i], node[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "part").applyInArrow(search, "a long, b long").distinct()
+
+
+def _candidates(index: DataFrame, singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
     """``a, b``: every pair of nodes of different labels that can reach the
     similarity: they share a shingle of their prefixes, in sizes and places
     that leave room for enough others.
@@ -437,9 +472,6 @@ def _candidates(singles: DataFrame, labels: DataFrame, similarity: float, bucket
     differ in shingles.
     """
     s = similarity
-    w = W.partitionBy("key")
-    index = singles.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    index = index.withColumn("_m", F.count("*").over(w)).filter("_m > 1").drop("_m")
     index = cut(index.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")))
     by_label = index.groupBy("key", "label").agg(F.count("*").alias("m"))
     keys = by_label.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
@@ -496,7 +528,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     head = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}"))
     near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     first = _verified(same.unionByName(near), docs, nodes, similarity, shingle)
-    rest = _verified(_candidates(_single(rows, nodes), connected(first), similarity, bucket_rows), docs, nodes, similarity, shingle)
+    singles = _single(rows, nodes)
+    index = cut(_index(singles))
+    labels = cut(connected(first))
+    first = first.unionByName(_verified(_closest(index, singles, labels, similarity, bucket_rows), docs, nodes, similarity, shingle))
+    rest = _verified(_candidates(index, singles, connected(first), similarity, bucket_rows), docs, nodes, similarity, shingle)
     labels = connected(first.unionByName(rest))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
