@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import annforest, chatrepair, langid, licenses, linededup, mixing, pieces, quality, simhash, substring
+from tracelake.llm import annforest, chatrepair, divergence, langid, licenses, linededup, merkle, mixing, pieces, quality, simhash, substring
 from tracelake.llm.common import table
 
 
@@ -55,7 +55,17 @@ def op10_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatrepair.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair, op12_merkle, op13_divergence)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 _WORD = r"[^\x20\x09-\x0D]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,4 +131,38 @@ _SUBSTRINGS = rf"""with w as (select row_number() over () i, doc_id, regexp_extr
  kept as (select i, string_agg(word, ' ' order by p) filter (where open = 0) kept, count(*) filter (where open > 0) n_removed from run group by i)
  select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join kept using (i)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _mix_sql(), "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"case when {v} is null then '-' else octet_length(encode(cast({v} as varchar))) || ':' || {v} end" for v in values) + ")"
+
+
+# CRC-32 by its table of 256 entries, made from the polynomial
+_MERKLE = rf"""with recursive crc as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) t from (select unnest(range(256)) i)),
+ d as (select row_number() over () i, *, cast(doc_id as varchar) name from documents),
+ h as (select i, doc_id, case when lang is null then '-' else '=' || lang end g, {_leaf_sql("n_chars")} leaf, {_leaf_sql("n_chars + 1")} changed, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda k: ascii(name[k]))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % {merkle.TAMPERED} = 0 hit from d, crc),
+ r as (select *, row_number() over (partition by g order by doc_id nulls first, leaf, i) - 1 as rank, count(*) over (partition by g) n from h),
+ low as (select g, 0 lvl, rank pos, leaf h, n from r union all select g, lvl + 1, pos // {merkle.FANOUT}, sha256(string_agg(h, '' order by pos)), (n + {merkle.FANOUT} - 1) // {merkle.FANOUT} from low where n > 1 group by g, lvl, n, pos // {merkle.FANOUT}),
+ sub as (select g, h subroot, lvl height, row_number() over (order by g) - 1 as rank, count(*) over () n from low where n = 1),
+ high as (select 0 lvl, rank pos, subroot h, n from sub union all select lvl + 1, pos // {merkle.FANOUT}, sha256(string_agg(h, '' order by pos)), (n + {merkle.FANOUT} - 1) // {merkle.FANOUT} from high where n > 1 group by lvl, n, pos // {merkle.FANOUT}),
+ top as (select h root, lvl height from high where n = 1),
+ f as (select r.i, doc_id, r.g, leaf, subroot, root, sub.height lh, top.height hh, r.rank lr, sub.rank hr, 0 k, '' proof, case when hit then coalesce(changed, leaf) else leaf end acc from r join sub using (g), top
+  union all select f.i, doc_id, f.g, leaf, subroot, root, lh, hh, lr, hr, k + 1, proof || coalesce(low.h, high.h, ''),
+   sha256(case when case when k < lh then lr >> k else hr >> (k - lh) end & 1 = 1 then coalesce(low.h, high.h, '') || acc else acc || coalesce(low.h, high.h, '') end)
+  from f left join low on k < lh and low.g = f.g and low.lvl = k and low.pos = xor(lr >> k, 1) left join high on k >= lh and high.lvl = k - lh and high.pos = xor(hr >> (k - lh), 1) where k < lh + hh)
+ select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, acc folded_root, acc = root verified from f where k = lh + hh"""
+
+_DIVERGENCE = rf"""with d as (select row_number() over () i, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+ x as (select i, lang, source, unnest(w) term from d),
+ kept as (select lang, term, count(*)::hugeint nl from x group by lang, term having count(distinct i) >= {divergence.MIN_DOCS}),
+ v as (select lang, count(*) v, sum(nl) total from kept group by lang), g as (select distinct lang, source from d),
+ c as (select lang, source, term, count(*)::hugeint n from x join kept using (lang, term) group by all), t as (select lang, source, sum(n) total from c group by all),
+ p as (select g.lang, g.source, kept.term, coalesce(n, 0) n, 1 + {divergence.SCALE}::hugeint * (coalesce(n, 0) + 1) // (coalesce(t.total, 0) + v) p, 1 + {divergence.SCALE}::hugeint * (nl + 1) // (v.total + v) q
+  from g join kept on kept.lang = g.lang join v on v.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term left join t on t.lang = g.lang and t.source = g.source),
+ pairs as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+ terms as (select lang, source, term item, (p - q) * (p - q) // q f from p where n > 0 and p > q),
+ parts as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) f from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', item, f from terms)
+ select lang, source, part, item, cast(f as bigint) as value, cast(row_number() over (partition by lang, source, part order by f desc, encode(item)) as integer) as rank from parts qualify part = 'pair' or rank <= {divergence.TERMS}"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle": _MERKLE, "op13_divergence": _DIVERGENCE, "op3_mixing": _mix_sql(), "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
