@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import annforest, chatrepair, divergence, langid, licenses, linededup, merkle, mixing, pieces, quality, simhash, substring
+from tracelake.llm import annforest, chatrepair, divergence, jaccardjoin, langid, licenses, linededup, merkle, mixing, pieces, quality, simhash, substring
 from tracelake.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatrepair.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
@@ -64,7 +68,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair, op12_merkle, op13_divergence)
+_ALL = (op1_simhash, op2_langid, op3_mixing, op4_pieces, op5_linededup, op6_annforest, op7_quality, op8_licenses, op9_substring, op10_chatrepair, op11_jaccardjoin, op12_merkle, op13_divergence)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 _WORD = r"[^\x20\x09-\x0D]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,6 +135,14 @@ _SUBSTRINGS = rf"""with w as (select row_number() over () i, doc_id, regexp_extr
  kept as (select i, string_agg(word, ' ' order by p) filter (where open = 0) kept, count(*) filter (where open > 0) n_removed from run group by i)
  select doc_id, len(w) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from w left join kept using (i)"""
 
+_JACCARD = rf"""with recursive d as (select row_number() over () i, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') w from documents),
+ x as (select distinct i, unnest(case when len(w) = 0 then [] when len(w) < {jaccardjoin.SHINGLE} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {jaccardjoin.SHINGLE - 2}), lambda k: array_to_string(w[k:k+{jaccardjoin.SHINGLE - 1}], ' ')) end) g from d),
+ n as (select d.i, doc_id, count(g) n from d left join x using (i) group by d.i, doc_id),
+ p as (select a.i, b.i j, count(*) shared from x a join x b using (g) group by a.i, b.i),
+ links as (select p.i, p.j from p join n a on a.i = p.i join n b on b.i = p.j where 100 * shared >= {round(100 * jaccardjoin.SIMILARITY)} * (a.n + b.n - shared)),
+ reach as (select i, i j from n union select reach.i, links.j from reach join links on links.i = reach.j)
+ select n.doc_id, n.n n_shingles, min(other.doc_id) component_id from n join reach using (i) join n other on other.i = reach.j group by n.i, n.doc_id, n.n"""
+
 
 def _leaf_sql(n_chars: str) -> str:
     values = ("doc_id", "source", "lang", n_chars, "text")
@@ -165,4 +177,4 @@ _DIVERGENCE = rf"""with d as (select row_number() over () i, coalesce(lang, '')
   union all select lang, source, 'term', item, f from terms)
  select lang, source, part, item, cast(f as bigint) as value, cast(row_number() over (partition by lang, source, part order by f desc, encode(item)) as integer) as rank from parts qualify part = 'pair' or rank <= {divergence.TERMS}"""
 
-ORACLE_SQL: dict[str, str] = {"op12_merkle": _MERKLE, "op13_divergence": _DIVERGENCE, "op3_mixing": _mix_sql(), "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}
+ORACLE_SQL: dict[str, str] = {"op11_jaccardjoin": _JACCARD, "op12_merkle": _MERKLE, "op13_divergence": _DIVERGENCE, "op3_mixing": _mix_sql(), "op5_linededup": _LINES, "op7_quality": _quality_sql(), "op9_substring": _SUBSTRINGS}

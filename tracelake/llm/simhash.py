@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.llm import heavylight
 from tracelake.llm.common import cut
+from tracelake.llm.heavylight import SIGNATURE, SIGNATURES, parities, prefix_length
 
 HOT_BUCKET = 2048
 #: Edges of a graph that one task may hold: 16 MB.
@@ -288,13 +289,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Signatures of a pass before only join what is nearly equal; the rest is found
 # by the shingles themselves, completely (see similar_documents).
 
-#: Rows of one side that meet in one group of the join on shingles.
-BUCKET_ROWS = 1024
-#: Nodes on a shingle from which on their signatures are compared as well, and
-#: the longs of a signature.
-MANY, SIGNATURE = 16, 8
-#: Partners of a node that are looked at before all pairs are.
-CLOSEST = 4
+#: Nodes of a shingle that are searched together, and from which on the closest
+#: come first.
+BUCKET_ROWS, MANY = heavylight.HOT, heavylight.MANY
 #: Documents sampled, and shingles listed, to put common shingles last.  They
 #: set an order only; what is found does not depend on them.
 SAMPLE_DOCS, COMMON = 20_000, 100_000
@@ -326,12 +323,6 @@ def _set_fingerprint(values: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<i8")[0])
 
 
-def prefix_length(n: int | np.ndarray, share: float) -> int | np.ndarray:
-    """Shingles of n, first in the common order, of which one at least is in
-    every set that holds ``share`` of them."""
-    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
-
-
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
@@ -351,14 +342,6 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r[0] for r in reversed(rows)], np.int64)
 
 
-def parities(values: np.ndarray) -> np.ndarray:
-    """For each of 64 * SIGNATURE classes of shingles whether a set has an odd
-    number of them, as longs.  Two sets' signatures differ in no more bits than
-    the sets differ in shingles."""
-    odd = np.bincount((values.view(np.uint64) >> np.uint64(17)) % np.uint64(64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def _node(values: np.ndarray) -> int:
     """The name of a set."""
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -367,11 +350,11 @@ def _node(values: np.ndarray) -> int:
 def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``doc_id, th, node, fp, n, prefix, s0...``: th is a hash of the text;
     node names the shingle set, fp is its SimHash, n its size; prefix has its
-    first shingles, common ones last; the rest is its signature."""
+    first shingles, common ones last, one more than ``prefix_length``; the rest
+    is its signature."""
     common = _common(docs, shingle)
     order = np.argsort(common, kind="stable")
     listed = common[order]
-    signature = [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,21 +365,19 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 if len(listed) and len(v):
                     at = np.minimum(np.searchsorted(listed, v), len(listed) - 1)
                     rank = np.where(listed[at] == v, order[at] + 1, 0)
-                first.append(v[np.argsort(rank, kind="stable")][: int(prefix_length(len(v), similarity)) if len(v) else 0])
+                first.append(v[np.argsort(rank, kind="stable")][: int(prefix_length(len(v), similarity)) + 1 if len(v) else 0])
             bits = np.array([parities(v) for v in sets], np.int64).reshape(-1, SIGNATURE)
             columns = [pa.array([_node(v) for v in sets], pa.int64()), pa.array([_set_fingerprint(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *map(pa.array, bits.T)], ["doc_id", "th", "node", "fp", "n", "prefix", *signature])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *map(pa.array, bits.T)], ["doc_id", "th", "node", "fp", "n", "prefix", *SIGNATURES])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in signature))
+    return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SIGNATURES))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached;
-    ``nodes`` has the hash of a text of each, by which it is found again."""
-    pairs = cut(pairs)
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(named: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, set`` of the nodes named; ``nodes`` has the hash of a text of
+    each, by which it is found again."""
     seen = Observation()
     asked = cut(named.join(nodes.select("node", "th"), "node").observe(seen, F.count("*").alias("n")))
     small = (seen.get.get("n") or 0) <= BROADCAST_NODES
@@ -410,7 +391,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
                 good = [(n, v) for n, v in zip(part.column(0).to_pylist(), sets) if _node(v) == n]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in good], pa.int64()), _lists([v for _, v in good])], ["node", "set"])
 
-    sets = cut(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set array<bigint>"))
+    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set array<bigint>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached."""
+    pairs = cut(pairs)
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(_sets(named, docs, nodes, shingle))
     side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     enough = both * (1 + similarity) >= similarity * (F.size("set_a") + F.size("set_b")) - 1e-9
@@ -420,7 +408,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
 def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, n, prefix, s0...``: one row for each node.  Only copies are
     brought together, each partition's first."""
-    wanted = ["node", "n", "prefix", *(f"s{i}" for i in range(SIGNATURE))]
+    wanted = ["node", "n", "prefix", *SIGNATURES]
     seen = Observation()
     copied = cut(nodes.filter("copies > 1").select("node").observe(seen, F.count("*").alias("n")))
     copied = F.broadcast(copied) if (seen.get.get("n") or 0) <= 10 * BROADCAST_NODES else copied
@@ -428,97 +416,14 @@ def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(*wanted).join(copied, "node", "left_anti").unionByName(rest)
 
 
-def _index(singles: DataFrame) -> DataFrame:
-    """``key, node, n, at``: shingles of prefixes that more than one node has."""
-    index = singles.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    return index.withColumn("_m", F.count("*").over(W.partitionBy("key"))).filter("_m > 1").drop("_m")
-
-
-def _closest(index: DataFrame, singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """``a, b``: for each node on a shingle of many, the CLOSEST nodes of other
-    labels by signature, as far as it allows the similarity.  At most so many
-    pairs for a row: they tie most of a family together, so that few of its
-    pairs are left to be made."""
-    signature = [f"s{i}" for i in range(SIGNATURE)]
-    many = index.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > MANY)
-    rows = index.join(many, "key").join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left")
-    rows = rows.select("key", "node", "n", F.coalesce("label", "node").alias("label"), F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("m") / bucket_rows)).alias("part"))
-    rows = rows.join(singles.select(F.col("node").alias("_n"), *signature), F.col("node") == F.col("_n")).drop("_n")
-
-    def search(table: pa.Table) -> pa.Table:
-        node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
-        bits = np.stack([table.column(c).to_numpy() for c in signature], axis=1).view(np.uint64)
-        a, b = [], []
-        for i in range(len(node)):
-            differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-            both = n.astype(np.int64) + int(n[i])
-            other = np.flatnonzero((differ <= both * (1 - similarity) / (1 + similarity) + 1e-6) & (label != label[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - 1e-9))
-            for k in other[np.argsort(differ[other] / both[other], kind="stable")][:CLOSEST]:
-                a.append(min(node[i], node[k]))
-                b.append(max(node[i], node[k]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return rows.groupBy("key", "part").applyInArrow(search, "a long, b long").distinct()
-
-
-def _candidates(index: DataFrame, singles: DataFrame, labels: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """``a, b``: every pair of nodes of different labels that can reach the
-    similarity: they share a shingle of their prefixes, in sizes and places
-    that leave room for enough others.
-
-    A shingle of many nodes is dealt in parts of ``bucket_rows`` for either
-    side; only nodes outside its largest label meet all of the others, and only
-    those are paired whose signatures differ in no more bits than the sets may
-    differ in shingles.
-    """
-    s = similarity
-    index = cut(index.join(labels.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")))
-    by_label = index.groupBy("key", "label").agg(F.count("*").alias("m"))
-    keys = by_label.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
-    parts = lambda m: F.ceil(m / F.lit(bucket_rows)).cast("int")
-    keys = keys.select("key", (F.col("m") > MANY).alias("many"), F.col("most.label").alias("_most"), parts(F.col("m")).alias("_all"), parts(F.col("m") - F.col("most.m")).alias("_few"))
-    index = cut(index.join(keys, "key"))
-    signature = [f"s{i}" for i in range(SIGNATURE)]
-    deal = lambda c: F.pmod(F.xxhash64("node", "key"), F.col(c).cast("long")).cast("int")
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    least = s / (1 + s) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    smaller_at = F.when(F.struct("n_a", "node_a") < F.struct("n_b", "node_b"), F.col("at_a")).otherwise(F.col("at_b"))
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    can = (smaller_at <= low - F.ceil(2 * s / (1 + s) * low - 1e-9)) & (room >= least)
-
-    def met(index: DataFrame, more: list[str]) -> DataFrame:
-        few = index.filter(F.col("label") != F.col("_most")).withColumn("i", deal("_few")).withColumn("j", spread("_all"))
-        every = index.withColumn("j", deal("_all")).withColumn("i", spread("_few"))
-        kept = ["node", "n", "at", "label", *more]
-        left = few.select("key", "i", "j", *(F.col(c).alias(f"{c}_a") for c in kept))
-        # those of the largest label come from one side only
-        right = every.select("key", "i", "j", *(F.col(c).alias(f"{c}_b") for c in kept), (F.col("label") == F.col("_most")).alias("main"))
-        on = (F.col("label_a") != F.col("label_b")) & (F.col("main") | (F.col("node_a") < F.col("node_b"))) & (low >= s * high - 1e-9)
-        if more:
-            differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in more), F.lit(0))
-            on = on & (differ <= F.col("n_a") + F.col("n_b") - 2 * least)
-        return left.join(right, ["key", "i", "j"]).filter(on).select("node_a", "node_b", can.alias("can"), least.alias("least"), F.ceil(s * high - 1e-9).alias("rest"))
-
-    many = index.filter("many").join(singles.select(F.col("node").alias("_n"), *signature), F.col("node") == F.col("_n")).drop("_n")
-    pairs = met(index.filter("not many"), []).unionByName(met(many, signature))
-    # of the set whose prefix ends first, all that is shared in it is counted;
-    # at most the rest of it (the larger's is the larger rest) is shared besides
-    pairs = pairs.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    most = F.count("*") + F.max("rest") - 1
-    return pairs.agg(F.max("can").alias("can"), most.alias("most"), F.max("least").alias("least")).filter("can and most >= least").select("a", "b")
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id, component_id`` for each row: documents linked where the sets
     of their word shingles have at least this Jaccard similarity.
 
     All such documents are linked.  SimHash signatures join what is nearly
-    equal first.  Then documents of different groups meet in an equality join
-    on the shingles that come first in an order common to all: of two sets this
-    similar, one of those is in both (a prefix filter).  Every pair of either
-    pass is verified on its sets.  Null, wordless, repeated and null-id rows
-    and empty tables are as in near_duplicates.
+    equal first; the rest is found by the heavy-light join of the shingle sets.
+    Every pair of either is verified on its sets.  Null, wordless, repeated and
+    null-id rows and empty tables are as in near_duplicates.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_prefixes(docs, similarity, shingle))
@@ -528,11 +433,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     head = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}"))
     near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     first = _verified(same.unionByName(near), docs, nodes, similarity, shingle)
-    singles = _single(rows, nodes)
-    index = cut(_index(singles))
-    labels = cut(connected(first))
-    first = first.unionByName(_verified(_closest(index, singles, labels, similarity, bucket_rows), docs, nodes, similarity, shingle))
-    rest = _verified(_candidates(index, singles, connected(first), similarity, bucket_rows), docs, nodes, similarity, shingle)
+    verify = lambda pairs: _verified(pairs, docs, nodes, similarity, shingle)
+    rest = heavylight.join(_single(rows, nodes), lambda named: _sets(named, docs, nodes, shingle), verify, connected, first, similarity, bucket_rows, MANY)
     labels = connected(first.unionByName(rest))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
