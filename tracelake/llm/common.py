@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.plans.lineage import cut
+from tracelake.plans.lineage import cut, drop
 
-__all__ = ["cut", "table", "text_bytes"]
+__all__ = ["cut", "drop", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, drop
 
 #: Sets of a list, or of a cell's side, that are searched together; sets of a
 #: list from which on the closest come first; how many those are.
@@ -333,6 +333,7 @@ def join(singles: DataFrame, whole: Callable[[DataFrame], DataFrame], verify: Ca
         ordered = ordered.select("node", "n", "lone", F.posexplode(F.slice("e", 1, F.greatest(F.lit(0), F.col("n") - least + 2 - F.col("lone")).cast("int"))).alias("k", "x"))
         shared = ordered.select(F.col("x.key").alias("key"), "node", "n", (F.col("lone") + F.col("k")).cast("int").alias("at"), "x.m")
         again = _indexed(shared, singles)
+        drop(sets)
         bound_again = boundary(again, similarity) if light is None else light
         found.append(_found(_dealt(_lists(again, labels, bound_again, similarity), hot), Search(bound_again, similarity, many, closest)))
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
@@ -347,4 +348,6 @@ def join(singles: DataFrame, whole: Callable[[DataFrame], DataFrame], verify: Ca
     if again is not None:
         found.append(_found(_dealt(_lists(again, labels, bound_again, similarity).filter((F.col("m") > _SMALL) & (F.col("m") > many)), hot), Search(bound_again, similarity, many, None)))
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
-    return first.unionByName(verify(pairs))
+    out = first.unionByName(verify(pairs))
+    drop(index, lists, far, labels, *([again] if again is not None else []))
+    return out

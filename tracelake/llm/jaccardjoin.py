@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import heavylight
 from tracelake.llm.common import cut
-from tracelake.llm.simhash import _prefixes, _sets, _single, _verified, connected
+from tracelake.llm.simhash import _prefixes, _single, _verified, _whole_sets, connected
 
 SIMILARITY, SHINGLE = 0.8, 5
 
@@ -31,9 +31,9 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_prefixes(docs, similarity, shingle))
     some = rows.filter("n > 0")
-    nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.count("*").alias("copies")))
+    nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("pick"), F.min("n").alias("n"), F.count("*").alias("copies")))
     verify = lambda pairs: _verified(pairs, docs, nodes, similarity, shingle)
-    links = heavylight.join(_single(some, nodes), lambda named: _sets(named, docs, nodes, shingle), verify, connected, None, similarity, hot, many, light=light)
+    links = heavylight.join(_single(some, nodes), lambda named: _whole_sets(named, docs, nodes, shingle), verify, connected, None, similarity, hot, many, light=light)
     labels = connected(links).withColumnRenamed("node", "_n")
     labelled = nodes.join(labels, F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("least"))

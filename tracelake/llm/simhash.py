@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelake.llm import heavylight
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, drop
 from tracelake.llm.heavylight import SIGNATURE, SIGNATURES, parities, prefix_length
 
 HOT_BUCKET = 2048
@@ -297,6 +297,8 @@ BUCKET_ROWS, MANY = heavylight.HOT, heavylight.MANY
 SAMPLE_DOCS, COMMON = 20_000, 100_000
 #: Nodes whose texts are fetched by a broadcast of their names.
 BROADCAST_NODES = 100_000
+#: Shingles of a group of sets that are verified together: 16 MB.
+CELL = 1 << 21
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -375,34 +377,66 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SIGNATURES))
 
 
-def _sets(named: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``node, set`` of the nodes named; ``nodes`` has the hash of a text of
-    each, by which it is found again."""
+def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``asked`` (``node`` and other columns) with ``set``.  ``nodes`` names a
+    row of each, by its id and the hash of its text; only that row is read."""
     seen = Observation()
-    asked = cut(named.join(nodes.select("node", "th"), "node").observe(seen, F.count("*").alias("n")))
+    columns = asked.columns
+    named = cut(asked.join(nodes.select(F.col("node").alias("_n"), F.col("pick.th").alias("th"), F.col("pick.doc_id").alias("_id")), F.col("node") == F.col("_n")).select(*columns, "th", "_id").observe(seen, F.count("*").alias("n")))
     small = (seen.get.get("n") or 0) <= BROADCAST_NODES
-    texts = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(asked) if small else asked, "th")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    texts = texts.join(F.broadcast(named) if small else named, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
-                good = [(n, v) for n, v in zip(part.column(0).to_pylist(), sets) if _node(v) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in good], pa.int64()), _lists([v for _, v in good])], ["node", "set"])
+                sets = [shingle_set(t, shingle) for t in part.column(len(columns)).to_pylist()]
+                good = [_node(v) == n for n, v in zip(part.column(columns.index("node")).to_pylist(), sets)]
+                kept = [c.filter(pa.array(good)) for c in part.columns[: len(columns)]]
+                yield pa.RecordBatch.from_arrays([*kept, _lists([v for g, v in zip(good, sets) if g])], [*columns, "set"])
 
-    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set array<bigint>")
+    return texts.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", set array<bigint>")
+
+
+def _whole_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, set``, one row a node, for rows may repeat whole."""
+    return _sets(asked.select("node"), docs, nodes, shingle).groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached."""
+    """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached.
+
+    What pairs tie together is verified together, so that a set is sent once
+    and not with each of its pairs: ties are put into groups of some ``CELL``
+    shingles; one that is larger is dealt in parts of that size, any two of
+    which are a group, and a set goes where it has pairs."""
     pairs = cut(pairs)
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(_sets(named, docs, nodes, shingle))
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    enough = both * (1 + similarity) >= similarity * (F.size("set_a") + F.size("set_b")) - 1e-9
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ties = connected(pairs).withColumnRenamed("node", "_n")
+    named = cut(ends.join(ties, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("label", "node").alias("tie")).join(nodes.select(F.col("node").alias("_n"), "n"), F.col("node") == F.col("_n")).drop("_n"))
+    sizes = cut(named.groupBy("tie").agg(F.ceil(F.sum("n") / CELL).alias("parts"), F.sum("n").alias("n")))
+    groups = (sizes.agg(F.sum("n")).first()[0] or 0) // CELL + 1
+    place = named.join(sizes.drop("n"), "tie").select("node", "tie", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    side = lambda x, *more: place.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}"), *more)
+    one = F.col("parts") == 1
+    cell = (F.when(one, F.pmod(F.xxhash64("tie"), F.lit(groups))).otherwise(F.col("tie")).alias("g"), F.when(one, 0).otherwise(F.least("part_a", "part_b")).alias("i"), F.when(one, 0).otherwise(F.greatest("part_a", "part_b")).alias("j"))
+    dealt = cut(pairs.join(side("a", "tie", "parts"), "a").join(side("b"), "b").select("a", "b", *cell))
+    asked = dealt.select(F.col("a").alias("node"), "g", "i", "j").union(dealt.select("b", "g", "i", "j")).distinct()
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = {n: right.column("set")[k].values.to_numpy() for k, n in enumerate(right.column("node").to_pylist())}
+        a, b = (left.column(c).to_pylist() for c in ("a", "b"))
+        good = []
+        for x, y in zip(a, b):
+            p, q = of[x], of[y]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(both * (1 + similarity) >= similarity * (len(p) + len(q)) - 1e-9)
+        return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    out = cut(dealt.groupBy("g", "i", "j").cogroup(_sets(asked, docs, nodes, shingle).groupBy("g", "i", "j")).applyInArrow(check, "a long, b long"))
+    drop(pairs, named, sizes, dealt)
+    return out
 
 
 def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -427,14 +461,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_prefixes(docs, similarity, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("pick"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.count("*").alias("copies")))
     heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     head = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}"))
     near = links(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     first = _verified(same.unionByName(near), docs, nodes, similarity, shingle)
     verify = lambda pairs: _verified(pairs, docs, nodes, similarity, shingle)
-    rest = heavylight.join(_single(rows, nodes), lambda named: _sets(named, docs, nodes, shingle), verify, connected, first, similarity, bucket_rows, MANY)
+    rest = heavylight.join(_single(rows, nodes), lambda named: _whole_sets(named, docs, nodes, shingle), verify, connected, first, similarity, bucket_rows, MANY)
     labels = connected(first.unionByName(rest))
     labelled = nodes.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
