@@ -297,8 +297,8 @@ BUCKET_ROWS, MANY = heavylight.HOT, heavylight.MANY
 SAMPLE_DOCS, COMMON = 20_000, 100_000
 #: Nodes whose texts are fetched by a broadcast of their names.
 BROADCAST_NODES = 100_000
-#: Shingles of a group of sets that are verified together: 16 MB.
-CELL = 1 << 21
+#: Shingles of a group of sets that are verified together: 32 MB.
+CELL = 1 << 22
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -377,40 +377,38 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SIGNATURES))
 
 
-def _sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``asked`` (``node`` and other columns) with ``set``.  ``nodes`` names a
+def _named(asked: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``asked`` (``node`` and other columns) with ``text``.  ``nodes`` names a
     row of each, by its id and the hash of its text; only that row is read."""
     seen = Observation()
     columns = asked.columns
     named = cut(asked.join(nodes.select(F.col("node").alias("_n"), F.col("pick.th").alias("th"), F.col("pick.doc_id").alias("_id")), F.col("node") == F.col("_n")).select(*columns, "th", "_id").observe(seen, F.count("*").alias("n")))
     small = (seen.get.get("n") or 0) <= BROADCAST_NODES
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
-    texts = texts.join(F.broadcast(named) if small else named, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns, "text")
+    return texts.join(F.broadcast(named) if small else named, (F.col("_th") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns, "text")
+
+
+def _whole_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, set``, one row a node, for rows may repeat whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingle_set(t, shingle) for t in part.column(len(columns)).to_pylist()]
-                good = [_node(v) == n for n, v in zip(part.column(columns.index("node")).to_pylist(), sets)]
-                kept = [c.filter(pa.array(good)) for c in part.columns[: len(columns)]]
-                yield pa.RecordBatch.from_arrays([*kept, _lists([v for g, v in zip(good, sets) if g])], [*columns, "set"])
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                good = [(n, v) for n, v in zip(part.column(0).to_pylist(), sets) if _node(v) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in good], pa.int64()), _lists([v for _, v in good])], ["node", "set"])
 
-    return texts.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", set array<bigint>")
-
-
-def _whole_sets(asked: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``node, set``, one row a node, for rows may repeat whole."""
-    return _sets(asked.select("node"), docs, nodes, shingle).groupBy("node").agg(F.first("set").alias("set"))
+    return _named(asked.select("node"), docs, nodes).mapInArrow(run, "node long, set array<bigint>").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose exact Jaccard similarity is reached.
 
-    What pairs tie together is verified together, so that a set is sent once
-    and not with each of its pairs: ties are put into groups of some ``CELL``
-    shingles; one that is larger is dealt in parts of that size, any two of
-    which are a group, and a set goes where it has pairs."""
+    What pairs tie together is verified together, so that a text is sent once,
+    compressed, and not with each of its pairs: ties are put into groups of
+    some ``CELL`` shingles; one that is larger is dealt in parts of that size,
+    any two of which are a group, and a text goes where it has pairs."""
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ties = connected(pairs).withColumnRenamed("node", "_n")
@@ -424,17 +422,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
     dealt = cut(pairs.join(side("a", "tie", "parts"), "a").join(side("b"), "b").select("a", "b", *cell))
     asked = dealt.select(F.col("a").alias("node"), "g", "i", "j").union(dealt.select("b", "g", "i", "j")).distinct()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            texts = [pack(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.binary())], ["node", "g", "i", "j", "text"])
+
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = {n: right.column("set")[k].values.to_numpy() for k, n in enumerate(right.column("node").to_pylist())}
-        a, b = (left.column(c).to_pylist() for c in ("a", "b"))
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        of = {}
+        for n, t in zip(right.column("node").to_pylist(), right.column("text").to_pylist()):
+            if n not in of:
+                v = shingle_set(unpack(t).decode("utf-8", "surrogatepass"), shingle)
+                if _node(v) == n:
+                    of[n] = v
         good = []
-        for x, y in zip(a, b):
+        for x, y in zip(*(left.column(c).to_pylist() for c in ("a", "b"))):
             p, q = of[x], of[y]
             both = len(np.intersect1d(p, q, assume_unique=True))
             good.append(both * (1 + similarity) >= similarity * (len(p) + len(q)) - 1e-9)
         return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    out = cut(dealt.groupBy("g", "i", "j").cogroup(_sets(asked, docs, nodes, shingle).groupBy("g", "i", "j")).applyInArrow(check, "a long, b long"))
+    texts = _named(asked, docs, nodes).mapInArrow(packed, "node long, g long, i int, j int, text binary")
+    out = cut(dealt.groupBy("g", "i", "j").cogroup(texts.groupBy("g", "i", "j")).applyInArrow(check, "a long, b long"))
     drop(pairs, named, sizes, dealt)
     return out
 
