@@ -1,6 +1,10 @@
 """Known values for the telemetry operators."""
 
+import base64
+import contextlib
+import json
 import random
+import struct
 import time
 from decimal import Decimal
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import agents, cost, filters, metrics, ordering, registry, retrieval, rollup, tree
 from tracelake.plans.fields import SPANS, TRACES
+from tracelake.sources import otlp, otlp_proto
 
 MS = 1_000_000
 SPAN = "organization_id string, trace_id string, span_id string, parent_span_id string, name string, category string, status string, start_ns long, end_ns long, duration_ns long, model string, session_id string, input_tokens long, output_tokens long, cost_total decimal(26,12)"
@@ -300,3 +305,144 @@ def test_old_tables_are_swept(spark):
     time.sleep(1.1)
     kept = lineage.cut(spark.range(3))
     assert lineage.sweep(spark, 1) >= 1 and kept.count() == 3
+
+
+def _wire(number, value):
+    """One field in the protobuf wire format."""
+
+    def varint(n):
+        out = b""
+        n &= (1 << 64) - 1
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, bool) or isinstance(value, int):
+        return varint(number << 3) + varint(int(value))
+    if isinstance(value, float):
+        return varint(number << 3 | 1) + struct.pack("<d", value)
+    data = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def _proto_value(v):
+    (name, x), *_ = v.items()
+    if name == "arrayValue":
+        return _wire(5, b"".join(_wire(1, _proto_value(i)) for i in x.get("values", [])))
+    if name == "kvlistValue":
+        return _wire(6, b"".join(_wire(1, _proto_pair(i)) for i in x.get("values", [])))
+    if name == "bytesValue":
+        return _wire(7, base64.b64decode(x))
+    return _wire({"stringValue": 1, "boolValue": 2, "intValue": 3, "doubleValue": 4}[name], int(x) if name == "intValue" else x)
+
+
+def _proto_pair(p):
+    return _wire(1, p["key"]) + _wire(2, _proto_value(p["value"]))
+
+
+def _proto_request(r):
+    fixed = lambda n, v: bytes([n << 3 | 1]) + int(v).to_bytes(8, "little")
+    pairs = lambda n, a: b"".join(_wire(n, _proto_pair(p)) for p in a)
+
+    def span(s):
+        out = _wire(1, bytes.fromhex(s["traceId"])) + _wire(2, bytes.fromhex(s["spanId"])) + _wire(4, bytes.fromhex(s.get("parentSpanId", "")))
+        out += _wire(5, s["name"]) + _wire(6, s["kind"]) + fixed(7, s["startTimeUnixNano"]) + fixed(8, s["endTimeUnixNano"]) + pairs(9, s["attributes"]) + _wire(10, 3)
+        out += b"".join(_wire(11, fixed(1, e["timeUnixNano"]) + _wire(2, e["name"]) + pairs(3, e["attributes"])) for e in s["events"])
+        out += b"".join(_wire(13, _wire(1, bytes.fromhex(l["traceId"])) + _wire(2, bytes.fromhex(l["spanId"])) + pairs(4, l["attributes"])) for l in s["links"])  # noqa: E741
+        return out + _wire(15, _wire(2, s["status"]["message"]) + _wire(3, int(s["status"]["code"])))
+
+    return b"".join(_wire(1, _wire(1, pairs(1, g["resource"]["attributes"])) + b"".join(_wire(2, _wire(1, _wire(1, "scope")) + b"".join(_wire(2, span(s)) for s in c["spans"])) for c in g["scopeSpans"])) for g in r["resourceSpans"])
+
+
+def _otlp_request():
+    pair = lambda k, **v: {"key": k, "value": v}
+    values = [pair("s", stringValue="é \"q\""), pair("i", intValue="-7"), pair("big", intValue=str(2**62)), pair("d", doubleValue=2.5), pair("b", boolValue=True), pair("raw", bytesValue="AAH/"), pair("s", stringValue="last wins")]
+    values += [pair("a", arrayValue={"values": [{"stringValue": "x"}, {"stringValue": "y"}]}), pair("n", arrayValue={"values": [{"intValue": "1"}, {"doubleValue": 0.5}]}), pair("mixed", arrayValue={"values": [{"stringValue": "x"}, {"intValue": "2"}, {"boolValue": False}]}), pair("none", arrayValue={})]
+    values += [pair("map", kvlistValue={"values": [pair("k", intValue="3"), pair("l", arrayValue={"values": [{"stringValue": "in"}]})]})]
+    span = {"traceId": "ab" * 16, "spanId": "01" * 8, "parentSpanId": "02" * 8, "name": "n", "kind": 3, "startTimeUnixNano": str(1_704_067_200 * 10**9), "endTimeUnixNano": str(1_704_067_200 * 10**9 + 5), "attributes": values, "status": {"code": "2", "message": "broken"}}
+    span |= {"events": [{"timeUnixNano": "17", "name": "ev", "attributes": [pair("k", intValue="1")]}], "links": [{"traceId": "cd" * 16, "spanId": "03" * 8, "attributes": [pair("platform.retry_of", stringValue="x")]}]}
+    other = {**span, "spanId": "04" * 8, "attributes": [], "events": [], "links": []}
+    return {"resourceSpans": [{"resource": {"attributes": [pair("service.name", stringValue="svc")]}, "scopeSpans": [{"spans": [span, other]}, {"spans": [other]}]}, {"resource": {"attributes": []}, "scopeSpans": [{"spans": [other]}]}]}
+
+
+def test_both_encodings_decode_alike(spark):
+    """Requests in protobuf and JSON yield equal rows; damaged bytes are
+    rejects, wherever they are cut."""
+    r = _otlp_request()
+    data = _proto_request(r)
+    text = otlp.decode(spark.createDataFrame([("r", json.dumps(r))], "request_id string, body string"))
+    binary = otlp_proto.decode(spark.createDataFrame([("r", data)], "request_id string, body binary"))
+    want = sorted(map(str, text.collect()))
+    assert sorted(map(str, binary.collect())) == want and len(want) == 4
+    a = text.filter("index = 0").first()
+    assert a.attributes["s"] == "last wins" and a.attributes["mixed"] == '["x","2","False"]' and a.attributes["map"] == '{"k":3,"l":["in"]}' and a.attributes["n"] == "[1.0,0.5]" and a.attributes["none"] == "[]"
+    assert (a.kind, a.status, a.status_message, a.events[0].attributes, a.links[0].attributes) == ("client", "error", "broken", {"k": "1"}, {"platform.retry_of": "x"})
+    rng = random.Random(4)
+    damaged = [data[:k] for k in (1, 2, 7, 50, len(data) - 1)] + [bytes(rng.randrange(256) for _ in range(200)) for _ in range(20)] + [None]
+    for d in damaged[:-1]:
+        with contextlib.suppress(ValueError):
+            otlp_proto.request(d)
+    rows = otlp_proto.decode(spark.createDataFrame([(str(k), d) for k, d in enumerate(damaged)], "request_id string, body binary")).collect()
+    assert {x.request_id for x in rows if x.reject == "undecodable"} >= {"0", "2", "3", "4", str(len(damaged) - 1)}
+
+
+def test_cost_breakdown(spark):
+    """A formula that can be checked by hand, for every component."""
+    rule = "provider string, model string, category string, from_ns long, to_ns long, tier_min long, tier_max long, unit_quantity long, unit_price string, discount string, currency string, organization_id string"
+    rules = spark.createDataFrame([("p", "m", "output", 0, None, 0, None, 1_000_000, "2", None, "USD", None), ("p", "m", "input", 0, 100, 0, None, 1_000_000, "9", None, "USD", None), ("p", "m", "input", 100, None, 0, None, 1_000_000, "1.00", "0.25", "USD", None)], rule)
+    rules = rules.withColumn("unit_price", F.col("unit_price").cast("decimal(18,9)")).withColumn("discount", F.col("discount").cast("decimal(9,6)"))
+    usage = spark.createDataFrame([("a", "p", "m", "input", 1200, 100), ("a", "p", "m", "output", 340, 100), ("a", "p", "m", "cached_input", 5, 100), ("b", "p", "m", "input", 10, 99), ("c", "p", "x", "input", 10, 99)], "id string, provider string, model string, category string, quantity long, at_ns long")
+    got = {r.id: r for r in cost.breakdown(usage, rules).collect()}
+    assert got["a"].formula == "(1200/1000000*1.00)*(1-0.25) + 340/1000000*2.00" and str(got["a"].total) == "0.001580000000"
+    assert [c.category for c in got["a"].components] == ["input", "output"] and got["a"].unpriced_categories == ["cached_input"] and got["a"].status == "estimated"
+    assert got["b"].formula == "10/1000000*9.00" and (got["c"].formula, got["c"].total, got["c"].status, got["c"].components) == ("0", None, "unpriced", None)
+
+
+def test_long_price_histories(spark):
+    """Ten thousand windows of one model: a use meets those of its time, so the
+    join gives no more rows than uses and tiers, and the same prices."""
+    width = 10**9
+    rule = spark.range(10_000).select(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("input").alias("category"), (F.col("id") * width).alias("from_ns"), F.when(F.col("id") < 9_999, (F.col("id") + 1) * width).alias("to_ns"), F.lit(0).cast("long").alias("tier_min"), F.lit(None).cast("long").alias("tier_max"), F.lit(1).cast("long").alias("unit_quantity"), (F.col("id") + 1).cast("decimal(18,9)").alias("unit_price"), F.lit(None).cast("decimal(9,6)").alias("discount"), F.lit("USD").alias("currency"))
+    usage = spark.range(3_000).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("input").alias("category"), F.lit(1).cast("long").alias("quantity"), (F.col("id") * 3_700_000_001).alias("at_ns"))
+    got = {int(r.id): float(r.amount) for r in cost.components(usage, rule).collect()}
+    assert got == {k: min(k * 3_700_000_001 // width, 9_999) + 1.0 for k in range(3_000)}
+    bins = cost.in_bins(rule)
+    assert bins.count() <= 10_000 + 400, "a window of a second takes one bin, the last one some on each level"
+    wide = cost.in_bins(rule.limit(1).withColumn("from_ns", F.lit(12_345).cast("long")).withColumn("to_ns", F.lit(1 << 61).cast("long")))
+    assert wide.count() <= 62 * 5
+
+
+def test_preorder(spark):
+    """Siblings by start, orphans as roots, a cycle nowhere, a deep chain."""
+    rows = [("t", "r", "", 0), ("t", "a", "r", 2), ("t", "b", "r", 1), ("t", "c", "a", 3), ("t", "o", "gone", 9), ("t", "x", "y", 1), ("t", "y", "x", 1)]
+    rows += [("d", str(k), str(k - 1) if k else "", 0) for k in range(150)]
+    got = {}
+    for r in tree.preorder(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, start_ns long")).collect():
+        got.setdefault(r.trace_id, []).append((r.position, r.span_id, r.depth, r.children, r.descendants))
+    assert sorted(got["t"]) == [(0, "r", 0, 2, 3), (1, "b", 1, 0, 0), (2, "a", 1, 1, 1), (3, "c", 2, 0, 0), (4, "o", 0, 0, 0)]
+    assert sorted(got["d"]) == [(k, str(k), k, int(k < 149), 149 - k) for k in range(150)]
+
+
+def test_retries_by_link(spark):
+    link = lambda s, **a: [{"span_id": s, "attributes": {f"platform.{k}": v for k, v in a.items()}}]
+    rows = [("t", "1", "call", []), ("t", "2", "call", link("1", retry_of="1")), ("t", "3", "call", link("1", retry_of="1")), ("t", "4", "other", link("1")), ("u", "1", "a", []), ("u", "2", "a", []), ("u", "3", "b", [])]
+    df = spark.createDataFrame([(t, s, "", n, k, l) for k, (t, s, n, l) in enumerate(rows)], "trace_id string, span_id string, parent_span_id string, name string, start_ns long, links array<struct<span_id:string,attributes:map<string,string>>>")
+    assert sorted(map(tuple, tree.retries(df).collect())) == [("t", "1", 2), ("u", "1", 1)]
+
+
+def test_near_duplicates_with_a_footer(spark, monkeypatch):
+    """A footer in every document makes no candidates; pairs are found beside
+    it, and where a shingle is dealt in parts."""
+    rng = random.Random(6)
+    footer = " ".join(f"f{k}" for k in range(40))
+    texts = [" ".join(f"w{rng.random()}" for _ in range(60)) for _ in range(300)]
+    texts += [texts[k] + " x" for k in range(0, 300, 30)]
+    rows = [("s", f"d{k}", k, f"{t} {footer}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "step_id string, document_id string, rank int, content_preview string")
+    want = {(f"d{k}", f"d{300 + i}") for i, k in enumerate(range(0, 300, 30))}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, _, _, t in rows]
+    assert all(len(sets[int(a[1:])] & sets[int(b[1:])]) >= 0.9 * len(sets[int(a[1:])] | sets[int(b[1:])]) for a, b in want)
+    assert {(r.left_id, r.right_id) for r in retrieval.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(retrieval, "DEALT", 3)
+    copies = spark.createDataFrame([("s", f"d{k}", k, "the same text of more than five words") for k in range(20)], df.schema)
+    assert retrieval.near_duplicates(copies).count() == 190

@@ -10,6 +10,8 @@ from tracelake.plans.lineage import cut
 
 STEP = "step_id"
 SHINGLE, NEAR = 5, 0.9
+#: Documents of one shingle that meet in one part.
+DEALT = 1024
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
@@ -43,9 +45,13 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, first: int | None
     five-word shingles have a Jaccard similarity of at least ``threshold``;
     with ``first``, among its first so many, which is what a view shows.
 
-    Of two such sets, both ordered by hash, the first few (a share of
-    1 - threshold and one more) have a member in common, so candidates come
-    from an equality join on those, and whole sets meet for candidates only.
+    Of two such sets, with the shingles that fewest of the step's documents
+    have first, the first few (a share of 1 - threshold and one more) have a
+    member in common.  Shingles of one document are left out, so a passage that
+    many share counts only for documents that are made of little else, and
+    candidates come from an equality join on what is rare; whole sets meet for
+    candidates only.  A shingle that many still have is dealt in parts, any two
+    of which meet in a task of their own.
     """
     docs = docs.filter("content_preview <> ''")
     rank = F.row_number().over(W.partitionBy(STEP).orderBy("rank", "document_id"))
@@ -57,11 +63,25 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, first: int | None
     grams = F.when(n < SHINGLE, F.array(F.array_join("words", " "))).otherwise(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " ")))
     sets = docs.withColumn("words", words).filter(F.size("words") > 0).select(STEP, "document_id", "_r", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("grams"))
     sets = cut(sets)
-    size = F.size("grams")
-    some = sets.select(STEP, "_r", size.alias("n"), F.explode(F.slice("grams", 1, (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int"))).alias("g"))
-    other = some.select(F.col(STEP).alias("_s"), F.col("_r").alias("_r2"), F.col("n").alias("n2"), F.col("g").alias("_g"))
+    every = sets.select(STEP, "_r", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = cut(every.groupBy(F.col(STEP).alias("_s"), F.col("g").alias("_g")).agg(F.count("*").alias("m")).filter("m > 1"))
+    shared = every.join(often, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g"))).drop("_s", "_g")
+    # shingles of no other document come first, and need not be looked up
+    own = F.count("*").over(W.partitionBy(STEP, "_r"))
+    nth = F.row_number().over(W.partitionBy(STEP, "_r").orderBy("m", "g"))
+    place = F.col("n") - own + nth
+    some = shared.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+    parts = F.ceil(F.col("m") / DEALT).cast("int")
+    some = some.withColumn("part", F.pmod(F.xxhash64("_r", "g"), parts.cast("long")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), parts - 1)))
+    some = cut(some.select(STEP, "_r", "n", "g", "at", "part", F.least("part", "_x").alias("i"), F.greatest("part", "_x").alias("j")))
+    cell = ["i", "j"]
+    other = some.select(F.col(STEP).alias("_s"), F.col("g").alias("_g"), *(F.col(c).alias(f"{c}2") for c in ("_r", "n", "at", "part", *cell)))
     alike = (F.col("n") >= F.lit(threshold) * F.col("n2") - 1e-9) & (F.col("n2") >= F.lit(threshold) * F.col("n") - 1e-9)
-    pairs = some.join(other, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")) & (F.col("_r") < F.col("_r2")) & alike).select(STEP, "_r", "_r2").distinct()
+    # what is left behind a first common shingle must be enough
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
+    once = (F.col("part") != F.col("part2")) | (F.col("i") == F.col("j"))
+    same = (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    pairs = some.join(other, same & (F.col("_r") < F.col("_r2")) & alike & room & once).select(STEP, "_r", "_r2").distinct()
     left = sets.select(STEP, "_r", F.col("document_id").alias("left_id"), F.col("grams").alias("a"))
     right = sets.select(STEP, F.col("_r").alias("_r2"), F.col("document_id").alias("right_id"), F.col("grams").alias("b"))
     both = F.size(F.array_intersect("a", "b"))

@@ -15,8 +15,15 @@ from tracelake.plans.lineage import cut
 MODEL_CALLS = ("llm_generation", "chat_completion", "rerank")
 SOURCES = ("missing", "estimated", "client", "provider")
 MAX_VALUES = 32
-#: Columns that a roll-up reads.
-ROLLED = ("organization_id", "trace_id", "span_id", "parent_span_id", "name", "category", "status", "start_ns", "end_ns", "session_id", "input_tokens", "output_tokens", "cost_total")
+#: Columns that a roll-up reads, by type; those that a table lacks are null.
+ROLLED = {
+    **dict.fromkeys(("organization_id", "project_id", "environment", "trace_id", "span_id", "parent_span_id", "name", "category", "status", "error_message", "session_id", "subject_id", "release", "git_commit", "sdk_name", "sdk_version", "usage_source", "cost_currency", "cost_status", "model", "provider", "service_name", "prompt_version_id", "model_config_id", "dataset_version_id"), "string"),
+    **dict.fromkeys(("start_ns", "end_ns", "ingested_ns", "input_tokens", "output_tokens", "total_tokens", "cached_input_tokens", "reasoning_tokens"), "bigint"),
+    "time_to_first_token_ms": "double", "sampling_rate": "double", "cost_total": "decimal(26,12)", "tags": "array<string>",
+}
+#: Lists of unique values in a roll-up, and the column of a span they come from.
+LISTS = {"models": "model", "providers": "provider", "service_names": "service_name", "prompt_version_ids": "prompt_version_id", "model_config_ids": "model_config_id", "dataset_version_ids": "dataset_version_id"}
+ERRORS = 3
 
 
 def latest(df: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -38,29 +45,29 @@ def is_root(parent: str = "parent_span_id") -> Column:
     return F.coalesce(F.col(parent), F.lit("")) == ""
 
 
-def _ordered(*columns: str) -> Column:
-    return F.sort_array(F.collect_list(F.struct("start_ns", "span_id", *columns)))
-
-
-def _unique(rows: Column, field: str) -> Column:
-    values = F.transform(rows, lambda r: r[field])
-    return F.slice(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))), 1, MAX_VALUES)
-
-
 def _first(field: str) -> Column:
     """The first non-empty value in order of (start, span)."""
     return F.coalesce(F.min_by(field, F.when(F.coalesce(F.col(field), F.lit("")) != "", F.struct("start_ns", "span_id"))), F.lit(""))
 
 
-def _uniques(spans: DataFrame, key: list[str], fields: Sequence[str]) -> DataFrame:
-    """Ordered unique values by key, at most 32 of each: distinct values are
-    aggregated first, so a trace's spans are never gathered."""
-    out = None
-    for f in fields:
-        firsts = spans.filter(F.coalesce(F.col(f), F.lit("")) != "").groupBy(*key, f).agg(F.min(F.struct("start_ns", "span_id")).alias("_at"))
-        part = firsts.groupBy(*key).agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.col(f).alias("v")))), lambda r: r["v"]), 1, MAX_VALUES).alias(f"{f}s"))
-        out = part if out is None else out.join(part, key, "full")
-    return out
+def ordered_lists(spans: DataFrame, key: list[str], values: Column) -> DataFrame:
+    """``key, lists``: for each kind of value its first unique ones, in order of
+    first appearance, by kind.
+
+    ``values`` is an array of ``kind, value, apart, most`` for each span: equal
+    values of one ``apart`` count once, and ``most`` of a kind stay.  All kinds
+    take one pass: values are made unique before a trace's are brought
+    together, and only the first of each kind are collected."""
+    rows = spans.select(*key, "start_ns", "span_id", F.inline(values)).filter(F.coalesce("value", F.lit("")) != "")
+    firsts = rows.groupBy(*key, "kind", "value", "apart", "most").agg(F.min(F.struct("start_ns", "span_id")).alias("at"))
+    rank = F.row_number().over(W.partitionBy(*key, "kind").orderBy("at", "value"))
+    some = firsts.withColumn("_r", rank).filter(F.col("_r") <= F.col("most"))
+    lists = some.groupBy(*key, "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "value"))), lambda r: r["value"]).alias("list"))
+    return lists.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("kind", "list"))).alias("lists"))
+
+
+def kind(name: str, value: Column, apart: Column | None = None, most: int = MAX_VALUES) -> Column:
+    return F.struct(F.lit(name).alias("kind"), value.cast("string").alias("value"), (F.lit("") if apart is None else apart).alias("apart"), F.lit(most).alias("most"))
 
 
 def status_of() -> Column:
@@ -69,16 +76,16 @@ def status_of() -> Column:
     return F.when(F.bool_or(F.col("status") == "error"), "error").when(F.bool_or(is_root()) & F.bool_and(F.col("end_ns").isNotNull()), "ok").otherwise("incomplete")
 
 
-def trace_rollup(spans: DataFrame, unique: Sequence[str] = ("model",)) -> DataFrame:
+def trace_rollup(spans: DataFrame) -> DataFrame:
     """One row for each trace, from all its spans (de-duplicated before).
-    Their columns in use are written once, as each ordered list of ``unique``
-    values takes a pass of its own."""
+    Columns that spans lack are null in them; what is read is written once."""
     key = ["organization_id", "trace_id"]
-    if unique:
-        spans = cut(spans.select(*{*ROLLED, *unique}))
+    spans = cut(spans.select(*((F.col(c) if c in spans.columns else F.lit(None)).cast(t if c != "trace_id" else (spans.schema[c].dataType.simpleString())).alias(c) for c, t in ROLLED.items())))
     at = F.struct("start_ns", "span_id")
     root = F.when(is_root(), at)
     category = lambda *names: F.sum(F.col("category").isin(*names).cast("long"))
+    known = F.col("time_to_first_token_ms").isNotNull()
+    first = F.min_by(F.struct("project_id", "environment", "sampling_rate"), at)
     base = spans.groupBy(*key).agg(
         F.coalesce(F.min_by("name", root), F.min_by("name", at)).alias("name"),
         F.min("start_ns").alias("start_ns"),
@@ -89,35 +96,55 @@ def trace_rollup(spans: DataFrame, unique: Sequence[str] = ("model",)) -> DataFr
         F.coalesce(F.min_by("span_id", root), F.lit("")).alias("root_span_id"),
         F.count("*").alias("span_count"),
         F.sum((F.col("status") == "error").cast("long")).alias("error_count"),
-        _first("session_id").alias("session_id"),
-        F.sum("input_tokens").alias("total_input_tokens"),
-        F.sum("output_tokens").alias("total_output_tokens"),
+        *(_first(c).alias(c) for c in ("session_id", "subject_id", "release", "git_commit", "sdk_name", "sdk_version")),
+        *(F.sum(f"{c}_tokens").alias(f"total_{c}_tokens") for c in ("input", "output", "cached_input", "reasoning")),
+        F.sum("total_tokens").alias("total_tokens"),
+        weakest_source("usage_source").alias("usage_source"),
         F.sum("cost_total").alias("total_cost"),
+        F.coalesce(F.min_by("cost_currency", F.when(F.col("cost_total").isNotNull() & (F.coalesce("cost_currency", F.lit("")) != ""), at)), F.lit("")).alias("cost_currency"),
+        worst_cost_status(F.when(F.col("cost_total").isNotNull(), F.col("cost_status"))).alias("cost_status"),
+        F.min_by("time_to_first_token_ms", F.when(known, at)).alias("time_to_first_token_ms"),
         category(*MODEL_CALLS).alias("llm_call_count"),
         category("retrieval").alias("retrieval_count"),
         category("tool_call").alias("tool_call_count"),
         category("agent_decision", "agent_handoff").alias("agent_step_count"),
+        F.max("ingested_ns").alias("ingested_ns"),
+        first.alias("_first"),
     )
-    return base.join(_uniques(spans, key, unique), key, "left") if unique else base
+    kinds = [kind(name, F.col(c)) for name, c in LISTS.items()]
+    kinds.append(kind("error", F.when(F.col("status") == "error", _error_line()), F.col("span_id"), ERRORS))
+    tags = F.transform(F.coalesce("tags", F.expr("cast(array() as array<string>)")), lambda t: kind("tags", t))
+    lists = ordered_lists(spans, key, F.concat(F.array(*kinds), tags))
+    out = base.join(lists, key, "left")
+    got = lambda name: F.try_element_at("lists", F.lit(name))
+    some = lambda name: F.coalesce(got(name), F.expr("cast(array() as array<string>)")).alias(name)
+    return out.select(*(c for c in base.columns if c != "_first"), "_first.*", *map(some, (*LISTS, "tags")), _joined_errors(F.coalesce(got("error"), F.expr("cast(array() as array<string>)"))).alias("error_summary"), (F.col("status") != "incomplete").alias("complete"))
+
+
+def _error_line() -> Column:
+    return F.when(F.coalesce("error_message", F.lit("")) != "", F.substring(F.concat_ws(": ", "name", "error_message"), 1, 512))
+
+
+def _joined_errors(lines: Column) -> Column:
+    return F.substring(F.array_join(lines, " | "), 1, 2048)
 
 
 def errors_summary(spans: DataFrame) -> DataFrame:
     """The first three error messages of each trace, joined."""
-    failed = spans.filter((F.col("status") == "error") & (F.coalesce(F.col("error_message"), F.lit("")) != ""))
-    first = failed.withColumn("_r", F.row_number().over(W.partitionBy("organization_id", "trace_id").orderBy("start_ns", "span_id"))).filter("_r <= 3")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("_r", F.substring(F.concat_ws(": ", "name", "error_message"), 1, 512).alias("m")))), lambda r: r["m"])
-    return first.groupBy("organization_id", "trace_id").agg(F.substring(F.array_join(lines, " | "), 1, 2048).alias("error_summary"))
+    key = ["organization_id", "trace_id"]
+    lists = ordered_lists(spans.filter("status = 'error'"), key, F.array(kind("error", _error_line(), F.col("span_id"), ERRORS)))
+    return lists.select(*key, _joined_errors(F.col("lists")["error"]).alias("error_summary"))
 
 
-def weakest_source(column: str = "usage_source") -> Column:
+def weakest_source(column: str | Column = "usage_source") -> Column:
     """A trace's usage is as good as its weakest span's; none is missing."""
-    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SOURCES)), F.col(column)), F.lit(1))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SOURCES)), F.col(column) if isinstance(column, str) else column), F.lit(1))
     return F.element_at(F.array(*map(F.lit, SOURCES)), F.min(F.greatest(rank, F.lit(1))).cast("int"))
 
 
-def worst_cost_status(column: str = "cost_estimation_status") -> Column:
+def worst_cost_status(column: str | Column = "cost_estimation_status") -> Column:
     order = ("unpriced", "estimated", "final")
-    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column) if isinstance(column, str) else column)
     worst = F.min(F.when(at > 0, at)).cast("int")
     return F.when(worst.isNull(), "unpriced").otherwise(F.element_at(F.array(*map(F.lit, order)), worst))
 
