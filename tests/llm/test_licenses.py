@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from tracelake.llm import licenses
 
 MIT = """Copyright (c) 2020 X
@@ -20,9 +22,9 @@ def slow_match(found):
         hit = next((r for r in rules if tuple(x[1] for x in found[i : i + len(r[2])]) == r[2] and all(found[j + 1][0] - found[j][0] <= licenses.GAP + 1 for j in range(i, i + len(r[2]) - 1))), None)
         if hit:
             version = next((x[2] for x in found[i : i + len(hit[2])] if x[2]), "")
-            got.append((hit[0].replace("{v}", version), hit[1]))
+            got.append((hit[0].replace("{v}", version if "." in version or not version else version + ".0"), hit[1]))
         i += len(hit[2]) if hit else 1
-    return got
+    return [x for x in got if x[1] != "proprietary"] or got
 
 
 def test_known_texts():
@@ -30,8 +32,8 @@ def test_known_texts():
         MIT: ["MIT"],
         "Foo.\nLicensed under the Apache License, Version 2.0.\nBar.": ["Apache-2.0"],
         "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
-        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3"],
-        "Released under the MIT License. All rights reserved.": ["MIT", "Proprietary"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "Released under the MIT License. All rights reserved.": ["MIT"],
         "The licence of the sea. Permission granted. All rights are reserved to nobody": [],
         "": [],
         None: [],
@@ -121,5 +123,34 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
 provided that the above copyright notice and this permission notice appear in all copies."""
     gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    for text, want in ((bsd, "BSD-2-Clause"), (isc, "ISC"), (gpl, "GPL-3-or-later"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1-or-later"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0")):
+    for text, want in ((bsd, "BSD-2-Clause"), (isc, "ISC"), (gpl, "GPL-3.0-or-later"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1-or-later"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0")):
         assert [n for n, _ in licenses.match(licenses.identifiers(text))[0]] == [want], text
+
+
+GPL_NAMED = "Foo is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("// SPDX-License-Identifier: (GPL-2.0 WITH Linux-syscall-note)", ["GPL-2.0 WITH Linux-syscall-note"]),
+        ("SPDX-License-Identifier: (MIT AND (GPL-2.0+ OR bsd-2-clause)) */", ["MIT", "GPL-2.0-or-later", "BSD-2-Clause"]),
+        ("SPDX-License-Identifier: LicenseRef-Own", ["LicenseRef-Own"]),
+        ("SPDX-License-Identifier: Nothing-1.0", []),
+        ("This project is licensed under the MIT License - see the LICENSE file for details", ["MIT"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the BSD 3-Clause License.", ["BSD-3-Clause"]),
+        ("It is distributed under the terms of the GNU Lesser General Public License version 3 or later.", ["LGPL-3.0-or-later"]),
+        ("The code is released under the\nMozilla Public License 2.0", ["MPL-2.0"]),
+        (GPL_NAMED, ["GPL-3.0-or-later"]),
+        (GPL_NAMED.replace("General", "Lesser General"), ["LGPL-3.0-or-later"]),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.", ["GPL-3.0"]),
+        ("Copyright 2020. All rights reserved.\n" + MIT, ["MIT"]),
+        ("All rights reserved.", ["Proprietary"]),
+        ("the ship sails under the flag of Apache 2.0", []),
+        ("He is available under pressure.", []),
+    ],
+)
+def test_ordinary_texts(text, want):
+    assert [n for n, _ in licenses.match(licenses.identifiers(text))[0]] == want

@@ -7,7 +7,8 @@ identifier.  The identifiers of a text, in order, form a sequence; ordered
 rules are matched against it from left to right, longest rule first, each rule
 an ordered list of identifiers with a bounded number of unknown sentences
 between two of them.  Identifiers that no rule takes are reported as unmatched
-evidence.
+evidence.  A sentence that is not known whole, but says what something is
+licensed under, and an SPDX expression are identified by the licences they name.
 """
 
 from __future__ import annotations
@@ -98,6 +99,13 @@ SENTENCES = {
     "zlib-origin": "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
     "zlib-altered": "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
     "zlib-notice": "this notice may not be removed or altered from any source distribution",
+    "gpl-title": "gnu general public license version {v} 29 june 2007",
+    "gpl-title-1991": "gnu general public license version {v} june 1991",
+    "lgpl-title": "gnu lesser general public license version {v} 29 june 2007",
+    "lgpl-title-1999": "gnu lesser general public license version {v} february 1999",
+    "agpl-title": "gnu affero general public license version {v} 19 november 2007",
+    "mpl-title": "mozilla public license version {v}",
+    "mpl-title-short": "mozilla public license v {v}",
 }
 #: Rules in order of preference; the licence, its class, and the
 #: identifiers in sequence; {v} is the version its sentences name.
@@ -169,6 +177,14 @@ RULES = [
     ("CC-BY-ND-{v}", "no-derivatives", ("cc-by-nd-work",)),
     ("Unlicense", "public-domain", ("unlicense", "unlicense-free")),
     ("WTFPL", "permissive", ("wtfpl",)),
+    ("GPL-{v}", "copyleft", ("gpl-title",)),
+    ("GPL-{v}", "copyleft", ("gpl-title-1991",)),
+    ("LGPL-{v}", "copyleft", ("lgpl-title",)),
+    ("LGPL-{v}", "copyleft", ("lgpl-title-1999",)),
+    ("AGPL-{v}", "copyleft", ("agpl-title",)),
+    ("MPL-{v}", "copyleft", ("mpl-title",)),
+    ("MPL-{v}", "copyleft", ("mpl-title-short",)),
+    ("LGPL-{v}-or-later", "copyleft", ("lgpl-free-software", "gpl-hope", "lgpl-details")),
 ]
 #: Names that a line ``SPDX-License-Identifier:`` may have, by class.
 SPDX = {
@@ -182,9 +198,29 @@ SPDX = {
 }
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
+#: How a sentence names a licence that something stands under, by
+#: the start of its name and what may follow; the groups are its version and
+#: whether later ones do.
+NAMED = (
+    ("MIT", r"(?:mit|expat)", "permissive"),
+    ("Apache-{v}", r"apache(?: software)?(?: licen[sc]e)?(?: version)? v?(\d(?:\.\d)?)", "permissive"),
+    ("BSD-{v}-Clause", r"(?:new |modified |revised |simplified )?bsd (\d) clause", "permissive"),
+    ("BSD-{v}-Clause", r"(\d) clause bsd", "permissive"),
+    ("AGPL-{v}", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version)? ?v?(\d(?:\.\d)?)", "copyleft"),
+    ("LGPL-{v}", r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl)(?: version)? ?v?(\d(?:\.\d)?)", "copyleft"),
+    ("GPL-{v}", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version)? ?v?(\d(?:\.\d)?)", "copyleft"),
+    ("MPL-{v}", r"(?:mozilla public licen[sc]e|mpl)(?: version)? ?v?(\d(?:\.\d)?)", "copyleft"),
+    ("EPL-{v}", r"(?:eclipse public licen[sc]e|epl)(?: version)? ?v?(\d(?:\.\d)?)", "copyleft"),
+    ("BSL-{v}", r"boost software licen[sc]e(?: version)? ?v?(\d(?:\.\d)?)", "permissive"),
+    ("ISC", r"isc", "permissive"),
+    ("Zlib", r"zlib", "permissive"),
+    ("Unlicense", r"unlicense", "public-domain"),
+)
 
 _CUT = re.compile(r"\n+|(?<=[.!?;:])[ \t]+").split
 _MARKS = re.compile(r"[^\w.]+|(?<!\d)\.|\.(?!\d)|_").sub
+# a program's own name in the place of "this program"
+_PROGRAM = re.compile(r"^(?!this library\b).{1,60}? is (free software\b|distributed in the hope\b)").sub
 _VERSION = re.compile(r"(?<![\w.])v?(\d+(?:\.\d+)*)(?![\w.])")
 
 
@@ -203,6 +239,9 @@ for _kind, _names in SPDX.items():
         _id = f"spdx-{_text.removeprefix('spdx license identifier ')}"
         _KNOWN[_text] = _id
         _RULES.append((_name.replace(_number, "{v}", 1) if _number else _name, _kind, (_id,)))
+# a library's sentences, of a program
+for _text, _id in [(t, i) for t, i in _KNOWN.items() if t.startswith("this library is free software")]:
+    _KNOWN.setdefault(_text.replace("this library", "this program", 1), _id)
 _SORTED = sorted(_KNOWN)
 
 
@@ -218,6 +257,65 @@ def _telling(sentences: list[str]) -> tuple[str, ...]:
 
 
 _TELLING = _telling(_SORTED)
+_UNDER = re.compile(r"\b(?:licensed|distributed|released|available|provided|published) (?:\w+ )?under (?:the terms of )?(?:either |both )?(?:of )?(?:the )?").search
+_NAMES = [(name, re.compile(r"(?:the )?" + text + r"\b((?: or| and)? (?:any )?later(?: versions?)?)?(?: licen[sc]es?)?").match, kind) for name, text, kind in NAMED]
+_BETWEEN = re.compile(r" (?:or|and)(?: the)? ").match
+_ITEM = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*|[()]").match
+_SPDX_BY_NAME = {n.lower(): n for names in SPDX.values() for n in names}
+_CLASS = {n: kind for kind, names in SPDX.items() for n in names}
+
+
+def _whole(version: str) -> str:
+    """A version as SPDX names have it: 3 is 3.0."""
+    return version if "." in version or not version else f"{version}.0"
+
+
+def _references(sentence: str) -> list[tuple[str, str]]:
+    """The licences, and their classes, that a sentence says something is
+    licensed under, whatever else it says."""
+    words = _MARKS(" ", sentence.lower()).strip()
+    start, out = _UNDER(words), []
+    at = start.end() if start else -1
+    while at >= 0:
+        for name, match_, kind in _NAMES:
+            if found := match_(words, at):
+                version = found[1] if found.re.groups > 1 else ""
+                name = name.replace("{v}", version if "Clause" in name else _whole(version or ""))
+                out.append((name + ("-or-later" if kind == "copyleft" and found[found.re.groups] else ""), kind))
+                on = _BETWEEN(words, found.end())
+                at = on.end() if on else -1
+                break
+        else:
+            break
+    return out
+
+
+def _expression(text: str) -> list[tuple[str, str]]:
+    """The licences of an SPDX expression, each with its exception."""
+    out, at, named = [], 0, False
+    while True:
+        while at < len(text) and text[at] in " \t":
+            at += 1
+        item = _ITEM(text, at)
+        if not item:
+            return out
+        word, at = item[0], item.end()
+        if word in "()":
+            continue
+        if word.upper() in ("AND", "OR") and named:
+            named = False
+        elif word.upper() == "WITH" and named and (item := _ITEM(text, at + 1)):
+            out[-1], at = (f"{out[-1][0]} WITH {item[0]}", out[-1][1]), item.end()
+        elif not named:
+            plain = word.rstrip("+").rstrip(".")
+            name = _SPDX_BY_NAME.get(plain.lower(), plain if plain.startswith("LicenseRef-") else None)
+            if name is None:
+                return out
+            kind = _CLASS.get(name, "other")
+            out.append((f"{name.removesuffix('-only')}-or-later" if word.endswith("+") and kind == "copyleft" and not name.endswith("-or-later") else name, kind))
+            named = True
+        else:
+            return out
 
 
 def _begins(words: str) -> bool:
@@ -234,9 +332,10 @@ def identifiers(text: str | None) -> list[tuple[int, str, str]]:
     if not text:
         return out
     lower = text.lower()
-    if not any(w in lower for w in _TELLING):
+    if "licen" not in lower and not any(w in lower for w in _TELLING):
         return out
-    pieces = [p for p in map(normalise, _CUT(text)) if p[0]]
+    raw = [x for x in _CUT(text) if _MARKS(" ", x).strip()]
+    pieces = [(_PROGRAM(r"this program is \1", w), v) for w, v in map(normalise, raw)]
     at = number = 0
     while at < len(pieces):
         words, version = pieces[at]
@@ -252,7 +351,22 @@ def identifiers(text: str | None) -> list[tuple[int, str, str]]:
             at = known[0]
             out.append((number, *known[1:]))
         else:
-            at += 1
+            # what is no sentence that is known whole may still name licences
+            named, took = [], 1
+            tag = raw[at].lower().rfind("license-identifier:")
+            if tag >= 0 and "spdx" in raw[at].lower():
+                rest = raw[at][tag + len("license-identifier:") :]
+                took = 1 if rest.strip() or at + 1 == len(raw) else 2
+                named = _expression(rest if took == 1 else raw[at + 1])
+            elif "under" in words:
+                line, took = raw[at], 1
+                named = _references(line)
+                if at + 1 < len(raw) and (not named or line.rstrip()[-1:] not in ".!?;:"):  # wrapped
+                    more = _references(f"{line} {raw[at + 1]}")
+                    if len(more) > len(named) or (more and more != named):
+                        named, took = more, 2
+            out += [(number, f"named:{kind}:{name}", "") for name, kind in named]
+            at += took if named else 1
         number += 1
     return out
 
@@ -267,18 +381,25 @@ def match(found: list[tuple[int, str, str]]) -> tuple[list[tuple[str, str]], lis
     left over."""
     got, left, at = [], [], 0
     while at < len(found):
+        if found[at][1].startswith("named:"):
+            _, kind, name = found[at][1].split(":", 2)
+            got.append((name, kind))
+            at += 1
+            continue
         for r in _BY_FIRST.get(found[at][1], ()):
             name, kind, seq = _RULES[r]
             part = found[at : at + len(seq)]
             if tuple(x[1] for x in part) == seq and all(b[0] - a[0] <= GAP + 1 for a, b in zip(part, part[1:])):
                 version = next((x[2] for x in part if x[2]), "")
-                got.append((name.replace("{v}", version), kind))
+                got.append((name.replace("{v}", _whole(version)), kind))
                 at += len(seq)
                 break
         else:
             left.append(found[at][1])
             at += 1
-    return got, left
+    # a reservation of rights beside a licence takes nothing back
+    granted = [x for x in got if x[1] != "proprietary"]
+    return granted or got, left
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
