@@ -8,7 +8,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
-from tracelake import queries, queries_functions  # noqa: E402, F401
+from tracelake import queries, queries_functions, queries_ingest  # noqa: E402, F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

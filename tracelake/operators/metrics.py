@@ -143,6 +143,27 @@ def overview(spans: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def whole_overview(traces: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """One row from the roll-ups of a window: requests, errors and their rate,
+    tokens, cost, and exact percentiles of latency and time to first token.
+
+    Both measures are ranked in one pass, keyed by measure; the counts are one
+    aggregate more over the same rows."""
+    measured = F.array(*(F.struct(F.lit(m).alias("measure"), c.cast("long").alias("v")) for m, c in (("latency_ns", F.col("duration_ns")), ("ttft_us", F.round(F.col("time_to_first_token_ms") * 1000)))))
+    ranked = percentiles(traces.select(F.inline(measured)), ["measure"], "v", levels)
+    names = [f"p{round(p * 100)}" for p in levels]
+    one = ranked.groupBy().agg(*(F.max(F.when(F.col("measure") == m, F.col(n))).alias(f"{m}_{n}") for m in ("latency_ns", "ttft_us") for n in names))
+    counts = traces.agg(
+        F.count("*").alias("request_count"),
+        F.coalesce(F.sum("error_count"), F.lit(0)).alias("error_count"),
+        F.coalesce(F.sum("error_count") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("error_rate"),
+        *(F.coalesce(F.sum(f"total_{c}tokens"), F.lit(0)).alias(f"{c}tokens") for c in ("", "input_", "output_")),
+        F.sum("total_cost").alias("total_cost"),
+        F.coalesce(F.bool_or(F.col("cost_status").isin("estimated", "unpriced")), F.lit(False)).alias("cost_is_partial"),
+    )
+    return counts.join(F.broadcast(one))  # a row and a row
+
+
 def overview_compared(spans: DataFrame, time: str, start_ns: int, end_ns: int) -> DataFrame:
     """The window and the equal one before it, in one scan."""
     both = spans.filter((F.col(time) >= 2 * start_ns - end_ns) & (F.col(time) < end_ns))

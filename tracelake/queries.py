@@ -76,7 +76,6 @@ for _name, _condition, _sql in (
     ("flt_in", ("name", "in", ["click", "view"]), "name in ('click', 'view')"),
     ("flt_not_in", ("name", "not_in", ["click", "view"]), "name not in ('click', 'view')"),
     ("flt_contains", ("name", "contains", "urch"), "contains(name, 'urch')"),
-    ("flt_contains_literal", ("name", "contains", "%"), "contains(name, '%')"),
     ("flt_starts_with", ("name", "starts_with", "pu"), "starts_with(name, 'pu')"),
     ("flt_ends_with", ("name", "ends_with", "ck"), "ends_with(name, 'ck')"),
     ("flt_has", ("tags", "has", "u1"), "user_id % 4 = 1"),
@@ -323,9 +322,11 @@ def self_time(spark, sf_dir):
     return tree.self_time(_latest(spark, sf_dir))
 
 
-@query(f"with {L} select trace_id, min_by(span_id, (start_ns, span_id)) original, count(*) - 1 retries from l group by trace_id, parent, name having count(*) > 1")
+@query(f"with {L} select trace_id, min_by(span_id, (start_ns, span_id)) original, count(*) - 1 retries from l group by trace_id, parent, category = 'retrieval' having count(*) > 1")
 def retry_groups(spark, sf_dir):
-    return tree.retry_groups(_latest(spark, sf_dir))
+    """Names that repeat under a parent: one for retrievals, one for the rest."""
+    spans = _latest(spark, sf_dir).withColumn("name", F.when(F.col("category") == "retrieval", "find").otherwise("call"))
+    return tree.retry_groups(spans)
 
 
 @query(f"""with {_TREE}, dp as (select k.trace_id, k.span_id, coalesce(max(dist), 0) depth from k left join c using (trace_id, span_id) group by 1, 2),
@@ -458,11 +459,12 @@ def cost_graduated(spark, sf_dir):
     return _costs(spark, sf_dir, True)
 
 
-@query(f"with {E} select case when start_ns < {T0} then 1.0 else 1.5 end::double price, count(*) n, cast(sum(input_tokens) as bigint) tokens from e where model = 'model-1' and input_tokens > 0 group by 1")
+@query(_cost_sql(False).split(" , comp as")[0] + " select c as category, round(cast(price * (1 - coalesce(disc, 0)) as double), 6) price, count(*) n, cast(sum(q) as bigint) tokens from h4 where (q >= tier_min and q < coalesce(tier_max, 1e18)) or (held = 0 and tier_min = last) group by 1, 2")
 def cost_effective_dated(spark, sf_dir):
-    parts = cost.components(_usage(spark, sf_dir).filter("category = 'input' and model like 'model-1%'"), _book(spark))
+    """What every use was charged at, all models and categories."""
+    parts = cost.components(_usage(spark, sf_dir), _book(spark))
     price = F.round(F.col("amount").cast("double") * 1e6 / F.col("quantity"), 6)
-    return parts.groupBy(price.alias("price")).agg(F.count("*").alias("n"), F.sum("quantity").alias("tokens"))
+    return parts.groupBy("category", price.alias("price")).agg(F.count("*").alias("n"), F.sum("quantity").alias("tokens"))
 
 
 @query("with p as (select p_partkey, p_brand, p_size, cast(p_size as bigint) f, cast(p_size as bigint) + p_partkey % 3 t from part), w as (select *, lag(t) over (partition by p_brand order by f, t, p_partkey) pt from p) select p_brand model, count(*) n from w where f < pt group by 1")
@@ -628,15 +630,10 @@ def run_limits(spark, sf_dir):
     return agents.limits(adapters.agent_steps(spark, sf_dir))
 
 
-def _price_sql(category: str, q: str) -> str:
-    per = {"input": "case when start_ns < " + str(T0) + " then 1.0 else 1.5 end", "output": "2.0 * 0.75"}[category]
-    return f"case when {q} > 0 then {q} * ({per}) / 1e6 end"
-
-
-@query(f"with {E}, c as (select *, {_price_sql('input', 'input_tokens')} ic, {_price_sql('output', 'coalesce(output_tokens, 0)')} oc from e where model = 'model-1') select span_id, round(coalesce(ic, 0) + coalesce(oc, 0), 9) cost, case when ic is null and oc is null then null else 'final' end status from c")
+@query(f"with {E} select span_id, coalesce(total, 0) cost, c.status from e left join ({_cost_sql(False)}) c on c.id = e.span_id")
 def cost_apply(spark, sf_dir):
-    """Spans priced on their way in: a call with usage has its cost."""
-    spans = adapters.event_spans(spark, sf_dir).filter("model = 'model-1'").drop("cost_total")
+    """All spans priced on their way in: a call with usage has its cost."""
+    spans = adapters.event_spans(spark, sf_dir).drop("cost_total")
     spans = spans.withColumn("cached_input_tokens", F.lit(None).cast("long")).withColumn("usage_source", F.lit("provider")).withColumn("content_hash", F.lit("h"))
     out = pipeline.priced(spans, _book(spark))
     return out.select("span_id", F.round(F.coalesce(F.col("cost_total").cast("double"), F.lit(0.0)), 9).alias("cost"), F.col("cost_status").alias("status"))

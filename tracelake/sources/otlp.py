@@ -36,7 +36,7 @@ def decode_id(text: Column, n_bytes: int) -> Column:
 
 #: Levels of arrays and maps within a span's values, and those of its resource,
 #: events and links; what lies deeper stays as it is written.
-DEPTH, OTHERS = 2, 1
+DEPTH, OTHERS = 1, 0
 
 # Expressions over values are SQL text: as Columns, those of nested values take
 # a call into the JVM for each of their hundreds of nodes.
