@@ -12,7 +12,7 @@ from tracelake.operators import filters, metrics, rollup, tree
 from tracelake.plans.fields import SPANS
 from tracelake.plans.lineage import cut, shared_dir
 from tracelake.queries import _BOOK, _TREE, E, L, _book, _latest, query
-from tracelake.sources import adapters, otlp
+from tracelake.sources import adapters, otlp, sinks
 from tracelake.sources.store import Store
 from tracelake.streaming import pipeline
 
@@ -201,3 +201,12 @@ def otlp_nested_values(spark, sf_dir):
 
 
 
+
+
+@query(f"with {E}, k as (select case when cast(span_id as bigint) % 7 = 0 then ['late', 'k'] when cast(span_id as bigint) % 2 = 0 then ['even', 'k'] else ['k', 'odd'] end ks, cast(span_id as bigint) i from e), u as (select unnest(ks) k, unnest(range(0, 2)) p, i from k) select k as \"key\", row_number() over (order by min((i, p)), k) as \"rank\" from u group by k")
+def set_union_keys(spark, sf_dir):
+    """The header of an export: keys of all rows' maps, first seen first."""
+    n = F.col("span_id").cast("long")
+    one = F.lit("1")
+    m = F.when(n % 7 == 0, F.create_map(F.lit("late"), one, F.lit("k"), one)).when(n % 2 == 0, F.create_map(F.lit("even"), one, F.lit("k"), one)).otherwise(F.create_map(F.lit("k"), one, F.lit("odd"), one))
+    return sinks.union_keys(adapters.event_spans(spark, sf_dir).select(n.alias("i"), m.alias("m")), "m", ["i"])
