@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.plans.fields import ARRAY, ENUM, INTEGER, NUMBER, OPERATORS, STRING, TIMESTAMP, Table
+from tracelake.plans.fields import ARRAY, BOOLEAN, ENUM, INTEGER, NUMBER, OPERATORS, STRING, TIMESTAMP, Table
 
 MAX_FILTERS, MAX_VALUES = 25, 200
 MAX_RANGE_NS = 400 * 86_400 * 10**9
@@ -91,6 +91,10 @@ def text_query(table: Table, text: str) -> Column:
     return reduce(lambda a, b: a | b, (F.col(i) == text for i in ids), F.col(name).contains(text))
 
 
+#: Texts that stand for true and false.
+TRUTH = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+
+
 def coerce(table: Table, name: str, token: str) -> Any:
     """A filter's text as a value of the field's type; raises ValueError with
     what the field would take."""
@@ -103,7 +107,9 @@ def coerce(table: Table, name: str, token: str) -> Any:
         if kind == TIMESTAMP:
             at = datetime.fromisoformat(token)
             return at if at.tzinfo else at.replace(tzinfo=UTC)
-    except ValueError:
+        if kind == BOOLEAN:
+            return TRUTH[token.strip().lower()]
+    except (ValueError, KeyError):
         raise ValueError(f"{token!r} is no {kind} value for {name!r}") from None
     allowed = table.field(name).values
     if allowed and token not in allowed:

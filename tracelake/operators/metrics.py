@@ -208,10 +208,18 @@ def from_preaggregate(table: DataFrame, by: Sequence[str], level: float) -> Data
     return ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min(F.when(F.col("upto") > F.floor(F.lit(float(level)) * (F.col("total") - 1)), F.col("bin"))).alias("percentile"))
 
 
-def segments(series: DataFrame, by: Sequence[str], width_ns: int) -> DataFrame:
-    """Contiguous runs of buckets with a value: gaps and islands."""
+def segments(series: DataFrame, by: Sequence[str], width_ns: int, partial: Sequence[int] | None = None) -> DataFrame:
+    """Contiguous runs of buckets with a value: gaps and islands.
+
+    With ``partial``, the buckets that are still filling, a run also ends where
+    those begin or end, ``partial`` tells which it is, and the next run goes on
+    from the last bucket before it, so that the line stays whole; runs of one
+    bucket, which are no line, go."""
     w = W.partitionBy(*by).orderBy("bucket")
-    known = series.filter(F.col("value").isNotNull())
-    fresh = F.coalesce((F.col("bucket") - F.lag("bucket").over(w) != width_ns).cast("long"), F.lit(1))
-    runs = known.withColumn("_new", fresh).withColumn("segment", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "segment").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"), F.count("*").alias("points"))
+    known = series.filter(F.col("value").isNotNull()).withColumn("partial", F.col("bucket").isin(list(partial or ())))
+    gap = F.coalesce(F.col("bucket") - F.lag("bucket").over(w) != width_ns, F.lit(True))
+    turn = F.coalesce(F.col("partial") != F.lag("partial").over(w), F.lit(False))
+    runs = known.withColumn("_gap", gap).withColumn("_turn", turn & ~F.col("_gap")).withColumn("segment", F.sum((F.col("_gap") | F.col("_turn")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    joined = F.max(F.col("_turn").cast("long"))
+    out = runs.groupBy(*by, "segment").agg((F.min("bucket") - joined * width_ns).alias("first"), F.max("bucket").alias("last"), (F.count("*") + joined).alias("points"), F.first("partial").alias("partial"))
+    return out.drop("partial") if partial is None else out.filter("points > 1")

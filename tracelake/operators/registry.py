@@ -24,6 +24,12 @@ def assign_versions(rows: DataFrame, parent: Sequence[str], digest: str = "conte
     return out if existing is None else existing.select(*parent, digest, F.col("version_number").cast("long")).unionByName(out)
 
 
+def with_parents(versions: DataFrame, parent: Sequence[str], digest: str = "content_hash") -> DataFrame:
+    """Adds ``parent_version``, the content that a version follows; null for
+    the first of its name."""
+    return versions.withColumn("parent_version", F.lag(digest).over(W.partitionBy(*parent).orderBy("version_number")))
+
+
 def promote(aliases: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
     """Aliases after ``changes`` (``name, alias, version_id``): the version
     before is kept as previous; drafts (``published`` false) are refused."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-STRING, ENUM, INTEGER, NUMBER, TIMESTAMP, ARRAY, MAP = "string", "enum", "integer", "number", "timestamp", "array", "map"
+STRING, ENUM, INTEGER, NUMBER, BOOLEAN, TIMESTAMP, ARRAY, MAP = "string", "enum", "integer", "number", "boolean", "timestamp", "array", "map"
 
 _ORDER = ("gt", "gte", "lt", "lte", "between")
 _NULLS = ("is_null", "is_not_null")
@@ -18,6 +18,7 @@ OPERATORS = {
     ENUM: ("eq", "ne", "in", "not_in", *_NULLS),
     INTEGER: ("eq", "ne", "in", "not_in", *_ORDER, *_NULLS),
     NUMBER: ("eq", "ne", *_ORDER, *_NULLS),
+    BOOLEAN: ("eq", "ne", *_NULLS),
     TIMESTAMP: ("eq", *_ORDER),
     ARRAY: ("has", "has_any", "has_all", *_NULLS),
     MAP: (),
@@ -77,7 +78,7 @@ SPANS = Table(
         _f("input_tokens", INTEGER, sortable=True), _f("output_tokens", INTEGER, sortable=True), _f("total_tokens", INTEGER, sortable=True),
         _f("cost", NUMBER, "cost_total", sortable=True), _f("cost_status", ENUM, "cost_estimation_status"),
         _f("error_type", STRING), _f("tool_name", STRING), _f("agent_id", STRING), _f("retriever_name", STRING),
-        _f("tags", ARRAY), _f("attributes", MAP),
+        _f("late_arrival", BOOLEAN), _f("tags", ARRAY), _f("attributes", MAP),
     ),
     "start_ns", "span_id", text=("name", "trace_id", "session_id"),
 )

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import redaction, scalars
-from tracelake.operators import filters, metrics, rollup, tree
+from tracelake.operators import filters, metrics, registry, rollup, tree
 from tracelake.plans.fields import SPANS
 from tracelake.plans.lineage import cut, shared_dir
-from tracelake.queries import _BOOK, _TREE, E, L, _book, _latest, query
+from tracelake.queries import _BOOK, _TREE, E, L, T1, _book, _latest, query
 from tracelake.sources import adapters, otlp, sinks
 from tracelake.sources.store import Store
 from tracelake.streaming import pipeline
@@ -210,3 +210,31 @@ def set_union_keys(spark, sf_dir):
     one = F.lit("1")
     m = F.when(n % 7 == 0, F.create_map(F.lit("late"), one, F.lit("k"), one)).when(n % 2 == 0, F.create_map(F.lit("even"), one, F.lit("k"), one)).otherwise(F.create_map(F.lit("k"), one, F.lit("odd"), one))
     return sinks.union_keys(adapters.event_spans(spark, sf_dir).select(n.alias("i"), m.alias("m")), "m", ["i"])
+
+
+@query(f"with {E} select span_id, start_ns < {T1} - 604800000000000 late from e where start_ns < {T1} - 604800000000000")
+def flt_boolean(spark, sf_dir):
+    """A filter's text as a truth value: late spans only."""
+    spans = pipeline.checked(adapters.event_spans(spark, sf_dir), T1)
+    return filters.where(spans, SPANS, [("late_arrival", "eq", filters.coerce(SPANS, "late_arrival", "Yes"))]).select("span_id", F.col("late_arrival").alias("late"))
+
+
+@query("with n as (select conv_id, turn, md5(text) h, role from conversations), v as (select role, h, min(conv_id * 100 + turn) born from n group by role, h) select role, h content_hash, row_number() over w version_number, lag(h) over w parent_version from v window w as (partition by role order by born, h)")
+def version_parents(spark, sf_dir):
+    c = adapters.table(spark, sf_dir, "conversations").select("role", F.md5("text").alias("content_hash"), (F.col("conv_id") * 100 + F.col("turn")).alias("born"))
+    return registry.with_parents(registry.assign_versions(c, ["role"], "content_hash", "born"), ["role"])
+
+
+_HOUR = metrics.INTERVALS["1h"]
+
+
+@query(f"""with {E}, b as (select start_ns // {_HOUR} * {_HOUR} bucket, session_id, count(*) n, start_ns // {_HOUR} * {_HOUR} >= {T1} partial from e group by all),
+ f as (select *, coalesce(bucket - lag(bucket) over w <> {_HOUR}, true) gap, coalesce(partial <> lag(partial) over w, false) turn from b window w as (partition by session_id order by bucket)),
+ g as (select *, sum(case when gap or turn then 1 else 0 end) over (partition by session_id order by bucket) k, turn and not gap j from f),
+ r as (select session_id, k, min(bucket) - max(case when j then {_HOUR} else 0 end) "first", max(bucket) "last", count(*) + max(case when j then 1 else 0 end) points, bool_or(partial) partial from g group by 1, 2)
+ select session_id, "first", "last", points, partial from r where points > 1""")
+def chart_segments_partial(spark, sf_dir):
+    """Lines end where buckets begin that are still filling, and go on from there."""
+    series = metrics.timeseries(adapters.event_spans(spark, sf_dir), "start_ns", _HOUR, metrics.measure("count"), ["session_id"])
+    late = [r[0] for r in series.filter(F.col("bucket") >= T1).select("bucket").distinct().collect()]  # hours, not rows
+    return metrics.segments(series, ["session_id"], _HOUR, late).drop("segment")
