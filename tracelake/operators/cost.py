@@ -18,6 +18,8 @@ BINS, STEP, FOREVER = (42, 47, 52, 57, 62), 5, (1 << 62) - 1
 SUFFIX = r"[-@](?:\d{4}-\d{2}-\d{2}|\d{6,8}|v\d+|latest)$"
 #: Categories in the order of a formula; others follow by name.
 ORDER = ("input", "output", "cached_input", "cache_write", "reasoning")
+#: What a cost record says of each component.
+COMPONENTS = "array<struct<category:string,quantity:bigint,unit_quantity:bigint,unit_price:decimal(18,9),discount:decimal(9,6),amount:decimal(26,12),currency:string,tier_min:bigint>>"
 #: A price book this small is sent to every task; a larger one is shuffled.
 BROADCAST_RULES = 100_000
 

@@ -142,10 +142,9 @@ def priced(spans: DataFrame, book: DataFrame | None) -> DataFrame:
     id_ = F.concat_ws("/", "trace_id", "span_id", "content_hash")
     calls = spans.filter("provider <> '' and model <> ''").select(id_.alias("id"), "provider", "model", F.col("start_ns").alias("at_ns"), "usage_source", F.explode(F.create_map(*(x for n in USED for x in (F.lit(n.removesuffix("_tokens")), F.col(n))))).alias("category", "quantity"))
     if book is None:
-        book = spans.sparkSession.createDataFrame([], cost.RULE)
-        got = cost.breakdown(calls.limit(0), book)
-    else:
-        got = cost.breakdown(calls.filter("quantity > 0"), book)
+        types = {"cost_total": cost.MONEY, "cost_components": cost.COMPONENTS, "unpriced_categories": "array<string>"}
+        return spans.withColumns({n: F.lit(None).cast(types.get(n, "string")) for n in added})
+    got = cost.breakdown(calls.filter("quantity > 0"), book)
     return spans.join(got.select(F.col("id").alias("_id"), *(F.col(c).alias(n) for n, c in added.items())), id_ == F.col("_id"), "left").drop("_id")
 
 
@@ -218,7 +217,10 @@ def ingest_batch(store: Store, organization: str, clock: Callable[[], int], book
         out["series_5m"] = series(good, then, store.buckets).withColumn("batch_id", F.lit(batch_id)).withColumn("gone", F.lit(False))
         for table, df in out.items():
             store.add(table, df, batch_id)
-        merged = [store.compact(t, store.units_of(t, df), batch_id) for t, df in out.items()]
+        # what is derived from spans lies in their units
+        own = store.units_of("spans", out["spans"])
+        apart = {t: store.units_of(t, out[t]) for t in ("traces", "series_5m")}
+        merged = [store.compact(t, apart.get(t, own), batch_id) for t in out]
         store.commit(batch_id)
         if any(merged):
             store.vacuum(keep=2)  # the last batch may be run again
