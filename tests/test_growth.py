@@ -1,0 +1,28 @@
+"""What keeps the telemetry queries' figures in proportion to their input."""
+
+from pyspark.sql import functions as F
+
+from tracelake.operators import retrieval
+
+
+def plans_of(monkeypatch, module):
+    """Plans of the tables that a module writes, as they are written."""
+    seen, real = [], module.cut
+
+    def cut(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(module, "cut", cut)
+    return seen
+
+
+def test_near_duplicates_deal_prefixes(spark, monkeypatch):
+    """No step's texts are brought together, and only prefixes are dealt."""
+    text = lambda i: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda w: F.concat(F.lit("w"), F.when(w < 90, w + i * 1000).otherwise(w))), " ")
+    docs = spark.range(80).select(F.lit("s").alias("step_id"), F.col("id").cast("string").alias("document_id"), (-F.col("id")).alias("rank"), text(F.col("id") - F.col("id") % 40).alias("content_preview"))
+    seen = plans_of(monkeypatch, retrieval)
+    got = {(r.left_id, r.right_id) for r in retrieval.near_duplicates(docs).collect()}
+    assert got == {(str(b), str(a)) for a in range(80) for b in range(a + 1, 80) if a // 40 == b // 40}
+    assert "Window" not in seen[0]
+    assert "slice(grams" in seen[1]

@@ -10,8 +10,9 @@ from tracelake.plans.lineage import cut
 
 STEP = "step_id"
 SHINGLE, NEAR = 5, 0.9
-#: Documents of one shingle that meet in one part.
-DEALT = 1024
+#: Documents of one shingle that meet in one part; prefixes that have a shingle
+#: beyond which it comes last.
+DEALT, OFTEN = 1024, 64
 
 
 def diagnostics(docs: DataFrame) -> DataFrame:
@@ -45,34 +46,37 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, first: int | None
     five-word shingles have a Jaccard similarity of at least ``threshold``;
     with ``first``, among its first so many, which is what a view shows.
 
-    Of two such sets, with the shingles that fewest of the step's documents
-    have first, the first few (a share of 1 - threshold and one more) have a
-    member in common.  Shingles of one document are left out, so a passage that
-    many share counts only for documents that are made of little else, and
-    candidates come from an equality join on what is rare; whole sets meet for
-    candidates only.  A shingle that many still have is dealt in parts, any two
-    of which meet in a task of their own.
+    Of two such sets, in any order of shingles common to the step, the first
+    few (a share of 1 - threshold and one more) have a member in common, so only
+    these are dealt and compared; whole sets meet for candidates only.  The
+    order is that of the shingles' hashes, with those last, by their number,
+    that many prefixes have: a passage that many share counts only for documents
+    that are made of little else.  A shingle that many still have is dealt in
+    parts, any two of which meet in a task of their own.
     """
     docs = docs.filter("content_preview <> ''")
-    rank = F.row_number().over(W.partitionBy(STEP).orderBy("rank", "document_id"))
-    docs = docs.withColumn("_r", rank)
+    order = ["rank", "document_id"]
     if first is not None:
-        docs = docs.filter(F.col("_r") <= first)
+        docs = docs.withColumn("_r", F.row_number().over(W.partitionBy(STEP).orderBy(*order))).filter(F.col("_r") <= first)
     words = F.filter(F.split(F.lower("content_preview"), r"\s+"), lambda w: w != "")
     n = F.size("words")
     grams = F.when(n < SHINGLE, F.array(F.array_join("words", " "))).otherwise(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.array_join(F.slice("words", i, SHINGLE), " ")))
-    sets = docs.withColumn("words", words).filter(F.size("words") > 0).select(STEP, "document_id", "_r", F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("grams"))
-    sets = cut(sets)
-    every = sets.select(STEP, "_r", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    often = cut(every.groupBy(F.col(STEP).alias("_s"), F.col("g").alias("_g")).agg(F.count("*").alias("m")).filter("m > 1"))
-    shared = every.join(often, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g"))).drop("_s", "_g")
-    # shingles of no other document come first, and need not be looked up
-    own = F.count("*").over(W.partitionBy(STEP, "_r"))
-    nth = F.row_number().over(W.partitionBy(STEP, "_r").orderBy("m", "g"))
-    place = F.col("n") - own + nth
-    some = shared.withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    parts = F.ceil(F.col("m") / DEALT).cast("int")
-    some = some.withColumn("part", F.pmod(F.xxhash64("_r", "g"), parts.cast("long")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), parts - 1)))
+    sets = docs.withColumn("words", words).filter(F.size("words") > 0).select(STEP, *order, F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("grams"))
+    # a number of its own for each row; written, so it stays
+    sets = cut(sets.select("*", F.size("grams").alias("n"), F.monotonically_increasing_id().alias("_r")))
+    most = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    plain = cut(sets.select(STEP, "_r", "n", F.posexplode(F.slice("grams", F.lit(1), most)).alias("at", "g")).withColumn("at", F.col("at") + 1))
+    often = cut(plain.groupBy(F.col(STEP).alias("_s"), F.col("g").alias("_g")).agg(F.count("*").alias("m")).filter(F.col("m") > OFTEN))
+    listed = lambda df: (df[STEP] == often["_s"]) & (df["g"] == often["_g"])
+    # sets with such a shingle in their prefix have their prefix drawn anew
+    again = cut(plain.join(often, listed(plain), "left_semi").select(F.col("_r").alias("_a")).distinct())
+    every = sets.join(again, F.col("_r") == F.col("_a"), "left_semi").select(STEP, "_r", "n", F.explode("grams").alias("g"))
+    nth = F.row_number().over(W.partitionBy("_r").orderBy(F.col("m").asc_nulls_first(), "g"))
+    drawn = every.join(often, listed(every), "left").withColumn("at", nth).filter(F.col("at") <= most)
+    some = cut(plain.join(again, F.col("_r") == F.col("_a"), "left_anti").select(STEP, "_r", "n", "at", "g").unionByName(drawn.select(STEP, "_r", "n", "at", "g")))
+    long = some.groupBy(F.col(STEP).alias("_s"), F.col("g").alias("_g")).agg(F.count("*").alias("m")).filter(F.col("m") > DEALT)
+    parts = F.ceil(F.coalesce("m", F.lit(1)) / DEALT).cast("int")
+    some = some.join(long, (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")), "left").withColumn("part", F.pmod(F.xxhash64("_r", "g"), parts.cast("long")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), parts - 1)))
     some = cut(some.select(STEP, "_r", "n", "g", "at", "part", F.least("part", "_x").alias("i"), F.greatest("part", "_x").alias("j")))
     cell = ["i", "j"]
     other = some.select(F.col(STEP).alias("_s"), F.col("g").alias("_g"), *(F.col(c).alias(f"{c}2") for c in ("_r", "n", "at", "part", *cell)))
@@ -81,12 +85,13 @@ def near_duplicates(docs: DataFrame, threshold: float = NEAR, first: int | None
     room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9
     once = (F.col("part") != F.col("part2")) | (F.col("i") == F.col("j"))
     same = (F.col(STEP) == F.col("_s")) & (F.col("g") == F.col("_g")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
-    pairs = some.join(other, same & (F.col("_r") < F.col("_r2")) & alike & room & once).select(STEP, "_r", "_r2").distinct()
-    left = sets.select(STEP, "_r", F.col("document_id").alias("left_id"), F.col("grams").alias("a"))
-    right = sets.select(STEP, F.col("_r").alias("_r2"), F.col("document_id").alias("right_id"), F.col("grams").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    met = pairs.join(left, [STEP, "_r"]).join(right, [STEP, "_r2"])
-    return met.filter(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both) - 1e-9).select(STEP, "left_id", "right_id")
+    pairs = some.join(other, same & (F.col("_r") < F.col("_r2")) & alike & room & once).select("_r", "_r2").distinct()
+    side = lambda r, tag: sets.select(STEP, F.col("_r").alias(r), F.struct(*order, "_r").alias(tag), F.col("grams").alias(f"{tag}_grams"))
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    met = pairs.join(side("_r", "a"), "_r").join(side("_r2", "b").drop(STEP), "_r2")
+    met = met.filter(both >= F.lit(threshold) * (F.size("a_grams") + F.size("b_grams") - both) - 1e-9)
+    ids = [F.when(F.col("a") < F.col("b"), F.col(x)["document_id"]).otherwise(F.col(y)["document_id"]) for x, y in ("ab", "ba")]
+    return met.select(STEP, ids[0].alias("left_id"), ids[1].alias("right_id"))
 
 
 def ranking_metrics(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
