@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracelake import queries_ingest
 from tracelake.functions import redaction
 from tracelake.operators import retrieval
 
@@ -36,3 +37,13 @@ def test_redaction_is_linear_in_keys(spark):
     out = df.select(redaction.attributes(F.col("m")).alias("m"))
     assert out.first().m == {"a": '{"password": "[redacted]"}', "b": "[redacted]", "c": "[redacted]", "d": None}
     assert "map_contains_key" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_derived_tables_skip_what_others_have(spark, tmp_path):
+    """Events of spans are read from requests without redacting attributes."""
+    spark.sql("select 3L event_id, 1L user_id, 'click' event_type, timestamp '2024-01-01' ts").write.parquet(f"{tmp_path}/events.parquet")
+    for name, rows in (("span_events", 1), ("agent_steps", 0)):
+        out = queries_ingest._fanned(spark, str(tmp_path), name).select("trace_id", "span_id")
+        assert out.count() == rows
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" not in plan

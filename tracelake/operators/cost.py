@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.plans.lineage import cut
-
 MONEY = "decimal(26,12)"
 RULE = "provider string, model string, category string, from_ns long, to_ns long, tier_min long, tier_max long, unit_quantity long, unit_price decimal(18,9), discount decimal(9,6), currency string, organization_id string"
 #: Widths of the bins that windows of validity are cut into, as powers of two of
@@ -132,8 +130,11 @@ def _summed(usage: DataFrame, parts: DataFrame) -> DataFrame:
         F.bool_or(F.col("usage_source").isin("estimated", "missing")).alias("_soft"),
         F.sort_array(F.collect_set(F.when(F.col("amount").isNull(), F.col("category")))).alias("unpriced_categories"),
     )
-    status = F.when(F.col("total").isNull(), "unpriced").when((F.col("unpriced") > 0) | F.col("_soft"), "estimated").otherwise("final")
-    return got.select("id", "total", status.alias("status"), "unpriced", "unpriced_categories")
+    return got.select("id", "total", _status().alias("status"), "unpriced", "unpriced_categories")
+
+
+def _status() -> Column:
+    return F.when(F.col("total").isNull(), "unpriced").when((F.col("unpriced") > 0) | F.col("_soft"), "estimated").otherwise("final")
 
 
 def costs(usage: DataFrame, rules: DataFrame, graduated: bool = False) -> DataFrame:
@@ -147,14 +148,24 @@ def breakdown(usage: DataFrame, rules: DataFrame, graduated: bool = False) -> Da
     ``components``, what each category and tier was charged, in the order of
     ``ORDER``, ``currency`` and ``unpriced_categories``.  A use without a price
     has the formula 0."""
-    made = cut(components(usage, rules, graduated))
+    made = components(usage, rules, graduated)
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ORDER)), F.col("category")), F.lit(0).cast("long")), F.lit(len(ORDER) + 1))
     base = F.concat(F.col("quantity").cast("string"), F.lit("/"), F.col("unit_quantity"), F.lit("*"), _plain(F.col("unit_price"), 2))
     formula = F.when(F.col("discount").isNull(), base).otherwise(F.concat(F.lit("("), base, F.lit(")*(1-"), _plain(F.col("discount")), F.lit(")")))
     item = F.struct(rank.alias("rank"), "category", "tier_min", "quantity", "unit_quantity", "unit_price", "discount", "amount", "currency", formula.alias("formula"))
     items = F.col("_items")
     kept = F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in ("category", "quantity", "unit_quantity", "unit_price", "discount", "amount", "currency", "tier_min"))))
-    parts = made.groupBy(F.col("id").alias("_id")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    parts = parts.select("_id", F.array_join(F.transform(items, lambda x: x["formula"]), " + ").alias("formula"), kept.alias("components"), items[0]["currency"].alias("currency"))
-    out = _summed(usage, made).join(parts, F.col("id") == F.col("_id"), "left")
-    return out.select("id", "total", "status", "unpriced", F.coalesce("formula", F.lit("0")).alias("formula"), "components", F.coalesce("currency", F.lit("")).alias("currency"), "unpriced_categories")
+    # one aggregate over what was used and what that was charged
+    source = F.col("usage_source") if "usage_source" in usage.columns else F.lit("provider")
+    used = usage.filter("quantity > 0").select("id", F.col("category").alias("_used"), source.isin("estimated", "missing").alias("_soft"))
+    both = used.unionByName(made.select("id", item.alias("_item")), allowMissingColumns=True)
+    got = both.groupBy("id").agg(
+        F.collect_set("_used").alias("_used"), F.bool_or("_soft").alias("_soft"), F.sort_array(F.collect_list("_item")).alias("_items"), F.sum("_item.amount").cast(MONEY).alias("total"),
+        F.collect_set(F.when(F.col("_item.amount").isNotNull(), F.col("_item.category"))).alias("_charged"),
+    )
+    got = got.withColumn("unpriced_categories", F.sort_array(F.array_except("_used", "_charged"))).withColumn("unpriced", F.size("unpriced_categories").cast("long"))
+    some = F.size(items) > 0
+    return got.select(
+        "id", "total", _status().alias("status"), "unpriced", F.when(some, F.array_join(F.transform(items, lambda x: x["formula"]), " + ")).otherwise("0").alias("formula"),
+        F.when(some, kept).alias("components"), F.when(some, F.coalesce(items[0]["currency"], F.lit(""))).otherwise("").alias("currency"), "unpriced_categories",
+    )

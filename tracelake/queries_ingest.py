@@ -48,12 +48,21 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(text(i).alias("request_id"), i.alias("n"), F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(s).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))
 
 
+#: What prices and cost records are made from.
+_CALLED = ("organization_id", "project_id", "environment", "trace_id", "span_id", "index", "content_hash", "provider", "model", "start_ns", "usage_source", *pipeline.USED)
+
+
 def _fanned(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table's rows from all requests, as one batch would write them."""
-    rows = cut(pipeline.arrived(_requests(spark, sf_dir), "org", NOW).filter("reject is null"))
-    rows = pipeline.priced(rows, _book(spark)) if table in ("spans", "cost_records", "agent_steps") else pipeline.priced(rows, None)
+    """A table's rows from all requests, as one batch would write them; what
+    other tables alone have of a request is not worked out."""
+    rows = pipeline.arrived(_requests(spark, sf_dir), "org", NOW).filter("reject is null")
     rows = rows.withColumn("ingested_ns", F.lit(NOW)).withColumn("batch_id", F.lit(0)).withColumn("event_date", F.lit(None).cast("date")).withColumn("bucket", F.lit(0)).withColumn("gone", F.lit(False))
-    return pipeline.fanned_out(rows)[table]
+    if table == "cost_records":
+        called = cut(rows.select(*_CALLED))
+        return pipeline.cost_records(pipeline.priced(called.select("*", *(F.lit(v).alias(n) for n, v in (("ingested_ns", NOW), ("batch_id", 0), ("bucket", 0), ("gone", False))), F.lit(None).cast("date").alias("event_date")), _book(spark)))
+    # the others are read once; only spans show a price
+    priced = pipeline.priced(cut(rows), _book(spark)) if table == "spans" else pipeline.priced(rows, None)
+    return pipeline.fanned_out(priced)[table]
 
 
 @query(f"""with {R} select r.trace_id, r.span_id, event_type as "name", case k when 0 then 'chat_completion' when 1 then 'retrieval' when 2 then 'custom' else 'custom' end category, case when event_type = 'error' then 'error' else 'unset' end status, event_id % 50 duration_ns, case when k = 0 then r.tok end input_tokens, case when k = 0 then 'provider' else 'missing' end usage_source, cast(charge.total as varchar) cost,

@@ -163,16 +163,20 @@ OF_SPAN = ("organization_id", "project_id", "environment", "trace_id", "span_id"
 def fanned_out(good: DataFrame) -> dict[str, DataFrame]:
     """The rows of each table that a batch's spans yield."""
     key = [F.col(c) for c in OF_SPAN]
-    called = good.filter("cost_status is not null")
     return {
         "spans": good.drop("events", "documents", "retrieved", "step", "cost_formula", "cost_components", "unpriced_categories", "reject"),
         "span_events": good.select(*key, F.inline("events")),
         "retrieval_documents": good.select(*key, F.col("start_ns").alias("time_ns"), "retrieved.*", F.inline("documents")),
         "agent_steps": good.filter("step is not null").select(*key, "agent_id", "step.*", "start_ns", "duration_ns", "tool_name", "input_tokens", "output_tokens", "cost_total", "status", "error_message"),
-        "cost_records": called.select(*key, F.col("start_ns").alias("time_ns"), "provider", "model", F.col("cost_total").alias("total"), F.col("cost_currency").alias("currency"), F.col("cost_status").alias("estimation_status"), "usage_source", F.col("cost_formula").alias("formula"), F.col("cost_components").alias("components"), "unpriced_categories"),
+        "cost_records": cost_records(good),
     }
 
 
+def cost_records(good: DataFrame) -> DataFrame:
+    """A row for each span that was billable."""
+    return good.filter("cost_status is not null").select(*OF_SPAN, F.col("start_ns").alias("time_ns"), "provider", "model", F.col("cost_total").alias("total"), F.col("cost_currency").alias("currency"), F.col("cost_status").alias("estimation_status"), "usage_source", F.col("cost_formula").alias("formula"), F.col("cost_components").alias("components"), "unpriced_categories")
+
+
 def ingest_batch(store: Store, organization: str, clock: Callable[[], int], book: DataFrame | None = None, policy: redaction.Policy = redaction.Policy(), decoder: Callable[..., DataFrame] = decode) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: one parse of a micro-batch of raw requests, or
     of rows that ``arrived``, fanned out to the store's tables.
