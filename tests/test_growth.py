@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tracelake import queries_ingest
 from tracelake.functions import redaction
-from tracelake.operators import retrieval
+from tracelake.operators import retrieval, rollup
+from tracelake.sources import adapters
 
 
 def plans_of(monkeypatch, module):
@@ -47,3 +48,28 @@ def test_derived_tables_skip_what_others_have(spark, tmp_path):
         assert out.count() == rows
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" not in plan
+
+
+def test_rollup_lists_are_gathered_or_dealt(spark, monkeypatch):
+    """Traces of few spans make no row for each of their values; large ones
+    do, and both have the same lists."""
+    n = F.col("id")
+    spans = spark.range(60).select(F.lit("o").alias("organization_id"), (n % 2).alias("trace_id"), n.cast("string").alias("span_id"), (n % 7).alias("start_ns"), F.when(n % 5 == 0, "error").otherwise("ok").alias("status"), F.lit("x").alias("name"), F.concat(F.lit("e"), n).alias("error_message"), F.when(n % 4 > 0, F.concat(F.lit("m"), n % 4)).alias("model"), F.when(n % 3 > 0, F.array(F.concat(F.lit("t"), n % 9), F.lit("a"), F.lit(""))).alias("tags"))
+    dealt, real = [], rollup.ordered_lists
+    monkeypatch.setattr(rollup, "ordered_lists", lambda *a: dealt.append(1) or real(*a))
+    got = sorted(map(str, rollup.trace_rollup(spans).collect()))
+    assert not dealt
+    monkeypatch.setattr(rollup, "WHOLE", 10)
+    assert sorted(map(str, rollup.trace_rollup(spans).collect())) == got and dealt
+
+
+def test_lines_lie_by_trace(spark, monkeypatch):
+    """The newest versions of lines and what is read of a trace need no shuffle
+    beyond the join with orders; parts are met only for their models."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = rollup.latest(adapters.line_spans(spark, "/root/testdata/sf0.001"), ["trace_id", "span_id"], adapters.VERSION).groupBy("trace_id").count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "p_partkey" not in plan

@@ -24,6 +24,8 @@ ROLLED = {
 #: Lists of unique values in a roll-up, and the column of a span they come from.
 LISTS = {"models": "model", "providers": "provider", "service_names": "service_name", "prompt_version_ids": "prompt_version_id", "model_config_ids": "model_config_id", "dataset_version_ids": "dataset_version_id"}
 ERRORS = 3
+#: Spans of a trace whose lists are made in one row.
+WHOLE = 1000
 
 
 def latest(df: DataFrame, key: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -66,6 +68,29 @@ def ordered_lists(spans: DataFrame, key: list[str], values: Column) -> DataFrame
     return lists.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("kind", "list"))).alias("lists"))
 
 
+def gathered_lists(spans: DataFrame, key: list[str]) -> DataFrame:
+    """A roll-up's lists from one row for each trace; for traces of few spans,
+    whose values need no rows of their own."""
+    row = F.struct("start_ns", "span_id", *LISTS.values(), F.when(F.col("status") == "error", _error_line()).alias("error"), F.sort_array("tags").alias("tags"))
+    rows = spans.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("_v"))
+    told = lambda found: F.array_remove(F.array_compact(found), "")
+    v = F.col("_v")
+    lists = {n: F.slice(F.array_distinct(told(v[c])), 1, MAX_VALUES) for n, c in LISTS.items()}
+    lists["error"] = F.slice(told(v["error"]), 1, ERRORS)
+    lists["tags"] = F.slice(F.array_distinct(told(F.flatten(F.array_compact(v["tags"])))), 1, MAX_VALUES)
+    return rows.select(*key, F.map_from_arrays(F.array(*map(F.lit, lists)), F.array(*lists.values())).alias("lists"))
+
+
+def _lists(spans: DataFrame, key: list[str], values: Column) -> DataFrame:
+    """Lists of written spans: traces of up to ``WHOLE`` spans are gathered,
+    the values of larger ones are dealt as rows."""
+    large = cut(spans.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > WHOLE).select(*(F.col(k).alias(f"_{k}") for k in key)))
+    if large.isEmpty():
+        return gathered_lists(spans, key)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return gathered_lists(spans.join(large, same, "left_anti"), key).unionByName(ordered_lists(spans.join(large, same, "left_semi"), key, values))
+
+
 def kind(name: str, value: Column, apart: Column | None = None, most: int = MAX_VALUES) -> Column:
     return F.struct(F.lit(name).alias("kind"), value.cast("string").alias("value"), (F.lit("") if apart is None else apart).alias("apart"), F.lit(most).alias("most"))
 
@@ -114,7 +139,7 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
     kinds = [kind(name, F.col(c)) for name, c in LISTS.items()]
     kinds.append(kind("error", F.when(F.col("status") == "error", _error_line()), F.col("span_id"), ERRORS))
     tags = F.transform(F.coalesce("tags", F.expr("cast(array() as array<string>)")), lambda t: kind("tags", t))
-    lists = ordered_lists(spans, key, F.concat(F.array(*kinds), tags))
+    lists = _lists(spans, key, F.concat(F.array(*kinds), tags))
     out = base.join(lists, key, "left")
     got = lambda name: F.try_element_at("lists", F.lit(name))
     some = lambda name: F.coalesce(got(name), F.expr("cast(array() as array<string>)")).alias(name)

@@ -213,10 +213,11 @@ def lineage(pairs: DataFrame, traces: DataFrame) -> DataFrame:
     traces of a pair were made by, from their roll-ups; lists are compared as
     sets.  A trace without a roll-up has nothing."""
     value = lambda c: F.col(c) if traces.schema[c].dataType.typeName() == "array" else F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(F.expr("cast(array() as array<string>)"))
-    made = cut(traces.select(KEY, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in LINEAGE))).alias("x")).select(KEY, "x.field", "x.value"))
-    asked = pairs.select("left_trace", "right_trace", F.explode(F.array(*map(F.lit, LINEAGE))).alias("field"))
-    side = lambda trace, name: made.select(F.col(KEY).alias(trace), "field", F.col("value").alias(name))
-    out = asked.join(side("left_trace", "left"), ["left_trace", "field"], "left").join(side("right_trace", "right"), ["right_trace", "field"], "left")
+    # a trace's values come as one row to each side of a pair
+    made = cut(traces.select(KEY, F.struct(*(value(c).alias(c) for c in LINEAGE)).alias("made")))
+    side = lambda trace, name: made.select(F.col(KEY).alias(trace), F.col("made").alias(name))
+    met = pairs.select("left_trace", "right_trace").join(side("left_trace", "_l"), "left_trace", "left").join(side("right_trace", "_r"), "right_trace", "left")
+    out = met.select("left_trace", "right_trace", F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col("_l")[c].alias("left"), F.col("_r")[c].alias("right")) for c in LINEAGE))))
     none = F.expr("cast(array() as array<string>)")
     out = out.withColumn("left", F.coalesce("left", none)).withColumn("right", F.coalesce("right", none))
     return out.select("left_trace", "right_trace", "field", "left", "right", (F.array_sort(F.array_distinct("left")) != F.array_sort(F.array_distinct("right"))).alias("changed"))

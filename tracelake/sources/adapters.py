@@ -39,14 +39,15 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A span for each order line, with versions: a trace for each order, the
-    parent at half the line number."""
+    parent at half the line number.  Lines meet their parts first (not at all
+    if no model is read) and their orders last, so they lie by trace."""
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    p = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.max("p_brand").alias("p_brand"))
     start = timestamp_to_ns(F.col("o_orderdate")) + F.col("l_linenumber") * 1_000_000
     length = F.col("l_quantity").cast("long") * 1_000_000
     parent = F.call_function("div", F.col("l_linenumber"), F.lit(2))
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.lit("org").alias("organization_id"),
         F.col("l_orderkey").alias("trace_id"),
         F.col("l_linenumber").cast("string").alias("span_id"),
