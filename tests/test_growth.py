@@ -6,6 +6,8 @@ from tracelake import queries_ingest
 from tracelake.functions import redaction
 from tracelake.operators import retrieval, rollup
 from tracelake.sources import adapters
+from tracelake.sources.store import Store
+from tracelake.streaming import pipeline
 
 
 def plans_of(monkeypatch, module):
@@ -50,6 +52,22 @@ def test_derived_tables_skip_what_others_have(spark, tmp_path):
         assert "ArrowEvalPython" not in plan
 
 
+def test_batches_write_wide_rows_once(spark, tmp_path, monkeypatch):
+    """On its way to the store a batch writes what requests hold once, without
+    hashes; what else it writes down has no attributes, nor have old spans."""
+    seen, real = [], pipeline.cut
+    monkeypatch.setattr(pipeline, "cut", lambda df: seen.append(df.columns) or real(df))
+    spark.sql("select id event_id, id % 2 user_id, 'click' event_type, timestamp '2024-01-01' ts from range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    requests = queries_ingest._requests(spark, str(tmp_path))
+    store = Store(spark, f"{tmp_path}/store", buckets=2)
+    write = pipeline.ingest_batch(store, "org", lambda: queries_ingest.NOW, queries_ingest._book(spark))
+    write(requests.filter("n < 6"), 0)
+    write(requests.filter("n > 3"), 1)
+    assert sorted(r.span_count for r in store.read("traces").collect()) == [4, 4]
+    wide = [c for c in seen if "attributes" in c]
+    assert len(wide) == 2 and not any("content_hash" in c for c in wide)
+
+
 def test_rollup_lists_are_gathered_or_dealt(spark, monkeypatch):
     """Traces of few spans make no row for each of their values; large ones
     do, and both have the same lists."""

@@ -116,6 +116,19 @@ def test_six_tables_from_one_request(spark, tmp_path):
     assert store.read("series_5m").agg(F.sum("n")).first()[0] == 4
 
 
+def test_repeats_within_a_batch(spark, tmp_path):
+    """Of deliveries of a span in one batch the last request's stays, on
+    whatever day it is, and nothing of the others is stored."""
+    store = Store(spark, f"{tmp_path}/store", buckets=2)
+    call = {"gen_ai.request.model": "gpt-x", "gen_ai.usage.input_tokens": 1000}
+    rows = [("r1", body("aa", NOW, ("01", "", "old", {**call, "n": 1}, "e"))), ("r3", body("aa", NOW + 86_400 * 10**9, ("01", "", "new", call, "f"))), ("r2", body("aa", NOW, ("01", "", "mid", {}, "g"), ("02", "01", "kid", {})))]
+    pipeline.ingest_batch(store, "org", lambda: NOW + 2 * 86_400 * 10**9, book_of(spark))(rows_of(spark, *rows), 0)
+    assert sorted((r.name, r.input_tokens, r.content_hash is None) for r in store.read("spans").collect()) == [("kid", None, False), ("new", 1000, False)]
+    assert [r.name for r in store.read("span_events").collect()] == ["f"] and [float(r.total) for r in store.read("cost_records").collect()] == [0.002]
+    assert store.read("spans").agg(F.count_distinct("content_hash")).first()[0] == 2
+    assert (store.read("traces").first().span_count, store.read("series_5m").agg(F.sum("n")).first()[0]) == (2, 2)
+
+
 def test_files_read_do_not_grow(spark, tmp_path):
     """However many batches came before: a batch reads the buckets it touches,
     and these are merged into one folder now and then.  The series agree with

@@ -98,7 +98,7 @@ def ingest_store(spark, sf_dir):
     roll-ups as readers see them."""
     store = Store(spark, f"{shared_dir(spark)}/tracelake-store-{uuid.uuid4().hex}", buckets=4)
     write = pipeline.ingest_batch(store, "org", lambda: NOW, _book(spark))
-    requests = cut(_requests(spark, sf_dir))
+    requests = _requests(spark, sf_dir)
     write(requests.filter("n % 2 = 0"), 0)
     write(requests.filter("n % 2 = 1 or n % 3 = 0"), 1)
     t = store.read("traces")

@@ -18,10 +18,10 @@ span has no others of older versions.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,14 +102,28 @@ class Store:
         rows = self.rows(table, units)
         return None if rows is None else self.merged(table, rows).drop("gone", "bucket")
 
-    def merged(self, table: str, rows: DataFrame, keep_gone: bool = False) -> DataFrame:
-        """Rows of each owner's newest version; bins added up in series."""
+    def written(self, table: str, batch_id: int) -> DataFrame | None:
+        """What a batch added to a table, committed or not."""
+        folders = self._added(table, batch_id)
+        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*(f"{self.root}/{f}" for f in folders)).drop("commit") if folders else None
+
+    def _added(self, table: str, batch_id: int) -> list[str]:
+        return self._names(f"{table}/{'*/*' if TABLES[table].by_day else '*'}/commit=d{batch_id:012d}")
+
+    def units_added(self, table: str, batch_id: int) -> list[str]:
+        """The units that a batch added to; folders are listed, nothing is read."""
+        return [f.rpartition("/commit=")[0].removeprefix(f"{table}/") for f in self._added(table, batch_id)]
+
+    def merged(self, table: str, rows: DataFrame, keep_gone: bool = False, within: Sequence[str] = ()) -> DataFrame:
+        """Rows of each owner's newest version; bins added up in series.  Rows
+        that lie by columns of their owner, or ``within`` ones that follow from
+        these, are not dealt again."""
         owner = TABLES[table].owner
         if not owner:
             by = [c for c in rows.columns if c not in ("n", "sum", "batch_id", "gone")]
             return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")).filter("n <> 0").withColumn("batch_id", F.lit(0)).withColumn("gone", F.lit(False))
         version = F.struct(*VERSION)
-        rows = rows.withColumn("_newest", F.max(version).over(W.partitionBy(*owner)))
+        rows = rows.withColumn("_newest", F.max(version).over(W.partitionBy(*owner, *within)))
         return rows.filter((F.col("_newest") == version) & (F.lit(keep_gone) | ~F.col("gone"))).drop("_newest")
 
     def units_of(self, table: str, rows: DataFrame) -> list[str]:
@@ -118,16 +132,18 @@ class Store:
         found = rows.select(*(["event_date"] if by_day else []), "bucket").distinct().collect()
         return sorted((f"event_date={r.event_date}/" if by_day else "") + f"bucket={r.bucket}" for r in found)
 
-    def _write(self, table: str, rows: DataFrame, commit: str) -> None:
+    def _write(self, table: str, rows: DataFrame, commit: str, late: dict[str, Column] | None = None) -> None:
         by = (["event_date"] if TABLES[table].by_day else []) + ["bucket"]
         # rows without a day are in no unit that readers or retention would find
         out = rows.withColumn("commit", F.lit(commit))
-        out = out.repartition(*by).sortWithinPartitions(*by, *(c for c in ("trace_id", "span_id") if c in rows.columns))
+        out = out.repartition(*by).withColumns(late or {}).sortWithinPartitions(*by, *(c for c in ("trace_id", "span_id") if c in rows.columns))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "commit").parquet(f"{self.root}/{table}")
 
-    def add(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        """A batch's rows, with ``event_date`` (where days are) and ``bucket``."""
-        self._write(table, rows, f"d{batch_id:012d}")
+    def add(self, table: str, rows: DataFrame, batch_id: int, late: dict[str, Column] | None = None) -> None:
+        """A batch's rows, with ``event_date`` (where days are) and ``bucket``;
+        ``late`` columns follow from others and are worked out where they are
+        written."""
+        self._write(table, rows, f"d{batch_id:012d}", late)
 
     def compact(self, table: str, units: Iterable[str], batch_id: int) -> list[str]:
         """Merges units of many folders, the batch's own among them, into bases

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tracelake.functions import redaction
 from tracelake.functions.scalars import content_hash, infer_category, ns_to_timestamp, plausible_ns, provider_of, span_identity, total_tokens, usage
 from tracelake.operators import cost, metrics
-from tracelake.operators.rollup import latest, trace_rollup
+from tracelake.operators.rollup import trace_rollup
 from tracelake.plans.lineage import cut
 from tracelake.sources.otlp import decode
-from tracelake.sources.store import SPAN, VERSION, Store
+from tracelake.sources.store import SPAN, TABLES, VERSION, Store
 
 #: Token counts of a span that are stored and priced, and ones only stored.
 USED = ("input_tokens", "output_tokens", "cached_input_tokens")
@@ -27,6 +28,8 @@ DOCUMENTS, QUERY, PREVIEW = 500, 4096, 2048
 DOCUMENT = "struct<document_id:string,chunk_id:string,rank:int,score:double,rerank_score:double,rerank_rank:int,selected:boolean,token_count:bigint,truncated:boolean,source:string,title:string,content:string,content_ref:string,metadata:map<string,string>>"
 #: Columns of a span from its own attributes, by name.
 NAMED = {"project_id": "project.id", "session_id": "session.id", "subject_id": "subject.id", "release": "release", "git_commit": "git.commit", "prompt_version_id": "prompt.version_id", "model_config_id": "model.config_id", "dataset_version_id": "dataset.version_id", "agent_id": "agent.id"}
+#: Parts that a trace's spans are dealt to for its roll-up.
+PARTS = 8
 LATE_NS, SKEW_NS = 7 * 86_400 * 10**9, 300 * 10**9
 
 
@@ -70,6 +73,11 @@ def split_poison(raw: DataFrame, now_ns: int) -> tuple[DataFrame, DataFrame]:
     return spans.filter("reject is null").drop("reject"), spans.filter("reject is not null").select("request_id", "index", "reject")
 
 
+def delivery() -> Column:
+    """The identity of a span's delivery."""
+    return content_hash(span_identity(*(F.col(c) for c in ("organization_id", "project_id", "trace_id", "span_id", "start_ns", "end_ns", "name", "status"))))
+
+
 def described(spans: DataFrame, organization: str, policy: redaction.Policy = redaction.Policy()) -> DataFrame:
     """Decoded spans with what their attributes say (category, provider, model,
     session, lineage, usage and where it comes from), the identity of a
@@ -96,10 +104,9 @@ def described(spans: DataFrame, organization: str, policy: redaction.Policy = re
     known = F.coalesce(*USED).isNotNull()
     source = text(f"{own}usage.source")
     out = out.withColumn("usage_source", F.when(~known, "missing").when(source != "", source).otherwise("provider")).withColumn("total_tokens", total_tokens(F.col("total_tokens"), F.col("input_tokens"), F.col("output_tokens")))
-    identity = span_identity(*(F.col(c) for c in ("organization_id", "project_id", "trace_id", "span_id", "start_ns", "end_ns", "name", "status")))
     # a reject is no other delivery's repeat
     apart = F.concat_ws("/", F.lit("reject"), "request_id", "index")
-    out = out.withColumn("content_hash", F.when(F.col("reject").isNull() if "reject" in spans.columns else F.lit(True), content_hash(identity)).otherwise(apart)).withColumn("_clean", redaction.attributes(attributes, policy))
+    out = out.withColumn("content_hash", F.when(F.col("reject").isNull() if "reject" in spans.columns else F.lit(True), delivery()).otherwise(apart)).withColumn("_clean", redaction.attributes(attributes, policy))
 
     found = F.slice(F.from_json(get(f"{own}retrieval.documents"), "array<string>"), 1, DOCUMENTS)
     secret = lambda k, v: redaction.sensitive_key(k, policy) | F.coalesce(v.rlike(r"^\s*[\[{]"), F.lit(False))
@@ -133,19 +140,37 @@ def described(spans: DataFrame, organization: str, policy: redaction.Policy = re
     return out.withColumn("error_message", F.substring(message, 1, PREVIEW)).withColumn("attributes", kept).drop("_clean")
 
 
+#: What pricing adds to a span, and its name in a cost's breakdown.
+PRICES = {"cost_total": "total", "cost_status": "status", "cost_currency": "currency", "cost_formula": "formula", "cost_components": "components", "unpriced_categories": "unpriced_categories"}
+#: Which spans are billable.
+CALL = "provider <> '' and model <> ''"
+
+
+def _row_id(spans: DataFrame) -> Column:
+    return F.col("_row") if "_row" in spans.columns else F.concat_ws("/", "trace_id", "span_id", "content_hash")
+
+
+def charges(spans: DataFrame, book: DataFrame) -> DataFrame:
+    """``_id`` and the prices of spans that are billable calls."""
+    calls = spans.filter(CALL).select(_row_id(spans).alias("id"), "provider", "model", F.col("start_ns").alias("at_ns"), "usage_source", F.explode(F.create_map(*(x for n in USED for x in (F.lit(n.removesuffix("_tokens")), F.col(n))))).alias("category", "quantity"))
+    return cost.breakdown(calls.filter("quantity > 0"), book).select(F.col("id").alias("_id"), *(F.col(c).alias(n) for n, c in PRICES.items()))
+
+
+def charged(spans: DataFrame, got: DataFrame) -> DataFrame:
+    """Spans with their charges: calls meet these, the others stay where they lie."""
+    calls = spans.filter(CALL).join(got, _row_id(spans) == F.col("_id"), "left").drop("_id")
+    return calls.unionByName(spans.filter(f"not ({CALL})"), allowMissingColumns=True)
+
+
 def priced(spans: DataFrame, book: DataFrame | None) -> DataFrame:
     """Adds ``cost_total, cost_status, cost_currency, cost_formula,
     cost_components``: every span that names a provider and a model and reports
     usage is a billable call, whatever its category; the others have no cost.
     Cached input is charged apart."""
-    added = {"cost_total": "total", "cost_status": "status", "cost_currency": "currency", "cost_formula": "formula", "cost_components": "components", "unpriced_categories": "unpriced_categories"}
-    id_ = F.concat_ws("/", "trace_id", "span_id", "content_hash")
-    calls = spans.filter("provider <> '' and model <> ''").select(id_.alias("id"), "provider", "model", F.col("start_ns").alias("at_ns"), "usage_source", F.explode(F.create_map(*(x for n in USED for x in (F.lit(n.removesuffix("_tokens")), F.col(n))))).alias("category", "quantity"))
     if book is None:
         types = {"cost_total": cost.MONEY, "cost_components": cost.COMPONENTS, "unpriced_categories": "array<string>"}
-        return spans.withColumns({n: F.lit(None).cast(types.get(n, "string")) for n in added})
-    got = cost.breakdown(calls.filter("quantity > 0"), book)
-    return spans.join(got.select(F.col("id").alias("_id"), *(F.col(c).alias(n) for n, c in added.items())), id_ == F.col("_id"), "left").drop("_id")
+        return spans.withColumns({n: F.lit(None).cast(types.get(n, "string")) for n in PRICES})
+    return charged(spans, charges(spans, book))
 
 
 def arrived(raw: DataFrame, organization: str, now_ns: Column | int | None = None, policy: redaction.Policy = redaction.Policy(), decoder: Callable[..., DataFrame] = decode) -> DataFrame:
@@ -160,15 +185,17 @@ def arrived(raw: DataFrame, organization: str, now_ns: Column | int | None = Non
 OF_SPAN = ("organization_id", "project_id", "environment", "trace_id", "span_id", *VERSION, "event_date", "bucket", "gone")
 
 
-def fanned_out(good: DataFrame) -> dict[str, DataFrame]:
-    """The rows of each table that a batch's spans yield."""
+def fanned_out(good: DataFrame, got: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows of each table that a batch's spans yield; those that show a
+    cost meet the charges, if spans are not priced yet."""
     key = [F.col(c) for c in OF_SPAN]
+    paid = lambda df: df if got is None else charged(df, got)
     return {
-        "spans": good.drop("events", "documents", "retrieved", "step", "cost_formula", "cost_components", "unpriced_categories", "reject"),
+        "spans": paid(good).drop("_row", "events", "documents", "retrieved", "step", "cost_formula", "cost_components", "unpriced_categories", "reject"),
         "span_events": good.select(*key, F.inline("events")),
         "retrieval_documents": good.select(*key, F.col("start_ns").alias("time_ns"), "retrieved.*", F.inline("documents")),
-        "agent_steps": good.filter("step is not null").select(*key, "agent_id", "step.*", "start_ns", "duration_ns", "tool_name", "input_tokens", "output_tokens", "cost_total", "status", "error_message"),
-        "cost_records": cost_records(good),
+        "agent_steps": paid(good.filter("step is not null")).select(*key, "agent_id", "step.*", "start_ns", "duration_ns", "tool_name", "input_tokens", "output_tokens", "cost_total", "status", "error_message"),
+        "cost_records": cost_records(paid(good)),
     }
 
 
@@ -192,39 +219,44 @@ def ingest_batch(store: Store, organization: str, clock: Callable[[], int], book
 
     def write(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        rows = cut(batch if "content_hash" in batch.columns else arrived(batch.select("request_id", "body"), organization, now, policy, decoder))
+        rows = batch if "content_hash" in batch.columns else arrived(batch.select("request_id", "body"), organization, now, policy, decoder)
+        # hashes of deliveries are long and follow from the rest: stored spans get theirs again
+        rows = cut(rows.drop("content_hash").withColumn("_row", F.monotonically_increasing_id()))
         dead = rows.filter("reject is not null").select("request_id", "index", "reject").withColumn("batch_id", F.lit(batch_id))
         dead.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store.root}/dead_letters")
-        good = latest(rows.filter("reject is null"), ["trace_id", "span_id"], ["request_id", "index"])
-        good = priced(good, book).withColumn("ingested_ns", F.lit(now).cast("long")).withColumn("batch_id", F.lit(batch_id)).withColumn("gone", F.lit(False))
-        good = cut(good.withColumn("event_date", F.to_date(ns_to_timestamp(F.col("start_ns")))).withColumn("bucket", store.bucket()))
+        good = newest(rows.filter("reject is null"))
+        got = None if book is None else cut(charges(good, book))
+        good = (priced(good, None) if book is None else good).withColumn("ingested_ns", F.lit(now).cast("long")).withColumn("batch_id", F.lit(batch_id)).withColumn("gone", F.lit(False))
+        good = good.withColumn("event_date", F.to_date(ns_to_timestamp(F.col("start_ns")))).withColumn("bucket", store.bucket())
         before = min(store.committed(), batch_id - 1)
-        touched = cut(good.groupBy("organization_id", "trace_id", "bucket").agg(F.min("event_date").alias("day")))
+        touched = cut(good.select("organization_id", "trace_id", "bucket").distinct())
         traces = store.rows("traces", store.units_of("traces", touched), before)
         places = good.select("event_date", "bucket")
         if traces is not None:
             at = lambda c: F.to_date(ns_to_timestamp(F.col(c)))
             had = store.merged("traces", traces).join(touched.select("organization_id", "trace_id"), ["organization_id", "trace_id"], "left_semi")
             places = places.union(had.select(F.explode(F.sequence(at("start_ns"), at("last_start_ns"))), "bucket"))
-        units = store.units_of("spans", places)
-        out = fanned_out(good)
-        old = store.rows("spans", units, before)
-        now_spans, then = out["spans"], None
+        old = store.rows("spans", store.units_of("spans", places), before)
+        out, then = fanned_out(good, got), None
         if old is not None:
-            old = cut(old.join(touched.select("organization_id", "trace_id"), ["organization_id", "trace_id"], "left_semi"))
-            then = store.merged("spans", old).join(good.select(*SPAN), list(SPAN), "left_semi")
-            marks = then.select(*SPAN, "event_date", "bucket").join(good.select(*SPAN, *VERSION), list(SPAN)).withColumn("gone", F.lit(True))
+            again = old.select(*SPAN, *VERSION, "gone", "event_date", "bucket", "start_ns", "name", "duration_ns").join(good.select(*SPAN, F.col("index").alias("_index")), list(SPAN))
+            then = cut(store.merged("spans", again))
+            marks = then.select(*SPAN, "event_date", "bucket", F.lit(now).cast("long").alias("ingested_ns"), F.lit(batch_id).alias("batch_id"), F.col("_index").alias("index"), F.lit(True).alias("gone"))
             out = {t: df.unionByName(marks, allowMissingColumns=True) for t, df in out.items()}
-            now_spans = now_spans.unionByName(old, allowMissingColumns=True)
-        rolled = trace_rollup(store.merged("spans", now_spans)).drop("ingested_ns")
-        out["traces"] = rolled.withColumn("ingested_ns", F.lit(now).cast("long")).withColumn("batch_id", F.lit(batch_id)).withColumn("index", F.lit(0)).withColumn("gone", F.lit(False)).withColumn("bucket", store.bucket())
-        out["series_5m"] = series(good, then, store.buckets).withColumn("batch_id", F.lit(batch_id)).withColumn("gone", F.lit(False))
-        for table, df in out.items():
-            store.add(table, df, batch_id)
-        # what is derived from spans lies in their units
-        own = store.units_of("spans", out["spans"])
-        apart = {t: store.units_of(t, out[t]) for t in ("traces", "series_5m")}
-        merged = [store.compact(t, apart.get(t, own), batch_id) for t in out]
+        store.add("spans", out.pop("spans"), batch_id, {"content_hash": F.when(~F.col("gone"), delivery())})
+        # what follows reads narrow columns of what was written
+        own = store.written("spans", batch_id)
+        if own is not None:
+            own = own.filter("not gone")
+            both = own if old is None else own.unionByName(old.join(touched.select("organization_id", "trace_id"), ["organization_id", "trace_id"], "left_semi"), allowMissingColumns=True)
+            # a trace lies in few parts, so that its sums and lists are small before they are brought together
+            both = both.withColumn("_part", F.pmod(F.xxhash64("span_id"), F.lit(PARTS))).repartition("organization_id", "trace_id", "_part")
+            rolled = trace_rollup(both if old is None else store.merged("spans", both, within=["_part"])).drop("ingested_ns")
+            out["traces"] = rolled.withColumn("ingested_ns", F.lit(now).cast("long")).withColumn("batch_id", F.lit(batch_id)).withColumn("index", F.lit(0)).withColumn("gone", F.lit(False)).withColumn("bucket", store.bucket())
+            out["series_5m"] = series(own, then, store.buckets).withColumn("batch_id", F.lit(batch_id)).withColumn("gone", F.lit(False))
+            for table, df in out.items():
+                store.add(table, df, batch_id)
+        merged = [store.compact(t, store.units_added(t, batch_id), batch_id) for t in TABLES]
         store.commit(batch_id)
         if any(merged):
             store.vacuum(keep=2)  # the last batch may be run again
@@ -232,6 +264,20 @@ def ingest_batch(store: Store, organization: str, clock: Callable[[], int], book
     return write
 
 
+def newest(spans: DataFrame) -> DataFrame:
+    """The newest delivery of each span of a batch, by request.  Hashes of
+    spans tell if any may have come twice; only the ids of those are compared,
+    and rows with all they hold stay where they lie unless one has to go."""
+    key = F.xxhash64("trace_id", "span_id").alias("_key")
+    twice = cut(spans.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
+    if twice.isEmpty():
+        return spans
+    ids = spans.select("trace_id", "span_id", "request_id", "index", "_row", key).join(twice, "_key", "left_semi")
+    rank = F.row_number().over(W.partitionBy("trace_id", "span_id").orderBy(*(F.desc_nulls_last(v) for v in ("request_id", "index", "_row"))))
+    older = cut(ids.withColumn("_rank", rank).filter("_rank > 1").select("_row"))
+    return spans if older.isEmpty() else cut(spans.join(older, "_row", "left_anti"))
+
+
 def series(new: DataFrame, replaced: DataFrame | None, buckets: int) -> DataFrame:
     """Bins of the five-minute series that a batch adds, less those of the
     versions that it replaces."""
