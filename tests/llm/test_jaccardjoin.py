@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
-from tracelake.llm import heavylight, jaccardjoin
+from tracelake.llm import heavylight, jaccardjoin, simhash
 
 
 def brute(rows, n=5):
@@ -106,3 +106,35 @@ def test_two_shingles_of_longer_prefixes():
         if both * 1.8 >= 0.8 * (len(a) + len(b)) and both > 1:
             first = [np.sort(x)[: heavylight.prefix_length(len(x), 0.8) + 1] for x in (a, b)]
             assert len(np.intersect1d(*first)) >= 2
+
+
+def test_long_signatures_keep_links():
+    """They differ in no more than two sets do, whatever their sizes, and tell
+    large sets apart that share little."""
+    rng = np.random.default_rng(7)
+    for n in (513, 1000, 1024, 1025, 1800, 3000, 9000):
+        a = rng.integers(-(2**63), 2**63 - 1, n)
+        b = np.concatenate((a[: n - n // 10], rng.integers(-(2**63), 2**63 - 1, n // 10 + 30)))
+        x, y = heavylight.long_parities(a), heavylight.long_parities(b)
+        assert len(x) * 8 >= n
+        assert heavylight.differing(x, y) == heavylight.differing(y, x) <= len(np.setxor1d(a, b))
+        other = heavylight.long_parities(rng.integers(-(2**63), 2**63 - 1, n))
+        assert heavylight.differing(x, other) > 2 * n / 9
+    assert heavylight.long_parities(a[:512]) is None
+
+
+def test_large_texts_with_a_passage_are_not_verified(make, monkeypatch):
+    """Long texts that share a passage, or are variants of one text below the
+    similarity, are not fetched for an exact check; links are."""
+    rng = random.Random(4)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [[f"a{i}x{k}" for k in range(1500)] + passage for i in range(20)]
+    base = [f"b{k}" for k in range(2000)]
+    texts += [edited(base, 90, rng) for _ in range(20)]
+    texts += [base, edited(base, 10, rng)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked, real = [], jaccardjoin._verified
+    monkeypatch.setattr(simhash, "COMMON", 0)  # as if none were in the sample
+    monkeypatch.setattr(jaccardjoin, "_verified", lambda pairs, *more: asked.append(pairs.count()) or real(pairs, *more))
+    assert run(make, rows) == brute(rows)
+    assert 0 < sum(asked) <= 60

@@ -21,7 +21,9 @@ rarest first; lists that are still longer then are dealt in cells of that size.
 Sets are compared by size, place and a parity signature, whose differing bits
 never exceed the sets' differing shingles; what that leaves is verified.  In a
 list of many sets each is paired with its closest first; only sets that are
-not linked after that are compared once more.
+not linked after that are compared once more.  The signature tells large sets
+little, as about half of its bits differ whatever they share; a large set has a
+longer one besides, which every pair of two large sets has to pass once.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ from tracelake.llm.common import cut, drop
 #: Sets of a list, or of a cell's side, that are searched together; sets of a
 #: list from which on the closest come first; how many those are.
 HOT, MANY, CLOSEST = 1024, 16, 2
-#: Longs of a signature.
-SIGNATURE = 8
+#: Longs of a signature, and of a large set's longer one at most.
+SIGNATURE, LONGEST = 8, 1024
 #: Rows of one key that are counted; it has that many or more, then.
 OFTEN = 1 << 20
 #: For the boundary: what a comparison costs, in rows; the share of pairs that
@@ -49,14 +51,31 @@ _SMALL = 12
 SIGNATURES = [f"s{i}" for i in range(SIGNATURE)]
 
 
-def parities(values: np.ndarray) -> np.ndarray:
-    """For each of 64 * SIGNATURE classes of shingles whether a set has an odd
+def parities(values: np.ndarray, longs: int = SIGNATURE) -> np.ndarray:
+    """For each of 64 * longs classes of shingles whether a set has an odd
     number of them, as longs.  Two sets' signatures differ in no more bits than
     the sets differ in shingles."""
-    odd = np.bincount((values.view(np.uint64) >> np.uint64(17)) % np.uint64(64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    odd = np.bincount((values.view(np.uint64) >> np.uint64(17)) % np.uint64(64 * longs), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def long_parities(values: np.ndarray) -> bytes | None:
+    """A large set's signature of as many classes as it has shingles, up to the
+    next power of two and no more than 64 * LONGEST; none for other sets."""
+    if len(values) <= 64 * SIGNATURE:
+        return None
+    return parities(values, min(LONGEST, 1 << int(len(values) - 1).bit_length() - 6)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two long signatures differ, the longer one folded to the
+    classes of the other."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    m = min(len(x), len(y))
+    x, y = (v if len(v) == m else np.bitwise_xor.reduce(v.reshape(-1, m), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def prefix_length(n: int | np.ndarray, share: float) -> int | np.ndarray:
     """Shingles of n, first in the common order, of which one at least is in
     every set that holds ``share`` of them."""
@@ -303,18 +322,33 @@ def _found(lists: DataFrame, search: Search) -> DataFrame:
     return lists.select(*columns, *SIGNATURES).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
 
 
+def _screened(pairs: DataFrame, large: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` (``a, b``) without those of two large sets (``node, n, long``)
+    whose long signatures leave no room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [x is None or y is None or differing(x, y) <= (m + n) * (1 - similarity) / (1 + similarity) + 1e-6 for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: large.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("long").alias(f"long_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select("a", "b", "n_a", "n_b", "long_a", "long_b").mapInArrow(run, "a long, b long")
+
+
 def join(singles: DataFrame, whole: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], connect: Callable[[DataFrame], DataFrame], linked: DataFrame | None = None, similarity: float = 0.8, hot: int = HOT, many: int = MANY, closest: int = CLOSEST, light: int | None = None) -> DataFrame:
     """``a, b``: links that, with those of ``linked``, connect all sets of at
     least this similarity.
 
-    ``singles`` has a row for each set: ``node, n, prefix, s0...``, the name,
-    the size, the longer prefix (one more than ``prefix_length``) and the
-    signature.  ``whole`` gives ``node, set`` for some nodes, ``verify`` keeps
+    ``singles`` has a row for each set: ``node, n, prefix, long, s0...``, the
+    name, the size, the longer prefix (one more than ``prefix_length``) and the
+    signatures, the long one (``long_parities``) of large sets only.  ``whole`` gives ``node, set`` for some nodes, ``verify`` keeps
     the pairs that reach the similarity, ``connect`` labels what links connect.
     ``light`` sets the boundary instead of the cost.
     """
     entries = singles.filter("n > 1").select("node", "n", F.posexplode("prefix").alias("at", "key"))
     index = _indexed(frequencies(entries), singles)
+    large = cut(singles.filter("long is not null").select("node", "n", "long"))
     bound = boundary(index, similarity) if light is None else light
     none = singles.select(F.col("node"), F.col("node").alias("label")).limit(0)
     labels = cut(connect(linked)) if linked is not None else none
@@ -337,7 +371,7 @@ def join(singles: DataFrame, whole: Callable[[DataFrame], DataFrame], verify: Ca
         bound_again = boundary(again, similarity) if light is None else light
         found.append(_found(_dealt(_lists(again, labels, bound_again, similarity), hot), Search(bound_again, similarity, many, closest)))
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
-    first = verify(pairs)
+    first = verify(_screened(pairs, large, similarity))
     so_far = first if linked is None else first.unionByName(linked)
 
     # of lists of many only the closest have been compared
@@ -348,6 +382,6 @@ def join(singles: DataFrame, whole: Callable[[DataFrame], DataFrame], verify: Ca
     if again is not None:
         found.append(_found(_dealt(_lists(again, labels, bound_again, similarity).filter((F.col("m") > _SMALL) & (F.col("m") > many)), hot), Search(bound_again, similarity, many, None)))
     pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
-    out = first.unionByName(verify(pairs))
-    drop(index, lists, far, labels, *([again] if again is not None else []))
+    out = first.unionByName(verify(_screened(pairs, large, similarity)))
+    drop(index, large, lists, far, labels, *([again] if again is not None else []))
     return out

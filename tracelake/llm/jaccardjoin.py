@@ -29,7 +29,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are ignored.  ``light`` sets the boundary instead of the cost.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(_prefixes(docs, similarity, shingle))
+    rows = cut(_prefixes(docs, similarity, shingle, fingerprint=False))
     some = rows.filter("n > 0")
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("th", "doc_id")).alias("pick"), F.min("n").alias("n"), F.count("*").alias("copies")))
     verify = lambda pairs: _verified(pairs, docs, nodes, similarity, shingle)

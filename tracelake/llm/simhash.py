@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import heavylight
 from tracelake.llm.common import cut, drop
-from tracelake.llm.heavylight import SIGNATURE, SIGNATURES, parities, prefix_length
+from tracelake.llm.heavylight import SIGNATURE, SIGNATURES, long_parities, parities, prefix_length
 
 HOT_BUCKET = 2048
 #: Edges of a graph that one task may hold: 16 MB.
@@ -349,11 +349,11 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``doc_id, th, node, fp, n, prefix, s0...``: th is a hash of the text;
-    node names the shingle set, fp is its SimHash, n its size; prefix has its
-    first shingles, common ones last, one more than ``prefix_length``; the rest
-    is its signature."""
+def _prefixes(docs: DataFrame, similarity: float, shingle: int, fingerprint: bool = True) -> DataFrame:
+    """``doc_id, th, node, fp, n, prefix, long, s0...``: th is a hash of the
+    text; node names the shingle set, fp is its SimHash (0 unless asked for), n
+    its size; prefix has its first shingles, common ones last, one more than
+    ``prefix_length``; the rest are its signatures, long that of a large set."""
     common = _common(docs, shingle)
     order = np.argsort(common, kind="stable")
     listed = common[order]
@@ -369,12 +369,12 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                     rank = np.where(listed[at] == v, order[at] + 1, 0)
                 first.append(v[np.argsort(rank, kind="stable")][: int(prefix_length(len(v), similarity)) + 1 if len(v) else 0])
             bits = np.array([parities(v) for v in sets], np.int64).reshape(-1, SIGNATURE)
-            columns = [pa.array([_node(v) for v in sets], pa.int64()), pa.array([_set_fingerprint(v) for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *map(pa.array, bits.T)], ["doc_id", "th", "node", "fp", "n", "prefix", *SIGNATURES])
+            columns = [pa.array([_node(v) for v in sets], pa.int64()), pa.array([_set_fingerprint(v) if fingerprint else 0 for v in sets], pa.int64()), pa.array([len(v) for v in sets], pa.int32()), _lists(first), pa.array([long_parities(v) for v in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *map(pa.array, bits.T)], ["doc_id", "th", "node", "fp", "n", "prefix", "long", *SIGNATURES])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, " + ", ".join(f"{c} long" for c in SIGNATURES))
+    return rows.mapInArrow(run, f"doc_id {id_type}, th long, node long, fp long, n int, prefix array<bigint>, long binary, " + ", ".join(f"{c} long" for c in SIGNATURES))
 
 
 def _named(asked: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -454,9 +454,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: f
 
 
 def _single(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, n, prefix, s0...``: one row for each node.  Only copies are
+    """``node, n, prefix, long, s0...``: one row for each node.  Only copies are
     brought together, each partition's first."""
-    wanted = ["node", "n", "prefix", *SIGNATURES]
+    wanted = ["node", "n", "prefix", "long", *SIGNATURES]
     seen = Observation()
     copied = cut(nodes.filter("copies > 1").select("node").observe(seen, F.count("*").alias("n")))
     copied = F.broadcast(copied) if (seen.get.get("n") or 0) <= 10 * BROADCAST_NODES else copied
