@@ -138,3 +138,15 @@ def test_large_texts_with_a_passage_are_not_verified(make, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "_verified", lambda pairs, *more: asked.append(pairs.count()) or real(pairs, *more))
     assert run(make, rows) == brute(rows)
     assert 0 < sum(asked) <= 60
+
+
+def test_word_hashes(monkeypatch):
+    """One for each word, the same wherever it stands and in whatever part."""
+    text = "".join(random.Random(9).choices(["a", "B", "é", "\x1c", "zz", " ", "\n", "\t ", "w" * 300], k=4000))
+    words = text.encode().lower().split()
+    got = simhash.word_hashes(text)
+    assert len(got) == len(words)
+    assert len(set(zip(words, got.tolist()))) == len(set(words)) == len(set(got.tolist()))
+    monkeypatch.setattr(simhash, "TEXT_PART", 100)
+    assert simhash.word_hashes(text).tolist() == got.tolist()
+    assert [len(simhash.word_hashes(t)) for t in (None, "", " \n", "x" * 500, " " * 500 + "x")] == [0, 0, 0, 1, 1]

@@ -299,22 +299,53 @@ SAMPLE_DOCS, COMMON = 20_000, 100_000
 BROADCAST_NODES = 100_000
 #: Shingles of a group of sets that are verified together: 32 MB.
 CELL = 1 << 22
+#: Bytes of a text that are hashed at once.
+TEXT_PART = 1 << 20
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(by)
+    return x ^ (x >> np.uint64(33))
+
+
+#: A number for each byte, zero between words, and for its place in a word.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
+_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+_PLACES = _mixed(np.arange(1 << 32, (1 << 32) + 256, dtype=np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' numbers times their places', summed up."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    gaps = np.flatnonzero(_BYTES[raw] == 0) if len(raw) > TEXT_PART else np.empty(0, np.int64)
+    cuts = gaps[np.minimum(np.searchsorted(gaps, np.arange(TEXT_PART, len(raw), TEXT_PART)), len(gaps) - 1)] if len(gaps) else gaps
+    out = []
+    for part in np.split(raw, np.unique(cuts)):  # very long texts in parts
+        value = _BYTES[part]
+        inside = value != 0
+        starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+        if not len(starts):
+            continue
+        place = np.arange(starts[0], len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
+        most = int(place.max()) + 1
+        places = _PLACES if most <= len(_PLACES) else _mixed(np.arange(1 << 32, (1 << 32) + most, dtype=np.uint64))
+        out.append(_mixed(np.add.reduceat(value[starts[0] :] * places[place], starts - starts[0])))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The sorted distinct shingle hashes of one text."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64).view(np.int64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64).view(np.int64))
+    words = word_hashes(text)
+    k = min(len(words), shingle)
+    n = len(words) - k + 1 if k else 0
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += words[i : i + n]
+    h = np.sort(_mixed(h).view(np.int64))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if n else h
 
 
 def _set_fingerprint(values: np.ndarray) -> int:
